@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, pii, simhash
+from . import bpe, media, mixing, pii, rabitq, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -31,7 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_media, op9_pii, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_media, op4_rabitq, op5_mixing, op9_pii, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
