@@ -5,7 +5,8 @@ floor(r). The cube method picks these: starting from the vector of probabilities
 the null space of the constraints (the number of documents and the number of words), each move ending with a document at 0 or 1,
 so that both totals stay exact. When no direction is left, at most two documents of a group are undecided. Groups are hash
 buckets of a source, of about ``group_rows`` documents; what they leave undecided is gathered in fewer groups and flies again,
-until a source has one group; its last documents are the landing problem, solved by trying all outcomes for the nearest total.
+until a source has one group. There the moves settle the largest documents first, against all others, so that the landing problem is
+left with a few of the smallest documents; trying all their outcomes gives the nearest total.
 
 Sizes count ``[^\\x20\\x09-\\x0D]+`` in the text, null 0. Targets: sources by code point, null last, weigh 5, 2, 1, repeating;
 they share the total size, none above ``ceiling`` times its own; the excess is shared anew by weight. Results depend on ids and
@@ -101,6 +102,33 @@ def fly(p: list[float], sizes: list[float], random: np.random.Generator) -> list
     return p
 
 
+def spread(p: list[float], sizes: list[float], random: np.random.Generator) -> list[float]:
+    """A flight whose moves settle the largest undecided document against all others at once, along the direction a + b * size of
+    the null space. It ends with a few of the smallest documents undecided, so the landing changes the totals little. O(n^2)."""
+    q, s = np.array(p), np.array(sizes)
+    q[q <= _EPS], q[q >= 1 - _EPS] = 0, 1
+    order = np.argsort(-s, kind="stable")
+    while len(order := order[(q[order] > 0) & (q[order] < 1)]) > 3:
+        x = s[order[1:]]
+        u = np.empty(len(order))
+        u[0], n, one, two = 1.0, len(x), x.sum(), (x * x).sum()
+        det = n * two - one * one
+        if det > 1e-9 * max(1.0, n * two):
+            u[1:] = -((two - one * s[order[0]]) + (n * s[order[0]] - one) * x) / det
+        else:
+            u[1:] = -1.0 / n
+        at = q[order]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - at) / u, np.where(u < 0, -at / u, np.inf)).min()
+            down = np.where(u > 0, at / u, np.where(u < 0, (at - 1) / u, np.inf)).min()
+        q[order] = at = at + u * (up if random.random() * (up + down) < down else -down)
+        near = np.minimum(at, 1 - at)
+        settled = near <= _EPS
+        settled[np.argmin(near)] = True
+        q[order[settled]] = np.round(at[settled])
+    return q.tolist()
+
+
 def land(p: list[float], sizes: list[float]) -> list[float]:
     """Settle the few undecided entries: the outcome whose total size, then number, is nearest."""
     left = [i for i, x in enumerate(p) if 0 < x < 1]
@@ -153,13 +181,12 @@ def _bucketed(schema: T.StructType) -> T.StructType:
 def _flight(level: int, last: bool):
     def run(rows: pa.Table) -> pa.Table:
         ids, sizes = rows["id"].to_pylist(), rows["size"].to_pylist()
-        # large documents first, so that those left undecided are small
-        hashed = np.array([xxhash.xxh64_intdigest(f"{level}:{i}:{s}") for i, s in zip(ids, sizes, strict=True)], np.uint64)
-        order = np.lexsort((hashed, -np.array(sizes, np.int64)))
+        order = np.argsort(np.array([xxhash.xxh64_intdigest(f"{level}:{i}:{s}") for i, s in zip(ids, sizes, strict=True)], np.uint64), kind="stable")
         rows = rows.take(pa.array(order))
         seed = xxhash.xxh64_intdigest(f"{rows['source'][0].as_py()}:{rows['bucket'][0].as_py()}:{level}")
         sizes = [float(s) for s in rows["size"].to_pylist()]
-        p = fly(rows["p"].to_pylist(), sizes, np.random.default_rng(seed))
+        random, p = np.random.default_rng(seed), rows["p"].to_pylist()
+        p = fly(spread(p, sizes, random) if last else p, sizes, random)
         p = pa.chunked_array([pa.array(land(p, sizes) if last else p, pa.float64())])
         return rows.set_column(rows.schema.get_field_index("p"), "p", p)
 
