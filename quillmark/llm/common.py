@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,17 @@ from pyspark.sql import types as T
 SLICE_CHARS = 4_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder, seen by all executors, for tables that cut lineage."""
+    set_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def row_key(id_col: str, text_col: str):
+    """The id, or for a null id a negative number from the text."""
+    return F.coalesce(F.col(id_col), -F.abs(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))) - 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,9 +78,11 @@ def map_texts(
 ) -> DataFrame:
     """Apply a function of lists of texts to every row, without a shuffle.
 
-    ``make`` runs once a task and returns that function; a null text reaches it as None. Columns: the id, ``also``, then ``fields``.
+    ``make`` runs once a task and returns that function; a null text reaches it as None. Columns: the id, ``also`` (which may
+    name the text), then ``fields``.
     """
-    source = df.select(id_col, *also, text_col)
+    source = df.select(id_col, *also, *(() if text_col in also else (text_col,)))
+    place = source.columns.index(text_col)
     kept = [source.schema[c] for c in (id_col, *also)]
     schema = T.StructType(kept + list(T.StructType.fromDDL(fields)))
     names = [f.name for f in schema][len(kept) :]
@@ -77,7 +91,7 @@ def map_texts(
         apply = make()
         arrow = None
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
+            texts = batch.column(place).to_pylist()
             for a, b in slices(texts):
                 out = apply(texts[a:b])
                 part = [batch.column(i).slice(a, b - a) for i in range(len(kept))]

@@ -238,8 +238,9 @@ def sample(df: DataFrame, learnable, id_col: str, text_col: str, lang_col: str,
     chosen = known.where(F.col("lang").isin(common)).withColumn("rank", rank).where(F.col("rank") <= per_language).select("id").distinct()
     # at most languages * per_language ids
     texts = rows.join(F.broadcast(chosen.withColumnRenamed("id", "chosen")), F.col(id_col) == F.col("chosen"))
-    got = texts.select(F.col(lang_col), F.col(text_col), F.xxhash64(id_col).alias("h")).limit(4 * languages * per_language).collect()
-    return [(r[0], r[1]) for r in sorted(got, key=lambda r: (r[0], r[2], r[1]))]
+    # one row an id, so that repeated rows can't make the sample grow past its bound
+    got = texts.groupBy("chosen").agg(F.min(F.struct(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))).alias("row")).collect()
+    return [(r["row"]["lang"], r["row"]["text"]) for r in sorted(got, key=lambda r: (r["row"]["lang"], r["chosen"]))]
 
 
 def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, mixing, pii, rabitq, simhash
+from . import bpe, chat, html_text, langid, media, mixing, pii, quality, rabitq, simhash
 from .common import bucket_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = bucket_of_id("doc_id", 5) == 0
+    model = quality.fit(quality.sample(docs, labels, ~held_out))
+    scored = quality.score(docs, model)
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op4_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +53,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -53,8 +66,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+ALL = (op1_bpe, op2_media, op3_quality, op4_rabitq, op5_mixing, op6_chat, op7_langid, op8_html, op9_pii, op10_simhash)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_media, op4_rabitq, op5_mixing, op6_chat, op7_langid, op9_pii, op10_simhash)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
