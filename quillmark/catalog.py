@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quillmark.plans import ORACLES, QUERIES, scoring  # noqa: F401  the modules register their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
