@@ -47,8 +47,8 @@ def column_role(header: Column, table_type: Column) -> Column:
 
 def markdown_rows(text: Column) -> Column:
     """array<array<string>> of the first run of piped lines whose second line is a separator; the separator is left out."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: F.instr(s, "|") > 0)
-    cells = F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.regexp_replace(s, r"^\|", ""), r"\|$", ""), r"\|"), F.trim))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: F.instr(s, "|") > 0)
+    cells = F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(F.regexp_replace(s, r"^\|", ""), r"\|$", ""), r"\|"), lambda c: F.trim(c)))
     separator = F.forall(F.get(cells, 1), lambda c: c.rlike(r"^:?-{3,}:?$"))
     fine = (F.size(cells) >= 2) & F.coalesce(separator, F.lit(False))
     return F.when(fine, F.concat(F.slice(cells, 1, 1), F.slice(cells, F.lit(3), F.greatest(F.size(cells) - 2, F.lit(0)))))
