@@ -141,6 +141,9 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def estimate(chars_by_language: dict[str, list[np.ndarray]], order: int = ORDER) -> Models:
     """Interpolated Kneser-Ney models of all languages over shared key arrays."""
     languages = sorted(chars_by_language)
+    if not languages:
+        none = np.zeros((0, 0), np.float32)
+        return Models([], [np.zeros(0, np.uint64)] * order, [none] * order, [none] * order, np.zeros(0, np.float32))
     counted = [{} for _ in range(order)]  # [k][language]: (keys, lower-order key, context key, count or continuation count)
     for name in languages:
         grams = [[] for _ in range(order)]
@@ -162,9 +165,9 @@ def estimate(chars_by_language: dict[str, list[np.ndarray]], order: int = ORDER)
             uniq[k][3] = np.where(hit, n[i], 1).astype(float)
         for k in range(order):
             counted[k][name] = uniq[k]
-    size = len(set().union(*(set(counted[0][n][0].tolist()) for n in languages), set())) + 1
+    size = len(set().union(*(set(counted[0][n][0].tolist()) for n in languages))) + 1
     uniform = 1.0 / size
-    keys = [np.unique(np.concatenate([counted[k][n][0] for n in languages])) if languages else np.zeros(0, np.uint64) for k in range(order)]
+    keys = [np.unique(np.concatenate([counted[k][n][0] for n in languages])) for k in range(order)]
     models = Models(languages, keys, [], [], np.zeros(len(languages), np.float32))
     probs: list[np.ndarray] = []
     ctx_of, low_of = {}, {}  # [k]: context hash and lower-order row of each n-gram of k + 1 characters
@@ -224,7 +227,7 @@ def fit(rows: list[tuple[str, str]], order: int = ORDER, reject_quantile: float
         models.temperature = float(min(np.geomspace(0.005, 1.0, 40), key=loss))
         for li in range(len(models.languages)):
             own = e[truth == li, li]
-            if len(own) >= 5:
+            if len(own) >= 3:
                 models.limit[li] = np.quantile(own, reject_quantile) + 3 * own.std()
     return models
 

@@ -1,7 +1,8 @@
 """MPEG audio columns: parse streams to exact durations and frame seek offsets, and carry payload bytes in silent frames.
 
 ``scan`` reads any MPEG-1/2/2.5 layer I-III stream: it skips an ID3v2 tag, resynchronises on frame headers (a header counts
-only if the next frame, the end or a trailing tag follows it at the computed distance), verifies the CRC-16 of protected frames,
+only if the next frame, the end or a trailing tag follows it at the computed distance, or if it follows a frame and its own
+checksum fits), verifies the CRC-16 of protected frames,
 reads a Xing/Info table, and gives the exact number of samples and the offset of each frame.
 
 ``pack`` stores bytes losslessly: layer III mono frames at 32 kHz whose side information announces no main data are silence of
@@ -160,6 +161,15 @@ def _table(frame: bytes, h: Header) -> dict:
     return out
 
 
+def _followed(data: bytes, end: int, n: int) -> bool:
+    """Whether a frame that ends here is followed by a frame, by a trailing tag or by the end."""
+    return end + 4 > n or header(data[end : end + 4]) is not None or data[end : end + 3] == b"TAG"
+
+
+def _crc_fits(data: bytes, at: int, h: Header) -> bool:
+    return h.protected and h.layer == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == data[at + 4] << 8 | data[at + 5]
+
+
 def scan(data: bytes, payload: bool = False) -> Scan:
     """Parse a stream; with ``payload`` also collect the ancillary bytes of silent frames."""
     out = Scan()
@@ -169,7 +179,7 @@ def scan(data: bytes, payload: bool = False) -> Scan:
     while at + 4 <= n:
         h = header(data[at : at + 4])
         end = at + h.size if h else 0
-        if h is None or end > n or not synced and end + 4 <= n and header(data[end : end + 4]) is None:
+        if h is None or end > n or not _followed(data, end, n) and not (synced and _crc_fits(data, at, h)):
             if data[at : at + 3] == b"TAG" and n - at == 128:
                 break
             if synced:
