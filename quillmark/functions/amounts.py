@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import date_order
+from quillmark.functions import bound
+from quillmark.functions.dates import date_order
 
 CURRENCY_CODES = ("EUR", "USD", "GBP", "CHF", "THB")
 
@@ -24,7 +25,12 @@ def _has(s: Column, sign: str) -> Column:
 
 def table_amount(value: Column) -> Column:
     trimmed = F.regexp_replace(value, r"^\s+|\s+$", "")
-    s = F.regexp_replace(trimmed, r"[^0-9,.\-]", "")
+    number = bound(F.regexp_replace(trimmed, r"[^0-9,.\-]", ""), _table_number)
+    negative = trimmed.startswith("(") & trimmed.endswith(")")
+    return bound(number, lambda x: F.when(negative & (x > 0), -x).otherwise(x))
+
+
+def _table_number(s: Column) -> Column:
     comma, dot = _has(s, ","), _has(s, ".")
     decimal_comma = _last(s, ",") > _last(s, ".")
     both = F.when(decimal_comma, F.translate(F.translate(s, ".", ""), ",", ".")).otherwise(F.translate(s, ",", ""))
@@ -49,9 +55,7 @@ def table_amount(value: Column) -> Column:
         .when(dot, single("."))
         .otherwise(s)
     )
-    number = F.when(text.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("decimal(38,6)"))
-    negative = trimmed.startswith("(") & trimmed.endswith(")")
-    return F.when(negative & (number > 0), -number).otherwise(number)
+    return bound(text, lambda x: F.when(x.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), x.try_cast("decimal(38,6)")))
 
 
 def explicit_currency(value: Column) -> Column:
@@ -76,28 +80,45 @@ def fact_amount(value: Column, language: Column, country: Column) -> Column:
     s = F.translate(value, wide + "−–—’\u00a0\u202f", "0123456789---'  ")
     s = F.regexp_replace(s, r"^\s*(?:±|\+\s*(?:[/\\|Il1]\s*)?-\s*)", "")
     s = F.regexp_replace(s, r"(?<=\d)([,.])\s*-(?!\d)", "$100")  # group 1, then two zeros
-    parens = s.rlike(r"\(\s*\d")
-    found = F.regexp_extract(s, r"[-+]?\d[\d\s.,']*", 0)
+
+    def parsed(s):
+        return bound(F.regexp_extract(s, r"[-+]?\d[\d\s.,']*", 0), lambda found: _fact_parts(s, found, language, country))
+
+    return bound(s, parsed)
+
+
+def _fact_parts(s: Column, found: Column, language: Column, country: Column) -> Column:
     others = F.regexp_replace(F.substr(s, F.instr(s, found) + F.length(found)), r"[^0-9]", "")
+    status = F.when(found == "", "raw_only").when(others != "", "ambiguous")
     number = F.regexp_replace(F.regexp_replace(found, r"[\s']", ""), r"[.,]+$", "")
+    text = bound(number, lambda x: _fact_decimal(x, language, country))
+
+    def result(amount):
+        # no text: the separators don't say which number it is; no amount: it isn't a number
+        said = F.coalesce(status, F.when(amount["text"].isNull(), "ambiguous"), F.when(amount["value"].isNull(), "raw_only"), F.lit("normalized"))
+        signed = F.when(s.rlike(r"\(\s*\d") & (amount["value"] > 0), -amount["value"]).otherwise(amount["value"])
+        return F.struct(F.when(said == "normalized", signed.cast("double")).alias("value"), said.alias("status"))
+
+    return bound(bound(text, lambda x: F.struct(x.alias("text"), x.try_cast("decimal(38,6)").alias("value"))), result)
+
+
+def _fact_decimal(number: Column, language: Column, country: Column) -> Column:
+    """The number with a decimal point, null if its separators are ambiguous."""
     comma, dot = _has(number, ","), _has(number, ".")
     both = F.when(_last(number, ",") > _last(number, "."), F.translate(F.translate(number, ".", ""), ",", ".")).otherwise(F.translate(number, ",", ""))
     sign = F.when(comma, ",").otherwise(".")
-    parts = F.split(F.translate(number, ",", "."), r"\.")
-    n, tail = F.size(parts), F.element_at(parts, -1)
-    head = F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), "")
-    pair = F.concat(F.element_at(parts, 1), F.lit("."), tail)
     threes = lambda xs: F.forall(xs, lambda g: F.length(g) == 3)
-    inner = F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0)))
-    one = (
-        F.when((n == 2) & F.length(tail).isin(1, 2), pair)
-        .when((n > 2) & F.length(tail).isin(1, 2) & threes(inner), F.concat(head, F.lit("."), tail))
-        .when(threes(F.slice(parts, F.lit(2), F.greatest(n - 1, F.lit(0)))), F.array_join(parts, ""))
-        .when((n == 2) & (decimal_separator(language, country) == sign), pair)
-    )
-    text = F.when(comma & dot, both).when(comma | dot, one).otherwise(number)
-    status = F.when(found == "", "raw_only").when(others != "", "ambiguous").when(text.isNull(), "ambiguous")
-    amount = text.try_cast("decimal(38,6)")
-    status = F.coalesce(status, F.when(amount.isNull(), "raw_only").otherwise("normalized"))
-    signed = F.when(parens & (amount > 0), -amount).otherwise(amount)
-    return F.struct(F.when(status == "normalized", signed.cast("double")).alias("value"), status.alias("status"))
+
+    def one(parts):
+        n, tail = F.size(parts), F.element_at(parts, -1)
+        head = F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), "")
+        pair = F.concat(F.element_at(parts, 1), F.lit("."), tail)
+        inner = F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0)))
+        return (
+            F.when((n == 2) & F.length(tail).isin(1, 2), pair)
+            .when((n > 2) & F.length(tail).isin(1, 2) & threes(inner), F.concat(head, F.lit("."), tail))
+            .when(threes(F.slice(parts, F.lit(2), F.greatest(n - 1, F.lit(0)))), F.array_join(parts, ""))
+            .when((n == 2) & (decimal_separator(language, country) == sign), pair)
+        )
+
+    return F.when(comma & dot, both).when(comma | dot, bound(F.split(F.translate(number, ",", "."), r"\."), one)).otherwise(number)

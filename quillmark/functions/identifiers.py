@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.functions import bound
+
 # BBAN structure by country as published in the IBAN registry (n digits, a capitals, c both).
 IBAN_STRUCTURES = {
     "AD": "8n12c", "AE": "19n", "AL": "8n16c", "AT": "16n", "AZ": "4a20c", "BA": "16n", "BE": "12n", "BG": "4a6n8c",
@@ -38,11 +40,6 @@ def iban_length(country: str) -> int | None:
     return None if s is None else 4 + sum(int(n) for n in re.findall(r"\d+", s))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it: a lambda's variable instead of a copy."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _result(normalized: Column, checks: list[tuple[Column, str]], last: list[tuple[Column, str]], country: Column) -> Column:
     """Reasons whose condition holds; if none does, the first of ``last`` whose condition holds."""
     first = F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for bad, reason in checks]))
@@ -56,7 +53,7 @@ def _result(normalized: Column, checks: list[tuple[Column, str]], last: list[tup
     def struct(reasons):
         return F.struct(normalized.alias("normalized"), (F.size(reasons) == 0).alias("valid"), reasons.alias("reasons"), country.alias("country_code"))
 
-    return F.when(normalized.isNotNull(), _bound(_bound(first, rest), struct))
+    return F.when(normalized.isNotNull(), bound(bound(first, rest), struct))
 
 
 def luhn_ok(digits: Column) -> Column:

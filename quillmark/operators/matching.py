@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.functions import bound
 from quillmark.functions import text as t
 
 
@@ -39,21 +40,29 @@ def comparison_key(value: Column) -> Column:
 
 def comparison_variants(value: Column) -> Column:
     """Keys under which a value may be found: itself and, for eight digits, both ways of writing the date. None if too short."""
-    base = comparison_key(value)
-    digits = F.regexp_replace(value, r"\D", "")
-    year_first = F.try_to_date(digits, "yyyyMMdd")
-    day_first = F.try_to_date(digits, "ddMMyyyy")
-    dated = lambda d: F.when(F.length(digits) == 8, F.array(F.date_format(d, "yyyyMMdd"), F.date_format(d, "ddMMyyyy")))
     empty = F.array().cast("array<string>")
-    every = F.concat(F.array(base), F.coalesce(dated(year_first), empty), F.coalesce(dated(day_first), empty))
-    short = (F.length(base) < 4) | (base.rlike("^[0-9]+$") & (F.length(base) < 5))
-    return F.when(short, empty).otherwise(F.array_distinct(F.array_compact(every)))
+
+    def dated(digits):
+        # the other way of writing a date is the same digits in another order; only plausible ones reach the calendar
+        day, month, year = "(0[1-9]|[12][0-9]|3[01])", "(0[1-9]|1[0-2])", "([0-9]{4})"
+        turned = lambda d, s: F.when(d.isNotNull(), F.array(digits, s)).otherwise(empty)
+        year_first = turned(F.try_to_date(digits, "yyyyMMdd"), F.concat(F.substr(digits, F.lit(7)), F.substr(digits, F.lit(5), F.lit(2)), F.left(digits, F.lit(4))))
+        day_first = turned(F.try_to_date(digits, "ddMMyyyy"), F.concat(F.right(digits, F.lit(4)), F.substr(digits, F.lit(3), F.lit(2)), F.left(digits, F.lit(2))))
+        return F.concat(
+            F.when(digits.rlike(f"^{year}{month}{day}$"), year_first).otherwise(empty), F.when(digits.rlike(f"^{day}{month}{year}$"), day_first).otherwise(empty)
+        )
+
+    def variants(base):
+        short = (F.length(base) < 4) | (base.rlike("^[0-9]+$") & (F.length(base) < 5))
+        every = F.concat(F.array(base), bound(F.regexp_replace(value, r"\D", ""), dated))
+        return F.when(short, empty).otherwise(F.array_distinct(F.array_compact(every)))
+
+    return bound(comparison_key(value), variants)
 
 
 def values_match(left: Column, right: Column) -> Column:
     """Whether a variant of one value contains a variant of the other."""
-    a, b = comparison_variants(left), comparison_variants(right)
-    return F.exists(a, lambda x: F.exists(b, lambda y: y.contains(x) | x.contains(y)))
+    return bound(comparison_variants(right), lambda b: F.exists(comparison_variants(left), lambda x: F.exists(b, lambda y: y.contains(x) | x.contains(y))))
 
 
 def field_consistency(fields: DataFrame, selectors: DataFrame, facts: DataFrame) -> DataFrame:
