@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, fields
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -161,10 +161,6 @@ def validated_reviews(answers: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select("doc_id", "fact_ix", "review_ix", "verdict", F.when(real, F.col("correction")).alias("correction"))
 
 
-def combined_settings(base: ServiceSettings, **changes) -> ServiceSettings:
-    return replace(base, **changes)
-
-
 def error_of(column: Column) -> Column:
     """An error's message as reports hold it: one line of at most 240 characters."""
     return F.left(F.regexp_replace(column, r"\s+", " "), F.lit(240))
