@@ -69,6 +69,24 @@ def account_currency(value: Column) -> Column:
     return F.nullif(F.upper(F.regexp_extract(value, r"(?i)\bCURRENCY\b\s*[:.]?\s*([A-Z]{3})", 1)), F.lit(""))
 
 
+# Currency signs in order of precedence, and codes that count in a context.
+CURRENCY_SIGNS = {"US$": "USD", "C$": "CAD", "A$": "AUD", "€": "EUR", "£": "GBP"}
+CONTEXT_CODES = "AED AUD BGN BRL CAD CHF CNY CZK DKK EUR GBP HKD HUF INR JPY KRW MXN NOK PLN RON SAR SEK SGD TRY USD ZAR"
+
+
+def context_currency(values: Column) -> Column:
+    """Currency of the first of several texts that names one: by a sign, else by its first known code."""
+
+    def named(value):
+        text = F.upper(value)
+        sign = F.coalesce(*[F.when(text.contains(m), code) for m, code in CURRENCY_SIGNS.items()])
+        codes = F.regexp_extract_all(text, F.lit(r"(?<![A-Z])[A-Z]{3}(?![A-Z])"), F.lit(0))
+        known = F.filter(codes, lambda c: F.array_contains(F.split(F.lit(CONTEXT_CODES), " "), c))
+        return F.coalesce(sign, F.get(known, 0))
+
+    return F.get(F.array_compact(F.transform(values, named)), 0)
+
+
 def decimal_separator(language: Column, country: Column) -> Column:
     order, place = date_order(language, country), F.upper(F.trim(F.coalesce(country, F.lit(""))))
     return F.when((order == "dmy") & (place != "GB"), ",").when((order == "mdy") | place.isin("GB", "IE"), ".")

@@ -116,6 +116,42 @@ def shifted_dice(left: np.ndarray, right: np.ndarray, reach: int = 2) -> float:
     return best
 
 
+def area_resize(plane: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Resize by area: each target pixel is the mean of the source it covers, borders by their share."""
+
+    def weights(n, m):
+        edges = np.linspace(0, n, m + 1)
+        at = np.arange(n)
+        return np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None) * (m / n)
+
+    return weights(plane.shape[0], height) @ plane.astype(float) @ weights(plane.shape[1], width).T
+
+
+def otsu(plane: np.ndarray) -> int:
+    """The grey level that best parts a plane of bytes in two classes."""
+    n = np.bincount(plane.ravel(), minlength=256).astype(float)
+    low = np.cumsum(n)
+    mean = np.cumsum(n * np.arange(256))
+    high, total = low[-1] - low, mean[-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = low * high * (mean / low - (total - mean) / high) ** 2
+    return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
+
+
+def mark_mask(grey: np.ndarray, width: int = 96, height: int = 48) -> np.ndarray | None:
+    """Foreground of a mark in a fixed frame; None if it has little contrast, extent or ink, or too much ink."""
+    if grey.size < 256 or np.percentile(grey, 95) - np.percentile(grey, 5) < 18:
+        return None
+    ink = grey < min(240.0, np.percentile(grey, 90) - 12.0)
+    ys, xs = np.flatnonzero(ink.any(axis=1)), np.flatnonzero(ink.any(axis=0))
+    if not len(ys) or xs[-1] - xs[0] < 7 or ys[-1] - ys[0] < 5:
+        return None
+    part = area_resize(grey[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1], width, height)
+    part = np.rint(part).astype(np.uint8)
+    mask = part <= otsu(part)
+    return mask if 0.01 <= mask.mean() <= 0.60 else None
+
+
 def revision_diffs(pairs: DataFrame) -> DataFrame:
     """(doc_id, page, changed, boxes) from pairs of renders: doc_id, page, width, height, before, after (RGB bytes)."""
     schema = T.StructType.fromDDL("doc_id bigint, page int, changed double, boxes array<struct<x:int,y:int,width:int,height:int,pixels:int>>")

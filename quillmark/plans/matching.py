@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.operators import authenticity
 from quillmark.operators import matching as m
 from quillmark.plans import query, table
 
@@ -127,3 +128,21 @@ def replaced_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("d"), F.col("l_suppkey") % 5).alias("detector"), F.col("l_quantity").alias("points"))
     new = rows.where("detector = 'd0'").withColumn("points", F.lit(1.0))
     return m.replace_detector(rows, "d0", new).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("points"), 2).alias("points"))
+
+
+_CODES = (*authenticity.RULES, "OTHER_CODE")
+
+
+@query(
+    "with rules(code, category, points) as (values " + ", ".join(f"('{k}', '{c}', {p}::double)" for k, (c, p) in authenticity.RULES.items()) + f""")
+  , o as (select l_orderkey doc_id, l_linenumber page, [{", ".join(f"'{c}'" for c in _CODES)}][l_partkey % {len(_CODES)} + 1] code, l_suppkey % 5 chk, l_discount >= 0.05 hit, l_tax > 0.04 strong from lineitem)
+  select doc_id, code, category, points as risk_points, case when strong then 0.95 else 0.80 end::double confidence, page from o join rules using (code) where hit and chk < 4"""
+)
+def authenticity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("l_partkey") % len(_CODES) + 1).cast("int"))
+    check = F.element_at(F.array(*map(F.lit, (*authenticity.CHECKS, "fonts"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), check.alias("check_code"), code.alias("code"), F.when(F.col("l_discount") >= 0.05, "attention").otherwise("clear").alias("state"),
+        F.when(F.col("l_tax") > 0.04, "strong").otherwise("weak").alias("strength"), F.col("l_linenumber").alias("page"),
+    )
+    return authenticity.authenticity_findings(rows).drop("detector")

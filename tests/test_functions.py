@@ -78,3 +78,8 @@ def test_text(spark):
     assert values(spark, ["payer 12,50 EUR à a.b@c.org le 01/02/2025"], text.abstracted(F.col("v"))) == ["payer [date ou valeur] EUR à [adresse] le [date ou valeur]"]
     assert values(spark, ["LU280019400644750000"], text.grouped_by_four(F.col("v"))) == ["LU28 0019 4006 4475 0000"]
     assert values(spark, ["Le document est frauduleux selon toute apparence ici.", "Une synthèse prudente des observations relevées ici."], text.summary_allowed(F.col("v"))) == [False, True]
+
+
+def test_context_currency(spark):
+    rows = [(["rien", "12 chf net"],), (["US$ 5", "EUR"],), (["XXX", "abc"],), ([],)]
+    assert values(spark, rows, amounts.context_currency(F.col("v")), "v array<string>") == ["CHF", "USD", None, None]

@@ -103,3 +103,21 @@ def test_names(spark):
     rows = spark.createDataFrame([(1, 1, "Dupont Jean"), (1, 2, "Duponnt Jean"), (1, 3, "Dupont Jeans"), (1, 4, "Other"), (2, 5, "Dupont Jean")], "g int, id int, name string")
     pairs = {(r["short_id"], r["long_id"]) for r in matching.name_pairs(rows, "g", "name", "id").collect()}
     assert pairs == {(1, 3)}  # an inserted letter inside isn't containment
+
+
+def test_reconciled_names(spark):
+    rows = [(1, 0, "holder", "Nom", "Dupont Jean"), (1, 1, "holder", "Nom", "Dupont Jeann"), (1, 2, "holder", "nom", "Dupont Jea"), (1, 3, "payer", "Nom", "Dupont Jean"), (2, 0, "holder", "Nom", "Alone")]
+    df = spark.createDataFrame(rows, "doc_id int, fact_ix int, role string, label string, value string")
+    got = {(r["doc_id"], r["fact_ix"]): (r["value"], r["corrected"]) for r in matching.reconciled_names(df).collect()}
+    assert got == {(1, 0): ("Dupont Jeann", True), (1, 1): ("Dupont Jeann", False), (1, 2): ("Dupont Jea", False), (1, 3): ("Dupont Jean", False), (2, 0): ("Alone", False)}
+
+
+def test_mark_mask():
+    grey = np.full((60, 120), 250, np.uint8)
+    grey[20:40, 30:90:2] = 10
+    mask = pixels.mark_mask(grey)
+    assert mask.shape == (48, 96) and 0.1 < mask.mean() < 0.6
+    assert pixels.mark_mask(np.full((60, 120), 250, np.uint8)) is None and pixels.mark_mask(grey[:4, :4]) is None
+    plane = np.arange(24, dtype=float).reshape(4, 6)
+    assert np.allclose(pixels.area_resize(plane, 3, 2), plane.reshape(2, 2, 3, 2).mean(axis=(1, 3)))
+    assert 10 <= pixels.otsu(np.array([[10] * 5 + [200] * 5], np.uint8)) < 200
