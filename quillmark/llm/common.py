@@ -6,13 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Code points that one slice of a batch may hold before it is processed; a single longer text is a slice of its own.
-SLICE_CHARS = 4_000_000
+#: Bytes of text that one slice of a batch may hold as Python strings; a single longer text is a slice of its own.
+SLICE_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,17 +57,15 @@ def bucket_of_id(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % F.lit(modulus)
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` code points, or one row."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and held + n > limit:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes of text, or one row."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield start, stop
+        start = stop
 
 
 def map_texts(
@@ -91,9 +91,8 @@ def map_texts(
         apply = make()
         arrow = None
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for a, b in slices(texts):
-                out = apply(texts[a:b])
+            for a, b in slices(batch.column(place)):
+                out = apply(batch.column(place).slice(a, b - a).to_pylist())
                 part = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
                 if arrow is None:
                     from pyspark.sql.pandas.types import to_arrow_type

@@ -107,18 +107,18 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def word_vectors(streams: list[list[str]], window: int = 2) -> tuple[dict, np.ndarray]:
-    """Random indexing over the streams: rows of the vocabulary and their vectors."""
+def word_vectors(texts: list[str], window: int = 2) -> tuple[dict, np.ndarray]:
+    """Random indexing over the token streams of texts: rows of the vocabulary and their vectors. One stream is held at a time."""
     tally = Counter()
-    for s in streams:
-        tally.update(s)
+    for t in texts:
+        tally.update(counts(t))
     kinds = ["<letters>", "<digits>", "<signs>", CAPS, REPEAT]
     common = sorted((t for t, n in tally.items() if n >= 3 and t not in kinds), key=lambda t: (-tally[t], t))[:VOCABULARY]
     row_of = {t: i for i, t in enumerate([*kinds, *common])}
     index = np.array([index_vector(t) for t in row_of])
     context = np.zeros_like(index)
-    for s in streams:
-        ids = np.array([row_of[t] if t in row_of else row_of[unknown(t)] for t in s], np.int64)
+    for text in texts:
+        ids = np.array([row_of[t] if t in row_of else row_of[unknown(t)] for t in tokens(text)], np.int64)
         if len(ids) < 2:
             continue
         near = np.zeros((len(ids), index.shape[1]))
@@ -136,7 +136,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 400, seed: int = 3) -> Classi
     """A classifier from (text, label) rows; every fifth row calibrates the temperature."""
     y = np.array([r[1] for r in rows], float)
     prior = float(y.mean()) if len(y) else 0.5
-    row_of, vectors = word_vectors([tokens(t) for t, _ in rows])
+    row_of, vectors = word_vectors([t for t, _ in rows])
     model = Classifier(row_of, vectors, np.zeros(DIM + 4), np.ones(DIM + 4), None, 1.0, prior)
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held].tolist())) < 2:
