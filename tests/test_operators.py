@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.operators import chunks, geometry, ledger, matching, pixels, scoring, tables
+from quillmark.operators import authenticity, chunks, geometry, ledger, matching, pixels, scoring, tables
 
 
 @pytest.mark.parametrize(
@@ -121,3 +121,18 @@ def test_mark_mask():
     plane = np.arange(24, dtype=float).reshape(4, 6)
     assert np.allclose(pixels.area_resize(plane, 3, 2), plane.reshape(2, 2, 3, 2).mean(axis=(1, 3)))
     assert 10 <= pixels.otsu(np.array([[10] * 5 + [200] * 5], np.uint8)) < 200
+
+
+def test_adapter_verdicts(spark):
+    a = authenticity
+    rows = spark.createDataFrame([(True, True, True, "ENTIRE_FILE", "NONE", True, None), (False, True, True, "ENTIRE_FILE", "OTHER", True, None), (True, True, False, "CONTIGUOUS", "FORM_FILLING", True, None), (True, True, None, "ENTIRE_FILE", None, False, "SuspiciousModification")], "i boolean, v boolean, t boolean, c string, m string, p boolean, d string")
+    got = rows.select(a.signature_verdict(F.col("i"), F.col("v"), F.col("t"))["state"], a.post_signature_verdict(F.col("c"), F.col("m"), F.col("p"), F.col("d"))["state"]).collect()
+    assert [tuple(r) for r in got] == [("clear", "clear"), ("attention", "attention"), ("indeterminate", "detected"), ("indeterminate", "attention")]
+    codes = spark.createDataFrame([("valid",), ("malformed",), ("other",)], "r string").select(a.barcode_verdict(F.col("r"))["code"]).collect()
+    assert [r[0] for r in codes] == ["TWO_D_DOC_SIGNATURE_VALID", "TWO_D_DOC_MALFORMED", None]
+    inv = spark.createDataFrame([(True, True, True), (True, False, True), (False, None, None)], "w boolean, p boolean, x boolean").select(a.invoice_verdict(F.col("w"), F.col("p"), F.col("x"))["code"]).collect()
+    assert [r[0] for r in inv] == ["FACTURX_XSD_VALID", "FACTURX_PROFILE_UNRECOGNISED", "FACTURX_XML_MALFORMED"]
+    m = spark.createDataFrame([("Valid", [], ["http://x/trainedAlgorithmicMedia/"]), ("valid", ["signingCredential.untrusted"], ["digitalCapture"]), ("trusted", ["hash.mismatch"], None), (None, None, [])], "s string, f array<string>, t array<string>")
+    v = a.manifest_validation(F.col("s"), F.col("f"))
+    got = m.select(v, a.algorithmic_declaration(F.col("t"), v)["state"], a.algorithmic_declaration(F.col("t"), v)["trust"]).collect()
+    assert [tuple(r) for r in got] == [("valid", "detected", "valid"), ("untrusted", "not_detected", "not_applicable"), ("invalidated", "indeterminate", "unknown"), ("unknown", "not_detected", "not_applicable")]
