@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, mixing, pii, quality, simhash
+from quillmark.llm import bpe, mixing, near_copies, pii, quality
 from quillmark.llm.common import bucket_of_id, row_key, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,9 +24,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component, once. A null id is replaced by a number from the text."""
+    """Keep the document with the smallest id of each component of near copies (five-word shingles, similarity 0.8 or more), once. A
+    null id is replaced by a number from the text."""
     keyed = docs.withColumn("key", row_key("doc_id", "text"))
-    found = simhash.near_duplicates(keyed.select("key", "text"), id_col="key")
+    found = near_copies.near_copies(keyed.select("key", "text"), id_col="key")
     kept = found.where("key = component_id").select("key")
     once = keyed.join(kept, "key", "left_semi").withColumn("digest", F.xxhash64("text")).dropDuplicates(["key", "digest"])
     return once.select(*COLUMNS)
