@@ -5,8 +5,9 @@ floor(r). The cube method picks these: starting from the vector of probabilities
 the null space of the constraints (the number of documents and the number of words), each move ending with a document at 0 or 1,
 so that both totals stay exact. When no direction is left, at most two documents of a group are undecided. Groups are hash
 buckets of a source, of about ``group_rows`` documents; what they leave undecided is gathered in fewer groups and flies again,
-until a source has one group. There the moves settle the largest documents first, against all others, so that the landing problem is
-left with a few of the smallest documents; trying all their outcomes gives the nearest total.
+until a source has one group, whatever other sources have. There the moves settle the largest documents first, against all others, so
+that the landing problem is left with a few of the smallest documents; trying all their outcomes gives the nearest total. Until
+then each group holds its largest and smallest documents out of the flight, so that one group has both.
 
 Sizes count ``[^\\x20\\x09-\\x0D]+`` in the text, null 0. Targets: sources by code point, null last, weigh 5, 2, 1, repeating;
 they share the total size, none above ``ceiling`` times its own; the excess is shared anew by weight. Results depend on ids and
@@ -129,6 +130,21 @@ def spread(p: list[float], sizes: list[float], random: np.random.Generator) -> l
     return q.tolist()
 
 
+def held_out(group_rows: int) -> int:
+    """How many of the largest documents of a group, and how many of the smallest, wait until their source has one group."""
+    return max(1, group_rows // 32) if group_rows >= 8 else 0
+
+
+def fly_middle(p: list[float], sizes: list[float], random: np.random.Generator, held: int) -> list[float]:
+    """The flight without the ``held`` largest and the ``held`` smallest of the undecided documents, which keep their probabilities."""
+    order = sorted((i for i, x in enumerate(p) if _EPS < x < 1 - _EPS), key=lambda i: sizes[i])
+    waiting = {i: p[i] for i in (*order[:held], *order[max(held, len(order) - held) :])}
+    rest = [i for i in range(len(p)) if i not in waiting]
+    for i, x in zip(rest, fly([p[i] for i in rest], [sizes[i] for i in rest], random), strict=True):
+        p[i] = x
+    return p
+
+
 def land(p: list[float], sizes: list[float]) -> list[float]:
     """Settle the few undecided entries: the outcome whose total size, then number, is nearest."""
     left = [i for i, x in enumerate(p) if 0 < x < 1]
@@ -153,10 +169,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole")))
     rows = rows.select("id", "source", "size", "source_size", "n_docs", "target", "whole", "p")
     schema, level, parts = rows.schema, 0, []
+    # each group leaves at most so many
+    per_group = 2 * held_out(group_rows) + 2
     while True:
         groups = max(1, math.ceil(most / group_rows))
         bucket = F.pmod(F.xxhash64(F.col("id"), F.lit(level)), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / group_rows)).cast("bigint"))
-        flown = rows.withColumn("bucket", bucket).groupBy("source", "bucket").applyInArrow(_flight(level, groups == 1), _bucketed(schema))
+        flown = rows.withColumn("bucket", bucket).groupBy("source", "bucket").applyInArrow(_flight(level, group_rows), _bucketed(schema))
         flown = checkpointed(flown.drop("bucket"))
         if groups == 1:
             parts.append(flown)
@@ -164,10 +182,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         parts.append(flown.where(~open_))
         rows, level = flown.where(open_), level + 1
-        # each group leaves at most two
-        left = F.ceil(F.col("n_docs") / group_rows) * 2
+        left = F.ceil(F.col("n_docs") / group_rows) * per_group
         rows = rows.withColumn("n_docs", left.cast("bigint"))
-        most = 2 * groups
+        most = per_group * groups
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -178,15 +195,16 @@ def _bucketed(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("bucket", T.LongType())])
 
 
-def _flight(level: int, last: bool):
+def _flight(level: int, group_rows: int):
     def run(rows: pa.Table) -> pa.Table:
+        last = rows["n_docs"][0].as_py() <= group_rows
         ids, sizes = rows["id"].to_pylist(), rows["size"].to_pylist()
         order = np.argsort(np.array([xxhash.xxh64_intdigest(f"{level}:{i}:{s}") for i, s in zip(ids, sizes, strict=True)], np.uint64), kind="stable")
         rows = rows.take(pa.array(order))
         seed = xxhash.xxh64_intdigest(f"{rows['source'][0].as_py()}:{rows['bucket'][0].as_py()}:{level}")
         sizes = [float(s) for s in rows["size"].to_pylist()]
         random, p = np.random.default_rng(seed), rows["p"].to_pylist()
-        p = fly(spread(p, sizes, random) if last else p, sizes, random)
+        p = fly(spread(p, sizes, random), sizes, random) if last else fly_middle(p, sizes, random, held_out(group_rows))
         p = pa.chunked_array([pa.array(land(p, sizes) if last else p, pa.float64())])
         return rows.set_column(rows.schema.get_field_index("p"), "p", p)
 
