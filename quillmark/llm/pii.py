@@ -89,9 +89,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---- candidates
 
-#: What proposes candidates; the longest bounds keep each scan linear.
+#: What proposes candidates; bounds, or a run taken whole (possessive), keep each scan linear.
 GENERATORS = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,128}(?![A-Za-z0-9+/_-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("contact", re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]{1,63}){1,4}", re.I)),
