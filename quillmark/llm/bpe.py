@@ -1,15 +1,21 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the UTF-8 bytes cuts every text into chunks whose borders depend on nearby content only, so that copies
-and shared passages give equal chunks wherever they stand. A chunk is encoded once while it is in the task's cache, whose
-size in tokens is bounded. Sharing chunks between tasks would shuffle the whole corpus, which costs more than encoding it.
+and shared passages give equal chunks wherever they stand; a text without a border is one chunk. A chunk is encoded once while it
+is in the task's cache, whose size in tokens is bounded; what isn't asked for again leaves it first. Sharing chunks between tasks
+would shuffle the whole corpus, which costs more than encoding it (figures in the README).
 
-Joining the token lists of chunks isn't exact near a border, so each join is repaired: the text from a seam inside the left
-chunk to a seam inside the right one is encoded anew. A seam is a place between a character that isn't white space and white
-space: no pre-token of this vocabulary spans it and no look-ahead sees across it, hence tokens outside the window stand. The
-window grows over whole chunks until both ends are seams of the text, and the tokens outside must end exactly there.
+Joining the token lists of chunks isn't exact near a border, so each join is repaired: the text from a seam inside the left chunk
+to a seam inside the right one is encoded anew, and the window grows seam by seam until its first and its last tokens agree with
+the tokens that both chunks have there; if no seam is left, the whole text is encoded. A seam is a place between a letter and
+another character: no pre-token of this vocabulary spans it and no look-ahead sees across it, hence the tokens outside an agreeing
+window are those of the whole text. Chunks with too few seams are never encoded alone; they join the window.
 
-Null text counts as empty: no token. Empty tables give empty results. The id is passed through, repeated rows included.
+Long runs of white space are cut out before the encoder's pattern sees them: its look-ahead would need a stack as deep as the run.
+
+Null and empty text: no token. Texts of any length are encoded whole, in memory in proportion to one text. Equal texts and repeated
+rows give equal ids, each row its own. Empty tables give empty results. Columns beyond the id, the text and ``also`` are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +31,22 @@ from .common import map_texts
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
-#: A border on average every 2**CHUNK_BITS bytes.
-CHUNK_BITS = 11
+#: A border on average every 2**CHUNK_BITS bytes, and never nearer to the one before than LEAST bytes.
+CHUNK_BITS = 10
+LEAST = 256
 #: Bytes that the rolling hash sees.
 WINDOW = 16
-#: Tokens that the chunk cache of a task may hold.
-CACHE_TOKENS = 4_000_000
-_SPACE = re.compile(r"\s+")
+#: Tokens that each of the two generations of a task's chunk cache may hold.
+CACHE_TOKENS = 2_000_000
+#: Seams that are kept at each end of a chunk.
+SEAMS = 6
+#: White space as the vocabulary's pattern has it, and the run length from which a run is cut out.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 20_000
+_LONG = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{LONG_RUN},}}+")
+#: Ranges of code points that are letters, and that aren't, in every version of Unicode.
+_LETTERS = ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x3B1, 0x3C9), (0x400, 0x481), (0x5D0, 0x5EA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+_OTHERS = ((0, 0x40), (0x5B, 0x60), (0x7B, 0x7F), (0xA0, 0xA9), (0x2010, 0x2027), (0x2030, 0x205E), (0x3000, 0x3003), (0x3008, 0x3011), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20))
 
 
 @functools.lru_cache(maxsize=2)
@@ -65,16 +80,51 @@ def borders(data: bytes, bits: int = CHUNK_BITS) -> np.ndarray:
         mult = mult * mult & 0xFFFFFFFF
         step *= 2
     at = np.flatnonzero((h[WINDOW - 1 : -1] >> np.uint32(32 - bits)) == 0) + WINDOW
-    return at[(raw[at] & 0xC0) != 0x80]  # between characters only
+    at = at[(raw[at] & 0xC0) != 0x80]  # between characters only
+    if len(at) > 1 and np.diff(at, prepend=0).min() < LEAST or len(at) and at[0] < LEAST:
+        kept, last = [], 0
+        for x in at.tolist():
+            if x - last >= LEAST:
+                kept.append(x)
+                last = x
+        at = np.array(kept, np.int64)
+    return at
+
+
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of the code points of the basic plane: 1 for a letter, 2 for another character, 0 for those that no seam touches."""
+    out = np.zeros(65536, np.uint8)
+    for kind, ranges in ((1, _LETTERS), (2, _OTHERS)):
+        for a, b in ranges:
+            out[a : b + 1] = kind
+    return out
+
+
+def seams(text: str) -> np.ndarray:
+    """Places (in code points) between a letter and another character."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[np.minimum(codes, 65535)]
+    return np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+
+
+class Chunk:
+    """A chunk's ids and its outer seams, each with its place in the text and the number of tokens before it."""
+
+    __slots__ = ("ids", "text", "first", "last")
+
+    def __init__(self, text: str, ids: np.ndarray, first: list, last: list):
+        self.text, self.ids, self.first, self.last = text, ids, first, last
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk; ``hits`` and ``misses`` count the reuse."""
+    """Encodes texts chunk by chunk; ``hits`` and ``misses`` count the reuse, ``repairs`` the joins, ``grown`` those that had to grow."""
 
     def __init__(self, path: str, bits: int = CHUNK_BITS, cache_tokens: int = CACHE_TOKENS):
         self.enc, self.bits, self.limit = encoder(path), bits, cache_tokens
-        self.cache: dict[str, tuple[np.ndarray, tuple[int, int, int, int] | None]] = {}
-        self.held = self.hits = self.misses = 0
+        self.young: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
+        self.held = self.hits = self.misses = self.repairs = self.grown = 0
         self.lengths = np.zeros(self.enc.n_vocab + 1, np.int64)
         for i in range(self.enc.n_vocab):
             try:
@@ -83,91 +133,129 @@ class ChunkEncoder:
                 continue
 
     def plain(self, text: str) -> np.ndarray:
-        return np.asarray(self.enc.encode_to_numpy(text, disallowed_special=()), np.int64)
-
-    @staticmethod
-    def seams(chunk: str) -> tuple[int, int] | None:
-        """First and last place inside the chunk where white space follows another character."""
-        first = None
-        for m in _SPACE.finditer(chunk):
-            if m.start():
-                first = m.start()
-                break
-        if first is None:
-            return None
-        last, end = first, len(chunk)
-        while end:
-            at = end - 1
-            while at and not chunk[at].isspace():
-                at -= 1
-            start = at
-            while start and chunk[start - 1].isspace():
-                start -= 1
-            if start and chunk[at].isspace() and _SPACE.match(chunk, start):
-                last = start
-                break
-            end = start
-        return first, max(first, last)
-
-    def chunk(self, text: str):
-        """Token ids, and the seams with the number of tokens before each: (first, tokens, last, tokens)."""
-        found = self.cache.get(text)
-        if found is not None:
+        """The ids of a text as the vocabulary's own encoder gives them."""
+        if len(text) >= LONG_RUN and (runs := [m.span() for m in _LONG.finditer(text)]):
+            out, at = [], 0
+            for a, b in runs:
+                # the last character of a run inside the text belongs to what follows
+                end = b if b == len(text) else b - 1
+                if a > at:
+                    out.append(self._ids(text[at:a]))
+                out.append(np.asarray(self.enc._encode_single_piece(text[a:end]), np.int32))
+                at = end
+            if at < len(text):
+                out.append(self._ids(text[at:]))
+            return np.concatenate(out)
+        return self._ids(text)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.enc.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+
+    def chunk(self, text: str, joined: bool) -> Chunk | None:
+        """The encoded chunk; None if it is to be joined with others and has too few seams for that."""
+        found = self.young.get(text)
+        if found is None and (found := self.old.get(text)) is not None:
+            self._keep(text, found)
+        if found is not None and not (joined and found.first is None):
             self.hits += 1
             return found
+        at = seams(text) if joined else None
+        if joined and len(at) < 4:
+            return None
         self.misses += 1
-        ids, seams = self.plain(text), None
-        if at := self.seams(text):
+        ids, first, last = self.plain(text), None, None
+        if joined:
+            near = np.r_[at[:SEAMS], at[-SEAMS:]].tolist()
+            done, places, upto = 0, [], 0
+            for x in near:  # byte offsets, each counted from the place before
+                done, upto = done + len(text[upto:x].encode("utf-8", "surrogatepass")) if x >= upto else done - len(text[x:upto].encode("utf-8", "surrogatepass")), x
+                places.append(done)
             ends = np.cumsum(self.lengths[ids])
-            a, b = (len(text[:x].encode()) for x in at)
-            i, j = (int(np.searchsorted(ends, x)) for x in (a, b))
-            if ends[i] != a or ends[j] != b:
-                raise AssertionError("a token spans a seam")
-            seams = (at[0], i + 1, at[1], j + 1)
-        if self.held + len(ids) > self.limit:
-            self.cache.clear()
-            self.held = 0
-        self.cache[text] = found = (ids, seams)
-        self.held += len(ids)
+            tokens = np.searchsorted(ends, places, "right").tolist()
+            # a place inside a token is no seam (it can't happen with this vocabulary)
+            fine = [t > 0 and ends[t - 1] == b for t, b in zip(tokens, places, strict=True)]
+            pairs = [(x, t) if f else None for x, t, f in zip(near, tokens, fine, strict=True)]
+            half = min(SEAMS, len(at))
+            first, last = [p for p in pairs[:half] if p], [p for p in pairs[half:] if p]
+            if len(first) < 2 or len(last) < 2:
+                return None
+        found = Chunk(text, ids, first, last)
+        self._keep(text, found)
         return found
 
+    def _keep(self, text: str, chunk: Chunk) -> None:
+        if self.held + len(chunk.ids) > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[text] = chunk
+        self.held += len(chunk.ids)
+
+    def repaired(self, left: Chunk, least: int, between: str, right: Chunk) -> tuple[int, np.ndarray, int, int] | None:
+        """(tokens of the left chunk that stay, ids of the window, tokens of the right chunk that go, its place): the window
+        grows until its ids begin and end with ids that the chunks have between their own seams. None if the seams run out."""
+        for k in range(1, SEAMS):
+            if k >= len(right.first) or k >= len(left.last):
+                break
+            (a, before), (a2, inner) = left.last[-1 - k], left.last[-k]
+            (b2, inner2), (b, upto) = right.first[k - 1], right.first[k]
+            if before < least:
+                break
+            ids = self.plain(left.text[a:] + between + right.text[:b])
+            one, two = left.ids[before:inner], right.ids[inner2:upto]
+            if len(ids) >= len(one) + len(two) and np.array_equal(ids[: len(one)], one) and np.array_equal(ids[len(ids) - len(two) :], two):
+                return before, ids, upto, b
+            self.grown += 1
+        return None
+
     def segment(self, text: str) -> list[np.ndarray]:
         data = text.encode("utf-8", "surrogatepass")
         cuts = borders(data, self.bits)
         if not len(cuts):
-            return [self.plain(text)]
+            return [self.chunk(text, False).ids]
         out: list[np.ndarray] = []
-        start, pending = 0, ""
-        # pending: text from the last seam passed to the current border, not yet encoded for good
-        for k, end in enumerate([*cuts.tolist(), len(data)]):
-            part = data[start:end].decode()
+        left, taken, start, between = None, 0, 0, ""  # taken: tokens of the left chunk that are out already
+        for end in [*cuts.tolist(), len(data)]:
+            part = data[start:end].decode("utf-8", "surrogatepass")
             start = end
-            ids, seams = self.chunk(part)
-            if seams is None:
-                pending += part
+            chunk = self.chunk(part, True)
+            if chunk is None:
+                between += part
                 continue
-            first, before, last, upto = seams
-            if k == 0:
-                out.append(ids[:upto])
-            else:
-                out.append(self.plain(pending + part[:first]))  # the repaired join
-                out.append(ids[before:upto])
-            pending = part[last:]
-        if k and pending or not out:
-            out.append(self.plain(pending))
+            if left is None:
+                if between:  # nothing before the window: it starts with the text
+                    b, upto = chunk.first[0]
+                    out.append(self.plain(between + part[:b]))
+                    taken = upto
+                left, between = chunk, ""
+                continue
+            self.repairs += 1
+            join = self.repaired(left, taken, between, chunk)
+            if join is None:
+                return [self.plain(text)]
+            stays, ids, taken_next, _ = join
+            out += [left.ids[taken:stays], ids]
+            left, taken, between = chunk, taken_next, ""
+        if left is None:
+            return [self.plain(text)]
+        if between:
+            a, before = left.last[-1]
+            if before < taken:
+                return [self.plain(text)]
+            out += [left.ids[taken:before], self.plain(left.text[a:] + between)]
+        else:
+            out.append(left.ids[taken:])
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
         """Exactly the ids of the whole text."""
         if not text:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int32)
         out: list[np.ndarray] = []
         for k, piece in enumerate(text.split(SPECIAL)):
             if k:
-                out.append(np.array([SPECIAL_ID], np.int64))
+                out.append(np.array([SPECIAL_ID], np.int32))
             if piece:
                 out += self.segment(piece)
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+        return np.concatenate(out) if out else np.empty(0, np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.enc.decode_bytes(ids.tolist()).decode("utf-8", "replace")
@@ -205,7 +293,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
         def apply(texts):
             ids = [coder.encode(t) for t in texts]
-            return {"ids": [x.astype(np.int32) for x in ids], "decoded": [coder.decode(x) for x in ids]}
+            return {"ids": ids, "decoded": [coder.decode(x) for x in ids]}
 
         return apply
 
