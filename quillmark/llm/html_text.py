@@ -1,181 +1,56 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A linear scan of the markup gives the leaf blocks: runs of text between block-level tags, with the open elements above them. Each
-block has binary features of its ancestors (tags, hints in class and id values), of its own tag and of its text (length, link
-share, punctuation, cue words). The field has two labels, main text and the rest; blocks are decoded together by Viterbi. It is
-trained by gradient ascent on pages that this module builds with labels from a fixed seed, over many layouts and invented words.
+``dom`` gives the leaf blocks: runs of text between block-level tags, with the elements above them. Each block has binary features: the
+tags and hints (words in class, id and role values) above it, its own tag, its text (length, link share, punctuation, cue words),
+its neighbours' length and links, its place in the page, and the share of the page's text and the link density of the
+sectioning elements around it. No container decides by itself: the training pages put main text in articles, plain or oddly named
+``div``, table cells and the bare body, and boilerplate inside articles. The field has two labels, main text and the rest; blocks are
+decoded together by Viterbi. It is trained by gradient ascent on pages that this module builds with labels from a fixed seed.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones are left out, and
-main blocks are joined in page order by two line breaks. ``br`` counts as white space. Comments, scripts, styles, the head and
-other raw elements hold no blocks. Null html counts as empty; a page without main text gives an empty string.
+main blocks are joined in page order by two line breaks. ``br`` counts as white space. Null html counts as empty; a page without main
+text gives an empty string. Pages of any length are scanned whole, in memory in proportion to one page. Equal pages and repeated rows
+give equal texts, each row its own; ties in decoding go to the rest. Empty tables give empty results. Columns beyond id, html and
+``also`` are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
-import html
 import random
 import re
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts
+from .dom import Block, leaf_blocks
 
-BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
-)
-RAW = frozenset("script style noscript template textarea select button svg math iframe object canvas audio video head title".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: An opening tag ends these open elements above it, up to the listed borders.
-IMPLIED = {
-    "p": (frozenset({"p"}), frozenset("article aside body div footer form header li main nav section td th table blockquote".split())),
-    "li": (frozenset({"li", "p"}), frozenset("ul ol menu".split())),
-    "dt": (frozenset({"dt", "dd", "p"}), frozenset({"dl"})),
-    "dd": (frozenset({"dt", "dd", "p"}), frozenset({"dl"})),
-    "tr": (frozenset("tr td th p".split()), frozenset("table tbody thead tfoot".split())),
-    "td": (frozenset("td th p".split()), frozenset({"tr", "table"})),
-    "th": (frozenset("td th p".split()), frozenset({"tr", "table"})),
-}
-CLOSES_P = BLOCKS - {"html", "body", "p", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary"}
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]{0,65535}+"|'[^']{0,65535}+')*+)>|(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|[!?][^>]*+>)""", re.S)
-_HINTED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
-#: Hint words in class, id and role values, by what they tell.
-HINTS = {
-    "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip",
-    "ad": "ad ads advert adverts advertisement banner sponsor sponsored promo promotion",
-    "foot": "footer copyright legal colophon",
-    "head": "header masthead topbar logo branding",
-    "side": "sidebar aside widget related recommended trending popular tags share social newsletter subscribe",
-    "notice": "cookie cookies consent notice popup modal overlay alert gdpr",
-    "talk": "comment comments reply replies respond disqus discussion",
-    "form": "form search login signup",
-    "main": "article content post entry body main story text prose markdown",
-}
-_HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 CUES = frozenset("cookie cookies copyright subscribe newsletter advertisement sponsored login comments share menu privacy".split())
-
-
-@dataclass
-class Block:
-    text: str
-    path: tuple  # (tag, hints) of the open elements, outermost first
-    linked: int  # code points inside links
-
-
-def leaf_blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. Linear in the page's length."""
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    path: tuple = ()
-    buffer: list[str] = []
-    linked = depth = 0
-    at, n, last_close = 0, len(page), page.rfind(">")
-
-    def flush():
-        nonlocal linked
-        if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
-            if text:
-                out.append(Block(text, path, min(linked, len(text))))
-            buffer.clear()
-        linked = 0
-
-    def keep(text):
-        nonlocal linked
-        if text:
-            buffer.append(text)
-            if depth:
-                linked += len(text.strip())
-
-    while at < n:
-        lt = page.find("<", at)
-        if lt < 0 or lt > last_close:
-            keep(page[at:])
-            break
-        keep(page[at:lt])
-        m = _TAG.match(page, lt)
-        if m is None:
-            keep("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        name = name.lower()
-        if name in RAW:
-            if not closing:
-                end = _raw_end(name).search(page, at)
-                at = end.end() if end else n
-            continue
-        if name == "br":
-            buffer.append(" ")
-            continue
-        if name == "a":
-            depth = max(0, depth + (-1 if closing else 1))
-            continue
-        if name not in BLOCKS:
-            continue
-        flush()
-        if name in VOID:
-            continue
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        else:
-            if name in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in IMPLIED:
-                ended, borders = IMPLIED[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in borders:
-                        break
-                    if stack[i][0] in ended:
-                        del stack[i:]
-                        break
-            if len(stack) < 256:
-                stack.append((name, _hints(attributes) if attributes else ""))
-            depth = 0
-        path = tuple(stack)
-    flush()
-    return out
-
-
-@functools.lru_cache(maxsize=64)
-def _raw_end(name: str):
-    return re.compile(rf"</{name}[^>]*>|<body[\s>]" if name == "head" else rf"</{name}[^>]*>", re.I)
+_STOPS = ".!?:\"'”»…"
 
 
 @functools.lru_cache(maxsize=8192)
-def _hints(attributes: str) -> str:
-    found = {_HINT_OF[w] for m in _HINTED.finditer(attributes) for w in _WORD.findall(m[1].lower()) if w in _HINT_OF}
-    return " ".join(sorted(found))
+def state_features(features: frozenset, tag: str, hints: tuple) -> tuple[str, ...]:
+    out = set(features) | {"bias", f"own:{tag}"} | {f"ownhint:{h}" for h in hints}
+    if tag in ("h1", "h2", "h3"):
+        out |= {f"heading:{x}" for x in features if x.startswith("hint:") or x in ("in:header", "in:aside", "in:footer", "in:nav")}
+    return tuple(sorted(out))
 
 
-@functools.lru_cache(maxsize=8192)
-def path_features(path: tuple) -> tuple[str, ...]:
-    out = {"bias"}
-    for tag, hints in path:
-        if tag not in ("html", "body"):
-            out.add(f"in:{tag}")
-        out.update(f"hint:{h}" for h in hints.split())
-    if path:
-        out.add(f"own:{path[-1][0]}")
-        out.update(f"ownhint:{h}" for h in path[-1][1].split())
-    return tuple(sorted(out))
+def _length(n: int) -> int:
+    return 0 if n < 20 else 1 if n < 80 else 2 if n < 300 else 3
 
 
 def text_features(block: Block) -> list[str]:
     text, n = block.text, len(block.text)
-    out = ["len:0" if n < 20 else "len:1" if n < 80 else "len:2" if n < 300 else "len:3"]
+    out = [f"len:{_length(n)}"]
     if block.linked * 2 > n:
         out.append("linked")
-    if text[-1] in ".!?:\"'”»…":
+    elif block.linked * 5 > n:
+        out.append("some links")
+    if text[-1] in _STOPS:
         out.append("stop")
     if text[0] == "©" or "©" in text[:40]:
         out.append("copyright")
@@ -184,6 +59,91 @@ def text_features(block: Block) -> list[str]:
     return out
 
 
+def _share(x: float) -> int:
+    return 0 if x < 0.05 else 1 if x < 0.2 else 2 if x < 0.5 else 3
+
+
+def section_features(blocks: list[Block], parents: list[int]) -> list[tuple[str, ...]]:
+    """By container: its share of the page's text outside links, its link density, and its parent's share."""
+    plain, linked = [0] * len(parents), [0] * len(parents)
+    for b in blocks:
+        plain[b.container] += len(b.text) - b.linked
+        linked[b.container] += b.linked
+    for c in range(len(parents) - 1, 0, -1):  # children come after their parents
+        plain[parents[c]] += plain[c]
+        linked[parents[c]] += linked[c]
+    total = max(1, plain[0])
+    out = []
+    for c, up in enumerate(parents):
+        density = linked[c] / max(1, plain[c] + linked[c])
+        out.append((f"section:{_share(plain[c] / total)}", f"density:{_share(density)}", f"around:{_share(plain[up] / total) if up >= 0 else 3}"))
+    return out
+
+
+def context_features(blocks: list[Block]) -> list[list[str]]:
+    """What a block's neighbours and its place tell."""
+    size = [_length(len(b.text)) for b in blocks]
+    links = [b.linked * 2 > len(b.text) for b in blocks]
+    headings = [b.tag in ("h1", "h2", "h3", "h4") for b in blocks]
+    first = headings.index(True) if any(headings) else -1
+    n, out = len(blocks), []
+    for i, b in enumerate(blocks):
+        found = []
+        for j, side in ((i - 1, "before"), (i + 1, "after")):
+            if 0 <= j < n:
+                found.append(f"{side}:{'linked' if links[j] else size[j]}")
+                if blocks[j].container == b.container:
+                    found.append(f"{side}:same")
+            else:
+                found.append(f"{side}:none")
+        if first >= 0 and i < first:
+            found.append("over heading")
+        found.append(f"place:{min(2, 3 * i // n)}")
+        out.append(found)
+    return out
+
+
+class Chains:
+    """Pages as padded chains: which features each block has, its label, and which places are real."""
+
+    def __init__(self, pages: list[list[tuple[list[str], int]]]):
+        self.names: dict[str, int] = {}
+        self.n, self.length = len(pages), max(map(len, pages))
+        self.y, self.real = np.zeros((self.n, self.length), int), np.zeros((self.n, self.length), bool)
+        rows = []
+        for p, page in enumerate(pages):
+            for i, (found, label) in enumerate(page):
+                rows += [(p * self.length + i, self.names.setdefault(f, len(self.names))) for f in found]
+                self.y[p, i], self.real[p, i] = label, True
+        self.at, self.feature = np.array(rows).T
+
+    def objective(self, w: np.ndarray, move: np.ndarray, first: np.ndarray):
+        """Log-likelihood of the labels, and its gradient by the weights of label 1, the transitions and the start."""
+        n, length, y, real = self.n, self.length, self.y, self.real
+        e = np.zeros((n, length, 2))
+        e[:, :, 1] = np.bincount(self.at, w[self.feature], minlength=n * length).reshape(n, length)
+        alpha, beta = np.zeros((n, length, 2)), np.zeros((n, length, 2))
+        alpha[:, 0] = first + e[:, 0]
+        score = np.take_along_axis(alpha[:, 0], y[:, :1], axis=1).sum()
+        for i in range(1, length):
+            alpha[:, i] = np.where(real[:, i, None], np.logaddexp.reduce(alpha[:, i - 1, :, None] + move, axis=1) + e[:, i], alpha[:, i - 1])
+            on = real[:, i]
+            score += move[y[on, i - 1], y[on, i]].sum() + e[on, i, y[on, i]].sum()
+        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
+        g_move = np.zeros((2, 2))
+        for i in range(length - 2, -1, -1):
+            onward = move + (e[:, i + 1] + beta[:, i + 1])[:, None, :]
+            both = np.exp(alpha[:, i, :, None] + onward - total[:, None, None]) * real[:, i + 1, None, None]
+            g_move -= both.sum(axis=0)
+            beta[:, i] = np.where(real[:, i + 1, None], np.logaddexp.reduce(onward, axis=2), 0)
+            pair = y[:, i][real[:, i + 1]] * 2 + y[:, i + 1][real[:, i + 1]]
+            g_move += np.bincount(pair, minlength=4).reshape(2, 2)
+        one = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
+        g = np.bincount(self.feature, ((y - one) * real).reshape(-1)[self.at], minlength=len(w))
+        g_first = np.array([(1 - y[:, 0]).sum() - (1 - one[:, 0]).sum(), y[:, 0].sum() - one[:, 0].sum()])
+        return score - total.sum(), g, g_move, g_first
+
+
 class Field:
     """Two-label linear-chain field: emission weights for label 1, and transition scores."""
 
@@ -191,68 +151,55 @@ class Field:
         self.weights: dict[str, float] = {}
         self.move = np.zeros((2, 2))
         self.first = np.zeros(2)
-        self._paths: dict[tuple, float] = {}
+        self._states: dict[tuple, float] = {}
 
-    def fit(self, pages: list[list[tuple[Block, int]]], epochs: int = 150, rate: float = 0.08, l2: float = 2e-3) -> Field:
-        names: dict[str, int] = {}
-        length, n = max(map(len, pages)), len(pages)
-        rows, y, real = [], np.zeros((n, length), int), np.zeros((n, length), bool)
-        for p, page in enumerate(pages):
-            for i, (block, label) in enumerate(page):
-                found = [*path_features(block.path), *text_features(block)]
-                rows += [(p * length + i, names.setdefault(f, len(names))) for f in found]
-                y[p, i], real[p, i] = label, True
-        at, feature = np.array(rows).T
-        w, move, first = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)
-        moments = [np.zeros(len(names) + 6), np.zeros(len(names) + 6)]
-        blocks = real.sum()
+    def fit(self, pages: list[list[tuple[list[str], int]]], epochs: int = 150, rate: float = 0.08, l2: float = 1e-3) -> Field:
+        """Gradient ascent (Adam) on the mean log-likelihood a block less a quadratic penalty."""
+        chains = Chains([p for p in pages if p])
+        n, blocks = len(chains.names), chains.real.sum()
+        x, moments = np.zeros(n + 6), [np.zeros(n + 6), np.zeros(n + 6)]
         for step in range(1, epochs + 1):
-            e = np.zeros((n, length, 2))
-            e[:, :, 1] = np.bincount(at, w[feature], minlength=n * length).reshape(n, length)
-            alpha, beta = np.zeros((n, length, 2)), np.zeros((n, length, 2))
-            alpha[:, 0] = first + e[:, 0]
-            for i in range(1, length):
-                alpha[:, i] = np.where(real[:, i, None], np.logaddexp.reduce(alpha[:, i - 1, :, None] + move, axis=1) + e[:, i], alpha[:, i - 1])
-            total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            g_move = np.zeros((2, 2))
-            for i in range(length - 2, -1, -1):
-                onward = move + (e[:, i + 1] + beta[:, i + 1])[:, None, :]
-                both = np.exp(alpha[:, i, :, None] + onward - total[:, None, None]) * real[:, i + 1, None, None]
-                g_move -= both.sum(axis=0)
-                beta[:, i] = np.where(real[:, i + 1, None], np.logaddexp.reduce(onward, axis=2), 0)
-                pair = y[:, i][real[:, i + 1]] * 2 + y[:, i + 1][real[:, i + 1]]
-                g_move += np.bincount(pair, minlength=4).reshape(2, 2)
-            one = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
-            g = np.bincount(feature, ((y - one) * real).reshape(-1)[at], minlength=len(w))
-            g_first = np.array([(1 - y[:, 0]).sum() - (1 - one[:, 0]).sum(), y[:, 0].sum() - one[:, 0].sum()])
-            grad = np.concatenate([g, g_move.ravel(), g_first]) / blocks - l2 * np.concatenate([w, move.ravel(), first])
-            for m, (decay, x) in zip(moments, ((0.9, grad), (0.99, grad * grad)), strict=True):
+            _, g, g_move, g_first = chains.objective(x[:n], x[n : n + 4].reshape(2, 2), x[n + 4 :])
+            grad = np.concatenate([g, g_move.ravel(), g_first]) / blocks - l2 * x
+            for m, (decay, v) in zip(moments, ((0.9, grad), (0.99, grad * grad)), strict=True):
                 m *= decay
-                m += (1 - decay) * x
-            delta = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-            w, move, first = w + delta[: len(w)], move + delta[len(w) : -2].reshape(2, 2), first + delta[-2:]
-        self.weights, self.move, self.first = {k: float(w[i]) for k, i in names.items()}, move, first
+                m += (1 - decay) * v
+            x = x + rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
+        self.weights = {k: float(x[i]) for k, i in chains.names.items()}
+        self.move, self.first = x[n : n + 4].reshape(2, 2), x[n + 4 :]
         return self
 
-    def labels(self, blocks: list[Block]) -> list[int]:
-        """Viterbi decoding."""
-        if not blocks:
-            return []
-        (m00, m01), (m10, m11) = self.move.tolist()
-        weight, back = self.weights.get, []
-        zero, one = self.first.tolist()
-        for i, b in enumerate(blocks):
-            e = self._paths.get(b.path)
+    def emissions(self, blocks: list[Block], parents: list[int]) -> list[float]:
+        weight = self.weights.get
+        sections = [sum(weight(f, 0.0) for f in found) for found in section_features(blocks, parents)]
+        out = []
+        for b, around in zip(blocks, context_features(blocks), strict=True):
+            key = (b.state.features, b.tag, b.hints)
+            e = self._states.get(key)
             if e is None:
-                e = sum(weight(f, 0.0) for f in path_features(b.path))
-                if len(self._paths) < 65536:
-                    self._paths[b.path] = e
+                e = sum(weight(f, 0.0) for f in state_features(*key))
+                if len(self._states) < 65536:
+                    self._states[key] = e
+            e += sections[b.container]
             for f in text_features(b):
                 e += weight(f, 0.0)
+            for f in around:
+                e += weight(f, 0.0)
+            out.append(e)
+        return out
+
+    def decode(self, emissions: list[float]) -> list[int]:
+        """Viterbi: the likeliest labels together."""
+        if not emissions:
+            return []
+        (m00, m01), (m10, m11) = self.move.tolist()
+        zero, one = self.first.tolist()
+        back = []
+        for i, e in enumerate(emissions):
             if i == 0:
                 one += e
                 continue
-            z, o = (zero + m00, 0) if zero + m00 >= one + m10 else (one + m10, 1), (zero + m01, 0) if zero + m01 > one + m11 else (one + m11, 1)
+            z, o = (zero + m00, 0) if zero + m00 >= one + m10 else (one + m10, 1), (zero + m01, 0) if zero + m01 >= one + m11 else (one + m11, 1)
             back.append((z[1], o[1]))
             zero, one = z[0], o[0] + e
         out = [int(one > zero)]
@@ -261,132 +208,217 @@ class Field:
         return out[::-1]
 
     def extract(self, page: str | None) -> str:
-        blocks = leaf_blocks(page or "")
-        return "\n\n".join(b.text for b, y in zip(blocks, self.labels(blocks), strict=True) if y)
+        blocks, parents = leaf_blocks(page or "")
+        return "\n\n".join(b.text for b, y in zip(blocks, self.decode(self.emissions(blocks, parents)), strict=True) if y)
 
 
 # ---- labelled pages
 
 
-def _labelled_page(r: random.Random) -> list[tuple[Block, int]]:
+class _Maker:
     """A page built from parts, each known to be main text or not; the parts pass through the same parser."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 9)))
-    noise = r.choice(("", "", "", "***", "!!", "$$$", " |"))
-
-    def words(a, b):
-        s = " ".join(word() + noise for _ in range(r.randint(a, b)))
-        return s.upper() if noise == "!!" else s.capitalize()
-
-    sentences = lambda a, b: " ".join(words(3, 14) + "." for _ in range(r.randint(a, b)))
-    links = lambda k: "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(k))
-    parts: list[tuple[str, int | None]] = []  # markup, and the label of the blocks that it makes
-    add = lambda markup, label=None: parts.append((markup, label))
-
-    def notice():
-        add(f'<div class="{r.choice(("cookie-banner", "consent", "notice", "popup"))}"><p>', None)
-        add(r.choice((f"We use cookies. {sentences(1, 2)}", sentences(1, 2))), 0)
-        add("</p></div>")
-
-    def advert():
-        add(f'<div class="{r.choice(("ad", "advert", "ads banner", "sponsored", "promo"))}">')
-        add(sentences(1, 3), 0)
-        add("</div>")
-
-    def menu():
-        add(r.choice(("<nav><ul>", '<div class="menu"><ul>', '<ul class="nav navbar">')))
-        add(links(r.randint(2, 8)), 0)
-        add("</ul></nav>" if parts[-2][0].startswith("<nav") else "</ul></div>" if parts[-2][0].startswith("<div") else "</ul>")
-
-    def sidebar():
-        tag = r.choice(('aside class="sidebar"', "aside", 'div class="related"', 'div class="widget"'))
-        add(f"<{tag}><h3>")
-        add(words(1, 3), 0)
-        add("</h3><p>")
-        add(sentences(1, 2), 0)
-        add("</p><ul>")
-        add(links(r.randint(1, 5)), 0)
-        add(f"</ul></{tag.split()[0]}>")
-
-    def comments():
-        add(f'<{r.choice(("section", "div"))} class="{r.choice(("comments", "comment-list", "discussion"))}">')
-        close = f"</{parts[-1][0][1:].split()[0]}>"
-        for _ in range(r.randint(1, 4)):
-            add('<div class="comment"><p>')
-            add(sentences(1, 4), 0)
-            add("</p></div>")
-        add(close)
-
-    def form():
-        add("<form><p>")
-        add(words(1, 5), 0)
-        add('</p><input type="text"></form>')
-
-    if r.random() < 0.4:
-        add("<header><p>")
-        add(words(1, 5), 0)
-        add("</p></header>")
-    for part in r.sample((menu, advert, notice), r.randint(1, 3)):
-        part()
-    if r.random() < 0.2:
-        sidebar()
-    body = r.choice(("article", "article", "article", "main", 'div class="content"', 'div id="post-body"', 'section class="entry"'))
-    add(f"<{body}>")
-    if r.random() < 0.85:
-        add("<h1>")
-        add(words(1, 9), 1)
-        add("</h1>")
-    for _ in range(r.randint(1, 8)):
-        kind = r.random()
-        if kind < 0.72:
-            add("<p>" + r.choice(("", "", "<b>")))
-            add(r.choice((sentences(1, 1), sentences(1, 6), words(1, 4), words(1, 2) + ".")) + r.choice(("", "", "<br>")), 1)
-            add(r.choice(("</p>", "</p>", "")))
-        elif kind < 0.8:
-            add("<h2>")
-            add(words(1, 6), 1)
-            add("</h2>")
-        elif kind < 0.87:
-            add("<ul><li>")
-            add(words(2, 9), 1)
-            add("</li></ul>")
-        elif kind < 0.92:
-            add("<blockquote><p>")
-            add(sentences(1, 2), 1)
-            add("</p></blockquote>")
-        elif kind < 0.95:
-            advert()
+
+    def __init__(self, r: random.Random):
+        self.r, self.parts = r, []  # markup, and the label of the blocks that it makes
+        self.noise = r.choice(("", "", "", "***", "!!", "$$$", " |"))
+
+    def word(self) -> str:
+        return "".join(self.r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.r.randint(2, 9)))
+
+    def words(self, a: int, b: int) -> str:
+        s = " ".join(self.word() + self.noise for _ in range(self.r.randint(a, b)))
+        return s.upper() if self.noise == "!!" else s.capitalize()
+
+    def sentences(self, a: int, b: int) -> str:
+        return " ".join(self.words(3, 14) + "." for _ in range(self.r.randint(a, b)))
+
+    def add(self, markup: str, label: int | None = None) -> None:
+        self.parts.append((markup, label))
+
+    def wrapped(self, opening: str, fill) -> None:
+        self.add(f"<{opening}>")
+        fill()
+        self.add(f"</{opening.split()[0]}>")
+
+    def odd(self) -> str:
+        """An attribute that tells nothing."""
+        return self.r.choice(("", "", f' class="{self.word()}q"', f' id="{self.word()}z"', f' style="x:{self.word()}"'))
+
+    def links(self, k: int) -> None:
+        plain = self.r.random() < 0.2
+        for _ in range(k):
+            if plain:
+                self.add("<div>")
+                self.add(f'<a href="/{self.word()}">{self.words(1, 3)}</a>', 0)
+                self.add("</div>")
+            else:
+                self.add("<li>")
+                self.add(f'<a href="/{self.word()}">{self.words(1, 3)}</a>', 0)
+                self.add("</li>")
+
+    def notice(self) -> None:
+        r = self.r
+        kind = r.choice(('class="cookie-banner"', 'class="consent"', 'class="notice"', 'id="popup"', "class=alert"))
+        text = r.choice((f"We use cookies. {self.sentences(1, 2)}", self.sentences(1, 2)))
+        tag, inner = r.choice(("div", "div", "section", "aside")), r.random() < 0.5
+        self.wrapped(f"{tag} {kind}", lambda: (self.add("<p>" if inner else ""), self.add(text, 0), self.add("</p>" if inner else "")))
+
+    def advert(self) -> None:
+        r = self.r
+        tag = r.choice(("div", "div", "div", "p", "aside", "section"))
+        self.wrapped(f'{tag} class="{r.choice(("ad", "advert", "ads banner", "sponsored", "promo"))}"', lambda: self.add(self.sentences(1, 3), 0))
+
+    def menu(self) -> None:
+        opening = self.r.choice(("nav", "nav", 'div class="menu"', 'ul class="nav navbar"', "ul", 'div id="navigation"', "div"))
+        nested = not opening.startswith("ul")
+        k = self.r.randint(3, 8)
+        self.wrapped(opening, lambda: self.wrapped("ul", lambda: self.links(k)) if nested else self.links(k))
+
+    def sidebar(self) -> None:
+        r = self.r
+
+        def fill():
+            self.add("<h3>")
+            self.add(self.words(1, 3), 0)
+            self.add("</h3>")
+            if r.random() < 0.6:
+                self.add("<p>")
+                self.add(self.sentences(1, 2), 0)
+                self.add("</p>")
+            self.wrapped("ul", lambda: self.links(r.randint(1, 5)))
+
+        self.wrapped(r.choice(('aside class="sidebar"', "aside", 'div class="related"', 'div class="widget"', 'div id="sidebar"', 'section class="recommended"')), fill)
+
+    def comments(self) -> None:
+        r = self.r
+        one = r.choice(('div class="comment"', 'li class="comment"', 'article class="comment"', "div", "p"))
+
+        def fill():
+            if r.random() < 0.4:
+                self.wrapped(r.choice(("h2", "h3")), lambda: self.add(r.choice(("Comments", self.words(1, 2))), 0))
+            for _ in range(r.randint(1, 4)):
+                inner = one != "p" and r.random() < 0.6
+                self.wrapped(one, lambda inner=inner: (self.add("<p>" if inner else ""), self.add(r.choice((self.sentences(1, 4), self.words(1, 5) + ".")), 0), self.add("</p>" if inner else "")))
+
+        self.wrapped(f'{r.choice(("section", "div", "ol", "aside"))} {r.choice(("class=", "id="))}"{r.choice(("comments", "comment-list", "discussion", "replies"))}"', fill)
+
+    def form(self) -> None:
+        def fill():
+            kind = self.r.choice(("p", "label", "p"))
+            self.wrapped(kind, lambda: self.add(self.words(1, 5), 0))
+            self.add('<input type="text"><button>go</button>' if self.r.random() < 0.5 else '<input type="text">')
+
+        self.wrapped("form" + self.odd(), fill)
+
+    def footer(self) -> None:
+        r = self.r
+        text = r.choice((f"&copy; {self.word()}.example &middot; {self.sentences(1, 2)}", self.sentences(1, 2), "Copyright " + self.words(1, 3)))
+        opening = r.choice(("footer", "footer", "footer", 'div class="footer"', 'div id="footer"')) if not text.startswith("&copy;") else r.choice(("footer", "footer", 'div class="footer"', "div"))
+        inner = r.random() < 0.4
+        self.wrapped(opening, lambda: (self.add("<p>" if inner else ""), self.add(text, 0), self.add("</p>" if inner else "")))
+
+    def body(self) -> None:
+        """The main text, with what may stand inside its container."""
+        r = self.r
+        if r.random() < 0.85:
+            header, level = r.random() < 0.15, r.choice(("h1", "h1", "h1", "h2"))
+            if header:
+                self.add("<header>")
+            self.wrapped(level, lambda: self.add(self.words(1, 9), 1))
+            if header:
+                self.add("</header>")
+        text = r.choice(("p", "p", "p", "p", "div", "p" + self.odd()))
+        if r.random() < 0.08:  # one run of text without paragraphs
+            self.add(self.sentences(2, 9), 1)
+        for _ in range(r.randint(1, 8)):
+            kind = r.random()
+            if kind < 0.72:
+                words = r.choice((self.sentences(1, 1), self.sentences(1, 6), self.sentences(3, 9), self.words(1, 4), self.words(1, 2) + "."))
+                link = f' <a href="/x">{self.words(1, 2)}</a>' if r.random() < 0.15 else ""
+                close = f"</{text.split()[0]}>" if not text.startswith("p") or r.random() < 0.7 else ""
+                self.add(f"<{text}>" + r.choice(("", "", "<b>")))
+                self.add(words + link + r.choice(("", "", "<br>")), 1)
+                self.add(close)
+            elif kind < 0.8:
+                self.wrapped(r.choice(("h2", "h3")), lambda: self.add(self.words(1, 6), 1))
+            elif kind < 0.86:
+                self.wrapped(r.choice(("ul", "ol")), lambda: [self.wrapped("li", lambda: self.add(self.words(2, 9), 1)) for _ in range(r.randint(1, 4))])
+            elif kind < 0.9:
+                self.wrapped("blockquote", lambda: self.wrapped("p", lambda: self.add(self.sentences(1, 2), 1)))
+            elif kind < 0.92:
+                self.wrapped("table", lambda: self.wrapped("tr", lambda: [self.wrapped("td", lambda: self.add(self.words(1, 3), 1)) for _ in range(2)]))
+            else:
+                r.choice((self.advert, self.advert, self.sidebar, self.form, self.notice))()
+        if r.random() < 0.25:
+            r.choice((self.footer, self.comments, self.comments, self.notice, self.sidebar))()
+
+    def bare(self) -> None:
+        """A few blocks of main text and little or nothing else."""
+        r = self.r
+        if r.random() < 0.4:
+            r.choice((self.menu, self.footer))()
+        opening = r.choice(("article", "div", "main", "body", "section"))
+        if r.random() < 0.3:
+            self.add(self.sentences(1, 5), 1)
+            self.add("<hr>")
+            return
+        self.wrapped(opening, lambda: [self.wrapped("p", lambda: self.add(self.sentences(1, 4), 1)) for _ in range(r.randint(1, 3))])
+
+    def page(self) -> list[tuple[list[str], int]]:
+        if self.r.random() < 0.15:
+            self.bare()
+        else:
+            self.full()
+        markup = "<html><body>" + "".join(m for m, _ in self.parts) + "</body></html>"
+        blocks, parents = leaf_blocks(markup)
+        labels = [label for _, label in self.parts if label is not None]
+        if len(blocks) != len(labels):
+            raise AssertionError(f"labels don't fit the blocks: {markup}")
+        sections, around = section_features(blocks, parents), context_features(blocks)
+        return [([*state_features(b.state.features, b.tag, b.hints), *sections[b.container], *text_features(b), *c], y) for b, c, y in zip(blocks, around, labels, strict=True)]
+
+    def full(self) -> None:
+        r = self.r
+        if r.random() < 0.4:
+            opening = r.choice(("header", "header", 'div class="header"', 'div id="masthead"'))
+            self.wrapped(opening, lambda: self.wrapped(r.choice(("p", "div", "h2")), lambda: self.add(self.words(1, 5), 0)))
+        around = [f"div{self.odd()}" for _ in range(r.choice((0, 0, 0, 1, 2, 4)))]
+        for opening in around:
+            self.add(f"<{opening}>")
+        for part in r.sample((self.menu, self.menu, self.advert, self.notice), r.randint(1, 3)):
+            part()
+        if r.random() < 0.2:
+            self.sidebar()
+        main = r.choice(("article", "article", "main", "section", "div", "div", f"div{self.odd()}", f"div{self.odd()}", f"section{self.odd()}", 'div class="content"', 'div id="post-body"', 'section class="entry"', "td", "td", "", "", ""))
+        if main == "td":
+            self.add("<table><tr>")
+            if r.random() < 0.5:
+                self.wrapped("td", lambda: self.wrapped("ul", lambda: self.links(r.randint(2, 6))))
+            self.wrapped("td" + self.odd(), self.body)
+            self.add("</tr></table>")
+        elif main:
+            nested = r.random() < 0.3
+            self.wrapped(main, lambda: self.wrapped(f"div{self.odd()}", self.body) if nested else self.body())
         else:
-            r.choice((sidebar, form))()
-    add(f"</{body.split()[0]}>")
-    for part in r.sample((comments, sidebar, form, advert, menu), r.randint(0, 3)):
-        part()
-    if r.random() < 0.9:
-        add(f'<{r.choice(("footer", "footer", "div class=footer"))}>')
-        close = parts[-1][0][1:-1].split()[0]
-        add(r.choice((f"&copy; {word()}.example &middot; {sentences(1, 2)}", sentences(1, 2), "Copyright " + words(1, 3))), 0)
-        add(f"</{close}>")
-    # a part's blocks are told by how many blocks the page has with and without it
-    page, labels = "<html><body>", []
-    for markup, label in parts:
-        if label is not None:
-            labels += [label] * (markup.count("<li>") or 1)
-        page += markup
-    blocks = leaf_blocks(page + "</body></html>")
-    if len(blocks) != len(labels):
-        raise AssertionError("labels don't fit the blocks")
-    return list(zip(blocks, labels, strict=True))
+            self.body()
+            self.add("<hr>")
+        for part in r.sample((self.comments, self.sidebar, self.form, self.advert, self.menu), r.randint(0, 3)):
+            part()
+        if r.random() < 0.9:
+            self.footer()
+        for opening in around:
+            self.add(f"</{opening.split()[0]}>")
 
 
 @functools.lru_cache(maxsize=1)
-def field(pages: int = 500, seed: int = 5) -> Field:
+def field(pages: int = 1000, seed: int = 5) -> Field:
     r = random.Random(seed)
-    return Field().fit([_labelled_page(r) for _ in range(pages)])
+    return Field().fit([_Maker(r).page() for _ in range(pages)])
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:
     """Per row: id, ``also``, ``text``, ``n_chars`` (code points)."""
-    shared = df.sparkSession.sparkContext.broadcast(field())  # a hundred weights
+    shared = df.sparkSession.sparkContext.broadcast(field())  # a few hundred weights
 
     def make():
         trained = shared.value
