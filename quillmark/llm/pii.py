@@ -1,7 +1,7 @@
 """Personal data: base patterns, plus candidates accepted by boosted trees.
 
 Base spans (e-mail, IP address, payment card, phone) are found by fixed rules and always stay. High-recall generators propose
-further, possibly overlapping spans: secrets, bank accounts, national numbers, written-out addresses, phones without a plus, and
+further, possibly overlapping spans: secrets (also of letters alone), bank accounts, national numbers, written-out addresses, phones without a plus, and
 cards and phones that the fixed rules lose because they run into a neighbouring number.
 Gradient-boosted trees score each candidate from its format and its context; scores are calibrated on held-out examples, and the
 threshold of a kind is the lowest calibrated probability at which the held-out precision reaches the target. Of overlapping
@@ -11,7 +11,9 @@ span stands already.
 The trees are trained on labelled examples that this module makes from a fixed seed: true spans and look-alikes (hashes, order
 numbers, versions, identifiers) in contexts of several languages. No table is used for training.
 
-Null text counts as empty. Offsets are code points, ends exclusive. All scans are linear in the text.
+Null and empty text: no span. Offsets are code points, ends exclusive. Texts are scanned whole, of any length; scans, features and
+redaction are linear in the text but for a sort of its spans. Equal texts and repeated rows give equal spans, each row its own. Empty tables
+give empty results. Columns beyond the id, the text and ``also`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,12 +91,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---- candidates
 
-#: What proposes candidates; bounds, or a run taken whole (possessive), keep each scan linear.
+#: What proposes candidates; a run is taken whole (possessive) and only from its start, which keeps each scan linear.
 GENERATORS = (
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("contact", re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]{1,63}){1,4}", re.I)),
+    ("contact", re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]++)++", re.I)),
     ("local_phone", re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-]?[0-9])")),
     ("card", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])")),
     ("phone", re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])")),
@@ -110,6 +112,16 @@ CUES = {
 }
 DECOYS = ("order", "version", "commit", "sha", "checksum", "isbn", "build", "part", "section", "ref", "case", "digest")
 _WIDTH = 28
+_RUN = re.compile(r"[b-df-hj-np-tv-z]+", re.I)
+
+
+_MIXED = re.compile(r"[a-z][A-Z]")
+
+
+def proposed(text: str, start: int, end: int) -> bool:
+    """Whether a run of letters, digits and signs may be a secret: it holds a digit, mixes upper and lower case, or has a value's place."""
+    run = text[start:end]
+    return _DIGIT.search(run) is not None or end - start >= 16 and _MIXED.search(run) is not None or text[max(0, start - 2) : start].strip()[-1:] in ("=", ":", '"', "'")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -120,10 +132,10 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             low = text.lower()
             if not any(x in low for x in ("(at)", "[at]")):
                 continue
-        elif not digits:
+        elif kind != "secret" and not digits:
             continue
         for m in pattern.finditer(text):
-            if kind != "secret" or any("0" <= c <= "9" for c in m.group()):
+            if kind != "secret" or proposed(text, *m.span()):
                 out.append((kind, *m.span()))
     return out
 
@@ -139,6 +151,11 @@ def _mod97(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def _consonants(s: str) -> float:
+    """Length of the longest run of letters without a vowel, up to 20."""
+    return float(min(20, max(map(len, _RUN.findall(s)), default=0)))
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a candidate, as numbers."""
     s, before = text[start:end], text[max(0, start - _WIDTH) : start].lower()
@@ -151,7 +168,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(re.fullmatch(r"[0-9a-f]+", s) is not None), float(re.match(r"AKIA|ASIA|ghp_|sk-|xox", s) is not None),
         float(kind == "iban" and _mod97(s)), float(any(c in before for c in CUES[kind])), float(any(c in before for c in DECOYS)),
         float(before.rstrip(' "\'').endswith(("=", ":"))), float(start > 0 and text[start - 1] in "\"'"), float(after[:1] in "\"'" if after else 0),
-        float(bool(before) and before[-1].isalnum()), float(s.isdigit()), float(kind == "card" and luhn("".join(c for c in s if "0" <= c <= "9"))),
+        float(bool(before) and before[-1].isalnum()), sum(a.islower() != b.islower() for a, b in zip(s, s[1:]) if a.isalpha() and b.isalpha()) / n, _consonants(s), float(s.isdigit()), float(kind == "card" and luhn("".join(c for c in s if "0" <= c <= "9"))),
     ]
 
 
@@ -204,12 +221,13 @@ class Boosted:
         return self.start + self.rate * sum(self._walk(t, x) for t in self.trees)
 
 
-def examples(n: int = 3360, seed: int = 11) -> list[tuple[str, str, int, int, int]]:
+def examples(n: int = 4900, seed: int = 11) -> list[tuple[str, str, int, int, int]]:
     """Labelled candidates (text, kind, start, end, label), from a fixed seed."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda: pick(low, r.randint(2, 9))
+    spoken = lambda: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") + r.choice(("", "", "n", "r", "st", "sch")) for _ in range(r.randint(2, 5)))
 
     def iban(valid):
         country, body = r.choice(("DE", "FR", "GB", "ES", "LU")), pick(dig, r.choice((16, 18, 20)))
@@ -221,11 +239,19 @@ def examples(n: int = 3360, seed: int = 11) -> list[tuple[str, str, int, int, in
         cue = r.choice(CUES[kind]) if r.random() < 0.6 else ""
         if kind == "secret":
             if label:
-                form = r.randrange(4)
+                form = r.randrange(5)
+                if form == 4:
+                    s = pick(low + up, r.randint(16, 60))
+                    return s, r.choice(CUES[kind]) + r.choice((' = "', "=", ": ", "='", ' = '))
                 s = ("AKIA" + pick(up + dig, 16)) if form == 0 else pick("0123456789abcdef", r.choice((16, 18, 24, 32, 40))) if form == 1 else pick(low + up + dig, r.randint(16, 40)) if form == 2 else "ghp_" + pick(low + up + dig, 36)
                 cue = cue if form in (0, 3) else r.choice(CUES[kind])
                 return s, cue + (r.choice((" = \"", "=", ": ", "='")) if cue else "")
-            form = r.randrange(4)
+            form = r.randrange(7)
+            if form > 3:  # words, also in a value's place
+                joined, case = r.choice(("", "", "-", "_", "/")), r.choice((str, str, str.capitalize, str.upper))
+                s = joined.join(case(spoken()) for _ in range(r.randint(3, 5)))
+                s += (spoken() * 6)[: max(0, 12 - len(s))]
+                return s, r.choice((r.choice(CUES[kind]) + ": ", r.choice(CUES[kind]) + " ", spoken() + ": ", spoken() + " = ", spoken() + " ", spoken() + " ", spoken() + ": \""))
             s = pick("0123456789abcdef", r.choice((32, 40, 64))) if form == 0 else f"{word()}-{r.randint(1, 99)}-{word()}{word()}" if form == 1 else pick(dig, r.randint(12, 16)) if form == 2 else f"{word()}_{word()}{r.randint(1, 2030)}"
             return s, r.choice((*DECOYS, word())) + " "
         if kind == "iban":
@@ -234,7 +260,7 @@ def examples(n: int = 3360, seed: int = 11) -> list[tuple[str, str, int, int, in
             s = f"{r.randint(1, 899):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
             return s, (r.choice(CUES[kind]) if label else r.choice((*DECOYS, word()))) + r.choice((" ", ": "))
         if kind == "contact":
-            s = f"{word()}.{word()} [at] {word()} [dot] {r.choice(('com', 'org', 'net'))}"
+            s = f"{word() * r.choice((1, 1, 1, 9))}.{word()} [at] {word() * r.choice((1, 1, 1, 9))}{''.join(' [dot] ' + word() for _ in range(r.choice((0, 0, 1, 5))))} [dot] {r.choice(('com', 'org', 'net'))}"
             return (s, (cue or word()) + " ") if label else (f"{word()} (at) {word()}(dot){word()}{word()}{word()}", r.choice(DECOYS) + " ")
         if kind == "card":
             s = pick(dig, 15)
@@ -251,8 +277,10 @@ def examples(n: int = 3360, seed: int = 11) -> list[tuple[str, str, int, int, in
     for i in range(n):
         kind, label = ADDED_KINDS[i % len(ADDED_KINDS)], int(r.random() < 0.5)
         s, lead = made(kind, label)
+        if kind == "secret" and r.random() < 0.15:  # shouted pages
+            s, lead = s.upper(), lead.upper()
         head = f"{word()} {word()}{r.choice((' ', ', ', '. '))}{lead}"
-        tail = ('"' if lead.endswith('"') else "'" if lead.endswith("'") else "") + f" {word()} {word()}."
+        tail = ('"' if lead.endswith('"') else "'" if lead.endswith("'") else "") + r.choice(("", "", "", "!!", "###", ",", "$$$")) + f" {word()} {word()}."
         out.append((head + s + tail, kind, len(head), len(head) + len(s), label))
     return out
 
@@ -326,16 +354,28 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with each span, overlapping ones joined, replaced by its first kind in brackets."""
-    out, done = [], 0
-    by_start = sorted((a, b, KINDS.index(k)) for k, a, b in spans)
-    for a, b in merged([s[:2] for s in by_start]):
-        kind = min(k for x, y, k in by_start if a <= x and y <= b)
-        out += [text[done:a], f"[{KINDS[kind].upper()}]"]
-        done = b
+    """The text with each span, overlapping ones joined, replaced by its first kind in brackets. One sweep over the sorted spans."""
+    out, done, start, end, kind = [], 0, 0, 0, -1
+    for a, b, k in [*sorted((a, b, KINDS.index(k)) for k, a, b in spans), (len(text) + 1, 0, 0)]:
+        if kind >= 0 and a < end:
+            end, kind = max(end, b), min(kind, k)
+            continue
+        if kind >= 0:
+            out += [text[done:start], f"[{KINDS[kind].upper()}]"]
+            done = end
+        start, end, kind = a, b, k
     return "".join([*out, text[done:]])
 
 
+#: First digits of payment cards, as issuers have them.
+ISSUERS = ("2", "3", "4", "5", "6")
+
+
+def private(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """What redaction removes: all spans but cards that no issuer can have given out."""
+    return [s for s in spans if s[0] != "card" or text[s[1]] in ISSUERS]
+
+
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: counts of base spans by kind, digest of the base spans, and all spans."""
     shared = df.sparkSession.sparkContext.broadcast(model())  # bounded: 40 small trees
@@ -359,7 +399,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: the id, ``also``, and ``redacted``, the text without its spans; a null text stays null."""
+    """Per row: the id, ``also``, and ``redacted``, the text without its private spans; a null text stays null."""
     shared = df.sparkSession.sparkContext.broadcast(model())
 
     def make():
@@ -367,7 +407,7 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also
 
         def one(t):
             base = base_spans(t)
-            spans = base + trained.accept(t, base)
+            spans = private(t, base + trained.accept(t, base))
             return redact(t, spans) if spans else t
 
         return lambda texts: {"redacted": [None if t is None else one(t) for t in texts]}
