@@ -1,22 +1,27 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 For each language a model of order ``ORDER`` over lower-cased characters (digits one class, white space one, other signs one) is
-estimated from a bounded sample of labelled documents: absolute discounting, continuation counts for the lower orders, and
-interpolation down to a uniform distribution. The models share sorted arrays of 64-bit n-gram hashes with one row of log
-probabilities and of log back-off weights a language, so that scoring a character is a binary search in its longest known n-gram.
-
-A document's score of a language is its cross-entropy per character. The lowest wins; the confidence is a softmax of the negated
-cross-entropies at a temperature fitted on part of the sample. Rejection: a text without a letter is ``und``; one whose best
-cross-entropy exceeds the ``reject_quantile`` quantile of that language's own held-out documents is marked ``rejected``.
-
-The sample holds at most ``per_language`` documents a language (those of smallest id hash) of the learnable rows, whole texts;
-scoring covers all of every text. Null text: ``und`` with score 0. No labelled row: every prediction is ``und``.
+estimated from a bounded sample of labelled documents: absolute discounting (the discount of each order from its counts of once and
+twice seen n-grams), continuation counts for the lower orders, and interpolation down to a uniform distribution. The models of up to
+``TOGETHER`` languages share sorted arrays of 64-bit n-gram hashes with one row of log probabilities and of log back-off weights a language,
+so that scoring a character is a binary search in its longest known n-gram; memory grows with the number of languages, not its square.
+
+A document's score of a language is its cross-entropy per character, over the whole text, in windows of ``PIECE`` characters. The lowest wins, the
+first by name on ties; the confidence is a softmax of the negated cross-entropies at a temperature fitted on rows of the sample that no model
+learned from, with smoothed targets. Rejection: a text without a letter is ``und``; one whose best cross-entropy exceeds the
+``reject_quantile`` quantile of that language's own held-out documents is marked ``rejected``.
+
+The sample holds, for every language of the learnable rows, at most ``per_language`` documents (those of smallest id hash) and ``language_bytes`` bytes of
+text, whole texts; a text beyond that bound is passed over. Scoring covers all of every text. Null and empty text: ``und`` with score 0. No labelled row:
+every prediction is ``und``. Equal texts and repeated rows get equal predictions, each row its own; of several texts under one id the sample takes
+the least. Empty tables give empty results. Columns beyond those named are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +34,13 @@ from .common import map_texts
 ORDER = 4
 #: Bound of the learning sample, in documents a language.
 PER_LANGUAGE = 120
-#: Languages that are learned at most; the most frequent ones first.
-LANGUAGES = 64
+#: Bound of the learning sample, in bytes of text a language.
+LANGUAGE_BYTES = 2_000_000
+#: Languages whose models share their arrays.
+TOGETHER = 8
+#: Characters that are scored at once.
+PIECE = 200_000
+#: The discount where no n-gram was seen once.
 DISCOUNT = 0.75
 REJECT_QUANTILE = 0.995
 UNDETERMINED = "und"
@@ -57,15 +67,27 @@ def _classes() -> np.ndarray:
 _TABLE: list = []
 
 
-def characters(text: str) -> np.ndarray:
-    """The text's character classes after a leading space; runs of space count once."""
+def classes_of(text: str) -> np.ndarray:
     if not _TABLE:
         _TABLE.append(_classes())
-    codes = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where(codes < 65536, _TABLE[0][np.minimum(codes, 65535)], codes + np.uint32(16))
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != _SPACE) | (out[:-1] != _SPACE)
-    return out[keep]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(codes < 65536, _TABLE[0][np.minimum(codes, 65535)], codes + np.uint32(16))
+
+
+def pieces(text: str, size: int | None = None) -> Iterator[np.ndarray]:
+    """The text's character classes after a leading space, runs of space once, in pieces."""
+    last = None
+    for a in range(0, len(text) or 1, size or max(1, len(text))):
+        out = classes_of((" " if last is None else "") + text[a : a + size if size else None])
+        keep = np.ones(len(out), bool)
+        keep[1:] = (out[1:] != _SPACE) | (out[:-1] != _SPACE)
+        keep[0] = out[0] != _SPACE or last != _SPACE
+        last = out[-1]
+        yield out[keep]
+
+
+def characters(text: str) -> np.ndarray:
+    return next(pieces(text))
 
 
 def hashes(chars: np.ndarray, order: int) -> list[np.ndarray]:
@@ -82,20 +104,16 @@ def hashes(chars: np.ndarray, order: int) -> list[np.ndarray]:
 
 @dataclass
 class Models:
+    """Models of some languages over shared arrays."""
+
     languages: list
     keys: list  # [k]: sorted hashes of the known n-grams of k + 1 characters
     logp: list  # [k]: (n-grams, languages)
     logb: list  # [k]: back-off weight if the n-gram is a context
     floor: np.ndarray
-    temperature: float = 1.0
-    limit: np.ndarray | None = None
 
-    def entropies(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages): nats per character."""
-        parts = [characters(t) for t in texts]
-        lengths = np.array([len(p) for p in parts])
-        chars = np.concatenate(parts)
-        place = np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    def totals(self, chars: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(characters, languages): log probability of each character; ``place`` is its place in its text."""
         order, h = len(self.keys), hashes(chars, len(self.keys))
         total = np.zeros((len(chars), len(self.languages)), np.float32)
         todo = np.flatnonzero(place > 0)  # the leading space is context only
@@ -111,21 +129,68 @@ class Models:
             elif not k:
                 total[miss] += self.floor
             todo = np.concatenate([miss, short])
-        starts = np.cumsum(lengths) - lengths
-        sums = np.add.reduceat(total, starts, axis=0, dtype=np.float64)
-        return -sums / np.maximum(lengths - 1, 1)[:, None]
+        return total
+
+
+@dataclass
+class Identifier:
+    """The models of all languages, with what calibrates and rejects."""
+
+    parts: list
+    temperature: float = 1.0
+    limit: np.ndarray | None = None
+    calibration_error: float = 0.0
+
+    @property
+    def languages(self) -> list:
+        return [x for p in self.parts for x in p.languages]
+
+    def _sums(self, chars: np.ndarray, place: np.ndarray, starts) -> np.ndarray:
+        return np.concatenate([np.add.reduceat(p.totals(chars, place), starts, axis=0, dtype=np.float64) for p in self.parts], axis=1)
+
+    def long_entropy(self, text: str) -> np.ndarray:
+        """Of one text, window by window: each sees the characters before it as context."""
+        context, done, total = np.empty(0, np.uint32), 0, 0.0
+        for chars in pieces(text, PIECE):
+            if not len(chars):
+                continue
+            every = np.concatenate([context, chars])
+            place = np.arange(len(every)) + done - len(context)
+            total = total + self._sums(every, place, [0, len(context)] if len(context) else [0])[-1]
+            done += len(chars)
+            context = every[-ORDER:]
+        return -total / max(done - 1, 1)
+
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages): nats per character."""
+        out = np.zeros((len(texts), sum(len(p.languages) for p in self.parts)))
+        held, size = [], 0
+        for i, t in enumerate([*texts, None]):
+            if held and (t is None or size + len(t) > PIECE):
+                parts = [characters(texts[j]) for j in held]
+                lengths = np.array([len(p) for p in parts])
+                starts = np.cumsum(lengths) - lengths
+                place = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+                out[held] = -self._sums(np.concatenate(parts), place, starts) / np.maximum(lengths - 1, 1)[:, None]
+                held, size = [], 0
+            if t is not None and len(t) > PIECE:
+                out[i] = self.long_entropy(t)
+            elif t is not None:
+                held.append(i)
+                size += len(t)
+        return out
 
     def predict(self, texts: list[str]) -> dict[str, list]:
         out = {"lang_pred": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts), "cross_entropy": [None] * len(texts), "rejected": [True] * len(texts)}
         some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-        if not some or not self.languages:
+        if not some or not self.parts:
             return out
-        e = self.entropies([texts[i] for i in some])
+        e, languages = self.entropies([texts[i] for i in some]), self.languages
         best = e.argmin(axis=1)
         low = e[np.arange(len(e)), best]
         p = 1 / np.exp((low[:, None] - e) / self.temperature).sum(axis=1)
         for i, b, x, q in zip(some, best.tolist(), low.tolist(), p.tolist(), strict=True):
-            out["lang_pred"][i], out["score"][i], out["cross_entropy"][i] = self.languages[b], q, x
+            out["lang_pred"][i], out["score"][i], out["cross_entropy"][i] = languages[b], q, x
             out["rejected"][i] = x > self.limit[b]
         return out
 
@@ -138,8 +203,20 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, keys[i] == wanted
 
 
-def estimate(chars_by_language: dict[str, list[np.ndarray]], order: int = ORDER) -> Models:
-    """Interpolated Kneser-Ney models of all languages over shared key arrays."""
+def discount(n: np.ndarray) -> float:
+    """Absolute discount from the numbers of n-grams with count one and two."""
+    once, twice = int((n == 1).sum()), int((n == 2).sum())
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else DISCOUNT
+
+
+def alphabet(chars_by_language: dict[str, list[np.ndarray]]) -> int:
+    """How many characters there are to predict, one for the unknown ones included."""
+    seen = [np.unique(c[1:]) for cs in chars_by_language.values() for c in cs]
+    return len(np.unique(np.concatenate(seen))) + 1 if seen else 1
+
+
+def estimate(chars_by_language: dict[str, list[np.ndarray]], order: int = ORDER, size: int | None = None) -> Models:
+    """Interpolated Kneser-Ney models of these languages over shared key arrays; ``size``: the alphabet's, if other languages share it."""
     languages = sorted(chars_by_language)
     if not languages:
         none = np.zeros((0, 0), np.float32)
@@ -165,8 +242,7 @@ def estimate(chars_by_language: dict[str, list[np.ndarray]], order: int = ORDER)
             uniq[k][3] = np.where(hit, n[i], 1).astype(float)
         for k in range(order):
             counted[k][name] = uniq[k]
-    size = len(set().union(*(set(counted[0][n][0].tolist()) for n in languages))) + 1
-    uniform = 1.0 / size
+    uniform = 1.0 / (size or alphabet(chars_by_language))
     keys = [np.unique(np.concatenate([counted[k][n][0] for n in languages])) for k in range(order)]
     models = Models(languages, keys, [], [], np.zeros(len(languages), np.float32))
     probs: list[np.ndarray] = []
@@ -179,7 +255,8 @@ def estimate(chars_by_language: dict[str, list[np.ndarray]], order: int = ORDER)
             contexts, where = np.unique(context, return_inverse=True)
             total = np.bincount(where, n, minlength=len(contexts))
             kinds = np.bincount(where, minlength=len(contexts))
-            gamma = DISCOUNT * kinds / np.maximum(total, 1e-9)
+            less = discount(n)
+            gamma = less * kinds / np.maximum(total, 1e-9)
             if k == 0:
                 base = np.full(len(keys[0]), uniform)
                 g = np.full(len(keys[0]), gamma[0] if len(gamma) else 1.0)
@@ -192,7 +269,7 @@ def estimate(chars_by_language: dict[str, list[np.ndarray]], order: int = ORDER)
                 weights[k - 1][j[known], li] = gamma[known]
             prob[:, li] = g * base
             i, hit = find(keys[k], own)
-            prob[i, li] += np.maximum(n - DISCOUNT, 0) / np.maximum(total[where], 1e-9)
+            prob[i, li] += np.maximum(n - less, 0) / np.maximum(total[where], 1e-9)
         probs.append(prob)
         weights.append(weight)
         if k + 1 < order:
@@ -205,65 +282,80 @@ def estimate(chars_by_language: dict[str, list[np.ndarray]], order: int = ORDER)
     return models
 
 
-def fit(rows: list[tuple[str, str]], order: int = ORDER, reject_quantile: float = REJECT_QUANTILE) -> Models:
-    """Models from (language, text) rows; every fifth row calibrates the temperature and the rejection limits."""
-    rows = [(lang, t) for lang, t in rows if t and _LETTER.search(t)]
+def fitted_temperature(e: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """The temperature of least loss on rows that no model learned from, and the calibration error there.
+
+    Targets are smoothed by one row of each other language, so that rows without a mistake don't push the temperature to zero.
+    """
+    n, k = e.shape
+    if k < 2:
+        return 1.0, 0.0
+    z0 = e.min(axis=1, keepdims=True) - e
+    wanted = np.full((n, k), 1 / (n + k))
+    wanted[np.arange(n), truth] += n / (n + k)
+
+    def loss(log_t):
+        z = z0 / math.exp(log_t)
+        return -(wanted * (z - np.logaddexp.reduce(z, axis=1, keepdims=True))).sum() / n
+
+    grid = np.linspace(math.log(1e-5), math.log(100), 200)
+    best = int(np.argmin([loss(x) for x in grid]))
+    low, high = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
+    for _ in range(40):  # golden section
+        a, b = high - 0.618 * (high - low), low + 0.618 * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    t = math.exp((low + high) / 2)
+    sure = 1 / np.exp(z0 / t).sum(axis=1)
+    right = (e.argmin(axis=1) == truth).astype(float)
+    bins = np.minimum((sure * 10).astype(int), 9)
+    error = sum(abs(sure[bins == b].sum() - right[bins == b].sum()) for b in range(10)) / n
+    return t, float(error)
+
+
+def fit(rows: list[tuple[str, str]], order: int = ORDER, reject_quantile: float = REJECT_QUANTILE, together: int = TOGETHER) -> Identifier:
+    """Models from (language, text) rows; every fifth row of a language only calibrates the temperature and the rejection limits."""
     by: dict[str, list[str]] = {}
     for lang, t in rows:
-        by.setdefault(lang, []).append(t)
-    learn = {lang: [characters(t) for i, t in enumerate(ts) if i % 5 or len(ts) < 5] for lang, ts in by.items()}
-    models = estimate(learn, order)
-    check = [(lang, t) for lang, ts in by.items() for i, t in enumerate(ts) if not i % 5]
-    models.limit = np.full(len(models.languages), np.inf)
+        if t and _LETTER.search(t):
+            by.setdefault(lang, []).append(t)
+    learn = {lang: [characters(t) for i, t in enumerate(ts) if i % 5 or len(ts) < 5] for lang, ts in sorted(by.items())}
+    size, names = alphabet(learn), list(learn)
+    model = Identifier([estimate({x: learn[x] for x in names[i : i + together]}, order, size) for i in range(0, len(names), together)])
+    model.limit = np.full(len(names), np.inf)
+    check = [(lang, t) for lang, ts in by.items() if len(ts) >= 5 for i, t in enumerate(ts) if not i % 5]
     if check:
-        e = models.entropies([t for _, t in check])
-        truth = np.array([models.languages.index(lang) for lang, _ in check])
-        at = np.arange(len(e))
-
-        def loss(temperature):
-            z = -(e - e.min(axis=1, keepdims=True)) / temperature
-            return -(z[at, truth] - np.log(np.exp(z).sum(axis=1))).mean()
-
-        models.temperature = float(min(np.geomspace(0.005, 1.0, 40), key=loss))
-        for li in range(len(models.languages)):
+        e = model.entropies([t for _, t in check])
+        truth = np.array([names.index(lang) for lang, _ in check])
+        model.temperature, model.calibration_error = fitted_temperature(e, truth)
+        for li in range(len(names)):
             own = e[truth == li, li]
             if len(own) >= 3:
-                models.limit[li] = np.quantile(own, reject_quantile) + 3 * own.std()
-    return models
+                model.limit[li] = np.quantile(own, reject_quantile) + 3 * own.std()
+    return model
 
 
-def sample(df: DataFrame, learnable, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+def sample(df: DataFrame, learnable, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES) -> list[tuple[str, str]]:
     """The bounded learning sample: ids are picked first, so that only the chosen rows' texts are moved."""
     rows = df.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    common = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.where(F.col("lang").isin(common)).withColumn("rank", rank).where(F.col("rank") <= per_language).select("id").distinct()
-    # at most languages * per_language ids
-    texts = rows.join(F.broadcast(chosen.withColumnRenamed("id", "chosen")), F.col(id_col) == F.col("chosen"))
+    known = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.octet_length(text_col).cast("bigint").alias("bytes"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "bytes")
+    # a top-k within each language: Spark limits the groups before the shuffle
+    first = known.where(F.col("bytes") <= language_bytes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    so_far = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= language_bytes).select(F.col("id").alias("chosen")).distinct()
+    # at most per_language ids a language
+    texts = rows.join(F.broadcast(chosen), F.col(id_col) == F.col("chosen"))
     # one row an id, so that repeated rows can't make the sample grow past its bound
-    got = texts.groupBy("chosen").agg(F.min(F.struct(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))).alias("row")).collect()
+    row = F.struct(F.octet_length(text_col).alias("bytes"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    got = texts.groupBy("chosen").agg(F.min(row).alias("row")).collect()
     return [(r["row"]["lang"], r["row"]["text"]) for r in sorted(got, key=lambda r: (r["row"]["lang"], r["chosen"]))]
 
 
-def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+def identify(df: DataFrame, models: Identifier, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, ``lang_pred``, ``score``, ``cross_entropy`` (nats a character), ``rejected``."""
     shared = df.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     def make():
-        m = shared.value
-
-        def apply(texts):
-            out = {"lang_pred": [], "score": [], "cross_entropy": [], "rejected": []}
-            start = held = 0
-            for i, t in enumerate([*texts, None]):
-                if i == len(texts) or held > 300_000:
-                    for name, values in m.predict(texts[start:i]).items():
-                        out[name] += values
-                    start, held = i, 0
-                held += len(t or "")
-            return out
-
-        return apply
+        return shared.value.predict
 
     return map_texts(df, id_col, text_col, "lang_pred string, score double, cross_entropy double, rejected boolean", make, also)
