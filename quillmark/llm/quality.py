@@ -7,8 +7,12 @@ all its tokens, those outside the vocabulary pooled by kind, with the logarithm
 the shares of the marks. The network (tanh, then a sigmoid) is fitted by Adam with plain numpy; one temperature, fitted on part of
 the sample, calibrates its probabilities.
 
-The sample holds at most ``sample_rows`` labelled documents, those of smallest id hash, whole texts. Inputs of a score are the text
-alone. Null text counts as empty and is scored like any text. Without both labels in the sample every score is the label's share.
+The sample holds at most ``sample_rows`` labelled documents, those of smallest id hash, and at most ``sample_bytes`` bytes of their texts, whole texts;
+a text beyond that bound is passed over. Every fifth row feeds neither the word vectors nor the network: these rows calibrate the temperature, with
+smoothed targets, and give ``calibration_error``. Inputs of a score are the text alone. Null and empty texts have the features of no token and are scored like
+any text; long texts are counted whole, one at a time. Equal texts and repeated rows get equal scores, each row its own; of several texts under one id the
+sample takes the least, of several labels the least. Without both labels in the sample every score is the label's share. Empty tables give empty
+results. Columns beyond those named are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_texts
 
 #: Bound of the learning sample, in documents.
 SAMPLE_ROWS = 3000
+#: Bound of the learning sample, in bytes of text.
+SAMPLE_BYTES = 32_000_000
 DIM = 64
 VOCABULARY = 20_000
 HIDDEN = 24
@@ -79,6 +86,7 @@ class Classifier:
     layers: tuple
     temperature: float
     prior: float
+    calibration_error: float = 0.0
 
     def features(self, text: str) -> np.ndarray:
         found, row_of = counts(text), self.row_of
@@ -132,13 +140,36 @@ def word_vectors(texts: list[str], window: int = 2) -> tuple[dict, np.ndarray]:
     return row_of, context / np.maximum(size, 1e-9) + index / np.linalg.norm(index, axis=1, keepdims=True)
 
 
+def fitted_temperature(logit: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """The temperature of least loss on rows that nothing learned from, and the calibration error there.
+
+    Targets are smoothed by one row of either label, so that rows without a mistake don't push the temperature to zero.
+    """
+    wanted = (truth * len(truth) + 0.5) / (len(truth) + 1)
+
+    def loss(log_t):
+        z = logit / np.exp(log_t)
+        return (np.logaddexp(0, z) - wanted * z).mean()
+
+    grid = np.linspace(np.log(1e-3), np.log(1e4), 200)
+    best = int(np.argmin([loss(x) for x in grid]))
+    low, high = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
+    for _ in range(40):  # golden section
+        a, b = high - 0.618 * (high - low), low + 0.618 * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    t = float(np.exp((low + high) / 2))
+    p = 1 / (1 + np.exp(-np.clip(logit / t, -500, 500)))
+    bins = np.minimum((p * 10).astype(int), 9)
+    return t, float(sum(abs(p[bins == b].sum() - truth[bins == b].sum()) for b in range(10)) / len(truth))
+
+
 def fit(rows: list[tuple[str, int]], epochs: int = 400, seed: int = 3) -> Classifier:
-    """A classifier from (text, label) rows; every fifth row calibrates the temperature."""
+    """A classifier from (text, label) rows; every fifth row only calibrates the temperature."""
     y = np.array([r[1] for r in rows], float)
     prior = float(y.mean()) if len(y) else 0.5
-    row_of, vectors = word_vectors([t for t, _ in rows])
-    model = Classifier(row_of, vectors, np.zeros(DIM + 4), np.ones(DIM + 4), None, 1.0, prior)
     held = np.arange(len(y)) % 5 == 4
+    row_of, vectors = word_vectors([t for (t, _), h in zip(rows, held, strict=True) if not h])
+    model = Classifier(row_of, vectors, np.zeros(DIM + 4), np.ones(DIM + 4), None, 1.0, prior)
     if len(set(y[~held].tolist())) < 2:
         return model
     x = np.array([model.features(t) for t, _ in rows])
@@ -159,25 +190,24 @@ def fit(rows: list[tuple[str, int]], epochs: int = 400, seed: int = 3) -> Classi
             p[i] = p[i] - 0.02 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     model.layers = tuple(p)
     if held.any():
-        logit, truth = model.logits(x[held]), y[held]
-
-        def loss(temperature):
-            s = logit / temperature
-            return (np.logaddexp(0, s) - truth * s).mean()
-
-        model.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
+        model.temperature, model.calibration_error = fitted_temperature(model.logits(x[held]), y[held])
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, learnable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """The bounded learning sample; ``learnable`` is a condition on the labels' id. The ids are chosen before texts are read."""
+def sample(docs: DataFrame, labels: DataFrame, learnable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """The bounded learning sample; ``learnable`` is a condition on the labels' id. The ids are chosen, and their texts measured, before texts are read."""
     known = labels.where(learnable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(F.octet_length(text).cast("bigint").alias("bytes"), text.alias("text")).alias("row"))
+    sizes = rows.select("id", F.col("row.bytes").alias("bytes")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("bytes").alias("bytes"))
+    # at most sample_rows rows: a window without partition
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    kept = sizes.where(F.col("bytes") <= sample_bytes // 8).withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("id")
     # one text an id, so that repeated rows can't make the sample grow past its bound
-    got = rows.groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text")).collect()
-    return [(r["text"] or "", r["label"]) for r in sorted(got, key=lambda r: xxhash.xxh64_intdigest(str(r["id"])))]
+    got = rows.join(F.broadcast(chosen.join(kept, "id", "left_semi")), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("row").alias("row")).collect()
+    return [(r["row"]["text"], r["label"]) for r in sorted(got, key=lambda r: xxhash.xxh64_intdigest(str(r["id"])))]
 
 
 def score(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
