@@ -1,16 +1,18 @@
 """MPEG audio columns: parse streams to exact durations and frame seek offsets, and carry payload bytes in silent frames.
 
-``scan`` reads any MPEG-1/2/2.5 layer I-III stream: it skips an ID3v2 tag, resynchronises on frame headers (a header counts
-only if the next frame, the end or a trailing tag follows it at the computed distance, or if it follows a frame and its own
-checksum fits), verifies the CRC-16 of protected frames,
-reads a Xing/Info table, and gives the exact number of samples and the offset of each frame.
+``scan`` reads any MPEG-1/2/2.5 layer I-III stream with a bitrate in its headers (free format isn't read): it parses ID3v2 tags (2.2 to 2.4, with
+unsynchronisation and extended headers), ID3v1 and the length of APE tags, and resynchronises on frame headers: a header counts if the next frame at
+the computed distance agrees in version, layer and rate, if it agrees with the frame right before it and any frame, the end or a tag
+follows, or if it stands right after a frame and its own checksum fits. It verifies the CRC-16 of protected frames of all layers over the bits that
+the layer protects, reads a Xing, Info or VBRI table, and gives the exact duration, summed over the sample rates of the stream, and the offset of each frame.
 
 ``pack`` stores bytes losslessly: layer III mono frames at 32 kHz whose side information announces no main data are silence of
 36 ms each; the bytes after the side information are ancillary data that decoders skip, and there the payload lies. The last
 frame takes the smallest bitrate that holds the rest, so the stream has a variable bitrate and carries a table for it.
 
-Null text counts as empty. Equal bytes give equal streams. Damaged streams: bytes that belong to no frame are counted in
-``lost``, failed checksums in ``crc_errors``; a frame that fails its checksum yields no payload.
+Null and empty texts: 64 zero bytes. Texts of any length are stored whole, one at a time. Equal texts give equal streams; repeated rows keep their
+rows. Damaged streams: bytes that belong to no frame are counted in ``lost``, failed checksums in ``crc_errors``; a frame that fails its checksum
+yields no payload. Empty tables give empty results. Columns beyond the id and the text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BITRATES = {
     (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: Layer II: how many subbands have an allocation field of how many bits, by table.
+ALLOCATION = {"wide": ((11, 4), (12, 3), (7, 2)), "narrow": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 TAG = b"ID3"
 PAD = 64
@@ -53,10 +57,14 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
-    c = 0xFFFF
-    for b in data:
+def crc16(data: bytes, bits: int = 0) -> int:
+    """Over whole bytes, or over the first ``bits`` bits."""
+    c, whole = 0xFFFF, bits // 8 if bits else len(data)
+    for b in data[:whole]:
         c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ b]
+    for i in range(bits % 8):
+        bit = data[whole] >> 7 - i & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
     return c
 
 
@@ -70,6 +78,8 @@ class Header:
     mono: bool
     size: int
     samples: int
+    bound: int = 32  # the first subband that the channels share
+    form: tuple = ()  # what consecutive frames of a stream have in common
 
     @property
     def side(self) -> int:
@@ -93,7 +103,8 @@ def header(four: bytes) -> Header | None:
             bits, padding = BITRATES[2 if low else 1, layer][index] * 1000, four[2] >> 1 & 1
             samples = 384 if layer == 1 else 576 if layer == 3 and low else 1152
             size = (12 * bits // hz + padding) * 4 if layer == 1 else samples // 8 * bits // hz + padding
-            found = Header(version, layer, not four[1] & 1, bits, hz, four[3] >> 6 == 3, size, samples)
+            mode, extension = four[3] >> 6, four[3] >> 4 & 3
+            found = Header(version, layer, not four[1] & 1, bits, hz, mode == 3, size, samples, 4 * extension + 4 if mode == 1 else 32, (version, layer, hz))
     if len(_headers) < 65536:
         _headers[four] = found
     return found
@@ -105,10 +116,12 @@ class Scan:
 
     tag_bytes: int = 0
     tags: dict = field(default_factory=dict)
+    old_tag: dict = field(default_factory=dict)
     table: dict = field(default_factory=dict)
     offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     samples: int = 0
     rate: int = 0
+    by_rate: dict = field(default_factory=dict)
     bitrates: dict = field(default_factory=dict)
     crc_checked: int = 0
     crc_errors: int = 0
@@ -118,37 +131,85 @@ class Scan:
 
     @property
     def duration(self) -> Fraction:
-        return Fraction(self.samples, self.rate) if self.rate else Fraction(0)
+        return sum((Fraction(n, rate) for rate, n in self.by_rate.items()), Fraction(0))
 
 
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
 
-def _tags(data: bytes) -> tuple[int, dict]:
-    """Length and text frames of an ID3v2.4 or 2.3 tag at the start."""
-    if data[:3] != TAG or len(data) < 10:
+def _number(raw: bytes, bits: int = 8) -> int:
+    out = 0
+    for b in raw:
+        out = out << bits | b & (1 << bits) - 1
+    return out
+
+
+def _text(body: bytes) -> str:
+    return body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
+
+
+def _tags(data: bytes, at: int = 0) -> tuple[int, dict]:
+    """Length and text frames of an ID3v2 tag at a place; length 0 if there is none."""
+    head = data[at : at + 10]
+    if head[:3] != TAG or len(head) < 10 or max(head[6:10]) > 127:
         return 0, {}
-    size = 10 + sum((b & 0x7F) << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-    out, at, major = {}, 10, data[3]
-    while at + 10 <= min(size, len(data)) and data[at]:
-        raw = data[at + 4 : at + 8]
-        n = sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if major >= 4 else int.from_bytes(raw, "big")
-        body = data[at + 10 : at + 10 + n]
-        if data[at : at + 1] == b"T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
-            name = data[at : at + 4].decode("latin-1")
-            if name == "TXXX":
+    major, flags, size = head[3], head[5], _number(head[6:10], 7)
+    body = data[at + 10 : at + 10 + size]
+    if flags & 0x80 and major < 4:  # unsynchronised as a whole
+        body = body.replace(b"\xff\x00", b"\xff")
+    place = 0
+    if flags & 0x40 and major >= 3:  # extended header; its size counts itself from 2.4 on
+        place = _number(body[:4], 7) if major >= 4 else 4 + _number(body[:4])
+    name_size, head_size = (3, 6) if major == 2 else (4, 10)
+    out = {}
+    while place + head_size <= len(body) and body[place]:
+        raw = body[place + name_size : place + 2 * name_size]
+        n = _number(raw, 7) if major >= 4 else _number(raw)
+        part = body[place + head_size : place + head_size + n]
+        if major >= 4 and (body[place + 9] & 0x02 or flags & 0x80):
+            if body[place + 9] & 0x01:  # the length before unsynchronisation
+                part = part[4:]
+            part = part.replace(b"\xff\x00", b"\xff")
+        if body[place : place + 1] == b"T" and part:
+            name, text = body[place : place + name_size].decode("latin-1"), _text(part)
+            if name in ("TXXX", "TXX"):
                 name, _, text = text.partition("\0")
             out[name] = text
-        at += 10 + n
-    return size, out
+        place += head_size + n
+    return 10 + size + 10 * (major >= 4 and flags >> 4 & 1), out
+
+
+def _old_tag(data: bytes) -> dict:
+    """Fields of an ID3v1 tag in the last 128 bytes; with a track number (1.1) if a zero byte stands before it."""
+    raw = data[-128:]
+    if len(raw) < 128 or raw[:3] != b"TAG":
+        return {}
+    clean = lambda b: b.split(b"\0")[0].decode("latin-1").strip()
+    out = {name: clean(raw[a:b]) for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127))}
+    if raw[125] == 0 and raw[126]:
+        out["comment"], out["track"] = clean(raw[97:125]), raw[126]
+    return out | {"genre": raw[127]}
+
+
+def _trailing(data: bytes) -> tuple[int, dict]:
+    """Length of the tags at the end, and the fields of an ID3v1 tag."""
+    fields = _old_tag(data)
+    size = 128 if fields else 0
+    foot = data[len(data) - size - 32 : len(data) - size]
+    if foot[:8] == b"APETAGEX":
+        size += int.from_bytes(foot[12:16], "little") + 32 * (foot[23] >> 7)
+    return min(size, len(data)), fields
 
 
 def _table(frame: bytes, h: Header) -> dict:
-    """The Xing/Info table of a first frame."""
-    at = 4 + 2 * h.protected + h.side
-    if frame[at : at + 4] not in (b"Xing", b"Info"):
+    """The Xing, Info or VBRI table of a first frame."""
+    if frame[36:40] == b"VBRI":
+        entries, scale, width, step = (int.from_bytes(frame[36 + i : 38 + i], "big") for i in (18, 20, 22, 24))
+        toc = tuple(int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(entries if 62 + entries * width <= len(frame) else 0))
+        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"), "step": step, "toc": toc}
+    at = next((a for a in (4 + 2 * h.protected + h.side, 4 + h.side) if frame[a : a + 4] in (b"Xing", b"Info")), None)
+    if at is None:
         return {}
     flags, out = int.from_bytes(frame[at + 4 : at + 8], "big"), {"kind": frame[at : at + 4].decode()}
     at += 8
@@ -161,42 +222,83 @@ def _table(frame: bytes, h: Header) -> dict:
     return out
 
 
-def _followed(data: bytes, end: int, n: int) -> bool:
-    """Whether a frame that ends here is followed by a frame, by a trailing tag or by the end."""
-    return end + 4 > n or header(data[end : end + 4]) is not None or data[end : end + 3] == b"TAG"
-
-
-def _crc_fits(data: bytes, at: int, h: Header) -> bool:
-    return h.protected and h.layer == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == data[at + 4] << 8 | data[at + 5]
+def guarded(data: bytes, at: int, h: Header) -> tuple[bytes, int]:
+    """The bytes that begin with the bits under the frame's checksum, and how many bits these are."""
+    head, rest, channels = data[at + 2 : at + 4], data[at + 6 : at + h.size], 1 if h.mono else 2
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * (h.bound * channels + 32 - h.bound) if channels == 2 else 128
+    else:
+        rate = h.bitrate // 1000 // channels
+        if h.version != 3:
+            kind, bands = "low", 30
+        elif rate < 56:
+            kind, bands = "narrow", 12 if h.rate == 32000 else 8
+        else:
+            kind, bands = "wide", 30 if rate >= 96 and h.rate != 48000 else 27
+        widths = [w for n, w in ALLOCATION[kind] for _ in range(n)][:bands]
+        field, bits, used = int.from_bytes(rest[:32], "big"), 0, 0
+        for band, width in enumerate(widths):
+            shared = channels == 2 and band >= h.bound
+            for _ in range(1 if shared else channels):
+                value = field >> 256 - bits - width & (1 << width) - 1 if len(rest) >= 32 else 0
+                bits += width
+                used += (2 if shared else 1) * (value != 0)
+        bits += 2 * used  # the scale factor selections follow
+    return head + rest[: -(-bits // 8)], 16 + bits
+
+
+_checked: dict[tuple[bytes, int], int] = {}
+
+
+def crc_fits(data: bytes, at: int, h: Header) -> bool:
+    found = guarded(data, at, h)
+    want = _checked.get(found)
+    if want is None:
+        if len(_checked) > 65536:
+            _checked.clear()
+        _checked[found] = want = crc16(*found) if len(found[0]) * 8 >= found[1] else -1
+    return want == data[at + 4] << 8 | data[at + 5]
 
 
 def scan(data: bytes, payload: bool = False) -> Scan:
     """Parse a stream; with ``payload`` also collect the ancillary bytes of silent frames."""
-    out = Scan()
-    out.tag_bytes, out.tags = _tags(data)
-    at, n, offsets, first, synced = out.tag_bytes, len(data), [], True, True
-    checked: dict[bytes, int] = {}
+    out, at = Scan(), 0
+    while (found := _tags(data, at))[0]:
+        at, out.tags = at + found[0], out.tags | found[1]
+    out.tag_bytes = at
+    tail, old_tag = _trailing(data)
+    n = len(data)
+    last = max(at, n - tail)  # where tags begin, if a frame ends there
+    offsets, first, before = [], True, None  # before: the frame that ends here
+    synced = True
     while at + 4 <= n:
         h = header(data[at : at + 4])
         end = at + h.size if h else 0
-        if h is None or end > n or not _followed(data, end, n) and not (synced and _crc_fits(data, at, h)):
-            if data[at : at + 3] == b"TAG" and n - at == 128:
+        fits = False
+        if h is not None and end <= n:
+            after = header(data[end : end + 4]) if end + 4 <= n else None
+            fits = after is not None and after.form == h.form or end in (n, last) or end + 4 > n and synced
+            if not fits and before is not None:
+                fits = after is not None and before.form == h.form or h.protected and crc_fits(data, at, h)
+        if not fits:
+            if tail and at == last:
+                out.old_tag, n = old_tag, at
                 break
             if synced:
                 out.resyncs += 1
                 synced = False
-            found = data.find(b"\xff", at + 1)
-            out.lost += (found if found >= 0 else n) - at
-            at = found if found >= 0 else n
+            before = None
+            upto = last if at < last else n
+            found = data.find(b"\xff", at + 1, upto)
+            out.lost += (found if found >= 0 else upto) - at
+            at = found if found >= 0 else upto
             continue
-        synced, good = True, True
-        if h.protected and h.layer == 3:
-            guarded = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
-            want = checked.get(guarded)
-            if want is None:
-                checked[guarded] = want = crc16(guarded)
+        synced, good, before = True, True, h
+        if h.protected:
+            good = crc_fits(data, at, h)
             out.crc_checked += 1
-            good = want == data[at + 4] << 8 | data[at + 5]
             out.crc_errors += not good
         if first:
             first = False
@@ -206,11 +308,12 @@ def scan(data: bytes, payload: bool = False) -> Scan:
         offsets.append(at)
         out.samples += h.samples
         out.rate = out.rate or h.rate
+        out.by_rate[h.rate] = out.by_rate.get(h.rate, 0) + h.samples
         out.bitrates[h.bitrate] = out.bitrates.get(h.bitrate, 0) + 1
         if payload and good and h.layer == 3:
             out.payload.append(data[at + 4 + 2 * h.protected + h.side : end])
         at = end
-    out.lost += n - at if 0 < n - at < 4 else 0
+    out.lost += max(0, n - at)
     out.offsets = np.array(offsets, np.int64)
     return out
 
