@@ -1,16 +1,18 @@
 """Chat formatting: heterogeneous records to canonical turns, to a marked-up text with a loss mask, and back.
 
 A record's layout is known by its schema fingerprint: a hash of the sorted nested field paths that hold a value, list positions
-left out. A registry maps fingerprints to declarative mappings: a list of turns, each a role and a field path, or a list field
-with role and text fields and role aliases. Records whose fingerprint isn't registered take the mapping whose required paths they
-hold with the fewest paths left over; none gives ``layout`` null and no turns.
+left out. A registry maps fingerprints to declarative mappings: a list of turns, each a role and a nested field path, or a path to a list with the
+paths of role and text inside its items, with role aliases where a layout has its own names for roles. Records whose fingerprint isn't registered
+take the mapping whose required paths they hold with the fewest paths left over, the first by name on ties; none gives ``layout`` null and no turns.
+Roles without an alias are kept as they are.
 
 The template marks a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts every ``<`` followed by backslashes and ``|`` gets one
 more backslash, so no text holds a control string and the inverse takes exactly one away. Roles escape backslashes and line
 breaks besides. The loss mask covers the text of assistant turns.
 
-Null text or role counts as empty. Turns of a conversation are ordered by turn (nulls first), then role, then text; repeated rows
-stay. A null conversation id is a conversation of its own.
+Null text or role counts as empty. Turns of a conversation are ordered by turn (nulls first), then place in the record, role, text; repeated rows
+stay. A null conversation id is a conversation of its own. A turn of any length is held whole, batches are cut by bytes. Records that are no JSON
+object have no layout. Empty tables give empty results. Columns beyond those named are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,22 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
-#: Declarative mappings. ``turns``: (role, path) pairs; ``list``: path of a list, ``role`` and ``text``: fields of its items.
+SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
+#: Declarative mappings. ``turns``: (role, path or paths) pairs; ``list``: path of a list ("" for the record itself), ``role`` and ``text``: paths in its
+#: items; ``aliases``: the layout's own names of roles. Paths are nested field names joined by points; ``needs`` lists the paths that must hold a value.
 MAPPINGS = {
-    "flat_turn": {"list": None, "role": "role", "text": "text", "needs": ("role", "text")},
+    "flat_turn": {"list": "", "role": "role", "text": "text", "needs": ("role", "text")},
     "messages": {"list": "messages", "role": "role", "text": "content", "needs": ("messages[].role", "messages[].content")},
-    "conversation_values": {"list": "conversations", "role": "from", "text": "value", "needs": ("conversations[].from", "conversations[].value")},
+    "messages_in_parts": {"list": "messages", "role": "role", "text": "content", "needs": ("messages[].role", "messages[].content[].text")},
+    "conversation_values": {"list": "conversations", "role": "from", "text": "value", "aliases": SPEAKERS, "needs": ("conversations[].from", "conversations[].value")},
     "turn_list": {"list": "turns", "role": "role", "text": "text", "needs": ("turns[].role", "turns[].text")},
+    "author_mapping": {"list": "mapping", "role": "message.author.role", "text": "message.content.parts", "needs": ("mapping[].message.author.role", "mapping[].message.content.parts[]")},
     "prompt_completion": {"turns": (("user", "prompt"), ("assistant", "completion")), "needs": ("prompt", "completion")},
     "prompt_response": {"turns": (("system", "system"), ("user", "prompt"), ("assistant", "response")), "needs": ("prompt", "response")},
     "instruction": {"turns": (("system", "system"), ("user", ("instruction", "input")), ("assistant", "output")), "needs": ("instruction", "output")},
     "question_answer": {"turns": (("user", "question"), ("assistant", "answer")), "needs": ("question", "answer")},
+    "prompt_alone": {"turns": (("user", "prompt"),), "needs": ("prompt",)},
+    "completion_alone": {"turns": (("assistant", "completion"),), "needs": ("completion",)},
+    "instruction_alone": {"turns": (("user", "instruction"),), "needs": ("instruction",)},
+    "output_alone": {"turns": (("assistant", "output"),), "needs": ("output",)},
+}
+#: Fields that may hold a record of any other layout.
+WRAPPERS = ("data", "record", "conversation", "example")
+MAPPINGS |= {
+    f"{w}.{name}": m | ({"list": f"{w}.{m['list']}".rstrip(".")} if "list" in m else {"turns": tuple((role, tuple(f"{w}.{p}" for p in ((path,) if isinstance(path, str) else path))) for role, path in m["turns"])}) | {"needs": tuple(f"{w}.{n}" for n in m["needs"])}
+    for w in WRAPPERS
+    for name, m in tuple(MAPPINGS.items())
 }
-ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
 def paths(value, prefix: str = "") -> set[str]:
@@ -51,6 +69,15 @@ def paths(value, prefix: str = "") -> set[str]:
     return {prefix} if value is not None else set()
 
 
+def at_path(value, path: str):
+    """What stands at a nested path; None where a field is missing. The empty path is the value itself."""
+    for name in path.split(".") if path else ():
+        if not isinstance(value, dict):
+            return None
+        value = value.get(name)
+    return value
+
+
 def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
@@ -77,11 +104,13 @@ class Layouts:
             return key, None, []
         m = self.mappings[name]
         if "list" in m:
-            items = [record] if m["list"] is None else record.get(m["list"]) or []
-            return key, name, [(ALIASES.get(r := _text(i.get(m["role"])), r), _text(i.get(m["text"]))) for i in items if isinstance(i, dict)]
+            items, aliases = at_path(record, m["list"]), m.get("aliases", {})
+            items = items if isinstance(items, list) else [items]
+            roles = [(_text(at_path(i, m["role"])), _text(at_path(i, m["text"]))) for i in items if isinstance(i, dict)]
+            return key, name, [(aliases.get(r, r), t) for r, t in roles]
         out = []
         for role, path in m["turns"]:
-            parts = [_text(record.get(p)) for p in ((path,) if isinstance(path, str) else path)]
+            parts = [_text(at_path(record, p)) for p in ((path,) if isinstance(path, str) else path)]
             text = "\n\n".join(p for p in parts if p)
             if text or role != "system":
                 out.append((role, text))
@@ -134,74 +163,100 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def canonical_turns(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """Records as JSON objects to rows (id, fingerprint, layout, turn, role, text); text that isn't an object has no layout."""
+def canonical_turns(df: DataFrame, id_col: str, record_col: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Records as JSON objects to rows (id, ``also``, fingerprint, layout, item, role, text); text that isn't an object has no layout."""
+    source = df.select(id_col, *also, record_col)
+    kept = len(also) + 1
+    schema = T.StructType([*(source.schema[c] for c in (id_col, *also)), *T.StructType.fromDDL("fingerprint string, layout string, item bigint, role string, text string")])
 
     def run(batches):
         layouts = Layouts()
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for i, raw in enumerate(batch.column(1).to_pylist()):
-                try:
-                    record = json.loads(raw) if raw else None
-                except ValueError:
-                    record = None
-                if not isinstance(record, dict):
-                    rows.append((i, None, None, None, None, None))
-                    continue
-                key, name, turns = layouts.turns(record)
-                rows += [(i, key, name, t, r, x) for t, (r, x) in enumerate(turns)] or [(i, key, name, None, None, None)]
-            at, *cols = zip(*rows, strict=True) if rows else ([], [], [], [], [], [])
-            types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=schema.names)
-
-    source = df.select(id_col, record_col)
-    schema = T.StructType([source.schema[id_col], *T.StructType.fromDDL("fingerprint string, layout string, turn bigint, role string, text string")])
+            for a, b in slices(batch.column(kept)):
+                rows = []
+                for i, raw in enumerate(batch.column(kept).slice(a, b - a).to_pylist(), a):
+                    try:
+                        record = json.loads(raw) if raw else None
+                        key, name, turns = layouts.turns(record) if isinstance(record, dict) else (None, None, [])
+                    except (ValueError, RecursionError):
+                        key, name, turns = None, None, []
+                    rows += [(i, key, name, t, r, x) for t, (r, x) in enumerate(turns)] or [(i, key, name, None, None, None)]
+                at, *cols = zip(*rows, strict=True) if rows else ([], [], [], [], [], [])
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(kept)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=schema.names)
+
     return source.mapInArrow(run, schema)
 
 
-def formatted_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, turn, role, text, formatted, loss_start, loss_end) per turn row: a conversation is the concatenation of its turns.
+#: Layouts that ``mixed_records`` writes a single turn in.
+WRITTEN = 6
 
-    Each row is a record of its own; its fields are mapped like any record's, by fingerprint.
+
+def mixed_records(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(conv_id, turn, record): each turn row as a JSON record, in a layout that depends on the conversation's id.
+
+    Single-field layouts tell the role by the field's name and serve users and assistants; other roles stay in a list layout.
     """
-    source = df.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
+    kind = F.pmod(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), F.lit(WRITTEN))
+    said = lambda r, t: F.struct(role.alias(r), text.alias(t))
+    flat = F.to_json(said("role", "text"))
+    listed = F.to_json(F.struct(F.array(said("role", "content")).alias("messages")))
+    nested = F.to_json(F.struct(F.struct(F.array(said("role", "text")).alias("turns"), F.lit("made").alias("origin")).alias("data")))
+    author = F.struct(F.struct(role.alias("role")).alias("author"), F.struct(F.array(text).alias("parts")).alias("content"))
+    mapped = F.to_json(F.struct(F.array(F.struct(author.alias("message"))).alias("mapping")))
+    alone = lambda user, assistant: F.when(role == "user", F.to_json(F.struct(text.alias(user)))).when(role == ASSISTANT, F.to_json(F.struct(text.alias(assistant)))).otherwise(nested)
+    record = (
+        F.when(kind == 0, flat).when(kind == 1, listed).when(kind == 2, nested).when(kind == 3, mapped)
+        .when(kind == 4, alone("prompt", "completion")).otherwise(alone("instruction", "output"))
+    )
+    return df.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), record.alias("record"))
+
+
+def formatted_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, item, role, text, formatted, loss_start, loss_end) of canonical turns: a conversation is the concatenation of its turns."""
+    source = turns.where("layout is not null and item is not null").select("conv_id", "turn", "item", "role", "text")
     schema = T.StructType([*source.schema, *T.StructType.fromDDL("formatted string, loss_start int, loss_end int")])
 
     def run(batches):
-        layouts = Layouts()
         for batch in batches:
-            out = []
-            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                _, _, ((role, text),) = layouts.turns({"role": role or "", "text": text or ""})
-                out.append(format_turn(role, text))
-            cols = list(zip(*out, strict=True)) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=schema.names)
+            for a, b in slices(batch.column(4)):
+                part = batch.slice(a, b - a)
+                out = [format_turn(role or "", text or "") for role, text in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def formatted_records(records: DataFrame) -> DataFrame:
+    """Records (conv_id, turn, record) of any layouts to formatted turns."""
+    return formatted_turns(canonical_turns(records, "conv_id", "record", ("turn",)))
+
+
 def conversation_digests(turns: DataFrame) -> DataFrame:
     """Read the formatted turns back, conversation by conversation, with one turn in memory at a time."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     schema = T.StructType([turns.schema["conv_id"], *T.StructType.fromDDL("n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")])
-    order = ["conv_id", "turn", "role", "text"]
+    order = ["conv_id", "turn", "item", "role", "text"]
     placed = turns.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "formatted", "loss_start", "loss_end")
 
     def run(batches):
         current, state, kind = None, None, None
 
-        def row():
+        def one():
             n, said, chars, loss, total = state
             values = (current[0], n, said.hexdigest(), chars, loss.hexdigest(), total)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=names)
 
         for batch in batches:
             kind, done = batch.schema.field(0).type, []
-            for conv, formatted, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            rows = (row for x, y in slices(batch.column(1)) for row in zip(*(batch.column(i).slice(x, y - x).to_pylist() for i in range(4)), strict=True))
+            for conv, formatted, a, b in rows:
                 if current != (conv,):
                     if current is not None:
-                        done.append(row())
+                        done.append(one())
                     current, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text in parse_turns(formatted):
                     state[0] += 1
@@ -213,6 +268,6 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
             if done:
                 yield from pa.Table.from_batches(done).combine_chunks().to_batches()
         if current is not None:
-            yield row()
+            yield one()
 
     return placed.mapInArrow(run, schema)

@@ -89,14 +89,14 @@ def test_html_query(spark):
 def test_chat_query(spark):
     rows = [(1, 1, "assistant", "b<|im_end|>"), (1, 0, "user", None), (2, 0, None, "x"), (None, 0, "assistant", "y"), (1, 1, "assistant", "b<|im_end|>"), (3, None, "user", "n")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted int").repartition(3)
-    got = {r["conv_id"]: r for r in chat.conversation_digests(chat.formatted_turns(df)).collect()}
+    got = {r["conv_id"]: r for r in chat.conversation_digests(chat.formatted_records(chat.mixed_records(df))).collect()}
     one = "user\n\nassistant\nb<|im_end|>\nassistant\nb<|im_end|>\n"
     assert (got[1]["n_turns"], got[1]["turns_sha256"], got[1]["loss_chars"]) == (3, hashlib.sha256(one.encode()).hexdigest(), 22)
     assert got[1]["loss_sha256"] == hashlib.sha256(b"b<|im_end|>b<|im_end|>").hexdigest()
     assert set(got) == {1, 2, 3, None} and got[2]["loss_chars"] == 0
-    assert chat.conversation_digests(chat.formatted_turns(df.limit(0))).count() == 0
+    assert chat.conversation_digests(chat.formatted_records(chat.mixed_records(df.limit(0)))).count() == 0
     records = spark.createDataFrame([(1, '{"prompt": "a", "completion": "b"}'), (2, "[]"), (3, None), (4, '{"z": 1}')], "id int, record string")
-    turns = sorted(((r["id"], r["layout"], r["turn"], r["role"], r["text"]) for r in chat.canonical_turns(records, "id", "record").collect()), key=str)
+    turns = sorted(((r["id"], r["layout"], r["item"], r["role"], r["text"]) for r in chat.canonical_turns(records, "id", "record").collect()), key=str)
     assert turns == [(1, "prompt_completion", 0, "user", "a"), (1, "prompt_completion", 1, "assistant", "b"), (2, None, None, None, None), (3, None, None, None, None), (4, None, None, None, None)]
 
 
@@ -211,6 +211,20 @@ def test_mixing_query(spark, some, empty, group_rows):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_rows_as_sql(spark, sf_dir, name):
+    """Queries that SQL can express, against DuckDB."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    df = registry.queries()[name](spark, sf_dir)
+    want = con.sql(registry.oracle_sql()[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_registered_queries(spark, sf_dir):
     """Every contract query runs over its whole table."""
     size = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet").count() for n in ("documents", "embeddings", "pages")}
