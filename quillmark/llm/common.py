@@ -102,3 +102,38 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(part, names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than this share of all rows is hot; fewer than 1 / HOT_SHARE keys can be.
+HOT_SHARE = 0.001
+
+
+def join_hot(rows: DataFrame, named: DataFrame, keys: list[str], copies: str, total: int, how: str = "inner") -> DataFrame:
+    """Rows with the one row of ``named`` for their key; ``copies`` is a column of ``named``, how many of the ``total`` rows have the key.
+
+    Hot keys are joined by broadcast of fewer than 1 / HOT_SHARE rows, so that no task gets all rows of one; the others by a shuffle.
+    """
+    least = total * HOT_SHARE
+    hot, rest = named.where(F.col(copies) > least).drop(copies), named.where(F.col(copies) <= least).drop(copies)
+    by_shuffle = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(by_shuffle)
+
+
+def block_pairs(blocks: DataFrame, bucket: list[str], payload: list[str]) -> DataFrame:
+    """Each pair of blocks of a bucket once, a block with itself included: (same, payload + "1", payload + "2").
+
+    Pairs are formed of block names alone; the blocks follow by name, so that the pairs of one bucket lie in as many tasks as it has blocks.
+    """
+    named = blocks.withColumn("_name", F.concat_ws(":", *[F.col(c).cast("string") for c in (*bucket, "block")]))
+    ids = named.select(*bucket, "block", "_name")
+    pairs = ids.select(*bucket, F.col("block").alias("_a"), F.col("_name").alias("_x")).join(ids.select(*bucket, F.col("block").alias("_b"), F.col("_name").alias("_y")), bucket)
+    pairs = pairs.where("_a <= _b").select("_x", "_y", (F.col("_a") == F.col("_b")).alias("same"))
+    left = named.select(F.col("_name").alias("_x"), *[F.col(c).alias(f"{c}1") for c in payload])
+    right = named.select(F.col("_name").alias("_y"), *[F.col(c).alias(f"{c}2") for c in payload])
+    return pairs.join(left, "_x").join(right, "_y").drop("_x", "_y")

@@ -1,18 +1,24 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-Each distinct vector is scaled to unit length, rotated by a fixed random orthogonal matrix, and stored as sign bits with a
-correction factor f, the inner product of the code with the rotated vector. For another unit vector q the code gives the
-estimate <code, q>/f of the cosine. With true cosine c it errs by sqrt(1-c^2) * sqrt(1-f^2)/f * t, t a coordinate of a random
-direction, so a pair at or above the threshold s has an estimate of at least s - sqrt(1-s^2) * sqrt(1-f^2)/f * min(1, Z/sqrt(d-1))
-but for a chance below 1e-14. Pairs that pass are computed anew in double precision from the stored vectors, and only that decides.
-
-Which pairs meet: within a label (and length) of up to ``direct_rows`` distinct vectors all do. Beyond that, hyperplane signs make
-keys of k bits, k growing with the label's size, in as many tables as let a pair at the threshold meet with a chance above
-1 - 1e-9; a pair that meets in several tables is counted in the first. Members of a bucket beyond ``bucket_rows`` leave their task
-as packed blocks, and pairs of blocks are compared in tasks of their own. Copies are one vector with a count.
-
-Vectors that are null, zero, or hold null or non-finite components, and rows with a null label or id, link with nothing. Rows with
-one id are one node; repeated rows count as vectors of their own.
+Each distinct vector is scaled to unit length and rotated by fixed random orthogonal matrices; the signs are its code, of at least ``CODE_BITS``
+bits. For a pair of cosine c a bit differs with the chance acos(c)/pi.
+
+1. Meeting: hyperplane signs make keys of k bits, k = max(0, ceil(log2(rows / ``direct_rows``))) by the label's number of distinct vectors, in as
+   many tables as let a pair at the threshold s meet with a chance above 1 - 1e-9 (one table of one bucket where k is 0). Only (key, id, code) is
+   shuffled. In a bucket, pairs whose codes differ in more bits than a pair at s does but for a chance below 1e-13 are passed over; the others
+   are links between candidates, and a task gives at most one a member.
+2. Deciding: the components of these links are small; their members' vectors are fetched once. There each code has a stored
+   correction factor f, the inner product of code and rotated vector, and for another unit vector q the estimate <code, q>/f of the cosine is
+   unbiased. With true cosine c it errs by sqrt(1-c^2) * sqrt(1-f^2)/f * t, t a coordinate of a random direction, so a pair at or above s
+   has an estimate of at least s - sqrt(1-s^2) * sqrt(1-f^2)/f * min(1, Z/sqrt(d-1)) but for a chance below 1e-14. Pairs that pass are computed
+   anew in double precision from the stored vectors, and only that decides. Every pair of a component is compared in exactly one place.
+
+Buckets and components of any size are cut into blocks, and pairs of blocks are compared in different tasks; no bucket is capped. Copies are one
+vector with a count, so groups of copies cost nothing.
+
+Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label or id, link with nothing. Rows with
+one id are one node; repeated rows count as vectors of their own. Vectors of different length don't link. Ties: a component is named by its smallest
+id. Empty tables give empty results. Columns beyond those named are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
-from .components import connected_components
+from .common import block_pairs, checkpointed, join_hot
+from .components import Forest, connected_components
 
 THRESHOLD = 0.98
 DIRECT_ROWS = 2048
 BUCKET_ROWS = 4096
+BLOCK_ROWS = 1024
+CODE_BITS = 256
 Z = 8.0
 MISS = 1e-9
 SEED = 20_240_521
@@ -44,6 +52,16 @@ def rotation(dim: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
+@functools.lru_cache(maxsize=8)
+def rotations(dim: int) -> np.ndarray:
+    """As many rotations side by side as give CODE_BITS signs."""
+    out = [rotation(dim)]
+    for k in range(1, -(-CODE_BITS // dim)):
+        q, r = np.linalg.qr(np.random.default_rng([SEED, dim, k]).standard_normal((dim, dim)))
+        out.append((q * np.sign(np.diag(r))).astype(np.float32))
+    return np.concatenate(out, axis=1)
+
+
 @functools.lru_cache(maxsize=8)
 def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim, tables, bits]).standard_normal((dim, tables * bits))
@@ -57,51 +75,92 @@ def table_count(bits: int, threshold: float) -> int:
     return math.ceil(math.log(MISS) / math.log1p(-meet))
 
 
-def key_bits(rows: int, direct_rows: int = DIRECT_ROWS) -> int:
-    return 0 if rows <= direct_rows else min(16, math.ceil(math.log2(rows / direct_rows)))
+def words(dim: int) -> int:
+    """64-bit words of a code."""
+    return -(-dim * -(-CODE_BITS // dim) // 64)
+
 
+@functools.lru_cache(maxsize=64)
+def most_bits(dim: int, threshold: float) -> int:
+    """Differing code bits that a pair at the threshold exceeds with a chance below 1e-13 (Chernoff's bound)."""
+    n, p = dim * -(-CODE_BITS // dim), max(1e-6, math.acos(min(1.0, threshold)) / math.pi)
+    for k in range(math.ceil(n * p), n):
+        q = k / n
+        if n * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p))) > 30:
+            return k
+    return n
 
-def record(dim: int, tables: int, kind: str) -> np.dtype:
-    """A vector with its code, correction factor and keys, as it is shuffled."""
-    return np.dtype([("id", "<i8"), ("copies", "<i8"), ("factor", "<f4"), ("code", "u1", (-(-dim // 8),)), ("keys", "<u2", (tables,)), ("v", kind, (dim,))])
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    out = vectors.astype(np.float64)
+    out /= np.abs(out).max(axis=1, keepdims=True)  # first, so that no square over- or underflows
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
-def coded(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, bits: int, threshold: float) -> np.ndarray:
-    n, dim = vectors.shape
+
+def codes(unit: np.ndarray) -> np.ndarray:
+    """(vectors, words): the packed signs under all rotations."""
+    n, dim = unit.shape
+    signs = np.packbits(unit.astype(np.float32) @ rotations(dim) > 0, axis=1)
+    out = np.zeros((n, 8 * words(dim)), np.uint8)
+    out[:, : signs.shape[1]] = signs
+    return out.view(np.uint64)
+
+
+def keys(unit: np.ndarray, bits: int, threshold: float) -> np.ndarray:
+    """(vectors, tables)."""
     tables = table_count(bits, threshold)
-    out = np.zeros(n, record(dim, tables, vectors.dtype.str))
-    unit = vectors.astype(np.float64)
-    unit /= np.abs(unit).max(axis=1, keepdims=True)  # first, so that no square over- or underflows
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    rotated = unit.astype(np.float32) @ rotation(dim)
-    out["id"], out["copies"], out["v"] = ids, copies, vectors
-    out["code"] = np.packbits(rotated > 0, axis=1)
-    out["factor"] = np.abs(rotated).sum(axis=1) / math.sqrt(dim)
-    if bits:
-        signs = (unit @ hyperplanes(dim, tables, bits) > 0).reshape(n, tables, bits)
-        out["keys"] = signs @ (1 << np.arange(bits))
-    return out
+    if not bits:
+        return np.zeros((len(unit), 1), np.int64)
+    signs = (unit @ hyperplanes(unit.shape[1], tables, bits) > 0).reshape(len(unit), tables, bits)
+    return signs @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def near_codes(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16)
+    for w in range(1, x.shape[1]):
+        far += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+    return far <= most
+
+
+def link_codes(ids: np.ndarray, code: np.ndarray, most: int, forest: Forest, across: int = 0) -> None:
+    """Link candidates whose codes differ in at most ``most`` bits: all pairs, or only those between the first ``across`` and the others."""
+    n = len(ids)
+    for a in range(0, across or n, _CHUNK):
+        b = min(a + _CHUNK, across or n)
+        low = across or a
+        near = near_codes(code[a:b], code[low:], most)
+        if not across:
+            near &= np.arange(low, n)[None, :] > np.arange(a, b)[:, None]
+        i, j = np.nonzero(near)
+        if len(i) > 4 * n:  # dense: a spanning set is enough
+            for r in np.flatnonzero(near.any(axis=1)):
+                mine = low + np.flatnonzero(near[r])
+                roots = {forest.find(int(x)) for x in ids[mine]}
+                for x in roots:
+                    forest.link(int(ids[a + r]), x)
+            continue
+        for x, y in zip(ids[a + i].tolist(), ids[low + j].tolist(), strict=True):
+            forest.link(x, y)
 
 
 class Compared:
-    """Linked copies and a spanning set of links of one bucket."""
-
-    def __init__(self, rows: np.ndarray, threshold: float):
-        self.rows, self.s, self.dim = rows, threshold, rows.dtype["v"].shape[0]
-        unit = rows["v"].astype(np.float64)
-        unit /= np.abs(unit).max(axis=1, keepdims=True)
-        self.unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-        self.rotated = self.unit.astype(np.float32) @ rotation(self.dim)
-        self.signs = np.unpackbits(rows["code"], axis=1, count=self.dim).astype(np.float32) * 2 - 1
-        f = rows["factor"].astype(np.float64)
-        spread = np.sqrt(np.maximum(0, 1 - f * f)) / f * min(1.0, Z / math.sqrt(max(1, self.dim - 1)))
-        self.least = ((threshold - math.sqrt(1 - threshold * threshold) * spread) * f * math.sqrt(self.dim) - 1e-3).astype(np.float32)
-        self.counts = np.zeros(len(rows), np.int64)
-        self.root = np.arange(len(rows))
-
-    def run(self, table: int, across: int = 0) -> None:
+    """Links of some vectors, by estimates with bounds and exact recomputation: partial counts, and a spanning set of links."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, threshold: float):
+        self.ids, self.copies, self.s, dim = ids, copies, threshold, vectors.shape[1]
+        self.unit = units(vectors)
+        self.rotated = self.unit.astype(np.float32) @ rotation(dim)
+        self.signs = np.where(self.rotated > 0, np.float32(1), np.float32(-1))
+        f = np.abs(self.rotated).sum(axis=1).astype(np.float64) / math.sqrt(dim)
+        spread = np.sqrt(np.maximum(0, 1 - f * f)) / f * min(1.0, Z / math.sqrt(max(1, dim - 1)))
+        self.least = ((threshold - math.sqrt(max(0.0, 1 - threshold * threshold)) * spread) * f * math.sqrt(dim) - 1e-3).astype(np.float32)
+        self.counts = np.zeros(len(ids), np.int64)
+        self.root = np.arange(len(ids))
+        self.recomputed = 0
+
+    def run(self, across: int = 0) -> Compared:
         """Compare all pairs, or only those between the first ``across`` rows and the others."""
-        n, copies, keys = len(self.rows), self.rows["copies"], self.rows["keys"]
+        n = len(self.ids)
         for a in range(0, across or n, _CHUNK):
             b = min(a + _CHUNK, across or n)
             low = across or a
@@ -109,6 +168,7 @@ class Compared:
             near = self.rotated[a:b] @ self.signs[low:].T >= self.least[low:]
             if not across:
                 near &= np.arange(low, n)[None, :] > np.arange(a, b)[:, None]
+            self.recomputed += int(near.sum())
             if near.mean() > 0.02:
                 near &= self.unit[a:b] @ self.unit[low:].T >= self.s
             else:
@@ -120,89 +180,115 @@ class Compared:
                 here = np.unique(self.root[np.r_[a + r, low + np.flatnonzero(near[r])]])
                 if len(here) > 1:
                     self.root[np.isin(self.root, here)] = here[0]
-            for t in range(table):  # met in an earlier table
-                near &= keys[a:b, t][:, None] != keys[low:, t][None, :]
-            self.counts[a:b] += near @ copies[low:]
-            self.counts[low:] += copies[a:b] @ near
+            self.counts[a:b] += near @ self.copies[low:]
+            self.counts[low:] += self.copies[a:b] @ near
+        return self
 
     def found(self):
         """(node, other, linked): partial counts, and a link of each node to its root."""
-        ids, moved = self.rows["id"], self.root != np.arange(len(self.rows))
-        some = moved | (self.counts > 0)
-        return ids[some], ids[self.root[some]], self.counts[some]
-
-
-_OUT = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("linked", pa.int64()), ("grp", pa.string()), ("dim", pa.int32()), ("bits", pa.int32()), ("tab", pa.int32()), ("key", pa.int32()), ("block", pa.int32()), ("members", pa.binary())])
-_DDL = "node bigint, other bigint, linked bigint, grp string, dim int, bits int, tab int, key int, block int, members binary"
-
-
-def _rows_out(found) -> pa.RecordBatch:
-    n = len(found[0])
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in found), *(pa.nulls(n, t) for t in _OUT.types[3:])], schema=_OUT)
+        some = (self.root != np.arange(len(self.ids))) | (self.counts > 0)
+        return self.ids[some], self.ids[self.root[some]], self.counts[some]
 
 
 def _code_rows(kind: str, threshold: float):
+    """Over batches of (grp, dim, bits, low, v): a row (grp, dim, bits, tab, key, low, code) for each table."""
+
     def run(batches):
         for batch in batches:
-            grp, dims, bits = batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            ids, copies, vectors = np.asarray(batch.column(3)), np.asarray(batch.column(4)), batch.column(5)
-            for dim, k in set(zip(dims.tolist(), bits.tolist(), strict=True)):
+            grp, dims, bits, ids, vectors = batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), batch.column(4)
+            for dim, k in sorted(set(zip(dims.tolist(), bits.tolist(), strict=True))):
                 at = np.flatnonzero((dims == dim) & (bits == k))
                 flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(at), dim)
-                coded_rows = coded(ids[at], copies[at], flat, k, threshold)
-                size, raw = coded_rows.dtype.itemsize, coded_rows.tobytes()
-                packed = [raw[i * size : (i + 1) * size] for i in range(len(at))]
-                mine, n = grp.take(pa.array(at)), len(at)
-                for t in range(coded_rows["keys"].shape[1]):
-                    same = lambda x: pa.array(np.full(n, x, np.int32))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([mine, same(dim), same(k), same(t), pa.array(coded_rows["keys"][:, t].astype(np.int32)), pa.array(packed, pa.binary())], names=["grp", "dim", "bits", "tab", "key", "rec"])
+                unit = units(flat)
+                code = codes(unit)
+                size, raw, found = code.shape[1] * 8, code.tobytes(), keys(unit, k, threshold)
+                packed = pa.array([raw[i * size : (i + 1) * size] for i in range(len(at))], pa.binary())
+                same = lambda x: pa.array(np.full(len(at), x, np.int32))  # noqa: B023, E731
+                for t in range(found.shape[1]):
+                    yield pa.RecordBatch.from_arrays([grp.take(pa.array(at)), same(dim), same(k), same(t), pa.array(found[:, t]), pa.array(ids[at]), packed], names=["grp", "dim", "bits", "tab", "key", "low", "code"])
 
     return run
 
 
-def _compare_buckets(kind: str, threshold: float, bucket_rows: int):
-    def run(batches):
-        bucket, held, number = None, [], 0
+_OUT = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("grp", pa.string()), ("dim", pa.int32()), ("bits", pa.int32()), ("tab", pa.int32()), ("key", pa.int64()), ("block", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary())])
+_DDL = "u bigint, v bigint, grp string, dim int, bits int, tab int, key bigint, block int, ids binary, codes binary"
+_BUCKET = ["grp", "dim", "bits", "tab", "key"]
+#: Nodes of links that a task gathers before it gives them out.
+_FOREST_NODES = 500_000
+
+
+def _links(forest: Forest, schema: pa.Schema):
+    pairs = list(forest.edges())
+    if pairs:
+        u, v = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
+        yield pa.RecordBatch.from_arrays([u, v, *(pa.nulls(len(pairs), t) for t in schema.types[2:])], schema=schema)
 
-        def load():
-            return np.frombuffer(b"".join(held), record(bucket[1], table_count(bucket[2], threshold), kind))
+
+def _compare_buckets(threshold: float, bucket_rows: int):
+    """Over batches sorted by bucket: candidate links, and the blocks of buckets too large for one task."""
+
+    def run(batches):
+        forest, bucket, ids, code, number = Forest(), None, [], [], 0
 
         def block():
-            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in _OUT.types[:3]), *(pa.array([x], type=t) for x, t in zip((*bucket, number, b"".join(held)), _OUT.types[3:], strict=True))], schema=_OUT)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([x], t) for x, t in zip((*bucket, number, np.array(ids, np.int64).tobytes(), b"".join(code)), _OUT.types[2:], strict=True))], schema=_OUT)
 
         def close():
-            if number:
-                if held:
-                    yield block()
-            elif len(held) > 1:
-                c = Compared(load(), threshold)
-                c.run(bucket[3])
-                yield _rows_out(c.found())
+            if number and ids:
+                yield block()
+            elif len(ids) > 1:
+                link_codes(np.array(ids), np.frombuffer(b"".join(code), np.uint64).reshape(len(ids), -1), most_bits(bucket[1], threshold), forest)
 
         for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
-            for at, rec in zip(keys, batch.column(5).to_pylist(), strict=True):
+            for *at, low, c in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if at != bucket:
                     yield from close()
-                    bucket, held, number = at, [], 0
-                if len(held) == bucket_rows:
+                    bucket, ids, code, number = at, [], [], 0
+                    if len(forest.parent) > _FOREST_NODES:
+                        yield from _links(forest, _OUT)
+                        forest = Forest()
+                if len(ids) == bucket_rows:
                     yield block()
-                    held, number = [], number + 1
-                held.append(rec)
+                    ids, code, number = [], [], number + 1
+                ids.append(low)
+                code.append(c)
         yield from close()
+        yield from _links(forest, _OUT)
+
+    return run
+
+
+_PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _compare_code_blocks(threshold: float):
+    """Over batches of (dim, same, ids1, codes1, ids2, codes2)."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim, same, x, a, y, b = (batch.column(i)[k].as_py() for i in range(6))
+                forest, ids, code = Forest(), np.frombuffer(x, np.int64), np.frombuffer(a, np.uint64)
+                if not same:
+                    ids, code = np.r_[ids, np.frombuffer(y, np.int64)], np.r_[code, np.frombuffer(b, np.uint64)]
+                link_codes(ids, code.reshape(len(ids), -1), most_bits(dim, threshold), forest, 0 if same else len(x) // 8)
+                yield from _links(forest, _PAIR)
 
     return run
 
 
-def _compare_blocks(kind: str, threshold: float):
+def _compare_vector_blocks(kind: str, threshold: float):
+    """Over batches of (dim, same, members1, members2), members as arrays of (low, copies, v)."""
+
     def run(batches):
         for batch in batches:
-            for dim, bits, tab, same, x, y in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                dtype = record(dim, table_count(bits, threshold), kind)
-                x = np.frombuffer(x, dtype)
-                c = Compared(x if same else np.concatenate([x, np.frombuffer(y, dtype)]), threshold)
-                c.run(tab, 0 if same else len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in c.found()], names=["node", "other", "linked"])
+            for k in range(batch.num_rows):
+                dim, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                parts = [batch.column(i)[k].values for i in ((2,) if same else (2, 3))]
+                ids, copies = (np.concatenate([np.asarray(p.field(f)) for p in parts]) for f in (0, 1))
+                vectors = np.concatenate([p.field(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim) for p in parts])
+                found = Compared(ids, copies, vectors, threshold).run(0 if same else len(parts[0])).found()
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["node", "other", "linked"])
 
     return run
 
@@ -216,33 +302,46 @@ def distinct_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str
     return rows.groupBy("grp", "v").agg(F.min("id").alias("low"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, direct_rows: int = DIRECT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def candidate_links(groups: DataFrame, total: int, kind: str, threshold: float, direct_rows: int, bucket_rows: int) -> DataFrame:
+    """(u, v): links that connect the ``total`` distinct vectors (grp, v, low, dim) whose codes let them be near."""
+    sizes = groups.groupBy("grp", "dim").agg(F.count("*").alias("rows"))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / direct_rows))).cast("int")
+    sized = join_hot(groups, sizes.withColumn("bits", bits), ["grp", "dim"], "rows", total).select("grp", "dim", "bits", "low", "v")
+    keyed = sized.mapInArrow(_code_rows(kind, threshold), "grp string, dim int, bits int, tab int, key bigint, low bigint, code binary")
+    found = checkpointed(keyed.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET).mapInArrow(_compare_buckets(threshold, bucket_rows), _DDL))
+    blocks = found.where("ids is not null").select(*_BUCKET, "block", "ids", "codes")
+    pairs = block_pairs(blocks, _BUCKET, ["dim", "ids", "codes"]).select(F.col("dim1"), "same", "ids1", "codes1", "ids2", "codes2")
+    return found.where("u is not null").select("u", "v").unionByName(pairs.mapInArrow(_compare_code_blocks(threshold), "u bigint, v bigint"))
+
+
+def near_duplicate_vectors(
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD,
+    direct_rows: int = DIRECT_ROWS, bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """Per row: id, ``n_links``, ``component_id`` (smallest id reachable, itself included), ``kept``."""
     kind = "<f4" if isinstance(df.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
     groups = checkpointed(distinct_vectors(df.select(id_col, vector_col, label_col), id_col, vector_col, label_col))
-    sizes = groups.groupBy("grp", "dim").agg(F.count("*").alias("rows"))
-    bits = F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / direct_rows)))).cast("int")
-    sized = groups.join(sizes.withColumn("bits", bits), ["grp", "dim"]).select("grp", "dim", "bits", "low", "copies", "v")
-    keyed = sized.mapInArrow(_code_rows(kind, threshold), "grp string, dim int, bits int, tab int, key int, rec binary")
-    order = ["grp", "dim", "bits", "tab", "key"]
-    found = checkpointed(keyed.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare_buckets(kind, threshold, bucket_rows), _DDL))
-    blocks = found.where("members is not null")
-    left = blocks.select(*order, "block", "members")
-    right = blocks.select(*order, F.col("block").alias("block2"), F.col("members").alias("others"))
-    pairs = left.join(right, order).where("block <= block2")
-    pairs = pairs.select("dim", "bits", "tab", (F.col("block") == F.col("block2")).alias("same"), "members", "others")
-    links = found.where("node is not null").select("node", "other", "linked").unionByName(pairs.mapInArrow(_compare_blocks(kind, threshold), "node bigint, other bigint, linked bigint"))
-    links = checkpointed(links)
+    distinct, total = groups.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    clusters = checkpointed(connected_components(candidate_links(groups, distinct, kind, threshold, direct_rows, bucket_rows)))
+    place = ["root", "grp", "dim"]
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).withColumn("rows", F.col("n"))
+    sized = join_hot(clusters.withColumnRenamed("node", "low"), sizes, ["root"], "rows", clusters.count())
+    block = F.pmod(F.xxhash64("low"), F.ceil(F.col("n") / block_rows)).cast("int")
+    blocks = groups.join(sized, "low").withColumn("block", block).groupBy(*place, "block").agg(F.collect_list(F.struct("low", "copies", "v")).alias("members"))
+    pairs = block_pairs(checkpointed(blocks), place, ["dim", "members"]).select("dim1", "same", "members1", "members2")
+    links = checkpointed(pairs.mapInArrow(_compare_vector_blocks(kind, threshold), "node bigint, other bigint, linked bigint"))
     roots = connected_components(links.select(F.col("node").alias("u"), F.col("other").alias("v")))
     counted = links.groupBy("node").agg(F.sum("linked").alias("linked"))
+    digest = lambda c: (F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(SEED), c).alias("h2"))
     named = (
-        groups.select("grp", "v", "low", "copies")
+        groups.select("grp", *digest(F.col("v")), "low", "copies")
         .join(counted.withColumnRenamed("node", "low"), "low", "left")
         .join(roots.withColumnRenamed("node", "low"), "low", "left")
-        .select("grp", "v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "low").alias("root"))
+        .select("grp", "h1", "h2", "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "low").alias("root"))
     )
-    rows = df.select(F.col(id_col), F.col(label_col).cast("string").alias("grp"), F.col(vector_col).alias("v"))
-    joined = rows.join(named, ["grp", "v"], "left")
+    # vectors are told apart by 128 bits of hashes, so that they needn't travel again
+    rows = df.select(F.col(id_col), F.col(label_col).cast("string").alias("grp"), *digest(F.col(vector_col)))
+    joined = join_hot(rows, named, ["grp", "h1", "h2"], "copies", total, "left")
     component = F.when(F.col(id_col).isNotNull(), F.coalesce("root", id_col))
     links_of = F.when(F.col(id_col).isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
     return joined.select(id_col, links_of.cast("bigint").alias("n_links"), component.alias("component_id"), (component == F.col(id_col)).alias("kept"))

@@ -120,27 +120,38 @@ def test_rabitq_kernels_find_all_links():
     r = np.random.default_rng(4)
     base = r.standard_normal((60, 24))
     x = np.concatenate([base, base[:20] + 0.02 * r.standard_normal((20, 24)), base[:5] * 3]).astype(np.float32)
-    rows = rabitq.coded(np.arange(len(x)), np.ones(len(x), int), x, 0, 0.98)
-    c = rabitq.Compared(rows, 0.98)
-    c.run(0)
+    ids, one = np.arange(len(x)), np.ones(len(x), int)
+    c = rabitq.Compared(ids, one, x, 0.98).run()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     link = (u @ u.T >= 0.98) & ~np.eye(len(x), dtype=bool)
-    assert (c.counts == link.sum(1)).all()
-    half = rabitq.Compared(rows, 0.98)
-    half.run(0, across=40)
+    assert (c.counts == link.sum(1)).all() and c.recomputed < len(x) ** 2 / 4
+    half = rabitq.Compared(ids, one, x, 0.98).run(across=40)
     assert (half.counts[:40] == link[:40, 40:].sum(1)).all()
+    # codes: every linked pair is a candidate
+    near = rabitq.near_codes(rabitq.codes(rabitq.units(x)), rabitq.codes(rabitq.units(x)), rabitq.most_bits(24, 0.98))
+    assert near[link].all() and near.mean() < 0.3
+    for across in (0, 40):
+        forest = Forest()
+        rabitq.link_codes(ids, rabitq.codes(rabitq.units(x)), rabitq.most_bits(24, 0.98), forest, across)
+        for i, j in zip(*np.nonzero(link), strict=True):
+            if not across or (i < across) != (j < across):
+                assert forest.find(int(i)) == forest.find(int(j))
 
 
 def test_rabitq_estimates_are_unbiased():
     r = np.random.default_rng(5)
     x = r.standard_normal((400, 64))
-    rows = rabitq.coded(np.arange(400), np.ones(400, int), x, 0, 0.98)
-    c = rabitq.Compared(rows, 0.98)
+    c = rabitq.Compared(np.arange(400), np.ones(400, int), x, 0.98)
     true = c.unit @ c.unit.T
-    estimate = c.rotated @ c.signs.T / 8 / rows["factor"][None, :]
+    factor = np.abs(c.rotated).sum(axis=1) / 8
+    estimate = c.rotated @ c.signs.T / 8 / factor[None, :]
     off = ~np.eye(400, dtype=bool)
     assert abs((estimate - true)[off].mean()) < 0.002 and np.allclose(np.diag(estimate), 1, atol=1e-3)
-    assert rabitq.table_count(0, 0.98) == 1 and rabitq.key_bits(2048) == 0 and rabitq.key_bits(10_000) == 3
+    assert rabitq.table_count(0, 0.98) == 1 and 40 < rabitq.table_count(16, 0.98) < 60
+    # a code bit differs with the chance angle / pi
+    code = rabitq.codes(c.unit)
+    differ = np.bitwise_count(code[:, None] ^ code[None, :]).sum(axis=2)
+    assert abs((differ / 256 - np.arccos(np.clip(true, -1, 1)) / np.pi)[off].mean()) < 0.002
 
 
 # ---- mixing

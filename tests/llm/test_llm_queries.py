@@ -152,15 +152,15 @@ def test_simhash_query(spark, some, empty, bucket_rows):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("direct_rows", "bucket_rows"), [(2048, 4096), (16, 4096), (16, 8)])
-def test_vector_query(spark, direct_rows, bucket_rows):
+@pytest.mark.parametrize(("direct_rows", "bucket_rows", "block_rows"), [(2048, 4096, 1024), (16, 4096, 1024), (16, 8, 1024), (2048, 8, 5)])
+def test_vector_query(spark, direct_rows, bucket_rows, block_rows):
     r = np.random.default_rng(5)
     base = r.standard_normal((90, 16))
     vectors = [*base, *(base[:30] + 0.03 * r.standard_normal((30, 16))), *(base[:3] * 5), *[base[7]] * 20, *(base[9] + 0.04 * r.standard_normal((25, 16)))]
     rows = [(i, [float(np.float32(x)) for x in v], int(i % 3 == 0)) for i, v in enumerate(vectors)]
     odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [None] + [1.0] * 15, 0), (903, [float("nan")] * 16, 0), (904, [float("inf")] + [0.0] * 15, 0), (905, rows[0][1], None), (906, [1.0, 2.0], 0), (None, rows[1][1], rows[1][2]), (907, [], 1)]
     df = spark.createDataFrame([(*x, 3) for x in rows + odd], "vec_id bigint, embedding array<float>, label int, copies int").repartition(3)
-    got = {g["vec_id"]: g for g in rabitq.near_duplicate_vectors(df, direct_rows=direct_rows, bucket_rows=bucket_rows).collect()}
+    got = {g["vec_id"]: g for g in rabitq.near_duplicate_vectors(df, direct_rows=direct_rows, bucket_rows=bucket_rows, block_rows=block_rows).collect()}
     assert len(got) == len(rows) + len(odd)
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
     label = {i: x for i, _, x in rows}
@@ -174,6 +174,21 @@ def test_vector_query(spark, direct_rows, bucket_rows):
     assert rabitq.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vector_recall_in_a_large_label(spark):
+    """50,000 vectors of 64 dimensions in one label, with pairs around the threshold, against all pairs in double precision."""
+    r = np.random.default_rng(15)
+    base = r.standard_normal((44_000, 64))
+    step = r.uniform(0.05, 0.25, (6000, 1)) * r.standard_normal((6000, 64))
+    x = np.concatenate([base, base[:6000] + step]).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>").selectExpr("*", "1 as label").repartition(8)
+    got = {g["vec_id"]: g["n_links"] for g in rabitq.near_duplicate_vectors(df).select("vec_id", "n_links").collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.zeros(len(x), int)
+    for a in range(0, len(x), 2000):
+        want[a : a + 2000] = (unit[a : a + 2000] @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() > 3000 and [got[i] for i in range(len(x))] == want.tolist()
+
+
 @pytest.mark.parametrize("group_rows", [4096, 8])
 def test_mixing_query(spark, some, empty, group_rows):
     df = docs(spark, some)
