@@ -10,10 +10,13 @@ dimensions, so some v is orthogonal to all of them and its table drops every dif
 collides in a table. There are 2**(r + 1) - 1 tables, over distinct fingerprints only, so copies cost nothing.
 
 Members of one bucket are compared in the task that holds them, up to ``bucket_rows`` of them; larger buckets leave that task
-as packed blocks, and pairs of blocks are compared in tasks of their own. Every comparison is exact, and a task gives at most
-one link a member. No pair is lost. Components come from the links; the smallest id of a fingerprint names it.
+as packed blocks. Pairs of blocks are formed by the blocks' names, in as many tasks as there are blocks, each pair comparing members across only.
+Every comparison is exact, and a task gives at most one link a member. No pair is lost, no bucket is capped. Components come from the links; the
+smallest id of a fingerprint names it. Fingerprints that many rows share are joined back by broadcast (fewer than a thousand can be that frequent).
 
-Ties and repeated rows keep their rows. A null id keeps its row and never names a component unless no other id is there.
+Texts of any length are read whole, one at a time, in memory in proportion to one text. Ties and repeated rows keep their rows. A null id keeps its
+row and never names a component unless no other id is there. Empty tables give empty results. Columns beyond the id and the text are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts
+from .common import block_pairs, checkpointed, join_hot, map_texts
 from .components import Forest, connected_components
 
 RADIUS = 4
@@ -97,6 +100,23 @@ def link_members(members: np.ndarray, radius: int, forest: Forest) -> None:
             front, rest = rest[reached], rest[~reached]
 
 
+def link_across(x: np.ndarray, y: np.ndarray, radius: int, forest: Forest) -> None:
+    """Link members of x with members of y within the radius; a member is compared with those of the other side not yet reached."""
+    rest = [x, y]
+    while len(rest[0]) and len(rest[1]):
+        front, rest[0], side = rest[0][:1], rest[0][1:], 0
+        while len(front):
+            other = rest[1 - side]
+            reached = np.zeros(len(other), bool)
+            for a in range(0, len(front), 64):
+                near = np.bitwise_count(front[a : a + 64, None] ^ other[None, :]) <= radius
+                for i, j in zip(*np.nonzero(near & ~reached), strict=True):
+                    if not reached[j]:
+                        reached[j] = True
+                        forest.link(int(other[j]), int(front[a + i]))
+            front, rest[1 - side], side = other[reached], other[~reached], 1 - side
+
+
 _OUT = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("tab", pa.int32()), ("key", pa.int64()), ("block", pa.int32()), ("members", pa.binary())])
 
 
@@ -163,14 +183,16 @@ def compare_buckets(radius: int, bucket_rows: int):
 
 
 def compare_blocks(radius: int):
-    """Over batches of (members, others): links between all members of both blocks."""
+    """Over batches of (same, members, others): links inside a block, or across two."""
 
     def run(batches):
         for batch in batches:
             forest = Forest()
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both = np.unique(np.frombuffer(x + (b"" if y == x else y), np.uint64))
-                link_members(both, radius, forest)
+            for same, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if same:
+                    link_members(np.frombuffer(x, np.uint64), radius, forest)
+                else:
+                    link_across(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), radius, forest)
             for b in _links(forest):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"])
 
@@ -186,23 +208,22 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
     found = checkpointed(sorted_.mapInArrow(compare_buckets(radius, bucket_rows), "u bigint, v bigint, tab int, key bigint, block int, members binary"))
     links = found.where("u is not null").select("u", "v")
     blocks = found.where("members is not null").select("tab", "key", "block", "members")
-    left, right = blocks.alias("l"), blocks.alias("r")
-    pairs = left.join(right, (F.col("l.tab") == F.col("r.tab")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block")))
-    pairs = pairs.select(F.col("l.members").alias("members"), F.col("r.members").alias("others"))
+    pairs = block_pairs(blocks, ["tab", "key"], ["members"]).select("same", "members1", "members2")
     return links.unionByName(pairs.mapInArrow(compare_blocks(radius), "u bigint, v bigint"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per row: id, ``fp``, ``component_id`` (smallest id reachable)."""
     prints = checkpointed(fingerprints(df, id_col, text_col, width))
-    named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low")))
+    named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies")))
     roots = connected_components(near_links(named.select("fp"), radius, bucket_rows))
     joined = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     # only fingerprints with a link need their component's smallest id
     linked = joined.where("root is not null")
-    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("prints"))
+    total, n_linked = joined.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("root")).first()
     named_all = (
-        linked.join(lowest, "root").select("fp", "component_id")
-        .unionByName(joined.where("root is null").select("fp", F.col("low").alias("component_id")))
-    )
-    return prints.join(named_all, "fp").select(id_col, "fp", "component_id")
+        join_hot(linked, lowest, ["root"], "prints", n_linked).select("fp", "copies", "component_id")
+        .unionByName(joined.where("root is null").select("fp", "copies", F.col("low").alias("component_id")))
+    )
+    return join_hot(prints, named_all, ["fp"], "copies", total).select(id_col, "fp", "component_id")
