@@ -137,3 +137,12 @@ def block_pairs(blocks: DataFrame, bucket: list[str], payload: list[str]) -> Dat
     left = named.select(F.col("_name").alias("_x"), *[F.col(c).alias(f"{c}1") for c in payload])
     right = named.select(F.col("_name").alias("_y"), *[F.col(c).alias(f"{c}2") for c in payload])
     return pairs.join(left, "_x").join(right, "_y").drop("_x", "_y")
+
+
+def one_each(rows: DataFrame, named: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """One row for each key of ``named`` with its other columns; ``copies``: how many of the ``total`` rows have the key.
+
+    Only keys that several rows share are reduced, with map-side combining, and the hot ones of them never meet in one task.
+    """
+    single = rows.join(named.where(F.col(copies) == 1).drop(copies), key)
+    return single.unionByName(join_hot(rows, named.where(F.col(copies) > 1), [key], copies, total).dropDuplicates([key]))

@@ -10,8 +10,11 @@ that the landing problem is left with a few of the smallest documents; trying al
 then each group holds its largest and smallest documents out of the flight, so that one group has both.
 
 Sizes count ``[^\\x20\\x09-\\x0D]+`` in the text, null 0. Targets: sources by code point, null last, weigh 5, 2, 1, repeating;
-they share the total size, none above ``ceiling`` times its own; the excess is shared anew by weight. Results depend on ids and
-sizes only, so reruns agree. An empty table gives an empty result; a source of size 0 takes nothing.
+they share the total size, none above ``ceiling`` times its own; the excess is shared anew by weight. Results depend on ids, sources and
+texts only, so reruns agree. Rows that agree in all three are numbered (``copy``), and groups are dealt by id, text and number, so that
+repeated or null ids don't gather in one group; which of such equal rows is taken once more is left open, as they can't be told apart. Ties in
+the landing go to the outcome that comes first. Null and empty texts have size 0; sizes are counted in the whole text, by a built-in expression. An
+empty table gives an empty result; a source of size 0 takes nothing. Columns beyond those named are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, join_hot
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3.0
@@ -155,25 +158,42 @@ def land(p: list[float], sizes: list[float]) -> list[float]:
     return p
 
 
+def numbered(rows: DataFrame, total: int) -> DataFrame:
+    """The rows with ``copy``, their number among the rows that agree in id, source and text (``digest``); ``part`` is each row's partition.
+
+    Numbers are local to a partition, plus the counts of the partitions before it: no task gets all rows of a group.
+    """
+    rows = rows.withColumn("same", F.xxhash64("id", F.isnull("id"), "source", F.isnull("source"), "digest"))
+    several = rows.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").withColumn("rows", F.col("n"))
+    marked = join_hot(rows, several, ["same"], "rows", total, "left")
+    place = ["same", "part"]
+    many = marked.where("n is not null").withColumn("at", F.row_number().over(Window.partitionBy(*place).orderBy("size")) - 1)
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = marked.where("n is not null").groupBy(*place).agg(F.count("*").alias("held")).select(*place, before.alias("start"))
+    many = many.join(starts, place).withColumn("copy", (F.col("start") + F.col("at")).cast("bigint")).drop("start", "at")
+    return many.unionByName(marked.where("n is null").withColumn("copy", F.lit(0).cast("bigint"))).drop("same", "part", "n")
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, ceiling: float = CEILING, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per row: id, size, source_size, target, and ``times``, how often the mix takes the document."""
-    sized = checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size")))
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")
+    sized = checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), digest, F.spark_partition_id().alias("part")))
     per = checkpointed(targets(sized.select("source", "size"), weights, ceiling))
-    n_sources, most = per.agg(F.count("*"), F.coalesce(F.max("n_docs"), F.lit(0))).first()
+    n_sources, most, total = per.agg(F.count("*"), F.coalesce(F.max("n_docs"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     small = F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per
     small = small.withColumnRenamed("source", "source2")
-    rows = sized.join(small, F.col("source").eqNullSafe(F.col("source2")))
+    rows = numbered(sized, total).join(small, F.col("source").eqNullSafe(F.col("source2")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("ratio", F.least(ratio, F.lit(float(ceiling))))
     rows = rows.withColumn("whole", F.floor(F.col("ratio") + _EPS).cast("bigint"))
     rows = rows.withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole")))
-    rows = rows.select("id", "source", "size", "source_size", "n_docs", "target", "whole", "p")
+    rows = rows.select("id", "source", "size", "digest", "copy", "source_size", "n_docs", "target", "whole", "p")
     schema, level, parts = rows.schema, 0, []
     # each group leaves at most so many
     per_group = 2 * held_out(group_rows) + 2
     while True:
         groups = max(1, math.ceil(most / group_rows))
-        bucket = F.pmod(F.xxhash64(F.col("id"), F.lit(level)), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / group_rows)).cast("bigint"))
+        bucket = F.pmod(F.xxhash64(F.col("id"), F.col("digest"), F.col("copy"), F.lit(level)), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / group_rows)).cast("bigint"))
         flown = rows.withColumn("bucket", bucket).groupBy("source", "bucket").applyInArrow(_flight(level, group_rows), _bucketed(schema))
         flown = checkpointed(flown.drop("bucket"))
         if groups == 1:
@@ -198,8 +218,8 @@ def _bucketed(schema: T.StructType) -> T.StructType:
 def _flight(level: int, group_rows: int):
     def run(rows: pa.Table) -> pa.Table:
         last = rows["n_docs"][0].as_py() <= group_rows
-        ids, sizes = rows["id"].to_pylist(), rows["size"].to_pylist()
-        order = np.argsort(np.array([xxhash.xxh64_intdigest(f"{level}:{i}:{s}") for i, s in zip(ids, sizes, strict=True)], np.uint64), kind="stable")
+        names = zip(*(rows[c].to_pylist() for c in ("id", "size", "digest", "copy")), strict=True)
+        order = np.argsort(np.array([xxhash.xxh64_intdigest(f"{level}:{name}") for name in names], np.uint64), kind="stable")
         rows = rows.take(pa.array(order))
         seed = xxhash.xxh64_intdigest(f"{rows['source'][0].as_py()}:{rows['bucket'][0].as_py()}:{level}")
         sizes = [float(s) for s in rows["size"].to_pylist()]

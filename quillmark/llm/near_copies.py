@@ -1,13 +1,18 @@
-"""Near copies by an exact check of shingle sets, with candidates from min-wise fingerprints.
+"""Near copies by an exact check of shingle sets, with candidates from covering SimHash tables and min-wise fingerprints.
 
 Shingles: runs of five words (as in ``simhash``), hashed to XXH64 (seed 42); a text of fewer words is one shingle. Two texts are
 near copies if their shingle sets have a Jaccard similarity of at least ``SIMILARITY``. Wordless and null texts have the empty
 set and link with each other.
 
-Candidates: each text gets ``TABLES`` fingerprints of ``MINIMA`` minima each. A pair of similarity s shares one of them with a
-chance of 1 - (1 - s**6)**32: a pair at 0.8 is missed with a chance of 6e-5, one at 0.9 with less than 1e-10. Copies of a set cost
-nothing. All texts of one fingerprint are linked to the least of them; the components of these links are clusters, and all pairs of a
-cluster not yet connected are compared exactly, in blocks of ``block_rows``. Texts are hashed anew only for members of clusters.
+Candidates come from two searches. The covering tables of ``simhash`` find every pair of sets whose SimHash differs in at most
+``simhash.RADIUS`` bits, without exception. Pairs at 0.8 mostly differ in more, so each set also gets ``TABLES`` fingerprints of ``MINIMA`` minima each: a pair of
+similarity s shares one of them with a chance of 1 - (1 - s**6)**32, so that one at 0.8 is missed with a chance of 6e-5, one at 0.9 with less than
+1e-10. Copies of a set cost nothing. All sets of one fingerprint are linked to the least of them; the components of these links are
+clusters, and the pairs of a cluster not yet connected are compared exactly, in blocks of ``block_rows`` whose pairs are spread over tasks. Texts are
+hashed anew only for members of clusters. Keys, clusters and sets that hold many rows are joined by broadcast.
+
+Texts of any length are read whole. Repeated rows stay; rows of one id with several texts each get the component of their text. A null id keeps its row and
+names no component unless no other id is there. The id may be a struct: the least comes first by its fields. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,8 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts
+from . import simhash
+from .common import block_pairs, checkpointed, join_hot, map_texts
 from .components import Forest, connected_components
+from .simhash import bit_counts
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -64,10 +71,19 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles."""
+    votes = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 100_000):
+        votes += bit_counts(hashes[a : a + 100_000])
+    return int(np.packbits((votes * 2 > len(hashes))[::-1]).view(">u8")[0])
+
+
 def _named():
     def apply(texts):
         sets = [shingles(t) for t in texts]
-        return {"fp": np.array([set_name(s) for s in sets], np.uint64).view(np.int64), "keys": [keys_of(s) for s in sets]}
+        signed = lambda values: np.array(values, np.uint64).view(np.int64)
+        return {"fp": signed([set_name(s) for s in sets]), "print": signed([simhash_of(s) for s in sets]), "keys": [keys_of(s) for s in sets]}
 
     return apply
 
@@ -80,26 +96,12 @@ def _packed():
     return apply
 
 
-def bucket_stars(batches):
-    """Over batches of (key, fp) sorted by both: a link from every other fp of a key to the least."""
-    key = low = None
-    for batch in batches:
-        keys, fps = (np.asarray(batch.column(i)) for i in range(2))
-        if not len(keys):
-            continue
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        least = np.repeat(fps[starts], np.diff(np.r_[starts, len(keys)]))
-        if key == keys[0]:
-            least[: starts[1] if len(starts) > 1 else len(keys)] = low
-        key, low = keys[-1], least[-1]
-        link = fps != least
-        yield pa.RecordBatch.from_arrays([pa.array(fps[link]), pa.array(least[link])], names=["u", "v"])
-
-
-def link_sets(names: list[int], sets: list[np.ndarray], similarity: float, forest: Forest) -> None:
-    """Link all sets within the similarity; each is compared with those that aren't yet connected with it."""
+def link_sets(names: list[int], sets: list[np.ndarray], similarity: float, forest: Forest, across: int = 0) -> None:
+    """Link all sets within the similarity, or those of the first ``across`` with the others; each is compared with those that aren't yet
+    connected with it."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
+    side = (order < across).astype(int)
     sets, sizes, names = [sets[i] for i in order], sizes[order], [names[i] for i in order]
     rest = np.arange(len(sets))
     while len(rest):
@@ -109,6 +111,8 @@ def link_sets(names: list[int], sets: list[np.ndarray], similarity: float, fores
             # sizes too far apart can't be similar
             a, b = np.searchsorted(sizes[rest], (sizes[i] * similarity - 1e-6, sizes[i] / similarity + 1e-6), "left")
             some = rest[a:b]
+            if across:
+                some = some[side[some] != side[i]]
             if not len(some):
                 continue
             ends = np.cumsum(sizes[some])
@@ -124,45 +128,55 @@ def link_sets(names: list[int], sets: list[np.ndarray], similarity: float, fores
 
 
 def compare_blocks(similarity: float):
-    """Over batches of (members, others), arrays of (fp, hashes): links that connect what is similar in both."""
+    """Over batches of (same, members, others), arrays of (fp, hashes): links that connect what is similar inside a block, or across two."""
 
     def run(batches):
         for batch in batches:
-            forest = Forest()
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                both = {m["fp"]: m["hashes"] for side in (x, y) for m in side.as_py()}
-                link_sets(list(both), [np.frombuffer(h, np.uint64) for h in both.values()], similarity, forest)
-            u, v = zip(*forest.edges(), strict=True) if any(True for _ in forest.edges()) else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            for k in range(batch.num_rows):
+                forest, same = Forest(), batch.column(0)[k].as_py()
+                parts = [batch.column(i)[k].as_py() for i in ((1,) if same else (1, 2))]
+                names, sets = [m["fp"] for p in parts for m in p], [np.frombuffer(m["hashes"], np.uint64) for p in parts for m in p]
+                link_sets(names, sets, similarity, forest, 0 if same else len(parts[0]))
+                u, v = zip(*forest.edges(), strict=True) if forest.parent and any(True for _ in forest.edges()) else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def candidate_links(named: DataFrame, n_sets: int) -> DataFrame:
+    """(u, v): links between the sets (fp, print, keys) that share a fingerprint or whose SimHashes are near. SimHashes are nodes, too."""
+    keyed = named.select(F.explode("keys").alias("key"), "fp")
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
+    stars = join_hot(keyed, shared, ["key"], "n", n_sets * TABLES).where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    prints = checkpointed(named.groupBy("print").agg(F.count("*").alias("n")))
+    near = checkpointed(simhash.near_links(prints.select(F.col("print").alias("fp"))))
+    ends = near.select(F.col("u").alias("print")).unionByName(near.select(F.col("v").alias("print"))).distinct()
+    met = prints.where("n > 1").unionByName(prints.join(ends, "print")).distinct()
+    of_print = join_hot(named.select("fp", "print"), met, ["print"], "n", n_sets)
+    return stars.unionByName(near).unionByName(of_print.select(F.col("fp").alias("u"), F.col("print").alias("v"))).distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row: id, ``fp`` (the shingle set's digest), ``component_id`` (smallest id reachable)."""
-    prints = checkpointed(map_texts(df, id_col, text_col, "fp bigint, keys array<bigint>", _named))
-    named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.first("keys").alias("keys")))
-    keyed = named.select(F.explode("keys").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    clusters = checkpointed(connected_components(keyed.mapInArrow(bucket_stars, "u bigint, v bigint")))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = checkpointed(
-        clusters.join(sizes, "root").join(named.select(F.col("fp").alias("node"), "low"), "node")
-        .select(F.col("node").alias("fp"), "low", "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block_rows)).cast("int").alias("block"))
-    )
-    few = members.count() <= BROADCAST_MEMBERS
+    prints = checkpointed(map_texts(df, id_col, text_col, "fp bigint, print bigint, keys array<bigint>", _named))
+    named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies"), F.first("print").alias("print"), F.first("keys").alias("keys")))
+    n_sets, n_rows = named.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    clusters = connected_components(candidate_links(named, n_sets))
+    found = checkpointed(clusters.withColumnRenamed("node", "fp").join(named.select("fp", "low"), "fp"))
+    sizes = found.groupBy("root").agg(F.count("*").alias("n")).withColumn("rows", F.col("n")).where("n > 1")
+    n_found = found.count()
+    block = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block_rows)).cast("int")
+    members = checkpointed(join_hot(found, sizes, ["root"], "rows", n_found).select("fp", "low", "root", block.alias("block")))
+    few = n_found <= BROADCAST_MEMBERS
     wanted = members.select(F.col("low").alias(id_col)).distinct()
     texts = df.select(id_col, text_col).join(F.broadcast(wanted) if few else wanted, id_col, "left_semi")
     sets = map_texts(texts, id_col, text_col, "name bigint, hashes binary", _packed).withColumnRenamed(id_col, "low2")
-    held = sets.join(F.broadcast(members) if few else members, (F.col("low2") == F.col("low")) & (F.col("name") == F.col("fp")))
+    held = sets.join(F.broadcast(members) if few else members, F.col("low2").eqNullSafe(F.col("low")) & (F.col("name") == F.col("fp")))
     blocks = held.dropDuplicates(["fp"]).groupBy("root", "block").agg(F.collect_list(F.struct("fp", "hashes")).alias("members"))
-    blocks = checkpointed(blocks)
-    left, right = blocks.alias("l"), blocks.alias("r")
-    pairs = left.join(right, (F.col("l.root") == F.col("r.root")) & (F.col("l.block") <= F.col("r.block")))
-    # a block that stands for itself is compared once
-    others = F.when(F.col("l.block") < F.col("r.block"), F.col("r.members")).otherwise(F.slice("r.members", 1, 0))
-    links = pairs.select(F.col("l.members").alias("members"), others.alias("others")).mapInArrow(compare_blocks(similarity), "u bigint, v bigint")
+    pairs = block_pairs(checkpointed(blocks), ["root"], ["members"]).select("same", "members1", "members2")
+    links = pairs.mapInArrow(compare_blocks(similarity), "u bigint, v bigint")
     roots = connected_components(links).withColumnRenamed("node", "fp").withColumnRenamed("root", "root_fp")
-    joined = named.select("fp", "low").join(roots, "fp", "left").withColumn("root_fp", F.coalesce("root_fp", "fp"))
-    lowest = checkpointed(joined.groupBy("root_fp").agg(F.min("low").alias("component_id")))
-    found = joined.join(lowest, "root_fp").select("fp", "component_id")
-    return prints.select(id_col, "fp").join(found, "fp").select(id_col, "fp", "component_id")
+    joined = checkpointed(named.select("fp", "low", "copies").join(roots, "fp", "left").withColumn("root_fp", F.coalesce("root_fp", "fp")))
+    lowest = joined.groupBy("root_fp").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    component = join_hot(joined, lowest, ["root_fp"], "n", n_sets).select("fp", "copies", "component_id")
+    return join_hot(prints.select(id_col, "fp"), component, ["fp"], "copies", n_rows).select(id_col, "fp", "component_id")

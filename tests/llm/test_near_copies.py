@@ -53,3 +53,31 @@ def test_pipeline_stage_finds_similar_texts(spark, sf_dir):
     sets = {r[0]: plain_set(r[1]) for r in rows}
     want = plain_components(sorted(sets), lambda a, b: similar(sets[a], sets[b]))
     assert sorted(r["doc_id"] for r in p.simhash_near_dedup(spark, docs, sf_dir).collect()) == sorted(set(want.values()))
+
+
+def test_sets_are_linked_across_blocks_only():
+    r = random.Random(9)
+    rows = [t for _, t in rows_with_copies()][5:120]
+    r.shuffle(rows)
+    sets = [near_copies.shingles(t) for t in rows]
+    plain, half = [plain_set(t) for t in rows], 50
+    forest = near_copies.Forest()
+    near_copies.link_sets(list(range(len(sets))), sets, 0.8, forest, half)
+    want = plain_components(list(range(len(sets))), lambda a, b: (a < half) != (b < half) and similar(plain[a], plain[b]))
+    groups = {}
+    for i in range(len(sets)):
+        groups.setdefault(want[i], set()).add(forest.find(i))
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+
+
+def test_candidates_hold_all_near_simhashes(spark):
+    """Every pair within the radius is a candidate, whatever its min-wise fingerprints."""
+    r = random.Random(10)
+    prints = [r.getrandbits(63) for _ in range(30)]
+    named = [(k, p, [k]) for k, p in enumerate(prints)] + [(100 + k, p ^ (1 << r.randrange(60)) ^ (1 << r.randrange(60)), [100 + k]) for k, p in enumerate(prints)]
+    df = spark.createDataFrame(named, "fp bigint, print bigint, keys array<bigint>")
+    edges = [(e["u"], e["v"]) for e in near_copies.candidate_links(df, len(named)).collect()]
+    forest = near_copies.Forest()
+    for u, v in edges:
+        forest.link(u, v)
+    assert all(forest.find(k) == forest.find(100 + k) for k in range(30))
