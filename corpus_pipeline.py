@@ -1,7 +1,9 @@
 """The corpus pipeline: quality filter, near-duplicate removal, redaction, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor. All but the last return the columns of
-``documents``. ``run`` writes each stage's rows as Parquet to the shared folder and reads them again.
+``documents``. ``run`` writes each stage's rows as Parquet to the shared folder and reads them again; a folder goes as soon as the next one is
+written, so that texts from before the redaction don't stay. Rows are told apart by id and text: repeated rows, null ids and several texts under
+one id are allowed. Columns beyond those of ``documents`` are left out, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bpe, mixing, near_copies, pii, quality
-from quillmark.llm.common import bucket_of_id, row_key, shared_folder, table
+from quillmark.llm.common import bucket_of_id, one_each, removed, row_key, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = ("text", "lang", "source", "n_chars")
@@ -23,14 +25,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs, model, also=REST).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``key``: the id (for a null id a negative number from the text) and a digest of the text."""
+    digest = F.xxhash64(F.coalesce("text", F.lit("")), F.isnull("text"))
+    return docs.select(*COLUMNS).withColumn("key", F.struct(row_key("doc_id", "text").alias("id"), digest.alias("digest")))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of near copies (five-word shingles, similarity 0.8 or more), once. A
-    null id is replaced by a number from the text."""
-    keyed = docs.withColumn("key", row_key("doc_id", "text"))
+    """Keep one row of each component of near copies (five-word shingles, similarity 0.8 or more): the smallest id, of its texts the
+    one with the smallest digest, once."""
+    keyed = _keyed(docs)
     found = near_copies.near_copies(keyed.select("key", "text"), id_col="key")
-    kept = found.where("key = component_id").select("key")
-    once = keyed.join(kept, "key", "left_semi").withColumn("digest", F.xxhash64("text")).dropDuplicates(["key", "digest"])
-    return once.select(*COLUMNS)
+    kept = found.where("key = component_id").groupBy("key").agg(F.count("*").alias("copies"))
+    return one_each(keyed, kept, "key", "copies", docs.count()).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +48,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it. Rows that share an id are taken equally often."""
-    keyed = docs.withColumn("key", row_key("doc_id", "text"))
-    times = mixing.mix(keyed.select("key", "text", "source"), id_col="key").groupBy("key").agg(F.max("times").cast("int").alias("times"))
-    taken = keyed.join(times.where("times > 0"), "key")
+    """Repeat each document as often as the mix takes it. Rows that agree in id, source and text are taken together."""
+    keyed = _keyed(docs).withColumn("key", F.struct("key.id", "key.digest", F.coalesce("source", F.lit("")).alias("source"), F.isnull("source").alias("none")))
+    mixed = mixing.mix(keyed.select("key", "text", "source"), id_col="key")
+    times = mixed.groupBy("key").agg(F.sum("times").cast("int").alias("times"), F.count("*").alias("copies"))
+    taken = one_each(keyed, times.where("times > 0"), "key", "copies", docs.count())
     return taken.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).select(*COLUMNS)
 
 
@@ -74,4 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.mode("overwrite").parquet(f"{folder}/stage{k}")
             docs = spark.read.parquet(f"{folder}/stage{k}")
+            if k:
+                removed(spark, f"{folder}/stage{k - 1}")
     return docs
