@@ -249,25 +249,79 @@ def test_registered_queries(spark, sf_dir):
         assert f(spark, sf_dir).count() == want, name
 
 
+def plain_shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def alike(a, b):
+    """Similarity of 0.8 or more, in whole numbers."""
+    return not a and not b or 10 * len(a & b) >= 8 * len(a | b) > 0
+
+
 def test_pipeline(spark, sf_dir):
-    """Each stage against a plain version of its decision."""
+    """Each stage against a plain version of its decision; near copies by similarity 0.8 of five-word shingles, as the stage's contract has it."""
     import corpus_pipeline as p
 
     columns = list(p.COLUMNS)
     start = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
-    start = start.unionByName(start.limit(3)).unionByName(spark.createDataFrame([(None, "only words without id here now", None, None, None), (77_777, None, "en", None, None)], start.schema))
-    docs, results = start, []
+    good = start.where("length(text) > 300").first()["text"]
+    extra = [(None, "only words without id here now", None, None, None), (77_777, None, "en", None, None), (start.first()["doc_id"], good + " another text under a known id", "en", "s", 1), (88_888, "word " * 200_000, "en", None, 5)]
+    start = start.unionByName(start.limit(3)).unionByName(spark.createDataFrame(extra, start.schema))
+    docs, results = start.withColumn("key", F.lit(1)).withColumn("copies", F.lit("clash")), []
     for _, stage in p.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == columns
         results.append(docs.collect())
-        docs = spark.createDataFrame(results[-1], start.schema)
+        docs = spark.createDataFrame(results[-1], start.schema).withColumn("key", F.lit(1)).withColumn("copies", F.lit("clash")).withColumn("score", F.lit(0))
     kept, single, clean, mixed = results
-    prints = [simhash.fingerprint(r["text"]) for r in kept]
-    group = plain_components(sorted(set(prints)), lambda a, b: (a ^ b).bit_count() <= 4)
-    assert len(single) == len(set(group.values())) == len({group[simhash.fingerprint(r["text"])] for r in single})
-    assert len(clean) == len(single) and all(not pii.base_spans(r["text"] or "") for r in clean)
-    assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in clean}
+    sets = [plain_shingles(r["text"]) for r in kept]
+    distinct = sorted(set(sets), key=sorted)
+    group = plain_components(list(range(len(distinct))), lambda a, b: alike(distinct[a], distinct[b]))
+    class_of = {s: group[k] for k, s in enumerate(distinct)}
+    smallest = {}
+    for r, s in zip(kept, sets, strict=True):
+        if r["doc_id"] is not None:
+            smallest[class_of[s]] = min(smallest.get(class_of[s], r["doc_id"]), r["doc_id"])
+    left = [class_of[plain_shingles(r["text"])] for r in single]
+    assert len(left) == len(set(left)) == len(set(class_of.values()))
+    assert all(r["doc_id"] in (None, smallest.get(c)) for r, c in zip(single, left, strict=True))
+    assert len(clean) == len(single) and all(not pii.private(r["text"] or "", pii.base_spans(r["text"] or "")) for r in clean)
+    before = {(r["doc_id"], r["source"]): r["text"] for r in single}
+    assert all(r["text"] == before[r["doc_id"], r["source"]] for r in clean if not pii.base_spans(before[r["doc_id"], r["source"]] or "") and "[" not in (r["text"] or ""))
+    assert {(r["doc_id"], r["text"]) for r in mixed} <= {(r["doc_id"], r["text"]) for r in clean}
     coded = p.encode(spark, docs, sf_dir).collect()
     assert len(coded) == len(mixed) and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in coded)
     assert p.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_stages_take_empty_tables(spark, sf_dir):
+    import corpus_pipeline as p
+
+    none = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint, key int, copies int, times int")
+    for name, stage in p.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0, name
+
+
+def test_mixing_stage_repeats_rows_as_often_as_they_are_taken(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rows = [(1, "a b c", "en", "s", 5)] * 4 + [(1, "d e", "en", "s", 3), (None, "f", "en", None, 1), (None, "f", "en", None, 1), (2, "g " * 9, "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    keyed = docs.withColumn("k", F.concat_ws("|", "doc_id", "text", "source"))
+    want = {r["k"]: r["t"] for r in mixing.mix(keyed, id_col="k").groupBy("k").agg(F.sum("times").alias("t")).collect()}
+    got = p.mix_sources(spark, docs, sf_dir)
+    assert got.columns == list(p.COLUMNS) and sum(want.values()) == got.count()
+    assert {r["text"] for r in got.collect()} <= {r[1] for r in rows}
+
+
+def test_pipeline_removes_unredacted_rows(spark, sf_dir):
+    """Once the pipeline has run, only the last stage's folder is left."""
+    import os
+
+    import corpus_pipeline as p
+
+    p.run(spark, sf_dir).count()
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    left = {name for d, names, _ in os.walk(top) for name in names if name.startswith("stage")}
+    assert left == {f"stage{len(p.STAGES) - 2}"}
