@@ -20,6 +20,14 @@ def top_left_box(left: Column, bottom: Column, right: Column, top: Column, page_
     return F.when(fine & (x1 > x0) & (y1 > y0), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
 
 
+def region_on_page(pixels: Column, width: Column, height: Column, page_box: Column) -> Column:
+    """A box in an image's pixels as a box on the page, where the image covers ``page_box``; null for an image without extent."""
+    across = lambda x: page_box["x0"] + x / width * (page_box["x1"] - page_box["x0"])
+    down = lambda y: page_box["y0"] + y / height * (page_box["y1"] - page_box["y0"])
+    box = F.struct(across(pixels["x0"]).alias("x0"), down(pixels["y0"]).alias("y0"), across(pixels["x1"]).alias("x1"), down(pixels["y1"]).alias("y1"))
+    return F.when((width > 0) & (height > 0), box)
+
+
 def area(box: Column) -> Column:
     return F.greatest(F.lit(0.0), box["x1"] - box["x0"]) * F.greatest(F.lit(0.0), box["y1"] - box["y0"])
 

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.functions import amounts, dates
+from quillmark.functions import text as t
+
 TOLERANCE = Decimal("0.02")
 # Header words of the roles, by substring of the folded header.
 STATEMENT_HEADERS = {
@@ -102,3 +105,67 @@ def invoice_totals(cells: DataFrame, *keys: str) -> DataFrame:
         out.append(F.max_by(F.when(keep, F.col("amount")), F.when(keep, F.col("row_ix"))).alias(name))
     per = cells.groupBy(*keys).agg(*out).where("subtotal is not null and tax is not null and total is not null")
     return balance_check(per, F.col("subtotal") + F.col("tax"), F.col("total"))
+
+
+def _headers() -> Column:
+    return F.transform(F.get("rows", 0), t.folded)
+
+
+def statement_observations(tables: DataFrame) -> DataFrame:
+    """(doc_id, table_ix, expected, observed, delta, state) of tables (doc_id, table_ix, rows) whose headers name all four totals of a statement.
+
+    The first row after the headers is read; a table with a missing or unreadable total gives no row.
+    """
+    rows = tables.where(F.size("rows") >= 2).withColumn("headers", _headers())
+    for name, aliases in STATEMENT_HEADERS.items():
+        rows = rows.withColumn(name, amounts.table_amount(F.get(F.get("rows", 1), header_column(F.col("headers"), aliases))))
+    rows = rows.where(" and ".join(f"{n} is not null" for n in STATEMENT_HEADERS))
+    checked = balance_check(rows, F.col("opening") - F.col("debit") + F.col("credit"), F.col("closing"))
+    return checked.select("doc_id", "table_ix", "expected", F.col("closing").alias("observed"), "delta", "state")
+
+
+def ledger_rows(tables: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Rows of ledger tables for ``replay_ledger``: doc_id, table_ix, row_no, date, debit, credit, balance, comparable.
+
+    accounts: doc_id, currency (null if unknown). Rows too short for the named columns are left out; a row in another currency than the account's
+    isn't comparable.
+    """
+    wide = tables.where(F.size("rows") >= 2).withColumn("headers", _headers())
+    for name, aliases in LEDGER_HEADERS.items():
+        wide = wide.withColumn(f"{name}_at", header_column(F.col("headers"), aliases))
+    places = [F.col(f"{n}_at") for n in LEDGER_HEADERS]
+    wide = wide.where(" and ".join(f"{n}_at is not null" for n in LEDGER_HEADERS)).withColumn("last_at", F.greatest(*places))
+    rows = wide.select("doc_id", "table_ix", "last_at", *places, F.posexplode("rows").alias("row_no", "cells")).where((F.col("row_no") > 0) & (F.size("cells") > F.col("last_at")))
+    cell = lambda n: F.get("cells", F.col(f"{n}_at"))
+    said = F.coalesce(amounts.explicit_currency(cell("debit")), amounts.explicit_currency(cell("credit")))
+    rows = rows.join(accounts.select("doc_id", "currency"), "doc_id", "left")
+    return rows.select(
+        "doc_id", "table_ix", "row_no", dates.first_date(F.trim(cell("date"))).alias("date"), *[amounts.table_amount(cell(n)).alias(n) for n in ("debit", "credit", "balance")],
+        (said.isNull() | F.coalesce(said == F.col("currency"), F.lit(False))).alias("comparable"),
+    )
+
+
+def invoice_cells(tables: DataFrame) -> DataFrame:
+    """Label rows for ``invoice_totals``: the first cell folded, and the last readable amount after it."""
+    rows = tables.select("doc_id", "table_ix", F.posexplode("rows").alias("row_ix", "cells")).where(F.size("cells") > 0)
+    values = F.array_compact(F.transform(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))), amounts.table_amount))
+    return rows.select("doc_id", "table_ix", "row_ix", t.folded(F.get("cells", 0)).alias("label"), F.try_element_at(values, F.lit(-1)).alias("amount"))
+
+
+def financial_observations(tables: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(doc_id, table_ix, code, state, strength) of all formulas that a document's tables allow."""
+    statement = statement_observations(tables).select("doc_id", "table_ix", F.lit("STATEMENT_SUMMARY").alias("name"), "state")
+    replayed = ledger_summary(replay_ledger(ledger_rows(tables, accounts), "doc_id", "table_ix"), "doc_id", "table_ix")
+    invoice = invoice_totals(invoice_cells(tables), "doc_id", "table_ix").select("doc_id", "table_ix", F.lit("INVOICE_TOTAL").alias("name"), "state")
+    every = statement.unionByName(replayed.select("doc_id", "table_ix", F.lit("LEDGER").alias("name"), "state")).unionByName(invoice)
+    ending = F.when(F.col("state") == "clear", "_VALID").when(F.col("state") == "indeterminate", "_INDETERMINATE").otherwise("_MISMATCH")
+    return every.select("doc_id", "table_ix", F.concat(F.lit("OCR_"), "name", ending).alias("code"), "state", F.when(F.col("state") == "attention", "strong").otherwise("informational").alias("strength"))
+
+
+def financial_check(documents: DataFrame, tables: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(doc_id, checks, anomalies, state): not applicable without a table, indeterminate without a formula that applies."""
+    found = financial_observations(tables, accounts).groupBy("doc_id").agg(F.count("*").alias("checks"), F.count_if(F.col("state") == "attention").alias("anomalies"))
+    with_tables = tables.select("doc_id").distinct().withColumn("tables", F.lit(True))
+    rows = documents.select("doc_id").join(with_tables, "doc_id", "left").join(found, "doc_id", "left")
+    state = F.when(F.col("tables").isNull(), "not_applicable").when(F.col("checks").isNull(), "indeterminate").when(F.col("anomalies") > 0, "attention").otherwise("clear")
+    return rows.select("doc_id", F.coalesce("checks", F.lit(0)).alias("checks"), F.coalesce("anomalies", F.lit(0)).alias("anomalies"), state.alias("state"))

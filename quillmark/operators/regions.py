@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.functions import text as t
 
@@ -38,6 +42,41 @@ def flatten_regions(documents: DataFrame, json_col: str = "ocr_json") -> DataFra
     )
 
 
+def content_values(documents: DataFrame, json_col: str = "ocr_json") -> DataFrame:
+    """(doc_id, place, content): all ``content`` texts of JSON payloads of any shape, an object's own before those inside it.
+
+    The shape isn't known, so the JSON is walked in an Arrow batch function; text that isn't JSON gives no row.
+    """
+    source = documents.select("doc_id", json_col)
+    schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL("place int, content string")])
+
+    def walk(value):
+        todo = [value]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, dict):
+                if isinstance(x.get("content"), str):
+                    yield x["content"]
+                todo += [v for k, v in reversed(x.items()) if k != "content"]
+            elif isinstance(x, list):
+                todo += reversed(x)
+
+    def run(batches):
+        for batch in batches:
+            at, places, texts = [], [], []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                try:
+                    found = list(walk(json.loads(raw))) if raw else []
+                except (ValueError, RecursionError):
+                    found = []
+                at += [i] * len(found)
+                places += range(len(found))
+                texts += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def native_confidence(region: Column) -> Column:
     """The first usable of four keys; values above 1 are percentages."""
     def usable(name):

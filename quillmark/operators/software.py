@@ -6,47 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.functions import dates
 from quillmark.functions import text as t
 
 # Product names by category, in order of precedence. A name counts if it occurs as whole words.
 SOFTWARE = {
     "generative_tool": (
-        "adobe firefly, automatic1111, chatgpt, comfyui, dall e, deepai, dreamstudio, firefly, flux ai, fooocus, google imagen, ideogram, "
-        "invokeai, leonardo ai, midjourney, nightcafe, openai image, playground ai, stable diffusion, stability ai"
+        "adobe firefly", "automatic1111", "chatgpt", "comfyui", "dall e", "deepai", "dreamstudio", "firefly", "flux ai", "fooocus", "google imagen",
+        "ideogram", "invokeai", "leonardo ai", "midjourney", "nightcafe", "openai image", "playground ai", "stable diffusion", "stability ai",
     ),
     "visual_editor": (
-        "adobe photoshop, affinity photo, capture one, corel paintshop, darktable, digikam, gimp, krita, lightroom, luminar, paint net, "
-        "photofiltre, photopea, photoscape, pixelmator, rawtherapee"
+        "adobe photoshop", "affinity photo", "capture one", "corel paintshop", "darktable", "digikam", "gimp", "krita", "lightroom", "luminar",
+        "paint net", "photofiltre", "photopea", "photoscape", "pixelmator", "rawtherapee",
     ),
     "design_tool": (
-        "adobe illustrator, adobe indesign, affinity designer, affinity publisher, canva, coreldraw, figma, inkscape, microsoft publisher, "
-        "quarkxpress, scribus, sketch app, vista create, vistacreate"
+        "adobe illustrator", "adobe indesign", "affinity designer", "affinity publisher", "canva", "coreldraw", "figma", "inkscape",
+        "microsoft publisher", "quarkxpress", "scribus", "sketch app", "vista create", "vistacreate",
     ),
     "pdf_editor": (
-        "abbyy finereader pdf, bluebeam revu, corel pdf fusion, drawboard pdf, foxit phantompdf, foxit pdf editor, kofax power pdf, "
-        "libreoffice draw, master pdf editor, nitro pdf pro, nitro pro, nuance power pdf, pdf architect, pdf expert, pdfill pdf tools, pdfsam, "
-        "pdf xchange editor, pdfelement, qoppa pdf studio, updf, wondershare pdfelement"
+        "abbyy finereader pdf", "bluebeam revu", "corel pdf fusion", "drawboard pdf", "foxit phantompdf", "foxit pdf editor", "kofax power pdf",
+        "libreoffice draw", "master pdf editor", "nitro pdf pro", "nitro pro", "nuance power pdf", "pdf architect", "pdf expert", "pdfill pdf tools",
+        "pdfsam", "pdf xchange editor", "pdfelement", "qoppa pdf studio", "updf", "wondershare pdfelement",
     ),
     "online_pdf_service": (
-        "avepdf, cleverpdf, cloudconvert, compress2go, convertio, deftpdf, dochub, docupub, freepdfconvert, hipdf, i love pdf, ilovepdf, "
-        "lightpdf, neevia document converter, neevia pdfmerge, neevia technology, online2pdf, online convert, pdf io, pdf24, pdfaid, "
-        "pdf candy, pdf filler, pdf2go, pdfescape, pdffiller, pdfresizer, pdfsimpli, pdfpro, sejda, smallpdf, soda pdf, tinywow, xodo, zamzar"
+        "avepdf", "cleverpdf", "cloudconvert", "compress2go", "convertio", "deftpdf", "dochub", "docupub", "freepdfconvert", "hipdf", "i love pdf",
+        "ilovepdf", "lightpdf", "neevia document converter", "neevia pdfmerge", "neevia technology", "online2pdf", "online convert", "pdf io",
+        "pdf24", "pdfaid", "pdf candy", "pdf filler", "pdf2go", "pdfescape", "pdffiller", "pdfresizer", "pdfsimpli", "pdfpro", "sejda", "smallpdf",
+        "soda pdf", "tinywow", "xodo", "zamzar",
     ),
     "scanner": (
-        "adobe scan, brother, camscanner, canon, controlcenter, document capture pro, doxie, epson scan, fi series, fujitsu, genius scan, "
-        "hp scan, image capture, iriscanner, konica minolta, kyocera, microsoft lens, naps2, notes scanner, office lens, pfi scan, ricoh, "
-        "scansnap, xerox"
+        "adobe scan", "brother", "camscanner", "canon", "controlcenter", "document capture pro", "doxie", "epson scan", "fi series", "fujitsu",
+        "genius scan", "hp scan", "image capture", "iriscanner", "konica minolta", "kyocera", "microsoft lens", "naps2", "notes scanner",
+        "office lens", "pfi scan", "ricoh", "scansnap", "xerox",
+    ),
+    "signature_service": (
+        "adobe sign", "certigna", "docusign", "dropbox sign", "eversign", "hellosign", "signaturit", "signnow", "universign", "yousign",
     ),
-    "signature_service": "adobe sign, certigna, docusign, dropbox sign, eversign, hellosign, signaturit, signnow, universign, yousign",
     "document_generator": (
-        "adobe acrobat, adobe pdf library, acrobat distiller, antenna house, apache fop, apache pdfbox, aspose pdf, apple keynote, "
-        "apple numbers, apple pages, borb, cairo, chromium, crystal reports, cups, devexpress, dompdf, fpdf, ghostscript, google docs, "
-        "google sheets, google slides, ironpdf, itext, jasperreports, latex, libreoffice, microsoft excel, microsoft powerpoint, "
-        "microsoft print to pdf, microsoft report, microsoft word, microsoft xps, macos preview, mpdf, mupdf, openoffice, "
-        "oracle bi publisher, pagespeed, pdfcreator, pdfkit, pdfium, pdfmake, pdftex, princexml, prawn, pypdf, pypdf2, qpdf, questpdf, "
-        "quartz pdfcontext, reportlab, sap crystal, skia pdf, spire pdf, syncfusion, tcpdf, telerik, wkhtmltopdf, weasyprint, xetex"
+        "adobe acrobat", "adobe pdf library", "acrobat distiller", "antenna house", "apache fop", "apache pdfbox", "aspose pdf", "apple keynote",
+        "apple numbers", "apple pages", "borb", "cairo", "chromium", "crystal reports", "cups", "devexpress", "dompdf", "fpdf", "ghostscript",
+        "google docs", "google sheets", "google slides", "ironpdf", "itext", "jasperreports", "latex", "libreoffice", "microsoft excel",
+        "microsoft powerpoint", "microsoft print to pdf", "microsoft report", "microsoft word", "microsoft xps", "macos preview", "mpdf", "mupdf",
+        "openoffice", "oracle bi publisher", "pagespeed", "pdfcreator", "pdfkit", "pdfium", "pdfmake", "pdftex", "princexml", "prawn", "pypdf",
+        "pypdf2", "qpdf", "questpdf", "quartz pdfcontext", "reportlab", "sap crystal", "skia pdf", "spire pdf", "syncfusion", "tcpdf", "telerik",
+        "wkhtmltopdf", "weasyprint", "xetex",
     ),
-}
+}
 # Default points of the categories that carry risk.
 POINTS = {"online_pdf_service": 5.0, "pdf_editor": 3.0, "design_tool": 5.0, "visual_editor": 8.0, "generative_tool": 8.0}
 # Texts that name a generating tool, and the markers that they give.
@@ -64,7 +69,7 @@ def software_category(value: Column) -> Column:
     s = F.concat(F.lit(" "), t.folded(value), F.lit(" "))
     out = None
     for category, names in SOFTWARE.items():
-        hit = s.rlike(" (?:" + "|".join(n.strip() for n in names.split(",")) + ") ")
+        hit = s.rlike(" (?:" + "|".join(names) + ") ")
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return F.when(value.isNotNull(), out.otherwise("unknown"))
 
@@ -120,3 +125,25 @@ def rare_fonts(objects: DataFrame) -> DataFrame:
     numeric = F.length(F.regexp_replace(text, "[^0-9]", "")) / F.greatest(F.lit(1), F.length(text)) >= 0.55
     keep = (F.col("total") >= 10) & (F.col("most") >= 5) & (F.col("uses") <= 2) & F.length(text).between(1, 24) & numeric & (F.col("font_size") >= 4)
     return rows.where(keep).select("doc_id", "page", "object_ix", "font", "text")
+
+
+def structure_findings(documents: DataFrame) -> DataFrame:
+    """(doc_id, code, category, risk_points, confidence, amount) of files' structure.
+
+    documents: doc_id, content (binary), ends array<bigint> (of ``sources.files.revision_ends``), created, modified (raw metadata dates). Byte patterns are
+    counted in the content read as ISO-8859-1, where each byte is one character.
+    """
+    raw = F.decode(F.col("content"), "ISO-8859-1")
+    signatures = F.regexp_count(raw, F.lit(r"/(?:FT|Type)\s*/Sig\b"))
+    ends = F.coalesce("ends", F.array().cast("array<bigint>"))
+    updates = F.greatest(F.lit(0), F.size(ends) - 1)
+    after = F.substr(raw, F.try_element_at(ends, F.lit(-1)).cast("int") + 1)
+    trailing = F.when(F.size(ends) > 0, F.length(F.regexp_replace(after, r"^[\x00\x09\x0A\x0C\x0D\x20]+|[\x00\x09\x0A\x0C\x0D\x20]+$", ""))).otherwise(0)
+    created, modified = dates.pdf_date(F.col("created")), dates.pdf_date(F.col("modified"))
+    found = lambda test, code, category, points, confidence, amount: F.when(test, F.struct(F.lit(code).alias("code"), F.lit(category).alias("category"), points.alias("risk_points"), F.lit(confidence).alias("confidence"), amount.cast("bigint").alias("amount")))
+    every = F.array_compact(F.array(
+        found(updates > 0, "PDF_INCREMENTAL_UPDATES", "revision_history", structure_points(updates, signatures > 0), 0.95, updates),
+        found(modified < created, "PDF_DATE_CONTRADICTION", "metadata", F.lit(15.0), 0.85, F.lit(0)),
+        found(trailing > 0, "PDF_TRAILING_DATA", "document_integrity", F.lit(12.0), 0.8, trailing),
+    ))
+    return documents.select("doc_id", F.inline(every))

@@ -136,3 +136,17 @@ def html_cells(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, x) for c, x in zip(cols, types, strict=True))], names=schema.names)
 
     return source.mapInArrow(run, schema)
+
+
+def best_tables(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The cells of each document's richest table: most cells and headers together, the first on ties. cells as of ``html_cells``."""
+    sizes = cells.groupBy(id_col, "table_ix").agg(F.count("*").alias("size"))
+    best = sizes.groupBy(id_col).agg(F.min_by("table_ix", F.struct(-F.col("size"), F.col("table_ix"))).alias("table_ix"))
+    return cells.join(best, [id_col, "table_ix"], "left_semi")
+
+
+def table_rows(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, table_ix, rows array<array<string>>) of cells; row 0 holds the headers. A table is bounded by the caps on rows and columns."""
+    per_row = cells.groupBy(id_col, "table_ix", "row_ix").agg(F.array_sort(F.collect_list(F.struct("col_ix", "text"))).alias("cells"))
+    per = per_row.groupBy(id_col, "table_ix").agg(F.array_sort(F.collect_list(F.struct("row_ix", F.transform("cells", lambda c: c["text"]).alias("texts")))).alias("rows"))
+    return per.select(id_col, "table_ix", F.transform("rows", lambda r: r["texts"]).alias("rows"))
