@@ -60,9 +60,14 @@ def comparison_variants(value: Column) -> Column:
     return bound(comparison_key(value), variants)
 
 
+def variants_meet(left: Column, right: Column) -> Column:
+    """Whether one of some variants contains one of the others."""
+    return F.exists(left, lambda x: F.exists(right, lambda y: y.contains(x) | x.contains(y)))
+
+
 def values_match(left: Column, right: Column) -> Column:
     """Whether a variant of one value contains a variant of the other."""
-    return bound(comparison_variants(right), lambda b: F.exists(comparison_variants(left), lambda x: F.exists(b, lambda y: y.contains(x) | x.contains(y))))
+    return bound(comparison_variants(right), lambda b: variants_meet(comparison_variants(left), b))
 
 
 def field_consistency(fields: DataFrame, selectors: DataFrame, facts: DataFrame) -> DataFrame:
@@ -72,11 +77,12 @@ def field_consistency(fields: DataFrame, selectors: DataFrame, facts: DataFrame)
     matched if any candidate matches, unmatched if exactly one candidate doesn't, else undecided. Equi join on the document and the
     code, the text comparison as a residual.
     """
-    wanted = fields.join(selectors, "field")
-    f = facts.withColumnRenamed("value", "fact").withColumnRenamed("role", "fact_role")
+    # variants are made once a value, before the join
+    wanted = fields.withColumn("wanted", comparison_variants(F.col("value"))).join(selectors, "field")
+    f = facts.withColumn("said", comparison_variants(F.col("value"))).withColumnRenamed("value", "fact").withColumnRenamed("role", "fact_role")
     pairs = wanted.join(f, ["doc_id", "field_code"], "left").where(F.col("role").isNull() | F.col("fact_role").isNull() | (F.col("role") == F.col("fact_role")))
     per = pairs.groupBy("doc_id", "field").agg(
-        F.coalesce(F.bool_or(values_match(F.col("value"), F.col("fact"))), F.lit(False)).alias("any_match"), F.count("fact").alias("candidates")
+        F.coalesce(F.bool_or(variants_meet(F.col("wanted"), F.col("said"))), F.lit(False)).alias("any_match"), F.count("fact").alias("candidates")
     )
     state = F.when(F.col("any_match"), "matched").when(F.col("candidates") == 1, "unmatched").otherwise("undecided")
     return per.select("doc_id", "field", "candidates", state.alias("state"))
@@ -89,11 +95,15 @@ def consistency_mismatch(compared: DataFrame) -> DataFrame:
 
 
 def visible_fields(fields: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, field, visible): whether a field's key occurs in the document's text."""
-    keyed = texts.select("doc_id", comparison_key(F.col("text")).alias("seen"))
-    rows = fields.join(keyed, "doc_id", "left")
-    hit = F.exists(comparison_variants(F.col("value")), lambda v: F.col("seen").contains(v))
-    return rows.select("doc_id", "field", F.coalesce(hit, F.lit(False)).alias("visible"))
+    """(doc_id, field, visible): whether a field's key occurs in the document's text.
+
+    A document's wanted variants come to its text as one array, so the text is moved and folded once.
+    """
+    wanted = fields.select("doc_id", F.struct("field", comparison_variants(F.col("value")).alias("variants")).alias("f")).groupBy("doc_id").agg(F.collect_list("f").alias("fields"))
+    rows = wanted.join(texts.select("doc_id", comparison_key(F.col("text")).alias("seen")), "doc_id", "left")
+    found = rows.select("doc_id", "seen", F.explode("fields").alias("f"))
+    # the fold is generated into a row before the fields are told apart, so that it runs once a text
+    return found.select("doc_id", "f.field", F.coalesce(F.exists("f.variants", lambda v: F.col("seen").contains(v)), F.lit(False)).alias("visible"))
 
 
 def name_variant(left: Column, right: Column) -> Column:

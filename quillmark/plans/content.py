@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import amounts, dates, text as t
 from quillmark.functions import identifiers as ids
-from quillmark.operators import ledger, matching, software
+from quillmark.operators import dating, ledger, matching, software
 from quillmark.plans import query, table
 from quillmark.plans.scoring import _CARDS, cards
 
@@ -24,24 +24,38 @@ SAMPLES = (
     ("iban", "DE89370400440532013000"), ("iban", "DE8937040044053201300"), ("iban", "ZZ89370400440532013000"),
 )
 _LUHN = "list_sum(list_transform(range(1, length(s) + 1), lambda i: case when i % 2 = 1 then try_cast(substr(reverse(s), i, 1) as int) else try_cast(substr(reverse(s), i, 1) as int) * 2 - case when try_cast(substr(reverse(s), i, 1) as int) > 4 then 9 else 0 end end)) % 10 = 0"
+#: A SIRET begins with a valid SIREN.
+_LUHN_SIREN = _LUHN.replace("length(s)", "9").replace("reverse(s)", "reverse(left(s, 9))")
 _MOD97 = "list_reduce(list_prepend(0::bigint, list_transform(string_split(substr(s, 5) || left(s, 4), ''), lambda c: case when c between '0' and '9' then c::bigint else ascii(c)::bigint - 55 end)), lambda a, x: (a * case when x < 10 then 10 else 100 end + x) % 97) = 1"
 
 
 @query(
-    "with v(kind, value) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in SAMPLES) + """), n as (select *, upper(regexp_replace(value, '[\\s.-]', '', 'g')) s from v)
+    "with w(kind, value) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in SAMPLES) + """), v as (select -1 key, kind, value from w union all
+    select c_custkey, unnest(['card', 'siren', 'siret', 'rpps', 'finess', 'bic', 'iban']), unnest(['4' || d15, left(d15, 9), left(d15, 14), '1' || left(d15, 10), right(d15, 9), upper(left(c_mktsegment, 4)) || country || 'LL', country || left(d15, 2) || ' ' || substr(d15, 3) || '000'])
+      from (select *, lpad((c_custkey * 99991 % 10000000)::bigint::varchar, 7, '0') || lpad((c_custkey * 7919 % 100000000)::bigint::varchar, 8, '0') d15, ['LU', 'DE', 'QQ'][c_custkey % 3 + 1] country from customer))
+  , n as (select *, upper(regexp_replace(value, '[\\s.-]', '', 'g')) s from v)
   , st(country, len, pattern) as (values """ + ", ".join(f"('{c}', {ids.iban_length(c)}, '^{ids.bban_regex(p)}$')" for c, p in ids.IBAN_STRUCTURES.items()) + f""")
-  select kind, value, coalesce(case
+  select key, kind, value, coalesce(case
     when kind = 'card' then length(s) between 13 and 19 and regexp_full_match(s, '[0-9]+') and {_LUHN}
     when kind in ('siren', 'finess') then length(s) = 9 and {_LUHN}
-    when kind = 'siret' then length(s) = 14 and {_LUHN}
+    when kind = 'siret' then length(s) = 14 and {_LUHN} and {_LUHN_SIREN}
     when kind = 'rpps' then length(s) = 11 and s like '1%' and {_LUHN}
     when kind = 'bic' then regexp_full_match(s, '[A-Z]{{4}}[A-Z]{{2}}[A-Z0-9]{{2}}([A-Z0-9]{{3}})?') and list_contains(string_split('{' '.join(ids.COUNTRIES)}', ' '), substr(s, 5, 2))
     when kind = 'iban' then length(s) = len and regexp_matches(substr(s, 5), pattern) and {_MOD97} end, false) valid
   from n left join st on kind = 'iban' and country = left(s, 2)"""
 )
 def identifier_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(SAMPLES), "kind string, value string")
-    return rows.select("kind", "value", ids.validated(F.col("kind"), F.col("value"), KINDS)["valid"].alias("valid"))
+    samples = spark.createDataFrame([(-1, *s) for s in SAMPLES], "key bigint, kind string, value string")
+    key = F.col("c_custkey")
+    digits = lambda factor, size: F.lpad((key * factor % 10**size).cast("bigint").cast("string"), size, "0")
+    customers = table(spark, sf_dir, "customer").select(key.alias("key"), F.concat(digits(99991, 7), digits(7919, 8)).alias("d"), F.element_at(F.array(*map(F.lit, ("LU", "DE", "QQ"))), (key % 3 + 1).cast("int")).alias("country"), "c_mktsegment")
+    left = lambda n: F.left("d", F.lit(n))
+    of = {
+        "card": F.concat(F.lit("4"), "d"), "siren": left(9), "siret": left(14), "rpps": F.concat(F.lit("1"), left(10)), "finess": F.right("d", F.lit(9)),
+        "bic": F.concat(F.upper(F.left("c_mktsegment", F.lit(4))), "country", F.lit("LL")), "iban": F.concat("country", left(2), F.lit(" "), F.substr("d", F.lit(3)), F.lit("000")),
+    }
+    rows = samples.unionByName(customers.select("key", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in of.items()]))))
+    return rows.select("key", "kind", "value", ids.validated(F.col("kind"), F.col("value"), KINDS)["valid"].alias("valid"))
 
 
 @query("with " + _CARDS + " select number, min(doc_id) first_doc, count(distinct doc_id) docs from checked group by number")
@@ -83,16 +97,16 @@ def fact_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select o_orderkey, cast(o_orderdate as date) date, o_orderkey % 4 in (1, 3) and day(o_orderdate) <= 12 and day(o_orderdate) <> month(o_orderdate) ambiguous
-  from orders where not (o_orderkey % 4 = 3 and day(o_orderdate) <= 12)"""
+    """select o_orderkey, case when o_orderkey % 4 = 3 and day(o_orderdate) <= 12 then make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) else cast(o_orderdate as date) end date,
+    o_orderkey % 4 in (1, 3) and day(o_orderdate) <= 12 and day(o_orderdate) <> month(o_orderdate) ambiguous from orders"""
 )
 def found_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month-first dates whose day could be a month are read day first, and called ambiguous unless both are equal."""
     d, style = F.to_date("o_orderdate"), F.col("o_orderkey") % 4
     formats = {0: "yyyy-MM-dd", 1: "dd/MM/yyyy", 2: "dd-MMM-yyyy", 3: "MM.dd.yyyy"}
     raw = F.when(style == 0, F.date_format(d, formats[0])).when(style == 1, F.date_format(d, formats[1])).when(style == 2, F.date_format(d, formats[2])).otherwise(F.date_format(d, formats[3]))
-    orders = table(spark, sf_dir, "orders").where(~((style == 3) & (F.dayofmonth(d) <= 12)))
     found = F.try_element_at(dates.found_dates(F.concat(F.lit("le "), raw, F.lit(" fin"))), F.lit(1))
-    return orders.select("o_orderkey", found["value"].alias("date"), found["ambiguous"].alias("ambiguous"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", found["value"].alias("date"), found["ambiguous"].alias("ambiguous"))
 
 
 @query(
@@ -114,16 +128,34 @@ def pdf_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.pdf_date(raw).alias("stamp"))
 
 
+_REFERENCE = "1998-01-01"
+_DATED = f"""with d as (select o_custkey doc_id, o_orderkey, cast(o_orderdate as date) d, o_orderkey % 3 k from orders)
+  , e as (select doc_id, o_orderkey, case when k = 2 and o_orderkey % 5 = 0 then null else d end d, k = 1 and day(d) <= 12 and day(d) <> month(d) ambiguous from d)"""
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of a customer's orders in three ways of writing, some of them not in the calendar; pages are orders."""
+    d, key = F.to_date("o_orderdate"), F.col("o_orderkey")
+    wrong = F.concat(F.lit("31/02/"), F.date_format(d, "yyyy"))
+    raw = F.when(key % 3 == 0, F.date_format(d, "yyyy-MM-dd")).when(key % 3 == 1, F.date_format(d, "dd/MM/yyyy")).when(key % 5 == 0, wrong).otherwise(F.date_format(d, "dd-MMM-yyyy"))
+    regions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), key.alias("page"), F.concat(F.lit("Fait le "), raw, F.lit(" ici")).alias("content"))
+    return dating.document_dates(regions)
+
+
 @query(
-    """with v(doc_id, text) as (values (1, '2026-07-30 et 31/02/2026'), (2, '14-Jan-2024; 1/21/2025'), (3, 'rien'), (4, '03/04/2025 puis 2024-12-31'))
-  , d(doc_id, value) as (values (1, date '2026-07-30'), (1, null), (2, date '2024-01-14'), (2, date '2025-01-21'), (4, date '2024-12-31'), (4, date '2025-04-03'))
-  select v.doc_id, count(d.doc_id) n, count(*) filter (d.doc_id is not null and value is null) invalid, min(value) first_date, max(value) last_date from v left join d using (doc_id) group by v.doc_id"""
+    _DATED + f""" select doc_id, count(d) n, count(*) filter (d is null) invalid, count(*) filter (not ambiguous and d > date '{_REFERENCE}' + 1) future, min(d) first_date, max(d) last_date,
+  case when count(*) filter (d is null) > 0 then 'attention' else 'clear' end state from e group by doc_id"""
 )
 def date_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [(1, "2026-07-30 et 31/02/2026"), (2, "14-Jan-2024; 1/21/2025"), (3, "rien"), (4, "03/04/2025 puis 2024-12-31")]
-    rows = spark.createDataFrame(texts, "doc_id int, text string").select("doc_id", F.explode_outer(dates.found_dates(F.col("text"))).alias("d"))
-    invalid = F.count_if(F.col("d").isNotNull() & F.col("d.value").isNull())
-    return rows.groupBy("doc_id").agg(F.count("d").alias("n"), invalid.alias("invalid"), F.min("d.value").alias("first_date"), F.max("d.value").alias("last_date"))
+    return dating.date_inventory(_dated(spark, sf_dir), F.lit(_REFERENCE).cast("date"))
+
+
+@query(
+    _DATED + f""" select doc_id, o_orderkey page, case when d is null then 'OCR_DATE_INVALID' else 'OCR_DATE_IN_FUTURE' end code, case when d is null then 'attention' else 'detected' end state
+  from e where d is null or not ambiguous and d > date '{_REFERENCE}' + 1"""
+)
+def date_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dating.date_observations(_dated(spark, sf_dir), F.lit(_REFERENCE).cast("date")).select("doc_id", "page", "code", "state")
 
 
 _LEDGER = """select o_custkey as acct, row_number() over (partition by o_custkey order by o_orderkey) row_no, cast(o_orderdate as date) d,
@@ -193,35 +225,45 @@ _POINTS = " ".join(f"when '{k}' then {v}" for k, v in software.POINTS.items())
 
 
 @query(
-    "with v(value) as (values " + ", ".join(f"('{v}')" for v in _SOFTWARE) + f"""), n as (select value, ' ' || trim(lower(regexp_replace(strip_accents(value), '[^a-zA-Z0-9]+', ' ', 'g'))) || ' ' s from v)
-  , c as (select value, case {_RULES} else 'unknown' end category from n) select value, category, case category {_POINTS} else 0.0 end points from c"""
+    f"""with v as (select p_partkey, [{", ".join(f"'{v}'" for v in _SOFTWARE)}][p_partkey % {len(_SOFTWARE)} + 1] || case when p_partkey % 2 = 0 then ' ' || p_size else '' end as value from part)
+  , n as (select p_partkey, value, ' ' || trim(lower(regexp_replace(strip_accents(value), '[^a-zA-Z0-9]+', ' ', 'g'))) || ' ' s from v)
+  , c as (select p_partkey, value, case {_RULES} else 'unknown' end category from n) select p_partkey, value, category, case category {_POINTS} else 0.0 end points from c"""
 )
 def software_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(v,) for v in _SOFTWARE], "value string")
+    name = F.element_at(F.array(*map(F.lit, _SOFTWARE)), (F.col("p_partkey") % len(_SOFTWARE) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(name, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size"))).otherwise("")).alias("value"))
     category = software.software_category(F.col("value"))
-    return rows.select("value", category.alias("category"), software.software_points(category).alias("points"))
+    return rows.select("p_partkey", "value", category.alias("category"), software.software_points(category).alias("points"))
 
 
 _META = ((1, "Creator", "Canva"), (1, "Producer", "GIMP 2"), (2, "Creator", "Microsoft Word"), (2, "Producer", "Smallpdf"), (3, "Creator", "Figma"), (3, "Producer", "Sejda"), (4, "Software", "Stable Diffusion web"), (4, "parameters", "Steps: 20, Sampler: Euler"), (5, "Comment", "Midjourney v6 / midjourney"))
-_META_SQL = ", ".join(f"({d}, '{k}', '{v}')" for d, k, v in _META)
+_META_SQL = f"""w(ix, key, value) as (values {", ".join(f"({d}, '{k}', '{v}')" for d, k, v in _META)}), m as (select p_partkey doc_id, key, value from part join w on ix = p_partkey % 6)"""
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata entries of parts: one of five sets, or none."""
+    sets = spark.createDataFrame(list(_META), "ix int, key string, value string")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 6).alias("ix")).join(F.broadcast(sets), "ix").select("doc_id", "key", "value")
+
+
 
 
 @query(
-    f"""with m(doc_id, key, value) as (values {_META_SQL}), n as (select *, ' ' || trim(lower(regexp_replace(strip_accents(value), '[^a-zA-Z0-9]+', ' ', 'g'))) || ' ' s from m where key in ('Creator', 'Producer'))
+    f"""with {_META_SQL}, n as (select *, ' ' || trim(lower(regexp_replace(strip_accents(value), '[^a-zA-Z0-9]+', ' ', 'g'))) || ' ' s from m where key in ('Creator', 'Producer'))
   , c as (select *, case {_RULES} else 'unknown' end category from n), p as (select *, case category {_POINTS} else 0.0 end points from c)
   select doc_id, key, category, points from (select *, row_number() over (partition by doc_id order by points desc, key) r from p where points > 0) where r = 1"""
 )
 def software_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return software.software_finding(spark.createDataFrame(list(_META), "doc_id int, key string, value string"))
+    return software.software_finding(_metadata(spark, sf_dir))
 
 
 @query(
-    f"""with m(doc_id, key, value) as (values {_META_SQL}), k(needle, marker) as (values {", ".join(f"('{a}', '{b}')" for a, b in software.AI_MARKERS.items())})
+    f"""with {_META_SQL}, k(needle, marker) as (values {", ".join(f"('{a}', '{b}')" for a, b in software.AI_MARKERS.items())})
   select distinct doc_id, marker, key from m join k on contains(lower(key || ' ' || value), needle)
   union select doc_id, 'diffusion_generation_parameters', key from m where contains(lower(key), 'parameters') and contains(lower(value), 'sampler') and contains(lower(value), 'steps')"""
 )
 def ai_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return software.ai_markers(spark.createDataFrame(list(_META), "doc_id int, key string, value string"))
+    return software.ai_markers(_metadata(spark, sf_dir))
 
 
 @query(
@@ -249,11 +291,17 @@ def provenance_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", software.provenance_points(state, trust).alias("points"), software.structure_points(n % 7, n % 2 == 0).alias("structure"))
 
 
-@query("with " + _CARDS + """, p as (select doc_id % 400 doc_id, min(number) as "first", max(number) as "second", count(distinct number) n from checked group by doc_id % 400)
+@query("with " + _CARDS + """, every as (select doc_id, number from checked union all select doc_id, left(number, length(number) - 1) || (right(number, 1)::int + 1) % 10 from checked where doc_id % 2 = 0
+    union all select doc_id, '9' || number from checked where doc_id % 3 = 0)
+  , p as (select doc_id, min(number) as "first", max(number) as "second", count(distinct number) n from every group by doc_id)
   select doc_id, "first", "second" from p where n = 2 and length("first") = length("second") and list_sum(list_transform(range(1, length("first") + 1), lambda i: (substr("first", i, 1) <> substr("second", i, 1))::int)) = 1""")
 def card_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cards(table(spark, sf_dir, "documents")).select((F.col("doc_id") % 400).alias("doc_id"), "number")
-    return matching.one_digit_conflict(rows)
+    """Numbers of documents; every second document also has each number with its last digit moved by one, every third one with a digit before it."""
+    found = cards(table(spark, sf_dir, "documents")).select("doc_id", "number")
+    moved = F.concat(F.expr("left(number, length(number) - 1)"), ((F.right("number", F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    near = found.where("doc_id % 2 = 0").select("doc_id", moved.alias("number"))
+    longer = found.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("9"), "number").alias("number"))
+    return matching.one_digit_conflict(found.unionByName(near).unionByName(longer))
 
 
 @query("select doc_id, md5(trim(lower(regexp_replace(strip_accents(replace(text, 'ß', '?')), '[^a-zA-Z0-9]+', ' ', 'g')))) k from documents")
@@ -269,9 +317,12 @@ def shortened_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.limited_note(F.col("text"))).alias("note"), F.md5(t.middle_elided(F.col("text"), 300)).alias("elided"))
 
 
-@query()
+@query(
+    r"""with a as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Z]{2}\d{2}(?:[\s-]?[A-Z0-9]){10,32}\b', '[identifiant]', 'g'), '(?i)\b[\w.+-]+@[\w.-]+\.[A-Z]{2,}\b', '[adresse]', 'g'),
+    '\b(?:\d[\s-]?){8,}\d\b', '[identifiant]', 'g'), '\b\d{1,4}(?:[./,-]\d{1,4}){1,2}\b', '[date ou valeur]', 'g') s from documents)
+  select doc_id, trim(regexp_replace(regexp_replace(s, '(^|[^\w])[+-]?\d[\d\s.,'']*(?:\s?(?:EUR|USD|CHF|GBP|€|\$|£))?', '\1[valeur]', 'g'), '\s+', ' ', 'g')) as text from a"""
+)
 def abstracted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Look-behind keeps the last pattern from the SQL twin's dialect; tests/test_functions.py has expected values."""
     return table(spark, sf_dir, "documents").select("doc_id", t.abstracted(F.col("text")).alias("text"))
 
 

@@ -94,19 +94,26 @@ _HEADERS = {
 }
 
 
-@query("select * from (values " + ", ".join(f"('{h}', '{r}')" for h, r in _HEADERS.items()) + ") t(header, role)")
+_LIST = ", ".join(f"'{h}'" for h in _HEADERS)
+
+
+@query(
+    "with h(header, role) as (values " + ", ".join(f"('{h}', '{r}')" for h, r in _HEADERS.items()) + f"""), c as (select p_partkey, [{_LIST}][p_partkey % {len(_HEADERS)} + 1] header from part)
+  select p_partkey, upper(header) as header, case when role = 'amount' and p_partkey % 2 = 0 then 'line_total' else role end as role from c join h using (header)"""
+)
 def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(h,) for h in _HEADERS], "header string")
-    return rows.select("header", tables.column_role(F.col("header"), F.lit("bank_transactions")).alias("role"))
+    header = F.upper(F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("p_partkey") % len(_HEADERS) + 1).cast("int")))
+    kind = F.when(F.col("p_partkey") % 2 == 0, "invoice_lines").otherwise("bank_transactions")
+    return table(spark, sf_dir, "part").select("p_partkey", header.alias("header"), tables.column_role(header, kind).alias("role"))
 
 
 @query(
-    """with i as (select p_partkey, p_size * 41 + 200 w, p_size * 25 + 230 h from part where p_partkey % 10 = 0), f as (select *, cast(round_even((w - 224) / 2.0, 0) as int) cx, cast(round_even((h - 224) / 2.0, 0) as int) cy from i where w >= 224 and h >= 224)
+    """with i as (select p_partkey, p_size * 41 + 200 w, p_size * 25 + 230 h from part), f as (select *, cast(round_even((w - 224) / 2.0, 0) as int) cx, cast(round_even((h - 224) / 2.0, 0) as int) cy from i where w >= 224 and h >= 224)
   , g as (select p_partkey, i, j, greatest(abs(i), abs(j)) ring, cx + j * 224 "left", cy + i * 224 top from f, unnest(range(-(cy // 224), (h - cy - 224) // 224 + 1)) a(i), unnest(range(-(cx // 224), (w - cx - 224) // 224 + 1)) b(j))
   select p_partkey, row_number() over (partition by p_partkey order by ring, abs(i) + abs(j), i, j) - 1 window_ix, ring, "left", top, i = 0 and j = 0 is_center from g"""
 )
 def lattice_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_size") * 41 + 200).alias("width"), (F.col("p_size") * 25 + 230).alias("height"))
+    images = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 41 + 200).alias("width"), (F.col("p_size") * 25 + 230).alias("height"))
     return geometry.lattice(images)
 
 
@@ -121,18 +128,29 @@ def image_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", geometry.image_role(covered, width, F.col("p_size") * 40).alias("role"), F.round(covered, 6).alias("covered"))
 
 
-@query("select l_orderkey, case when l_tax = 0 then null else l_quantity + l_tax end x1, case when l_tax = 0 then null else 800 - l_quantity end y0, case when l_tax = 0 then null else 800.0 end y1 from lineitem where l_linenumber = 1")
+@query("select l_orderkey, l_linenumber, case when l_tax = 0 then null else l_quantity + l_tax end x1, case when l_tax = 0 then null else 800 - l_quantity end y0, case when l_tax = 0 then null else 800.0 end y1 from lineitem")
 def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     right = F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(q + F.col("l_tax"))
     box = geometry.top_left_box(F.lit(0.0), F.lit(0.0), right, q, F.lit(800.0))
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", box["x1"].alias("x1"), box["y0"].alias("y0"), box["y1"].alias("y1"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box["x1"].alias("x1"), box["y0"].alias("y0"), box["y1"].alias("y1"))
 
 
-@query()
+_NEAR = "not (a.x1 + 12 < b.x0 or b.x1 + 12 < a.x0 or a.y1 + 6 < b.y0 or b.y1 + 6 < a.y0)"
+
+
+@query(
+    f"""with recursive b as (select l_orderkey, row_number() over (partition by l_orderkey order by y0, x0, y1, x1) n, {{'y0': y0, 'x0': x0, 'y1': y1, 'x1': x1}} b
+    from (select l_orderkey, (l_quantity * 10)::double x0, l_partkey % 80 * 10.0::double y0, (l_quantity * 10 + 40)::double x1, l_partkey % 80 * 10.0::double + 12 y1 from lineitem))
+  , f(l_orderkey, n, acc) as (select l_orderkey, 1, [b] from b where n = 1
+    union all select f.l_orderkey, f.n + 1, case when list_bool_or(list_transform(acc, lambda a: {_NEAR})) then list_transform(acc, lambda a, i: case when i = list_position(list_transform(acc, lambda a: {_NEAR}), true)
+        then {{'y0': least(a.y0, b.y0), 'x0': least(a.x0, b.x0), 'y1': greatest(a.y1, b.y1), 'x1': greatest(a.x1, b.x1)}} else a end) else list_append(acc, b) end
+      from f join b on b.l_orderkey = f.l_orderkey and b.n = f.n + 1)
+  , last as (select l_orderkey, acc from (select *, row_number() over (partition by l_orderkey order by n desc) k from f) where k = 1)
+  select l_orderkey, m.y0 y0, m.x0 x0, m.y1 y1, m.x1 x1 from (select l_orderkey, unnest(acc) m from last)"""
+)
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy and dependent on its own order: held against expected boxes in tests/test_operators.py."""
-    box = F.struct((F.col("l_quantity") * 10).alias("x0"), (F.col("l_partkey") % 80 * 10.0).alias("y0"), (F.col("l_quantity") * 10 + 40).alias("x1"), (F.col("l_partkey") % 80 * 10.0 + 12).alias("y1"))
+    box = F.struct((F.col("l_quantity") * 10).cast("double").alias("x0"), (F.col("l_partkey") % 80 * 10.0).alias("y0"), (F.col("l_quantity") * 10 + 40).cast("double").alias("x1"), (F.col("l_partkey") % 80 * 10.0 + 12).alias("y1"))
     pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(box).alias("b"))
     return pages.select("l_orderkey", F.inline(geometry.merged_boxes(F.col("b"))))
 
@@ -168,10 +186,12 @@ def model_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select source, doc_id, used from (select source, doc_id, 2 + sum(n_chars + 1) over (partition by source order by doc_id) used, row_number() over (partition by source order by doc_id) n from documents) where used <= 9500 or n = 1"""
+    """select o_custkey, o_orderkey, used from (select o_custkey, o_orderkey, 2 + sum(length(o_orderpriority) * 40 + 1) over (partition by o_custkey order by o_orderkey) used, row_number() over (partition by o_custkey order by o_orderkey) n from orders) where used <= 9500 or n = 1"""
 )
 def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.fitting_prefix(table(spark, sf_dir, "documents"), 12_000, "source", "doc_id", "n_chars").select("source", "doc_id", "used")
+    """Evidence of one customer's file: its orders in turn, as far as they fit."""
+    rows = table(spark, sf_dir, "orders").withColumn("size", F.length("o_orderpriority") * 40)
+    return chunks.fitting_prefix(rows, 12_000, "o_custkey", "o_orderkey", "size").select("o_custkey", "o_orderkey", "used")
 
 
 @query(

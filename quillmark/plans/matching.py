@@ -45,7 +45,14 @@ def known_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = """select o_orderkey doc_id, unnest(['amount', 'date', 'customer']) field, unnest([cast(cast(floor(o_totalprice) as bigint) as varchar) || '00', strftime(o_orderdate, '%Y%m%d'), 'Customer ' || (100000 + o_custkey)]) as value from orders"""
 _FACTS = """select o_orderkey doc_id, unnest(['total', 'issued', 'holder']) field_code, unnest([cast(cast(floor(o_totalprice) as bigint) + case when o_orderkey % 3 = 0 then 1 else 0 end as varchar) || '00',
   strftime(o_orderdate, '%d/%m/%Y'), case when o_orderkey % 2 = 0 then 'M. customer ' || (100000 + o_custkey) else 'other name' end]) fact from orders"""
-_COMPARED = f"""with v as ({_VALUES}), f as ({_FACTS}), c as (select doc_id, field, case field when 'amount' then doc_id % 3 <> 0 when 'date' then true else doc_id % 2 = 0 end hit from v)"""
+# Texts are compared as keys; a value of eight digits that is a date may also be written the other way round.
+_KEY = "lower(regexp_replace(strip_accents({c}), '[^a-zA-Z0-9]+', '', 'g'))"
+_COMPARED = f"""with v as ({_VALUES}), f as ({_FACTS}), s(field, field_code) as (values ('amount', 'total'), ('date', 'issued'), ('customer', 'holder'))
+  , k as (select v.doc_id, v.field, {_KEY.format(c="value")} a, {_KEY.format(c="fact")} b, regexp_replace(value, '[^0-9]', '', 'g') da, regexp_replace(fact, '[^0-9]', '', 'g') db from v join s using (field) join f on f.doc_id = v.doc_id and f.field_code = s.field_code)
+  , w as (select *, list_filter([a, case when try_strptime(da, '%Y%m%d') is not null and length(da) = 8 then right(da, 2) || substr(da, 5, 2) || left(da, 4) end, case when try_strptime(da, '%d%m%Y') is not null and length(da) = 8 then right(da, 4) || substr(da, 3, 2) || left(da, 2) end], lambda x: x is not null) va,
+      list_filter([b, case when try_strptime(db, '%Y%m%d') is not null and length(db) = 8 then right(db, 2) || substr(db, 5, 2) || left(db, 4) end, case when try_strptime(db, '%d%m%Y') is not null and length(db) = 8 then right(db, 4) || substr(db, 3, 2) || left(db, 2) end], lambda x: x is not null) vb from k)
+  , c as (select doc_id, field, length(a) >= 4 and length(b) >= 4 and not (regexp_full_match(a, '[0-9]{{4}}') or regexp_full_match(b, '[0-9]{{4}}'))
+      and list_bool_or(list_transform(va, lambda x: list_bool_or(list_transform(vb, lambda y: contains(y, x) or contains(x, y))))) hit from w)"""
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
