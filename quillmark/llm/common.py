@@ -110,19 +110,42 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A key with more than this share of all rows is hot; fewer than 1 / HOT_SHARE keys can be.
+#: A key with more than this share of all rows, and with more than HOT_ROWS rows, is hot; fewer than 1 / HOT_SHARE keys can be.
 HOT_SHARE = 0.001
+HOT_ROWS = 1000
+
+
+def _split(rows: DataFrame, named: DataFrame, keys: list[str], copies: str, total: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Rows of other than hot keys, rows of hot keys joined by broadcast (None if there are none), and ``named`` without its counts.
+
+    ``named`` is checkpointed, so that the plans that follow hold it as a scan; of its rows fewer than 1 / HOT_SHARE reach the driver.
+    """
+    named = checkpointed(named)
+    hot = named.where(F.col(copies) > max(HOT_ROWS, total * HOT_SHARE)).collect()
+    if not hot:
+        return rows, None, named.drop(copies)
+    few = rows.sparkSession.createDataFrame(hot, named.schema).drop(copies)
+    return rows.join(F.broadcast(few.select(*keys)), keys, "left_anti"), rows.join(F.broadcast(few), keys), named.drop(copies)
 
 
 def join_hot(rows: DataFrame, named: DataFrame, keys: list[str], copies: str, total: int, how: str = "inner") -> DataFrame:
     """Rows with the one row of ``named`` for their key; ``copies`` is a column of ``named``, how many of the ``total`` rows have the key.
 
-    Hot keys are joined by broadcast of fewer than 1 / HOT_SHARE rows, so that no task gets all rows of one; the others by a shuffle.
+    Hot keys are joined by broadcast, so that no task gets all rows of one; the others as Spark joins them.
+    """
+    rest, hot, named = _split(rows, named, keys, copies, total)
+    joined = rest.join(named, keys, how)
+    return joined if hot is None else hot.unionByName(joined)
+
+
+def one_each(rows: DataFrame, named: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """One row for each key of ``named`` with its other columns; ``copies``: how many of the ``total`` rows have the key.
+
+    Rows are moved once: what the join has placed by key is reduced in place. Hot keys are reduced with map-side combining.
     """
-    least = total * HOT_SHARE
-    hot, rest = named.where(F.col(copies) > least).drop(copies), named.where(F.col(copies) <= least).drop(copies)
-    by_shuffle = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
-    return rows.join(F.broadcast(hot), keys).unionByName(by_shuffle)
+    rest, hot, named = _split(rows, named, [key], copies, total)
+    once = rest.join(named, key).dropDuplicates([key])
+    return once if hot is None else once.unionByName(hot.select(*once.columns).dropDuplicates([key]))
 
 
 def block_pairs(blocks: DataFrame, bucket: list[str], payload: list[str]) -> DataFrame:
@@ -137,12 +160,3 @@ def block_pairs(blocks: DataFrame, bucket: list[str], payload: list[str]) -> Dat
     left = named.select(F.col("_name").alias("_x"), *[F.col(c).alias(f"{c}1") for c in payload])
     right = named.select(F.col("_name").alias("_y"), *[F.col(c).alias(f"{c}2") for c in payload])
     return pairs.join(left, "_x").join(right, "_y").drop("_x", "_y")
-
-
-def one_each(rows: DataFrame, named: DataFrame, key: str, copies: str, total: int) -> DataFrame:
-    """One row for each key of ``named`` with its other columns; ``copies``: how many of the ``total`` rows have the key.
-
-    Only keys that several rows share are reduced, with map-side combining, and the hot ones of them never meet in one task.
-    """
-    single = rows.join(named.where(F.col(copies) == 1).drop(copies), key)
-    return single.unionByName(join_hot(rows, named.where(F.col(copies) > 1), [key], copies, total).dropDuplicates([key]))

@@ -96,6 +96,47 @@ def _packed():
     return apply
 
 
+#: One in so many sets is looked at for keys that hold many rows, and what counts as many; it decides how rows travel, not what is found.
+LOOK = 64
+MANY = 20_000
+
+
+def bucket_stars(batches):
+    """Over batches of (key, fp) sorted by both: a link from every other fp of a key to the least."""
+    key = low = None
+    for batch in batches:
+        keys, fps = (np.asarray(batch.column(i)) for i in range(2))
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        least = np.repeat(fps[starts], np.diff(np.r_[starts, len(keys)]))
+        if key == keys[0]:
+            least[: starts[1] if len(starts) > 1 else len(keys)] = low
+        key, low = keys[-1], least[-1]
+        link = fps != least
+        yield pa.RecordBatch.from_arrays([pa.array(fps[link]), pa.array(least[link])], names=["u", "v"])
+
+
+def stars(named: DataFrame, n_sets: int, many: int = MANY) -> DataFrame:
+    """(u, v): every set (fp, keys) linked to the least of each fingerprint that it shares.
+
+    Rows are moved once, sorted by fingerprint. Fingerprints that a look at some sets shows to be very frequent are reduced to their least with map-side
+    combining and joined by broadcast instead; about 1,000 * TABLES of them can be at most, as each holds a thousandth of the sets.
+    """
+    keyed = named.select(F.explode("keys").alias("key"), "fp")
+    some = named.where(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0).select(F.explode("keys").alias("key"))
+    hot = [r["key"] for r in some.groupBy("key").count().where(F.col("count") * LOOK > max(many, n_sets // 1000)).collect()] if n_sets > many else []
+    found = keyed
+    if hot:
+        frequent = F.broadcast(named.sparkSession.createDataFrame([(k,) for k in hot], "key bigint"))
+        found = keyed.join(frequent, "key", "left_anti")
+        theirs = keyed.join(frequent, "key")
+        least = theirs.groupBy("key").agg(F.min("fp").alias("v"))
+        linked = theirs.join(F.broadcast(least), "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    out = found.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp").mapInArrow(bucket_stars, "u bigint, v bigint")
+    return out.unionByName(linked) if hot else out
+
+
 def link_sets(names: list[int], sets: list[np.ndarray], similarity: float, forest: Forest, across: int = 0) -> None:
     """Link all sets within the similarity, or those of the first ``across`` with the others; each is compared with those that aren't yet
     connected with it."""
@@ -145,15 +186,12 @@ def compare_blocks(similarity: float):
 
 def candidate_links(named: DataFrame, n_sets: int) -> DataFrame:
     """(u, v): links between the sets (fp, print, keys) that share a fingerprint or whose SimHashes are near. SimHashes are nodes, too."""
-    keyed = named.select(F.explode("keys").alias("key"), "fp")
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = join_hot(keyed, shared, ["key"], "n", n_sets * TABLES).where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     prints = checkpointed(named.groupBy("print").agg(F.count("*").alias("n")))
     near = checkpointed(simhash.near_links(prints.select(F.col("print").alias("fp"))))
     ends = near.select(F.col("u").alias("print")).unionByName(near.select(F.col("v").alias("print"))).distinct()
     met = prints.where("n > 1").unionByName(prints.join(ends, "print")).distinct()
     of_print = join_hot(named.select("fp", "print"), met, ["print"], "n", n_sets)
-    return stars.unionByName(near).unionByName(of_print.select(F.col("fp").alias("u"), F.col("print").alias("v"))).distinct()
+    return stars(named, n_sets).unionByName(near).unionByName(of_print.select(F.col("fp").alias("u"), F.col("print").alias("v"))).distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -217,7 +217,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = checkpointed(fingerprints(df, id_col, text_col, width))
     named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies")))
     roots = connected_components(near_links(named.select("fp"), radius, bucket_rows))
-    joined = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    joined = checkpointed(named.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     # only fingerprints with a link need their component's smallest id
     linked = joined.where("root is not null")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("prints"))

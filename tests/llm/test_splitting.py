@@ -7,11 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm_queries import plain_components
 
-from quillmark.llm import common, components, simhash
+from quillmark.llm import common, components, near_copies, simhash
+
+
+@pytest.fixture(params=[1000, 50])
+def hot_rows(request, monkeypatch):
+    """Without and with hot keys."""
+    monkeypatch.setattr(common, "HOT_ROWS", request.param)
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_hot_join(spark, how):
+def test_hot_join(spark, how, hot_rows):
     r = random.Random(1)
     keys = [7] * 300 + [r.randrange(5000) for _ in range(2000)] + [None] * 5
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, key int").repartition(5)
@@ -62,3 +68,26 @@ def test_a_folder_is_removed(spark, tmp_path):
     assert not (tmp_path / "x").exists()
     common.removed(spark, f"{tmp_path}/none")
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_one_row_for_each_key(spark, hot_rows):
+    r = random.Random(4)
+    keys = [(1, "x")] * 400 + [(i, "y") for i in range(300)] + [(i, "y") for i in range(0, 300, 3)]
+    r.shuffle(keys)
+    rows = spark.createDataFrame([((a, b), f"{a}{b}", 9) for a, b in keys], "key struct<a:int,b:string>, text string, copies int").repartition(5)
+    named = [((a, b), keys.count((a, b)), a * 10) for a, b in sorted(set(keys)) if a % 2]
+    got = common.one_each(rows.drop("copies"), spark.createDataFrame(named, "key struct<a:int,b:string>, copies int, more int"), "key", "copies", len(keys))
+    want = [((a, b), f"{a}{b}", m) for (a, b), _, m in named]
+    assert sorted(((g["key"]["a"], g["key"]["b"]), g["text"], g["more"]) for g in got.collect()) == want
+
+
+@pytest.mark.parametrize("many", [1, 20_000])
+def test_stars_of_frequent_fingerprints(spark, many):
+    r = random.Random(5)
+    named = [(i, [7 if i % 3 else 1000 + i, r.randrange(40)]) for i in range(3000)]
+    edges = [(e["u"], e["v"]) for e in near_copies.stars(spark.createDataFrame(named, "fp bigint, keys array<bigint>").repartition(4), 3000, many).collect()]
+    least = {}
+    for fp, keys in named:
+        for k in keys:
+            least[k] = min(least.get(k, fp), fp)
+    assert sorted(edges) == sorted((fp, least[k]) for fp, keys in named for k in keys if fp != least[k])
