@@ -65,6 +65,7 @@ def date_order(language: Column, country: Column) -> Column:
 
 def normalized_date(value: Column, language: Column, country: Column) -> Column:
     """struct<value string, status string> of an extracted fact; two dates or an undecided order are ambiguous."""
+    # How dates are written in facts.
     start, end = r"(?<![\d/.,-])", r"(?!\d|[/,-]|\.\d)"
     iso_p = start + r"(\d{4})([-/.,])(\d{1,2})\2(\d{1,2})" + end
     local_p = start + r"(\d{1,2})([-/.,])(\d{1,2})\2(\d{4}|\d{2})" + end

@@ -176,12 +176,91 @@ def _iso7064(s: Column, n: int) -> Column:
     return (F.lit(11) - check) % 10 == _digit(s, n)
 
 
+def _letter_of(letters: str, at: Column) -> Column:
+    return F.substr(F.lit(letters), (at + 1).cast("int"), F.lit(1))
+
+
+# Check letters of Spain and Ireland, and what odd places count for in Cyprus.
+SPAIN_PERSONS, SPAIN_COMPANIES, IRELAND = "TRWAGMYFPDXBNJZSQVHLCKE", "JABCDEFGHI", "WABCDEFGHIJKLMNOPQRSTUV"
+CYPRUS = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21)
+
+
+def _austria(s: Column) -> Column:
+    total = F.lit(4)
+    for i in range(1, 8):
+        d = _digit(s, i)
+        total = total + (d if i % 2 else F.floor(d / 5) + d * 2 % 10)
+    return (F.lit(10) - total % 10) % 10 == _digit(s, 8)
+
+
+def _bulgaria(s: Column) -> Column:
+    one, two = _weighted(s, tuple(range(1, 9))) % 11, _weighted(s, tuple(range(3, 11))) % 11
+    company = F.when(one < 10, one).otherwise(two % 10) == _digit(s, 8)
+    citizen = _weighted(s, (2, 4, 8, 5, 10, 9, 7, 3, 6)) % 11 % 10 == _digit(s, 9)
+    foreigner = _weighted(s, (21, 19, 17, 13, 11, 9, 7, 3, 1)) % 10 == _digit(s, 9)
+    other = (F.lit(11) - _weighted(s, (4, 3, 2, 7, 6, 5, 4, 3, 2)) % 11) % 11 == _digit(s, 9)
+    return F.when(F.length(s) == 9, company).otherwise(citizen | foreigner | other)
+
+
+def _cyprus(s: Column) -> Column:
+    odd = F.lit(0)
+    values = F.array(*map(F.lit, CYPRUS))
+    for i in range(0, 8, 2):
+        odd = odd + F.element_at(values, _digit(s, i) + 1)
+    letter = F.chr((odd + _weighted(s, (0, 1, 0, 1, 0, 1, 0, 1))) % 26 + 65)
+    return ~s.startswith("12") & (letter == F.right(s, F.lit(1)))
+
+
+def _czechia(s: Column) -> Column:
+    legal = (F.lit(11) - _weighted(s, (8, 7, 6, 5, 4, 3, 2)) % 11) % 11
+    special = (F.lit(8) - (F.lit(10) - _weighted(s, (0, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11)
+    birth = _number(s, 0, 9) % 11 % 10 == _digit(s, 9)
+    return (
+        F.when(F.length(s) == 8, ~s.startswith("9") & (F.when(legal == 0, 1).otherwise(legal % 10) == _digit(s, 7)))
+        .when((F.length(s) == 9) & s.startswith("6"), special == _digit(s, 8)).when(F.length(s) == 10, birth).otherwise(True)
+    )
+
+
+def _spain(s: Column) -> Column:
+    first, last = F.left(s, F.lit(1)), F.right(s, F.lit(1))
+    person = lambda n: _letter_of(SPAIN_PERSONS, n % 23) == last
+    foreigner = (F.when(first == "Y", 10_000_000).when(first == "Z", 20_000_000).otherwise(0) + _number(s, 1, 7)).cast("bigint")
+    total = F.lit(0)
+    for i in range(1, 8):
+        d = _digit(s, i)
+        total = total + (F.when(d > 4, d * 2 - 9).otherwise(d * 2) if i % 2 else d)
+    check = (F.lit(10) - total % 10) % 10
+    company = F.when(last.rlike("[0-9]"), check == _digit(s, 8)).otherwise(_letter_of(SPAIN_COMPANIES, check) == last)
+    return F.when(first.rlike("[0-9]"), person(_number(s, 0, 8))).when(first.rlike("[KLM]"), person(_number(s, 1, 7))).when(first.rlike("[XYZ]"), person(foreigner)).otherwise(company)
+
+
+def _ireland(s: Column) -> Column:
+    old = s.rlike("^[0-9][A-Z+*]")
+    digits = F.when(old, F.concat(F.lit("0"), F.substr(s, F.lit(3), F.lit(5)), F.left(s, F.lit(1)))).otherwise(F.left(s, F.lit(7)))
+    second = F.when(~old & (F.length(s) == 9), (F.ascii(F.right(s, F.lit(1))) - 64) % 23).otherwise(0)
+    letter = _letter_of(IRELAND, (_weighted(digits, (8, 7, 6, 5, 4, 3, 2)) + 9 * second) % 23)
+    return letter == F.substr(s, F.lit(8), F.lit(1))
+
+
+def _lithuania(s: Column) -> Column:
+    def check(n):
+        one = _weighted(s, tuple(1 + i % 9 for i in range(n))) % 11
+        two = _weighted(s, tuple(1 + (i + 2) % 9 for i in range(n))) % 11 % 10
+        return (_digit(s, n - 1) == 1) & (F.when(one == 10, two).otherwise(one) == _digit(s, n))
+
+    return F.when(F.length(s) == 9, check(8)).otherwise(check(11))
+
+
 def vat_checksum(country: Column, s: Column) -> Column:
-    """Check digits of the countries whose rule is one weighted sum or a modulus; others have their structure checked only."""
+    """Check digits of the local part, by the published rule of each country."""
     mod11 = lambda w, n: (_weighted(s, w) % 11) % 10 == _digit(s, n)
     pt = F.lit(11) - _weighted(s, (9, 8, 7, 6, 5, 4, 3, 2)) % 11
     fi = F.lit(11) - _weighted(s, (7, 9, 10, 5, 8, 4, 2)) % 11
     si = F.lit(11) - _weighted(s, (8, 7, 6, 5, 4, 3, 2)) % 11
+    latvian = F.when(s.rlike("^[4-9]"), _weighted(s, (9, 1, 4, 8, 3, 10, 2, 5, 7, 6, 1)) % 11 == 3).when(s.startswith("32"), True).otherwise((_weighted(s, (10, 5, 8, 4, 2, 1, 6, 3, 7, 9)) + 1) % 11 % 10 == _digit(s, 10))
+    dutch = (_weighted(s, (9, 8, 7, 6, 5, 4, 3, 2)) - _digit(s, 8)) % 11 == 0
+    romanian = F.lpad(s, 10, "0")
+    british = _weighted(s, (8, 7, 6, 5, 4, 3, 2, 10, 1)) % 97
     rules = {
         "FR": F.when(s.rlike("^[0-9]{2}"), (_number(s, 2, 9) * 100 + 12) % 97 == _number(s, 0, 2)).otherwise(luhn_ok(F.substr(s, F.lit(3)))),
         "LU": _number(s, 0, 6) % 89 == _number(s, 6, 2),
@@ -200,7 +279,11 @@ def vat_checksum(country: Column, s: Column) -> Column:
         "SI": F.when(si == 10, 0).otherwise(si) == _digit(s, 7),
         "SK": _number(s, 0, 10) % 11 == 0,
         "MT": (F.lit(37) - _weighted(s, (3, 4, 6, 7, 8, 9)) % 37) == _number(s, 6, 2),
-    }
+        "AT": _austria(s), "BG": _bulgaria(s), "CY": _cyprus(s), "CZ": _czechia(s), "ES": _spain(s), "IE": _ireland(s), "LT": _lithuania(s), "LV": latvian,
+        "NL": dutch | (mod97(F.concat(F.lit("NL"), s)) == 1),
+        "RO": _weighted(romanian, (7, 5, 3, 2, 1, 7, 5, 3, 2)) * 10 % 11 % 10 == _digit(romanian, 9),
+        "XI": F.when(s.startswith("GD"), _number(s, 2, 3) < 500).when(s.startswith("HA"), _number(s, 2, 3) >= 500).otherwise(british.isin(0, 42)),
+    }
     out = F.lit(True)
     for name, rule in rules.items():
         out = F.when(country == name, rule).otherwise(out)

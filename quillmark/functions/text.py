@@ -89,6 +89,7 @@ def middle_elided(text: Column, limit: int, marker: str = "\n[...]\n") -> Column
 
 def abstracted(text: Column) -> Column:
     """Values of a document replaced by their kind, in five ordered steps."""
+    # What counts as an identifier, an address, a date and a value.
     steps = (
         (r"\b[A-Z]{2}\d{2}(?:[\s-]?[A-Z0-9]){10,32}\b", "[identifiant]"),
         (r"(?i)\b[\w.+-]+@[\w.-]+\.[A-Z]{2,}\b", "[adresse]"),
@@ -101,6 +102,14 @@ def abstracted(text: Column) -> Column:
     return collapsed(text)
 
 
+def without_structured_values(evidence: Column, key: str = "structured_fields", count: str = "structured_field_count") -> Column:
+    """A map of evidence to JSON texts without the values of a key; their number stays under another key."""
+    held = F.try_element_at(evidence, F.lit(key))
+    fields = F.coalesce(F.json_array_length(held), F.size(F.json_object_keys(held)), F.lit(0))
+    kept = F.map_filter(evidence, lambda k, _: k != key)
+    return F.when(held.isNull(), evidence).otherwise(F.map_concat(kept, F.create_map(F.lit(count), fields.cast("string"))))
+
+
 def limited_note(text: Column, words: int = 180, chars: int = 1600) -> Column:
     parts = F.split(collapsed(text), " ")
     return F.left(F.array_join(F.slice(parts, 1, words), " "), F.lit(chars))

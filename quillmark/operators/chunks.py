@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -11,30 +13,35 @@ def greedy_chunks(rows: DataFrame, limit: int, key: str, order: str, size: str,
     """(key, order, part, chunk): rows are put in chunks of at most ``limit``; one that is too large alone is cut in parts.
 
     A part is max(100, limit - overhead) of the row's size and is a chunk of its own. The running size starts anew with each
-    chunk, so the rows of a key are folded in order; they travel as small structs.
+    chunk, so the rows of a key are read in order; an Arrow batch function over sorted partitions holds only the open chunk's size.
     """
-    item = F.struct(F.col(order).alias("pos"), F.col(size).cast("bigint").alias("size"), F.col(overhead).cast("bigint").alias("over"))
-    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<pos:bigint,chunk:bigint,parts:bigint>>").alias("out")
-    )
-
-    def step(acc, x):
-        whole = x["size"] + x["over"]
-        # an open chunk (used > 0) is closed by a row that is cut or doesn't fit
-        after = F.when((acc["used"] > 0) & (whole > F.lit(limit)), acc["chunk"] + 1).otherwise(acc["chunk"])
-        parts = F.ceil(x["size"] / F.greatest(F.lit(100), F.lit(limit) - x["over"])).cast("bigint")
-        fits = (acc["used"] == 0) | (acc["used"] + whole <= limit)
-        here = F.when(fits, acc["chunk"]).otherwise(acc["chunk"] + 1)
-        put = lambda c, n: F.concat(acc["out"], F.array(F.struct(x["pos"].cast("bigint").alias("pos"), c.cast("bigint").alias("chunk"), n.alias("parts"))))
-        one = F.lit(1).cast("bigint")
-        cut = F.struct((after + parts).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("used"), put(after, parts).alias("out"))
-        kept = F.struct(here.cast("bigint").alias("chunk"), F.when(fits, acc["used"] + whole).otherwise(whole).cast("bigint").alias("used"), put(here, one).alias("out"))
-        return F.when(whole > F.lit(limit), cut).otherwise(kept)
-
-    folded = per.select(key, F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("o"))
-    out = folded.select(key, F.col("o.pos").alias(order), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("o.parts") - 1)).alias("part"), F.col("o.chunk").alias("c"))
-    return out.select(key, order, "part", (F.col("c") + F.col("part")).alias("chunk"))
+    source = rows.select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("pos"), F.col(size).cast("bigint").alias("size"), F.col(overhead).cast("bigint").alias("over"))
+    schema = T.StructType([source.schema["key"], *T.StructType.fromDDL("pos bigint, chunk bigint, parts bigint")])
+
+    def run(batches):
+        current, chunk, used = None, 0, 0
+        for batch in batches:
+            chunks, parts = [], []
+            for k, n, more in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                if current != (k,):
+                    current, chunk, used = (k,), 0, 0
+                if n + more > limit:
+                    chunk += used > 0  # an open chunk is closed by a row that is cut
+                    cut = -(-n // max(100, limit - more))
+                    chunks.append(chunk)
+                    parts.append(cut)
+                    chunk, used = chunk + cut, 0
+                    continue
+                if used and used + n + more > limit:
+                    chunk, used = chunk + 1, 0
+                used += n + more
+                chunks.append(chunk)
+                parts.append(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.int64()), pa.array(parts, pa.int64())], names=schema.names)
+
+    placed = source.repartition("key").sortWithinPartitions("key", "pos").mapInArrow(run, schema)
+    out = placed.where("parts > 0").select("key", "pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "chunk")
+    return out.select(F.col("key").alias(key), F.col("pos").alias(order), "part", (F.col("chunk") + F.col("part")).alias("chunk"))
 
 
 def fitting_prefix(rows: DataFrame, max_chars: int, key: str, order: str, size: str) -> DataFrame:

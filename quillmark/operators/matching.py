@@ -116,18 +116,24 @@ def name_variant(left: Column, right: Column) -> Column:
     return (F.length(short) >= 5) & (F.length(long) - F.length(short) == 1) & long.contains(short)
 
 
+def name_classes(names: DataFrame, group: str, name: str, key: str) -> DataFrame:
+    """(g, k, id, name, copies): a group's names by their key, each stood for by its row of the smallest id."""
+    k = comparison_key(F.col(name))
+    rows = names.select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(name).alias("name"), k.alias("k")).where(F.length("k") >= 5)
+    return rows.groupBy("g", "k").agg(F.min(F.struct("id", "name")).alias("first"), F.count("*").alias("copies")).select("g", "k", "first.id", "first.name", "copies")
+
+
 def name_pairs(names: DataFrame, group: str, name: str, key: str) -> DataFrame:
-    """(group, left, right): variant pairs within a group.
+    """(g, short_id, long_id, short_name, long_name, short_copies, long_copies): variant pairs of the name classes of a group.
 
-    Instead of comparing all pairs, each key emits itself and its two ends cut by one character, and pairs meet on those by an equi
-    join: a key holds one that is shorter by one only if it starts or ends with it.
+    Instead of comparing all pairs, each key emits its two ends cut by one character, and pairs meet on those by an equi
+    join: a key holds one that is shorter by one only if it starts or ends with it. Repeated names are one class.
     """
-    k = comparison_key(F.col(name))
-    rows = names.select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(name).alias("name"), k.alias("k")).where(F.length("k") >= 5)
+    classes = name_classes(names, group, name, key)
     cut = F.array_distinct(F.array(F.expr("left(k, length(k) - 1)"), F.expr("right(k, length(k) - 1)")))
-    longer = rows.select("g", F.col("id").alias("long_id"), F.col("name").alias("long_name"), F.explode(cut).alias("k"))
-    shorter = rows.select("g", F.col("id").alias("short_id"), F.col("name").alias("short_name"), "k")
-    return shorter.join(longer, ["g", "k"]).select("g", "short_id", "long_id", "short_name", "long_name").distinct()
+    longer = classes.select("g", F.col("id").alias("long_id"), F.col("name").alias("long_name"), F.col("copies").alias("long_copies"), F.explode(cut).alias("k"))
+    shorter = classes.select("g", F.col("id").alias("short_id"), F.col("name").alias("short_name"), F.col("copies").alias("short_copies"), "k")
+    return shorter.join(longer, ["g", "k"]).select("g", "short_id", "long_id", "short_name", "long_name", "short_copies", "long_copies")
 
 
 def one_digit_conflict(cards: DataFrame) -> DataFrame:

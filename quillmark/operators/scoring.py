@@ -115,6 +115,14 @@ def top_findings(findings: DataFrame, k: int, order: list[Column], *keys: str) -
     return findings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def distinct_evidence(findings: DataFrame, *text: str) -> DataFrame:
+    """Findings of a document in order of points and confidence, each pair of code and text once, the strongest; ``place`` counts from 1."""
+    text = text or ("title",)
+    strength = [F.desc("risk_points"), F.desc("confidence"), F.col("code")]
+    once = findings.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "code", *text).orderBy(*strength))).where("_n = 1").drop("_n")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*strength, *text)))
+
+
 def first_by_key(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Order-preserving removal of repeats: of each key the row of the lowest position stays."""
     w = Window.partitionBy(*keys).orderBy(position)
@@ -125,6 +133,13 @@ def first_by_key(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
 STATES = ("attention", "error", "indeterminate", "detected", "clear", "not_applicable")
 
 
+def state_counts(observations: DataFrame, *keys: str) -> DataFrame:
+    """(keys, total, one count for each state, summary): what a group's observations came to, in numbers and in a line of text."""
+    per = observations.groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES])
+    said = F.concat_ws(", ", *[F.when(F.col(s) > 0, F.format_string(f"%d {s}", F.col(s))) for s in STATES])
+    return per.withColumn("summary", F.concat(F.format_string("%d checks: ", F.col("total")), said))
+
+
 def overall_state(observations: DataFrame, *keys: str) -> DataFrame:
     """(keys, state): the most pressing state among the observations."""
     place = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))

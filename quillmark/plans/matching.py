@@ -89,8 +89,9 @@ def visible_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with n as (select s_suppkey id, s_nationkey g, case when s_suppkey % 3 = 0 then 'Rivière ' else 'Riviere' end || (s_suppkey % 40) as name from supplier), k as (select *, lower(regexp_replace(strip_accents(name), '[^a-zA-Z0-9]+', '', 'g')) k from n)
-  select a.g, a.id short_id, b.id long_id, a.name short_name, b.name long_name from k a join k b on a.g = b.g and length(b.k) - length(a.k) = 1 and contains(b.k, a.k) and length(a.k) >= 5"""
+    """with n as (select s_suppkey id, s_nationkey g, case when s_suppkey % 3 = 0 then 'Rivière ' else 'Riviere' end || (s_suppkey % 40) as name from supplier), r as (select *, lower(regexp_replace(strip_accents(name), '[^a-zA-Z0-9]+', '', 'g')) k from n)
+  , k as (select g, k, min(id) id, min_by(name, id) as name, count(*) copies from r group by g, k)
+  select a.g, a.id short_id, b.id long_id, a.name short_name, b.name long_name, a.copies short_copies, b.copies long_copies from k a join k b on a.g = b.g and length(b.k) - length(a.k) = 1 and contains(b.k, a.k) and length(a.k) >= 5"""
 )
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "Rivière ").otherwise("Riviere"), F.col("s_suppkey") % 40)

@@ -138,6 +138,32 @@ def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("doc_id", "code", "risk_points", "rank")
 
 
+_STATES = ", ".join(f"'{x}'" for x in s.STATES)
+
+
+@query(
+    f"""with o as (select l_orderkey doc_id, [{_STATES}][l_partkey % {len(s.STATES)} + 1] state from lineitem)
+  select doc_id, count(*) total, """ + ", ".join(f"count(*) filter (state = '{x}') {x}" for x in s.STATES) + """, count(*) || ' checks: ' || concat_ws(', ', """
+    + ", ".join(f"case when count(*) filter (state = '{x}') > 0 then count(*) filter (state = '{x}') || ' {x}' end" for x in s.STATES) + ") summary from o group by doc_id"
+)
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.element_at(F.array(*map(F.lit, s.STATES)), (F.col("l_partkey") % len(s.STATES) + 1).cast("int"))
+    return s.state_counts(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), state.alias("state")), "doc_id")
+
+
+@query(
+    """with f as (select l_orderkey doc_id, 'C' || l_suppkey % 2 code, l_returnflag title, l_quantity::double risk_points, l_discount::double confidence from lineitem)
+  , o as (select *, row_number() over (partition by doc_id, code, title order by risk_points desc, confidence desc) n from f)
+  select doc_id, code, title, risk_points, row_number() over (partition by doc_id order by risk_points desc, confidence desc, code, title) place from o where n = 1"""
+)
+def distinct_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("C"), F.col("l_suppkey") % 2).alias("code"), F.col("l_returnflag").alias("title"),
+        F.col("l_quantity").cast("double").alias("risk_points"), F.col("l_discount").cast("double").alias("confidence"),
+    )
+    return s.distinct_evidence(rows).select("doc_id", "code", "title", "risk_points", "place")
+
+
 @query("select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by event_id) n from events) where n = 1")
 def first_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.first_by_key(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")

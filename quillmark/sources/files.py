@@ -18,12 +18,12 @@ def is_pdf(content: Column) -> Column:
     return F.instr(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "%PDF-") > 0
 
 
-def read_documents(spark: SparkSession, path: str, max_megabytes: int = MAX_MEGABYTES) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, max_megabytes: int = MAX_MEGABYTES, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, length, content, kind, error): files under a folder; ``error`` names why a file isn't taken, content is then null.
 
     The size is checked on the listing, before any content is read by a later filter.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(path)
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     large = F.col("length") > max_megabytes * 2**20
     kind = F.when(is_pdf(F.col("content")), "pdf").when(ext == "pdf", "pdf").otherwise("image")
@@ -51,6 +51,17 @@ def invoice_header(xml: Column) -> Column:
     )
 
 
+# Names of attachments that hold an invoice.
+INVOICE_NAMES = ("factur-x.xml", "factur_x.xml", "zugferd-invoice.xml", "xrechnung.xml")
+
+
+def invoice_attachments(attachments: DataFrame, name_col: str = "name", xml_col: str = "xml") -> DataFrame:
+    """XML attachments with content, and ``standard``: whether the name is that of an invoice standard."""
+    name = F.lower(F.element_at(F.split(F.col(name_col), "[/\\\\]"), -1))
+    rows = attachments.where(name.endswith(".xml") & (F.length(F.coalesce(F.col(xml_col), F.lit(""))) > 0))
+    return rows.withColumn("standard", name.isin(*INVOICE_NAMES))
+
+
 def read_invoice_headers(attachments: DataFrame, xml_col: str = "xml") -> DataFrame:
     return attachments.withColumn("x", F.col(xml_col)).withColumn("header", invoice_header(F.col("x"))).drop("x")
 

@@ -83,3 +83,9 @@ def test_text(spark):
 def test_context_currency(spark):
     rows = [(["rien", "12 chf net"],), (["US$ 5", "EUR"],), (["XXX", "abc"],), ([],)]
     assert values(spark, rows, amounts.context_currency(F.col("v")), "v array<string>") == ["CHF", "USD", None, None]
+
+
+def test_structured_values_are_counted_and_left_out(spark):
+    rows = spark.createDataFrame([({"structured_fields": '["a", "b"]', "x": "1"},), ({"structured_fields": '{"a": 1}'},), ({"x": "1"},), (None,)], "e map<string,string>")
+    got = [r[0] for r in rows.select(text.without_structured_values(F.col("e"))).collect()]
+    assert got == [{"x": "1", "structured_field_count": "2"}, {"structured_field_count": "1"}, {"x": "1"}, None]

@@ -50,3 +50,9 @@ def test_stream(spark, sf_dir, tmp_path):
     q = inbox.score_batches(stream, lambda b: b.groupBy("event_type").count(), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == events.count()
+
+
+def test_invoice_attachments(spark):
+    rows = [("Factur-X.xml", "<a/>"), ("dir/zugferd-invoice.xml", "<a/>"), ("other.xml", "<a/>"), ("factur-x.xml", ""), ("xrechnung.xml", None), ("a.pdf", "<a/>")]
+    got = files.invoice_attachments(spark.createDataFrame(rows, "name string, xml string")).collect()
+    assert {(r["name"], r["standard"]) for r in got} == {("Factur-X.xml", True), ("dir/zugferd-invoice.xml", True), ("other.xml", False)}
