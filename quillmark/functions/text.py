@@ -111,8 +111,12 @@ def without_structured_values(evidence: Column, key: str = "structured_fields",
 
 
 def limited_note(text: Column, words: int = 180, chars: int = 1600) -> Column:
-    parts = F.split(collapsed(text), " ")
-    return F.left(F.array_join(F.slice(parts, 1, words), " "), F.lit(chars))
+    """A note of so many words and signs at most; a cut one ends after a whole word, with a point."""
+    clean = collapsed(text)
+    first = F.array_join(F.slice(F.split(clean, " "), 1, words), " ")
+    short = F.when(F.length(first) > chars, F.regexp_replace(F.left(first, F.lit(chars)), r" [^ ]*$", "")).otherwise(first)
+    cut = (F.size(F.split(clean, " ")) > words) | (F.length(clean) > chars)
+    return F.when(cut, F.concat(F.regexp_replace(short, r"[ ,;:]+$", ""), F.lit("."))).otherwise(short)
 
 
 def grouped_by_four(text: Column) -> Column:

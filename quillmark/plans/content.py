@@ -310,8 +310,10 @@ def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""select doc_id, md5(left(array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:180], ' '), 1600)) note,
-  md5(case when length(text) <= 300 then text else left(text, 195) || chr(10) || '[...]' || chr(10) || right(text, 98) end) elided from documents"""
+    r"""with c as (select doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) s from documents), w as (select *, string_split(s, ' ') parts, array_to_string(string_split(s, ' ')[1:180], ' ') f from c)
+  , n as (select *, case when length(f) > 1600 then regexp_replace(left(f, 1600), ' [^ ]*$', '') else f end short from w)
+  select doc_id, md5(case when len(parts) > 180 or length(s) > 1600 then regexp_replace(short, '[ ,;:]+$', '') || '.' else short end) note,
+  md5(case when length(text) <= 300 then text else left(text, 195) || chr(10) || '[...]' || chr(10) || right(text, 98) end) elided from n"""
 )
 def shortened_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.limited_note(F.col("text"))).alias("note"), F.md5(t.middle_elided(F.col("text"), 300)).alias("elided"))
