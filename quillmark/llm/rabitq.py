@@ -28,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,7 @@ Z = 8.0
 MISS = 1e-9
 SEED = 20_240_521
 _CHUNK = 512
+_CODE_CHUNK = 64
 
 
 @functools.lru_cache(maxsize=8)
@@ -116,31 +118,51 @@ def keys(unit: np.ndarray, bits: int, threshold: float) -> np.ndarray:
 
 
 def near_codes(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16)
-    for w in range(1, x.shape[1]):
-        far += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
-    return far <= most
+    """Which codes differ in at most ``most`` bits. Pairs that differ in more within the first two words aren't looked at further."""
+    far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    if x.shape[1] > 1:
+        far += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])  # at most 128
+    near = far <= most
+    if x.shape[1] > 2:
+        i, j = np.nonzero(near)
+        for a in range(0, len(i), 65536):
+            p, q = i[a : a + 65536], j[a : a + 65536]
+            near[p, q] = np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype=np.int64) <= most
+    return near
 
 
 def link_codes(ids: np.ndarray, code: np.ndarray, most: int, forest: Forest, across: int = 0) -> None:
-    """Link candidates whose codes differ in at most ``most`` bits: all pairs, or only those between the first ``across`` and the others."""
+    """Link candidates whose codes differ in at most ``most`` bits: all pairs, or only those between the first ``across`` and the others.
+
+    Components are found by spreading the smallest place through each chunk's matrix, so that a dense bucket costs no step a pair.
+    """
     n = len(ids)
-    for a in range(0, across or n, _CHUNK):
-        b = min(a + _CHUNK, across or n)
+    root = np.arange(n)
+    for a in range(0, across or n, _CODE_CHUNK):
+        b = min(a + _CODE_CHUNK, across or n)
         low = across or a
         near = near_codes(code[a:b], code[low:], most)
         if not across:
             near &= np.arange(low, n)[None, :] > np.arange(a, b)[:, None]
-        i, j = np.nonzero(near)
-        if len(i) > 4 * n:  # dense: a spanning set is enough
-            for r in np.flatnonzero(near.any(axis=1)):
-                mine = low + np.flatnonzero(near[r])
-                roots = {forest.find(int(x)) for x in ids[mine]}
-                for x in roots:
-                    forest.link(int(ids[a + r]), x)
+        rows = np.flatnonzero(near.any(axis=1))
+        if not len(rows):
             continue
-        for x, y in zip(ids[a + i].tolist(), ids[low + j].tolist(), strict=True):
-            forest.link(x, y)
+        cols = np.flatnonzero(near.any(axis=0))
+        met = near[np.ix_(rows, cols)]
+        rows, cols = rows + a, cols + low
+        while True:
+            r, c = root[rows], root[cols]
+            least = np.minimum(r, np.where(met, c[None, :], n).min(axis=1))
+            through = np.minimum(c, np.where(met, least[:, None], n).min(axis=0))
+            if (least == r).all() and (through == c).all():
+                break
+            np.minimum.at(root, r, least)
+            np.minimum.at(root, c, through)
+            while (root[root] != root).any():
+                root = root[root]
+    moved = np.flatnonzero(root != np.arange(n))
+    for x, y in zip(ids[moved].tolist(), ids[root[moved]].tolist(), strict=True):
+        forest.link(x, y)
 
 
 class Compared:
@@ -228,30 +250,49 @@ def _compare_buckets(threshold: float, bucket_rows: int):
     """Over batches sorted by bucket: candidate links, and the blocks of buckets too large for one task."""
 
     def run(batches):
-        forest, bucket, ids, code, number = Forest(), None, [], [], 0
+        forest, bucket, ids, code, count, number = Forest(), None, [], [], 0, 0
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([x], t) for x, t in zip((*bucket, number, np.array(ids, np.int64).tobytes(), b"".join(code)), _OUT.types[2:], strict=True))], schema=_OUT)
+            values = (*bucket, number, np.concatenate(ids).tobytes(), np.concatenate(code).tobytes())
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([x], t) for x, t in zip(values, _OUT.types[2:], strict=True))], schema=_OUT)
 
         def close():
-            if number and ids:
+            if number and count:
                 yield block()
-            elif len(ids) > 1:
-                link_codes(np.array(ids), np.frombuffer(b"".join(code), np.uint64).reshape(len(ids), -1), most_bits(bucket[1], threshold), forest)
+            elif count > 1:
+                link_codes(np.concatenate(ids), np.concatenate(code), most_bits(bucket[1], threshold), forest)
 
         for batch in batches:
-            for *at, low, c in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            n = batch.num_rows
+            if not n:
+                continue
+            grp, low, packed = batch.column(0), np.asarray(batch.column(5)), batch.column(6).cast(pa.binary())
+            numbers = [np.asarray(batch.column(i)) for i in range(1, 5)]
+            change = np.ones(n, bool)
+            change[1:] = pc.not_equal(grp.slice(1), grp.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            for x in numbers:
+                change[1:] |= x[1:] != x[:-1]
+            place = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + n + 1]
+            starts = np.flatnonzero(change)
+            ends = np.r_[starts[1:], n]
+            # buckets of one row that lie inside the batch hold no pair
+            look = (ends - starts > 1) | (starts == 0) | (ends == n)
+            for a, b in zip(starts[look].tolist(), ends[look].tolist(), strict=True):
+                at = [grp[a].as_py(), *(int(x[a]) for x in numbers)]
                 if at != bucket:
                     yield from close()
-                    bucket, ids, code, number = at, [], [], 0
+                    bucket, ids, code, count, number = at, [], [], 0, 0
                     if len(forest.parent) > _FOREST_NODES:
                         yield from _links(forest, _OUT)
                         forest = Forest()
-                if len(ids) == bucket_rows:
-                    yield block()
-                    ids, code, number = [], [], number + 1
-                ids.append(low)
-                code.append(c)
+                while a < b:
+                    if count == bucket_rows:
+                        yield block()
+                        ids, code, count, number = [], [], 0, number + 1
+                    take = min(b - a, bucket_rows - count)
+                    ids.append(low[a : a + take].copy())
+                    code.append(np.frombuffer(packed.buffers()[2], np.uint8)[place[a] : place[a + take]].copy().view(np.uint64).reshape(take, -1))
+                    count, a = count + take, a + take
         yield from close()
         yield from _links(forest, _OUT)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm_queries import plain_components
 
-from quillmark.llm import common, components, near_copies, simhash
+from quillmark.llm import common, components, near_copies, rabitq, simhash
 
 
 @pytest.fixture(params=[1000, 50])
@@ -91,3 +91,26 @@ def test_stars_of_frequent_fingerprints(spark, many):
         for k in keys:
             least[k] = min(least.get(k, fp), fp)
     assert sorted(edges) == sorted((fp, least[k]) for fp, keys in named for k in keys if fp != least[k])
+
+
+@pytest.mark.parametrize("across", [0, 300])
+def test_code_components(across):
+    """Components of near codes against plain ones, over several chunks, with chains and dense groups."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, (200, 4), np.uint64)
+    code = np.concatenate([base, *[base[:40] ^ (np.uint64(1) << r.integers(0, 64, (40, 4), np.uint64)) for _ in range(9)], np.repeat(base[50:52], 60, axis=0)])
+    code = code[r.permutation(len(code))]
+    ids = r.permutation(10_000)[: len(code)]
+    forest = components.Forest()
+    rabitq.link_codes(ids, code, 8, forest, across)
+    near = rabitq.near_codes(code, code, 8)
+    full = np.bitwise_count(code[:, None] ^ code[None, :]).sum(axis=2) <= 8
+    assert (near == full).all()
+    if across:
+        side = np.arange(len(code)) < across
+        full &= side[:, None] != side[None, :]
+    want = plain_components(list(range(len(code))), lambda a, b: full[a, b])
+    groups = {}
+    for i in range(len(code)):
+        groups.setdefault(want[i], set()).add(forest.find(int(ids[i])))
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
