@@ -21,20 +21,25 @@ BOILERPLATE = (
     r"\b(?:facebook|instagram|linkedin|x\.com)\.com/",
 )
 GARBAGE = ("�", "锟斤拷", "\x00")
-#: Latin letters with a mark and their bare forms, built from Unicode decompositions.
-_ACCENTED = "".join(chr(c) for c in range(0xC0, 0x250))
 
 
-def _bare(text: str) -> tuple[str, str]:
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """By compatibility decomposition without marks: signs of the basic plane that become one letter or digit, and those that become several."""
     import unicodedata
 
-    pairs = [(c, unicodedata.normalize("NFKD", c)[0]) for c in text if len(unicodedata.normalize("NFKD", c)) > 1]
-    pairs = [(c, b) for c, b in pairs if b.isascii() and b.isalpha()]
-    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+    one, several = {}, {}
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and plain.isascii() and plain.isalnum():
+            (one if len(plain) == 1 else several)[c] = plain
+    return "".join(one), "".join(one.values()), several
 
 
-_MARKED, _PLAIN = _bare(_ACCENTED)
-_COMBINING = r"[\x{0300}-\x{036f}]+"
+_MARKED, _PLAIN, _SEVERAL = _folding()
+_COMBINING = r"\p{M}+"
+#: The signs that become several letters, by what they become: one replacement each.
+_GROUPS = {plain: "[" + "".join(c for c, p in _SEVERAL.items() if p == plain) + "]" for plain in ("ff", "fi", "fl", "ffi", "ffl", "st", "IJ", "ij", "DZ", "Dz", "dz", "LJ", "Lj", "lj", "NJ", "Nj", "nj")}
 
 
 def trimmed(text: Column) -> Column:
@@ -55,8 +60,14 @@ def sanitized(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower-case ASCII key: Latin marks dropped, other signs as single spaces. Covers Latin decompositions, not all of NFKD."""
+    """Lower-case ASCII key: marks dropped, compatibility forms of letters and digits as such, other signs as single spaces.
+
+    Texts of ASCII alone, the most, skip the folding. Signs that stand for several letters are taken apart if they are ligatures.
+    """
     s = F.regexp_replace(F.translate(text, _MARKED, _PLAIN), _COMBINING, "")
+    for plain, signs in _GROUPS.items():
+        s = F.regexp_replace(s, signs, plain)
+    s = F.when(text.rlike(r"[^\x00-\x7F]"), s).otherwise(text)
     return F.trim(F.lower(F.regexp_replace(s, r"[^a-zA-Z0-9]+", " ")))
 
 

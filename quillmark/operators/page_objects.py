@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.operators import limits
+
 INVISIBLE = 3
 # Annotations that a review looks at, and their points each.
 ANNOTATIONS = ("FreeText", "Stamp", "Highlight", "Ink", "Square", "Circle", "Line", "Redact", "Text")
@@ -63,6 +65,29 @@ def revision_transitions(ends: DataFrame) -> DataFrame:
     return pairs.where("next_offset is not null")
 
 
+def revision_timeline(transitions: DataFrame, diffs: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """(doc_id, transition, pages_before, pages_after, page_count_changed, changed_pages array<struct<page, fraction, regions>>, changed) of every transition.
+
+    transitions: doc_id, transition, pages_before, pages_after. diffs: doc_id, transition, page, changed (share of the page), regions. Pages that both
+    revisions have, up to the run's limit, are compared; a transition has changed where a page has a changed region, or the number of pages has.
+    """
+    most = limits.limit(transitions.sparkSession, "max_pages") if max_pages is None else max_pages
+    comparable = F.least("pages_before", "pages_after", F.lit(most))
+    seen = diffs.where("regions > 0").join(transitions.select("doc_id", "transition", comparable.alias("comparable")), ["doc_id", "transition"]).where("page <= comparable")
+    item = F.struct("page", F.round("changed", 6).alias("fraction"), "regions")
+    per = seen.groupBy("doc_id", "transition").agg(F.array_sort(F.collect_list(item)).alias("changed_pages"))
+    rows = transitions.join(per, ["doc_id", "transition"], "left")
+    pages = F.coalesce("changed_pages", F.array().cast(per.schema["changed_pages"].dataType))
+    rows = rows.withColumn("changed_pages", pages).withColumn("page_count_changed", F.col("pages_before") != F.col("pages_after"))
+    return rows.withColumn("changed", (F.size("changed_pages") > 0) | F.col("page_count_changed"))
+
+
+def timeline_summary(timeline: DataFrame) -> DataFrame:
+    """(doc_id, transitions, changed, pages, state) of a document's transitions."""
+    per = timeline.groupBy("doc_id").agg(F.count("*").alias("transitions"), F.count_if("changed").alias("changed"), F.sum(F.size("changed_pages")).cast("bigint").alias("pages"))
+    return per.withColumn("state", F.when(F.col("changed") > 0, "detected").otherwise("clear"))
+
+
 def repeated_marks(marks: DataFrame, similarity: DataFrame, least: float = 0.9, shape: float = 0.78, near: float = 140.0, pages: int = 3, groups: int = 5) -> DataFrame:
     """(doc_id, anchor, members, pages): marks that recur on at least ``pages`` pages, at most ``groups`` a document.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import values
-from quillmark.operators import geometry, labelled, ledger, limits, regions, software, tables
+from quillmark.operators import geometry, labelled, ledger, limits, page_objects, regions, software, tables
 from quillmark.plans import query, table
 from quillmark.plans.content import _LUHN, _MOD97
 
@@ -170,6 +170,33 @@ def page_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.page_counts(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), place.alias("page")))
 
 
+_TIMELINE = """with t as (select o_custkey doc_id, row_number() over (partition by o_custkey order by o_orderkey) transition, o_orderkey, 3 + o_orderkey % 4 pages_before, 3 + o_orderkey % 5 pages_after from orders)
+  , d as (select doc_id, transition, l_linenumber page, l_tax changed, l_suppkey % 3 regions from t join lineitem on l_orderkey = o_orderkey)
+  , c as (select doc_id, transition, count(*) n from d join t using (doc_id, transition) where regions > 0 and page <= least(pages_before, pages_after, 4) group by all)
+  , r as (select t.doc_id, t.transition, pages_before <> pages_after page_count_changed, coalesce(n, 0) n from t left join c using (doc_id, transition))"""
+
+
+def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    nth, key = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")), F.col("o_orderkey")
+    steps = orders.select(F.col("o_custkey").alias("doc_id"), nth.alias("transition"), key, (key % 4 + 3).alias("pages_before"), (key % 5 + 3).alias("pages_after"))
+    diffs = steps.join(items, key == F.col("l_orderkey")).select("doc_id", "transition", F.col("l_linenumber").alias("page"), F.col("l_tax").alias("changed"), (F.col("l_suppkey") % 3).alias("regions"))
+    return page_objects.revision_timeline(steps.drop("o_orderkey"), diffs, 4)
+
+
+@query(_TIMELINE + " select doc_id, transition, page_count_changed, n pages, n > 0 or page_count_changed changed from r")
+def revision_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _timeline(spark, sf_dir).select("doc_id", "transition", "page_count_changed", F.size("changed_pages").alias("pages"), "changed")
+
+
+@query(_TIMELINE + """ select doc_id, count(*) transitions, count(*) filter (n > 0 or page_count_changed) changed, sum(n)::bigint pages,
+  case when count(*) filter (n > 0 or page_count_changed) > 0 then 'detected' else 'clear' end state from r group by doc_id""")
+def timeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_objects.timeline_summary(_timeline(spark, sf_dir))
+
+
 _ROLES = ("photo", "document", "photo", "decorative", "unknown")
 
 

@@ -89,3 +89,13 @@ def test_structured_values_are_counted_and_left_out(spark):
     rows = spark.createDataFrame([({"structured_fields": '["a", "b"]', "x": "1"},), ({"structured_fields": '{"a": 1}'},), ({"x": "1"},), (None,)], "e map<string,string>")
     got = [r[0] for r in rows.select(text.without_structured_values(F.col("e"))).collect()]
     assert got == [{"x": "1", "structured_field_count": "2"}, {"structured_field_count": "1"}, {"x": "1"}, None]
+
+
+def test_folding_follows_compatibility_forms(spark):
+    import re
+    import unicodedata
+
+    words = ["Éclair à l'ŷ", "ﬁn ﬂat oﬃce", "Ｆｕｌｌ　１２", "①② x²", "Ångström", "plain ASCII-1", "naïve é", "ĳs", None, "ß ø 漢"]
+    plain = lambda v: " ".join(re.sub("[^a-zA-Z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))).lower().split())
+    rows = spark.createDataFrame([(w,) for w in words], "v string").select(text.folded(F.col("v"))).collect()
+    assert [r[0] for r in rows] == [None if w is None else plain(w) for w in words]
