@@ -152,142 +152,121 @@ VAT_STRUCTURES = {
 }
 
 
-def _digit(s: Column, i: int) -> Column:
-    return F.coalesce(F.substr(s, F.lit(i + 1), F.lit(1)).try_cast("int"), F.lit(0))
+# Weights of the local part's digits by country and, where a country has several rules, by rule.
+VAT_WEIGHTS = {
+    "BG": (1, 2, 3, 4, 5, 6, 7, 8), "BG2": (3, 4, 5, 6, 7, 8, 9, 10), "BG citizen": (2, 4, 8, 5, 10, 9, 7, 3, 6), "BG foreigner": (21, 19, 17, 13, 11, 9, 7, 3, 1), "BG other": (4, 3, 2, 7, 6, 5, 4, 3, 2),
+    "CZ": (8, 7, 6, 5, 4, 3, 2), "CZ special": (0, 8, 7, 6, 5, 4, 3, 2), "DK": (2, 7, 6, 5, 4, 3, 2, 1), "EE": (3, 7, 1, 3, 7, 1, 3, 7), "EL": (256, 128, 64, 32, 16, 8, 4, 2),
+    "FI": (7, 9, 10, 5, 8, 4, 2), "HU": (9, 7, 3, 1, 9, 7, 3), "IE": (8, 7, 6, 5, 4, 3, 2), "LV": (9, 1, 4, 8, 3, 10, 2, 5, 7, 6, 1), "LV person": (10, 5, 8, 4, 2, 1, 6, 3, 7, 9), "MT": (3, 4, 6, 7, 8, 9),
+    "NL": (9, 8, 7, 6, 5, 4, 3, 2), "PL": (6, 5, 7, 2, 3, 4, 5, 6, 7), "PT": (9, 8, 7, 6, 5, 4, 3, 2), "RO": (7, 5, 3, 2, 1, 7, 5, 3, 2), "SI": (8, 7, 6, 5, 4, 3, 2), "XI": (8, 7, 6, 5, 4, 3, 2, 10, 1),
+}
+# Check letters of Spain and Ireland, and what odd places count for in Cyprus.
+SPAIN_PERSONS, SPAIN_COMPANIES, IRELAND = "TRWAGMYFPDXBNJZSQVHLCKE", "JABCDEFGHI", "WABCDEFGHIJKLMNOPQRSTUV"
+CYPRUS = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21)
+
+
+def _digits(s: Column) -> Column:
+    """The characters as numbers; a sign that is none counts as 0."""
+    return F.transform(F.split(s, ""), lambda c: F.coalesce(c.try_cast("int"), F.lit(0)))
+
+
+def _total(d: Column, weights: Column) -> Column:
+    return F.aggregate(F.zip_with(d, weights, lambda x, w: F.coalesce(x * w, F.lit(0))), F.lit(0), lambda n, x: n + x)
 
 
-def _weighted(s: Column, weights: tuple[int, ...]) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + _digit(s, i) * w
-    return total
+def _weights(name: str) -> Column:
+    return F.lit(list(VAT_WEIGHTS[name]))
 
 
 def _number(s: Column, start: int, n: int) -> Column:
     return F.coalesce(F.substr(s, F.lit(start + 1), F.lit(n)).try_cast("bigint"), F.lit(0))
 
 
-def _iso7064(s: Column, n: int) -> Column:
+def _iso7064(d: Column, n: Column) -> Column:
     """ISO 7064 mod 11,10 over the first n digits; the check digit follows."""
-    check = F.lit(10)
-    for i in range(n):
-        x = (check + _digit(s, i)) % 10
-        check = (F.when(x == 0, 10).otherwise(x) * 2) % 11
-    return (F.lit(11) - check) % 10 == _digit(s, n)
+    def step(check, x):
+        return bound((check + x) % 10, lambda y: F.when(y == 0, 10).otherwise(y) * 2 % 11)
+
+    return (F.lit(11) - F.aggregate(F.slice(d, 1, n), F.lit(10), step)) % 10 == F.get(d, n)
 
 
 def _letter_of(letters: str, at: Column) -> Column:
     return F.substr(F.lit(letters), (at + 1).cast("int"), F.lit(1))
 
 
-# Check letters of Spain and Ireland, and what odd places count for in Cyprus.
-SPAIN_PERSONS, SPAIN_COMPANIES, IRELAND = "TRWAGMYFPDXBNJZSQVHLCKE", "JABCDEFGHI", "WABCDEFGHIJKLMNOPQRSTUV"
-CYPRUS = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21)
-
-
-def _austria(s: Column) -> Column:
-    total = F.lit(4)
-    for i in range(1, 8):
-        d = _digit(s, i)
-        total = total + (d if i % 2 else F.floor(d / 5) + d * 2 % 10)
-    return (F.lit(10) - total % 10) % 10 == _digit(s, 8)
-
-
-def _bulgaria(s: Column) -> Column:
-    one, two = _weighted(s, tuple(range(1, 9))) % 11, _weighted(s, tuple(range(3, 11))) % 11
-    company = F.when(one < 10, one).otherwise(two % 10) == _digit(s, 8)
-    citizen = _weighted(s, (2, 4, 8, 5, 10, 9, 7, 3, 6)) % 11 % 10 == _digit(s, 9)
-    foreigner = _weighted(s, (21, 19, 17, 13, 11, 9, 7, 3, 1)) % 10 == _digit(s, 9)
-    other = (F.lit(11) - _weighted(s, (4, 3, 2, 7, 6, 5, 4, 3, 2)) % 11) % 11 == _digit(s, 9)
-    return F.when(F.length(s) == 9, company).otherwise(citizen | foreigner | other)
-
-
-def _cyprus(s: Column) -> Column:
-    odd = F.lit(0)
-    values = F.array(*map(F.lit, CYPRUS))
-    for i in range(0, 8, 2):
-        odd = odd + F.element_at(values, _digit(s, i) + 1)
-    letter = F.chr((odd + _weighted(s, (0, 1, 0, 1, 0, 1, 0, 1))) % 26 + 65)
-    return ~s.startswith("12") & (letter == F.right(s, F.lit(1)))
-
-
-def _czechia(s: Column) -> Column:
-    legal = (F.lit(11) - _weighted(s, (8, 7, 6, 5, 4, 3, 2)) % 11) % 11
-    special = (F.lit(8) - (F.lit(10) - _weighted(s, (0, 8, 7, 6, 5, 4, 3, 2)) % 11) % 11)
-    birth = _number(s, 0, 9) % 11 % 10 == _digit(s, 9)
-    return (
-        F.when(F.length(s) == 8, ~s.startswith("9") & (F.when(legal == 0, 1).otherwise(legal % 10) == _digit(s, 7)))
-        .when((F.length(s) == 9) & s.startswith("6"), special == _digit(s, 8)).when(F.length(s) == 10, birth).otherwise(True)
-    )
-
-
-def _spain(s: Column) -> Column:
-    first, last = F.left(s, F.lit(1)), F.right(s, F.lit(1))
-    person = lambda n: _letter_of(SPAIN_PERSONS, n % 23) == last
-    foreigner = (F.when(first == "Y", 10_000_000).when(first == "Z", 20_000_000).otherwise(0) + _number(s, 1, 7)).cast("bigint")
-    total = F.lit(0)
-    for i in range(1, 8):
-        d = _digit(s, i)
-        total = total + (F.when(d > 4, d * 2 - 9).otherwise(d * 2) if i % 2 else d)
-    check = (F.lit(10) - total % 10) % 10
-    company = F.when(last.rlike("[0-9]"), check == _digit(s, 8)).otherwise(_letter_of(SPAIN_COMPANIES, check) == last)
-    return F.when(first.rlike("[0-9]"), person(_number(s, 0, 8))).when(first.rlike("[KLM]"), person(_number(s, 1, 7))).when(first.rlike("[XYZ]"), person(foreigner)).otherwise(company)
-
-
-def _ireland(s: Column) -> Column:
-    old = s.rlike("^[0-9][A-Z+*]")
-    digits = F.when(old, F.concat(F.lit("0"), F.substr(s, F.lit(3), F.lit(5)), F.left(s, F.lit(1)))).otherwise(F.left(s, F.lit(7)))
-    second = F.when(~old & (F.length(s) == 9), (F.ascii(F.right(s, F.lit(1))) - 64) % 23).otherwise(0)
-    letter = _letter_of(IRELAND, (_weighted(digits, (8, 7, 6, 5, 4, 3, 2)) + 9 * second) % 23)
-    return letter == F.substr(s, F.lit(8), F.lit(1))
-
-
-def _lithuania(s: Column) -> Column:
-    def check(n):
-        one = _weighted(s, tuple(1 + i % 9 for i in range(n))) % 11
-        two = _weighted(s, tuple(1 + (i + 2) % 9 for i in range(n))) % 11 % 10
-        return (_digit(s, n - 1) == 1) & (F.when(one == 10, two).otherwise(one) == _digit(s, n))
-
-    return F.when(F.length(s) == 9, check(8)).otherwise(check(11))
-
-
-def vat_checksum(country: Column, s: Column) -> Column:
-    """Check digits of the local part, by the published rule of each country."""
-    mod11 = lambda w, n: (_weighted(s, w) % 11) % 10 == _digit(s, n)
-    pt = F.lit(11) - _weighted(s, (9, 8, 7, 6, 5, 4, 3, 2)) % 11
-    fi = F.lit(11) - _weighted(s, (7, 9, 10, 5, 8, 4, 2)) % 11
-    si = F.lit(11) - _weighted(s, (8, 7, 6, 5, 4, 3, 2)) % 11
-    latvian = F.when(s.rlike("^[4-9]"), _weighted(s, (9, 1, 4, 8, 3, 10, 2, 5, 7, 6, 1)) % 11 == 3).when(s.startswith("32"), True).otherwise((_weighted(s, (10, 5, 8, 4, 2, 1, 6, 3, 7, 9)) + 1) % 11 % 10 == _digit(s, 10))
-    dutch = (_weighted(s, (9, 8, 7, 6, 5, 4, 3, 2)) - _digit(s, 8)) % 11 == 0
-    romanian = F.lpad(s, 10, "0")
-    british = _weighted(s, (8, 7, 6, 5, 4, 3, 2, 10, 1)) % 97
-    rules = {
-        "FR": F.when(s.rlike("^[0-9]{2}"), (_number(s, 2, 9) * 100 + 12) % 97 == _number(s, 0, 2)).otherwise(luhn_ok(F.substr(s, F.lit(3)))),
-        "LU": _number(s, 0, 6) % 89 == _number(s, 6, 2),
-        "BE": (F.lit(97) - _number(s, 0, 8) % 97) == _number(s, 8, 2),
-        "DE": _iso7064(s, 8),
-        "HR": _iso7064(s, 10),
-        "IT": luhn_ok(s),
-        "SE": luhn_ok(F.left(s, F.lit(10))),
-        "DK": _weighted(s, (2, 7, 6, 5, 4, 3, 2, 1)) % 11 == 0,
-        "PL": mod11((6, 5, 7, 2, 3, 4, 5, 6, 7), 9),
-        "EL": mod11((256, 128, 64, 32, 16, 8, 4, 2), 8),
-        "EE": (F.lit(10) - _weighted(s, (3, 7, 1, 3, 7, 1, 3, 7)) % 10) % 10 == _digit(s, 8),
-        "HU": (F.lit(10) - _weighted(s, (9, 7, 3, 1, 9, 7, 3)) % 10) % 10 == _digit(s, 7),
-        "PT": F.when(pt >= 10, 0).otherwise(pt) == _digit(s, 8),
-        "FI": F.when(fi == 11, 0).otherwise(fi) == _digit(s, 7),
-        "SI": F.when(si == 10, 0).otherwise(si) == _digit(s, 7),
-        "SK": _number(s, 0, 10) % 11 == 0,
-        "MT": (F.lit(37) - _weighted(s, (3, 4, 6, 7, 8, 9)) % 37) == _number(s, 6, 2),
-        "AT": _austria(s), "BG": _bulgaria(s), "CY": _cyprus(s), "CZ": _czechia(s), "ES": _spain(s), "IE": _ireland(s), "LT": _lithuania(s), "LV": latvian,
-        "NL": dutch | (mod97(F.concat(F.lit("NL"), s)) == 1),
-        "RO": _weighted(romanian, (7, 5, 3, 2, 1, 7, 5, 3, 2)) * 10 % 11 % 10 == _digit(romanian, 9),
-        "XI": F.when(s.startswith("GD"), _number(s, 2, 3) < 500).when(s.startswith("HA"), _number(s, 2, 3) >= 500).otherwise(british.isin(0, 42)),
-    }
-    out = F.lit(True)
-    for name, rule in rules.items():
-        out = F.when(country == name, rule).otherwise(out)
-    return out
+def _special(country: str, s: Column, d: Column) -> Column:
+    """Rules that aren't one weighted sum."""
+    at = lambda i: F.get(d, F.lit(i))
+    total = lambda name: _total(d, _weights(name))
+    last = F.right(s, F.lit(1))
+    if country == "FR":
+        return F.when(s.rlike("^[0-9]{2}"), (_number(s, 2, 9) * 100 + 12) % 97 == _number(s, 0, 2)).otherwise(luhn_ok(F.substr(s, F.lit(3))))
+    if country == "AT":  # the letter U stands first
+        each = F.transform(F.slice(d, 2, 7), lambda x, i: F.when(i % 2 == 0, x).otherwise((F.floor(x / 5) + x * 2 % 10).cast("int")))
+        return (F.lit(10) - (F.aggregate(each, F.lit(4), lambda n, x: n + x) % 10)) % 10 == at(8)
+    if country == "BG":
+        company = bound(total("BG") % 11, lambda one: F.when(one < 10, one).otherwise(total("BG2") % 11 % 10) == at(8))
+        person = (total("BG citizen") % 11 % 10 == at(9)) | (total("BG foreigner") % 10 == at(9)) | ((F.lit(11) - total("BG other") % 11) % 11 == at(9))
+        return F.when(F.length(s) == 9, company).otherwise(person)
+    if country == "CY":
+        each = F.transform(F.slice(d, 1, 8), lambda x, i: F.when(i % 2 == 0, F.get(F.lit(list(CYPRUS)), x)).otherwise(x))
+        return ~s.startswith("12") & (F.chr(F.aggregate(each, F.lit(0), lambda n, x: n + x) % 26 + 65) == last)
+    if country == "CZ":
+        legal = bound((F.lit(11) - total("CZ") % 11) % 11, lambda c: F.when(c == 0, 1).otherwise(c % 10) == at(7))
+        special = F.lit(8) - (F.lit(10) - total("CZ special") % 11) % 11 == at(8)
+        return (
+            F.when(F.length(s) == 8, ~s.startswith("9") & legal).when((F.length(s) == 9) & s.startswith("6"), special)
+            .when(F.length(s) == 10, _number(s, 0, 9) % 11 % 10 == at(9)).otherwise(True)
+        )
+    if country == "ES":
+        first = F.left(s, F.lit(1))
+        person = lambda n: _letter_of(SPAIN_PERSONS, n % 23) == last
+        foreigner = (F.when(first == "Y", 10_000_000).when(first == "Z", 20_000_000).otherwise(0) + _number(s, 1, 7)).cast("bigint")
+        each = F.transform(F.slice(d, 2, 7), lambda x, i: F.when(i % 2 == 1, x).when(x > 4, x * 2 - 9).otherwise(x * 2))
+        check = bound((F.lit(10) - F.aggregate(each, F.lit(0), lambda n, x: n + x) % 10) % 10, lambda c: F.when(last.rlike("[0-9]"), c == at(8)).otherwise(_letter_of(SPAIN_COMPANIES, c) == last))
+        return F.when(first.rlike("[0-9]"), person(_number(s, 0, 8))).when(first.rlike("[KLM]"), person(_number(s, 1, 7))).when(first.rlike("[XYZ]"), person(foreigner)).otherwise(check)
+    if country == "IE":
+        old = s.rlike("^[0-9][A-Z+*]")
+        seven = F.when(old, F.concat(F.lit("0"), F.substr(s, F.lit(3), F.lit(5)), F.left(s, F.lit(1)))).otherwise(F.left(s, F.lit(7)))
+        second = F.when(~old & (F.length(s) == 9), (F.ascii(last) - 64) % 23).otherwise(0)
+        return _letter_of(IRELAND, (_total(_digits(seven), _weights("IE")) + second * 9) % 23) == F.substr(s, F.lit(8), F.lit(1))
+    if country == "LT":
+        def check(n):
+            one, two = (F.lit([1 + (i + k) % 9 for i in range(n)]) for k in (0, 2))
+            return (at(n - 1) == 1) & bound(_total(d, one) % 11, lambda c: F.when(c == 10, _total(d, two) % 11 % 10).otherwise(c) == at(n))
+
+        return F.when(F.length(s) == 9, check(8)).otherwise(check(11))
+    if country == "RO":
+        padded = F.lpad(s, 10, "0")
+        return _total(_digits(padded), _weights("RO")) * 10 % 11 % 10 == F.right(padded, F.lit(1)).try_cast("int")
+    raise KeyError(country)
+
+
+SPECIAL = ("FR", "AT", "BG", "CY", "CZ", "ES", "IE", "LT", "RO")
+
+
+def vat_checksum(country: Column, local: Column) -> Column:
+    """Check digits of the local part, by the published rule of each country. The digits, and the sum with the country's weights, are made once."""
+    table = F.create_map(*[F.lit(x) for c, w in VAT_WEIGHTS.items() if len(c) == 2 for x in (c, list(w))])
+
+    def rules(s, d, n):
+        at = lambda i: F.get(d, F.lit(i))
+        up = lambda m: F.lit(11) - n % m
+        latvian = F.when(s.rlike("^[4-9]"), n % 11 == 3).when(s.startswith("32"), True).otherwise((_total(d, _weights("LV person")) + 1) % 11 % 10 == at(10))
+        simple = {
+            "LU": _number(s, 0, 6) % 89 == _number(s, 6, 2), "BE": (F.lit(97) - _number(s, 0, 8) % 97) == _number(s, 8, 2), "DE": _iso7064(d, F.lit(8)), "HR": _iso7064(d, F.lit(10)),
+            "IT": luhn_ok(s), "SE": luhn_ok(F.left(s, F.lit(10))), "DK": n % 11 == 0, "PL": n % 11 % 10 == at(9), "EL": n % 11 % 10 == at(8), "EE": (F.lit(10) - n % 10) % 10 == at(8),
+            "HU": (F.lit(10) - n % 10) % 10 == at(7), "PT": F.when(up(11) >= 10, 0).otherwise(up(11)) == at(8), "FI": F.when(up(11) == 11, 0).otherwise(up(11)) == at(7),
+            "SI": F.when(up(11) == 10, 0).otherwise(up(11)) == at(7), "SK": _number(s, 0, 10) % 11 == 0, "MT": (F.lit(37) - n % 37) == _number(s, 6, 2), "LV": latvian,
+            "NL": ((n - at(8)) % 11 == 0) | (mod97(F.concat(F.lit("NL"), s)) == 1),
+            "XI": F.when(s.startswith("GD"), _number(s, 2, 3) < 500).when(s.startswith("HA"), _number(s, 2, 3) >= 500).otherwise((n % 97).isin(0, 42)),
+        }
+        out = F.lit(True)
+        for name, rule in (simple | {c: _special(c, s, d) for c in SPECIAL}).items():
+            out = F.when(country == name, rule).otherwise(out)
+        return out
+
+    weights = F.coalesce(F.try_element_at(table, country), F.array().cast("array<int>"))
+    return bound(local, lambda s: bound(_digits(s), lambda d: bound(_total(d, weights), lambda n: rules(s, d, n))))
 
 
 def eu_vat(value: Column) -> Column:

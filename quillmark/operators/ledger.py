@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.functions import amounts, dates
+from quillmark.functions import amounts, bound, dates
 from quillmark.functions import text as t
 
 TOLERANCE = Decimal("0.02")
@@ -107,8 +107,16 @@ def invoice_totals(cells: DataFrame, *keys: str) -> DataFrame:
     return balance_check(per, F.col("subtotal") + F.col("tax"), F.col("total"))
 
 
-def _headers() -> Column:
-    return F.transform(F.get("rows", 0), t.folded)
+def _placed(tables: DataFrame, roles: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Tables with a column for the place of each role; those without all of them are left out. Headers are folded once a table."""
+    places = lambda h: F.struct(*[header_column(h, aliases).alias(f"{name}_at") for name, aliases in roles.items()])
+    rows = tables.where(F.size("rows") >= 2).select("doc_id", "table_ix", "rows", F.inline(F.array(bound(F.transform(F.get("rows", 0), t.folded), places))))
+    return rows.where(" and ".join(f"{name}_at is not null" for name in roles))
+
+
+def _amounts(cells: list[Column], names: tuple[str, ...]) -> Column:
+    """A struct of the cells' amounts, the parser standing once in the plan."""
+    return bound(F.transform(F.array(*cells), amounts.table_amount), lambda a: F.struct(*[F.get(a, F.lit(i)).alias(n) for i, n in enumerate(names)]))
 
 
 def statement_observations(tables: DataFrame) -> DataFrame:
@@ -116,11 +124,10 @@ def statement_observations(tables: DataFrame) -> DataFrame:
 
     The first row after the headers is read; a table with a missing or unreadable total gives no row.
     """
-    rows = tables.where(F.size("rows") >= 2).withColumn("headers", _headers())
-    for name, aliases in STATEMENT_HEADERS.items():
-        rows = rows.withColumn(name, amounts.table_amount(F.get(F.get("rows", 1), header_column(F.col("headers"), aliases))))
-    rows = rows.where(" and ".join(f"{n} is not null" for n in STATEMENT_HEADERS))
-    checked = balance_check(rows, F.col("opening") - F.col("debit") + F.col("credit"), F.col("closing"))
+    names = tuple(STATEMENT_HEADERS)
+    cells = [F.get(F.get("rows", 1), F.col(f"{n}_at")) for n in names]
+    rows = _placed(tables, STATEMENT_HEADERS).select("doc_id", "table_ix", F.inline(F.array(_amounts(cells, names))))
+    checked = balance_check(rows.dropna(subset=list(names)), F.col("opening") - F.col("debit") + F.col("credit"), F.col("closing"))
     return checked.select("doc_id", "table_ix", "expected", F.col("closing").alias("observed"), "delta", "state")
 
 
@@ -130,19 +137,15 @@ def ledger_rows(tables: DataFrame, accounts: DataFrame) -> DataFrame:
     accounts: doc_id, currency (null if unknown). Rows too short for the named columns are left out; a row in another currency than the account's
     isn't comparable.
     """
-    wide = tables.where(F.size("rows") >= 2).withColumn("headers", _headers())
-    for name, aliases in LEDGER_HEADERS.items():
-        wide = wide.withColumn(f"{name}_at", header_column(F.col("headers"), aliases))
     places = [F.col(f"{n}_at") for n in LEDGER_HEADERS]
-    wide = wide.where(" and ".join(f"{n}_at is not null" for n in LEDGER_HEADERS)).withColumn("last_at", F.greatest(*places))
+    wide = _placed(tables, LEDGER_HEADERS).withColumn("last_at", F.greatest(*places))
     rows = wide.select("doc_id", "table_ix", "last_at", *places, F.posexplode("rows").alias("row_no", "cells")).where((F.col("row_no") > 0) & (F.size("cells") > F.col("last_at")))
     cell = lambda n: F.get("cells", F.col(f"{n}_at"))
-    said = F.coalesce(amounts.explicit_currency(cell("debit")), amounts.explicit_currency(cell("credit")))
+    money = ("debit", "credit", "balance")
+    said = F.get(F.array_compact(F.transform(F.array(cell("debit"), cell("credit")), amounts.explicit_currency)), 0)
+    rows = rows.select("doc_id", "table_ix", "row_no", dates.first_date(F.trim(cell("date"))).alias("date"), said.alias("said"), F.inline(F.array(_amounts([cell(n) for n in money], money))))
     rows = rows.join(accounts.select("doc_id", "currency"), "doc_id", "left")
-    return rows.select(
-        "doc_id", "table_ix", "row_no", dates.first_date(F.trim(cell("date"))).alias("date"), *[amounts.table_amount(cell(n)).alias(n) for n in ("debit", "credit", "balance")],
-        (said.isNull() | F.coalesce(said == F.col("currency"), F.lit(False))).alias("comparable"),
-    )
+    return rows.select("doc_id", "table_ix", "row_no", "date", *money, (F.col("said").isNull() | F.coalesce(F.col("said") == F.col("currency"), F.lit(False))).alias("comparable"))
 
 
 def invoice_cells(tables: DataFrame) -> DataFrame:
