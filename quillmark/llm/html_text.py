@@ -355,17 +355,35 @@ class _Maker:
     def bare(self) -> None:
         """A few blocks of main text and little or nothing else."""
         r = self.r
-        if r.random() < 0.4:
-            r.choice((self.menu, self.footer))()
-        opening = r.choice(("article", "div", "main", "body", "section"))
+        menu, footer = r.random() < 0.4, r.random() < 0.4
+        short = r.random() < 0.4
+        line = lambda: self.words(1, 3) + "." if short else self.sentences(1, 4)
+        if menu:
+            self.menu()
         if r.random() < 0.3:
+            self.advert()
+        if r.random() < 0.25:
             self.add(self.sentences(1, 5), 1)
             self.add("<hr>")
-            return
-        self.wrapped(opening, lambda: [self.wrapped("p", lambda: self.add(self.sentences(1, 4), 1)) for _ in range(r.randint(1, 3))])
+        else:
+            title = r.random() < 0.5
+
+            def fill():
+                if title:
+                    self.wrapped("h1", lambda: self.add(self.words(1, 9), 1))
+                for _ in range(r.randint(1, 3)):
+                    self.wrapped("p", lambda: self.add(line(), 1))
+
+            self.wrapped(r.choice(("article", "div", "main", "body", "section", f"div{self.odd()}")), fill)
+        if footer:
+            self.footer()
 
     def page(self) -> list[tuple[list[str], int]]:
-        if self.r.random() < 0.15:
+        kind = self.r.random()
+        if kind < 0.06:  # a paragraph or two and nothing else
+            for _ in range(self.r.randint(1, 2)):
+                self.wrapped(self.r.choice(("p", "p", "div")), lambda: self.add(self.r.choice((self.sentences(1, 1), self.sentences(1, 30))), 1))
+        elif kind < 0.28:
             self.bare()
         else:
             self.full()
@@ -381,7 +399,9 @@ class _Maker:
         r = self.r
         if r.random() < 0.4:
             opening = r.choice(("header", "header", 'div class="header"', 'div id="masthead"'))
-            self.wrapped(opening, lambda: self.wrapped(r.choice(("p", "div", "h2")), lambda: self.add(self.words(1, 5), 0)))
+            site = r.choice(("p", "div", "h2", "h1"))
+            motto = r.random() < 0.3
+            self.wrapped(opening, lambda: (self.wrapped(site, lambda: self.add(self.words(1, 5), 0)), motto and self.wrapped("p", lambda: self.add(self.words(1, 6), 0))))
         around = [f"div{self.odd()}" for _ in range(r.choice((0, 0, 0, 1, 2, 4)))]
         for opening in around:
             self.add(f"<{opening}>")

@@ -119,3 +119,35 @@ def test_field_against_enumeration():
         for page in pages:
             best = max(itertools.product((0, 1), repeat=len(page)), key=lambda y: path_score(page, y, w, field.move, field.first))
             assert field.decode([sum(w[f] for f in found) for found, _ in page]) == list(best)
+
+
+NAV = "<nav><ul><li><a href=a>Home</a><li><a href=b>About us</a><li><a href=c>Contact</a></ul></nav>"
+LINES = [(S * k).strip() for k in (2, 3, 1)]
+LAYOUTS = {
+    'foot':(NAV + '<h1>Title</h1>' + P + '<div id="footer"><p>Some company, Street 1. All rights reserved.</p></div>',['Title'] + LINES),
+    'cookie':('<div class="cookie-consent"><p>We use cookies to improve your visit to this page.</p><button>OK</button></div>'+NAV + '<main><h1>Title</h1>' + P + '</main>',['Title'] + LINES),
+    'cookieend':(NAV + '<main><h1>Title</h1>' + P + '</main><div id="gdpr-popup">' + S * 2 + '</div>',['Title'] + LINES),
+    'tableside':('<table><tr><td><h3>Menu</h3><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></td><td><h1>Title</h1>' + P + '</td></tr></table>',['Title'] + LINES),
+    'short':(NAV + '<article><h1>Talk</h1>'+''.join(f'<p>{x}</p>' for x in ('Yes.','No, never.','Why not?','Because.'))+'</article><aside class="sidebar"><h3>Related</h3><p>' + S * 3 + '</p></aside>',['Talk','Yes.','No, never.','Why not?','Because.']),
+    'sitehead':('<header><h1>Site name</h1><p>The motto</p></header>'+NAV + '<div><h2>Title</h2>' + P + '</div><footer>&copy; x</footer>',['Title'] + LINES),
+    'list':(NAV + '<article><h1>Title</h1>' + P + '<ul><li>First point of it</li><li>Second point of it</li></ul><h2>More</h2><p>' + S + '</p></article>',['Title'] + LINES+['First point of it','Second point of it','More',S.strip()]),
+    'quote':('<article><h1>Title</h1>' + P + '<blockquote>' + S + '</blockquote></article>',['Title'] + LINES+[S.strip()]),
+    'adin':('<article><h1>Title</h1><p>' + S + '</p><div class="advertisement">Buy now and save a lot.</div><p>' + S * 2 + '</p></article>',['Title',S.strip(),(S * 2).strip()]),
+    'asidein':('<article><h1>Title</h1><p>' + S + '</p><aside><h3>See also</h3><ul><li><a href=x>Other page</a></li></ul></aside><p>' + S * 2 + '</p></article>',['Title',S.strip(),(S * 2).strip()]),
+    'comments':('<article><h1>Title</h1>' + P + '</article><section id="comments"><h2>Comments</h2><ol><li class="comment"><p>' + S * 3 + '</p></li><li class="comment"><p>I agree.</p></li></ol></section>',['Title'] + LINES),
+    'artcomments':('<main><article><h1>Title</h1>' + P + '</article><div class="comments"><article class="comment"><p>' + S * 2 + '</p></article></div></main>',['Title'] + LINES),
+    'form':('<article><h1>Title</h1>' + P + '</article><form><p>Subscribe to the list</p><label>Mail</label><input></form>',['Title'] + LINES),
+    'pre':('<article><h1>Title</h1><pre>x = 1\ny = 2</pre>' + P + '</article>',['Title','x = 1 y = 2'] + LINES),
+    'fig':('<article><h1>Title</h1><figure><img src=a><figcaption>A caption of it.</figcaption></figure>' + P + '</article>',['Title','A caption of it.'] + LINES),
+    'onlynav':(NAV + '<footer>&copy; 2020</footer>',[]),
+    'search':('<form class="search"><label>Search the site</label><input></form><div class="content"><h1>Title</h1>' + P + '</div><div class="pagination"><a href=1>1</a> <a href=2>2</a></div>',['Title'] + LINES),
+    'bread':('<div class="breadcrumb"><a href=a>Home</a> &gt; <a href=b>News</a></div><h1>Title</h1>' + P,['Title'] + LINES),
+    'plaindivnav':('<div><a href=a>Home</a><a href=b>News</a><a href=c>Sport</a></div><div><h1>Title</h1><div>' + S * 2 + '</div><div>' + S + '</div></div>',['Title',(S * 2).strip(),S.strip()]),
+    'longpar':('<p>' + S * 200 + '</p>',[(S * 200).strip()]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, want = LAYOUTS[name]
+    assert html_text.field().extract(f"<html><body>{page}</body></html>") == "\n\n".join(want)
