@@ -8,7 +8,7 @@ Candidates come from two searches. The covering tables of ``simhash`` find every
 ``simhash.RADIUS`` bits, without exception. Pairs at 0.8 mostly differ in more, so each set also gets ``TABLES`` fingerprints of ``MINIMA`` minima each: a pair of
 similarity s shares one of them with a chance of 1 - (1 - s**6)**32, so that one at 0.8 is missed with a chance of 6e-5, one at 0.9 with less than
 1e-10. Copies of a set cost nothing. All sets of one fingerprint are linked to the least of them; the components of these links are
-clusters, and the pairs of a cluster not yet connected are compared exactly, in blocks of ``block_rows`` whose pairs are spread over tasks. Texts are
+clusters, and the pairs of a cluster not yet connected are compared exactly, in blocks of ``block_rows`` sets and ``block_bytes`` bytes on average at most, whose pairs are spread over tasks. Texts are
 hashed anew only for members of clusters. Keys, clusters and sets that hold many rows are joined by broadcast.
 
 Texts of any length are read whole. Repeated rows stay; rows of one id with several texts each get the component of their text. A null id keeps its row and
@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 TABLES = 32
 MINIMA = 6
 BLOCK_ROWS = 1024
+#: Bytes of hashes that a block holds on average at most; a single longer set is held whole.
+BLOCK_BYTES = 8_000_000
 #: Members of clusters up to which their ids are broadcast.
 BROADCAST_MEMBERS = 1_000_000
 
@@ -83,7 +85,7 @@ def _named():
     def apply(texts):
         sets = [shingles(t) for t in texts]
         signed = lambda values: np.array(values, np.uint64).view(np.int64)
-        return {"fp": signed([set_name(s) for s in sets]), "print": signed([simhash_of(s) for s in sets]), "keys": [keys_of(s) for s in sets]}
+        return {"fp": signed([set_name(s) for s in sets]), "print": signed([simhash_of(s) for s in sets]), "shingles": [len(s) for s in sets], "keys": [keys_of(s) for s in sets]}
 
     return apply
 
@@ -194,16 +196,17 @@ def candidate_links(named: DataFrame, n_sets: int) -> DataFrame:
     return stars(named, n_sets).unionByName(near).unionByName(of_print.select(F.col("fp").alias("u"), F.col("print").alias("v"))).distinct()
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: id, ``fp`` (the shingle set's digest), ``component_id`` (smallest id reachable)."""
-    prints = checkpointed(map_texts(df, id_col, text_col, "fp bigint, print bigint, keys array<bigint>", _named))
-    named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies"), F.first("print").alias("print"), F.first("keys").alias("keys")))
+    prints = checkpointed(map_texts(df, id_col, text_col, "fp bigint, print bigint, shingles int, keys array<bigint>", _named))
+    named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies"), F.first("print").alias("print"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")))
     n_sets, n_rows = named.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     clusters = connected_components(candidate_links(named, n_sets))
-    found = checkpointed(clusters.withColumnRenamed("node", "fp").join(named.select("fp", "low"), "fp"))
-    sizes = found.groupBy("root").agg(F.count("*").alias("n")).withColumn("rows", F.col("n")).where("n > 1")
+    found = checkpointed(clusters.withColumnRenamed("node", "fp").join(named.select("fp", "low", "shingles"), "fp"))
+    parts = F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.col("shingles").cast("bigint") * 8) / block_bytes))
+    sizes = found.groupBy("root").agg(parts.alias("n"), F.count("*").alias("rows")).where("rows > 1")
     n_found = found.count()
-    block = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block_rows)).cast("int")
+    block = F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1).cast("bigint"), F.col("n"))).cast("int")
     members = checkpointed(join_hot(found, sizes, ["root"], "rows", n_found).select("fp", "low", "root", block.alias("block")))
     few = n_found <= BROADCAST_MEMBERS
     wanted = members.select(F.col("low").alias(id_col)).distinct()

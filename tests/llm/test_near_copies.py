@@ -35,10 +35,10 @@ def rows_with_copies():
     return rows
 
 
-@pytest.mark.parametrize("block_rows", [1024, 7])
-def test_near_copies(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "block_bytes"), [(1024, 8_000_000), (7, 8_000_000), (1024, 3000)])
+def test_near_copies(spark, block_rows, block_bytes):
     rows = rows_with_copies()
-    got = {g["doc_id"]: g["component_id"] for g in near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), block_rows=block_rows).collect()}
+    got = {g["doc_id"]: g["component_id"] for g in near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), block_rows=block_rows, block_bytes=block_bytes).collect()}
     sets = {i: plain_set(t) for i, t in rows}
     assert got == plain_components(sorted(sets), lambda a, b: similar(sets[a], sets[b]))
     empty = spark.createDataFrame([], "doc_id bigint, text string")
