@@ -106,7 +106,9 @@ class Classifier:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
-        return np.tanh((x - self.mean) / self.scale @ w1 + b1) @ w2 + b2
+        # sums row by row, so that a text's score doesn't depend on its batch
+        hidden = np.tanh(np.einsum("ij,jk->ik", (x - self.mean) / self.scale, w1) + b1)
+        return np.einsum("ij,j->i", hidden, w2) + b2
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.layers is None:

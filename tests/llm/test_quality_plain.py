@@ -81,3 +81,11 @@ def test_sample_is_bounded_in_rows_and_bytes(spark):
     got = quality.sample(docs, labels, F.lit(True), sample_rows=40, sample_bytes=2000)
     assert 10 < len(got) <= 40 and sum(len(t) for t, _ in got) <= 2000 and all(len(t) <= 250 for t, _ in got)
     assert len(quality.sample(docs, labels, F.lit(True))) == 52
+
+
+def test_very_long_texts_are_scored_whole():
+    model = quality.fit(rows_of(4), epochs=30)
+    long = " ".join(f"w{i % 40}" for i in range(1_000_000))
+    tail = long + " buy now click" * 400_000
+    one, other = model.scores([long, tail])
+    assert 0 <= other < one <= 1 and model.scores([long])[0] == one and model.features(tail)[quality.DIM] > 14
