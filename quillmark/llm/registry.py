@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, langid, media, mixing, pii, quality, rabitq, simhash
+from . import bpe, chat, html_text, langid, media, mixing, pii, quality, rabitq, simhash, stamps
 from .common import bucket_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +65,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-ALL = (op1_bpe, op2_media, op3_quality, op4_rabitq, op5_mixing, op6_chat, op7_langid, op8_html, op9_pii, op10_simhash)
+def op13_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamps.normalised(table(spark, sf_dir, "stamps"))
+
+
+ALL = (op1_bpe, op2_media, op3_quality, op4_rabitq, op5_mixing, op6_chat, op7_langid, op8_html, op9_pii, op10_simhash, op13_stamps)
 
 
 def queries() -> dict[str, Query]:
@@ -91,5 +95,31 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10)
 from t group by conv_id"""
 
 
+#: Patterns, votes by source, and the offsets a day before and after a wall time, of which the earlier holds wherever it fits or neither does.
+OP13_SQL = r"""with s as (select stamp_id, source, zone, regexp_extract(coalesce(raw, ''), '^[\x20\x09-\x0D]*((?s:.*?))[\x20\x09-\x0D]*$', 1) t from stamps),
+  f as (select *, regexp_full_match(t, '[0-9]{10}|[0-9]{13}') epoch,
+      regexp_extract(t, '^(?:(20[0-9]{2})-([0-9]{2})-([0-9]{2})|(20[0-9]{2})([0-9]{2})([0-9]{2})|([0-9]{2})[.]([0-9]{2})[.](20[0-9]{2})|([0-9]{2}) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (20[0-9]{2})|([0-9]{2})/([0-9]{2})/(20[0-9]{2}))(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?(?: ?([AP])M)?(?: ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?$',
+        ['y1','m1','d1','y2','m2','d2','d3','m3','y3','d4','b4','y4','p','q','y5','h','n','s','half','off']) g from s),
+  n as (select stamp_id, source, zone, t, epoch, coalesce(nullif(g.y1, ''), nullif(g.y2, ''), nullif(g.y3, ''), nullif(g.y4, ''), nullif(g.y5, ''))::int y, g.p <> '' slash,
+      coalesce(nullif(g.m1, ''), nullif(g.m2, ''), nullif(g.m3, ''), nullif(g.p, ''), case when g.b4 <> '' then ((position(g.b4 in 'JanFebMarAprMayJunJulAugSepOctNovDec') + 2) // 3)::varchar end)::int m,
+      coalesce(nullif(g.d1, ''), nullif(g.d2, ''), nullif(g.d3, ''), nullif(g.d4, ''), nullif(g.q, ''))::int d,
+      coalesce(nullif(g.h, ''), '0')::int h, coalesce(nullif(g.n, ''), '0')::int n, coalesce(nullif(g.s, ''), '0')::int s, g.half, g.off,
+      case when g.off in ('', 'Z') then 0 else (case when g.off[1] = '-' then -1 else 1 end) * (g.off[2:3]::int * 60 + g.off[-2:]::int) end off_min, case when g.off in ('', 'Z') then true else g.off[2:3]::int <= 14 and g.off[-2:]::int <= 59 end off_ok from f),
+  c as (select *, case when not epoch and y is not null and n <= 59 and s <= 59 and off_ok and case when half = '' then h <= 23 else h between 1 and 12 end
+        then (case when half = '' then h when half = 'A' then h % 12 else h % 12 + 12 end) * 3600 + n * 60 + s end clock,
+      try_cast(format('{:04d}-{:02d}-{:02d}', y, m, d) as date) mf, case when slash then try_cast(format('{:04d}-{:02d}-{:02d}', y, d, m) as date) end df from n),
+  p as (select *, clock is not null and (mf is not null or df is not null) ok from c),
+  v as (select source, count(*) filter (df is null) vm, count(*) filter (mf is null) vd from p where ok and slash and (mf is null or df is null) group by source),
+  r as (select stamp_id, zone, t, off, off_min, clock, case when epoch then 'epoch' when not ok then 'bad' when slash and mf is not null and df is not null and mf <> df
+        then case when coalesce(vm, 0) > 3 * coalesce(vd, 0) or coalesce(vd, 0) > 3 * coalesce(vm, 0) then 'votes' else 'default' end else 'plain' end rule,
+      case when mf is null or (df is not null and coalesce(vd, 0) > 3 * coalesce(vm, 0)) then df else mf end dt from p left join v on v.source is not distinct from p.source),
+  w as (select *, case when rule not in ('bad', 'epoch') then epoch_us(dt::timestamp) + clock::bigint * 1000000 end wall from r),
+  o as (select *, epoch_us(timezone(zone, make_timestamptz(wall - 86400000000))) - wall + 86400000000 before, epoch_us(timezone(zone, make_timestamptz(wall + 86400000000))) - wall - 86400000000 after from w),
+  k as (select *, epoch_us(timezone(zone, make_timestamptz(wall - before))) = wall vb, epoch_us(timezone(zone, make_timestamptz(wall - after))) = wall va from o)
+select stamp_id, case when rule = 'epoch' then t::bigint * case when length(t) = 10 then 1000000 else 1000 end when rule = 'bad' then null when off <> '' then wall - off_min * 60000000::bigint
+    when vb or not va then wall - before else wall - after end utc_us,
+  rule, rule in ('votes', 'default') or (rule = 'plain' and off = '' and before <> after and vb = va) ambiguous from k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rabitq": OP4_SQL, "op6_chat": OP6_SQL}
+    return {"op4_rabitq": OP4_SQL, "op6_chat": OP6_SQL, "op13_stamps": OP13_SQL}

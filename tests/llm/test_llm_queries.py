@@ -232,20 +232,21 @@ def test_same_rows_as_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    con.execute("set timezone = 'UTC'")
+    for t in ("embeddings", "conversations", "documents", "stamps"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = registry.queries()[name](spark, sf_dir)
     want = con.sql(registry.oracle_sql()[name])
     assert sorted(want.columns) == sorted(df.columns)
-    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert sorted(map(tuple, df.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
 def test_registered_queries(spark, sf_dir):
     """Every contract query runs over its whole table."""
-    size = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet").count() for n in ("documents", "embeddings", "pages")}
+    size = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet").count() for n in ("documents", "embeddings", "pages", "stamps")}
     convs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
     for name, f in registry.queries().items():
-        want = {"op4_rabitq": size["embeddings"], "op8_html": size["pages"], "op6_chat": convs + 1}.get(name, size["documents"])
+        want = {"op4_rabitq": size["embeddings"], "op8_html": size["pages"], "op6_chat": convs + 1, "op11_repair": convs, "op13_stamps": size["stamps"]}.get(name, size["documents"])
         assert f(spark, sf_dir).count() == want, name
 
 
