@@ -244,8 +244,10 @@ def finished(stamp_id: int | None, zone: str | None, p: tuple, won: str | None)
 
 def normalised(df: DataFrame, id_col: str = "stamp_id", source_col: str = "source", zone_col: str = "zone", raw_col: str = "raw", sources: int = SOURCES) -> DataFrame:
     """stamp_id, utc_us, rule, ambiguous of every row; ``sources`` bounds the verdicts of a broadcast."""
-    spark = df.sparkSession
-    stamps = df.select(id_col, source_col, zone_col, raw_col).rdd.mapPartitions(scanned)
+    spark, plain = df.sparkSession, df.select(id_col, source_col, zone_col, raw_col)
+    if plain.isEmpty():
+        return spark.createDataFrame([], FIELDS)
+    stamps = plain.rdd.mapPartitions(scanned)
     votes = stamps.mapPartitions(ballots).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
     many = votes.count() > sources
     least = votes.map(lambda x: x[1][2]).sum() / sources if many else -1
