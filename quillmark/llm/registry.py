@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, langid, media, mixing, pii, quality, rabitq, simhash, stamps
+from . import bpe, chat, html_text, langid, media, mixing, pii, quality, rabitq, simhash, stamps, turn_repair
 from .common import bucket_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,11 +65,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), absent_col="dropped").drop("roles")
+
+
 def op13_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamps.normalised(table(spark, sf_dir, "stamps"))
 
 
-ALL = (op1_bpe, op2_media, op3_quality, op4_rabitq, op5_mixing, op6_chat, op7_langid, op8_html, op9_pii, op10_simhash, op13_stamps)
+ALL = (op1_bpe, op2_media, op3_quality, op4_rabitq, op5_mixing, op6_chat, op7_langid, op8_html, op9_pii, op10_simhash, op11_repair, op13_stamps)
 
 
 def queries() -> dict[str, Query]:
@@ -95,6 +99,35 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10)
 from t group by conv_id"""
 
 
+#: Checksums bit by bit, and least (cost, audit, lines) by state, a row a recursion.
+OP11_SQL = r"""with recursive k as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') name from conversations),
+  h as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, xor(list_reduce(list_transform(string_split(name, ''), lambda c: ord(c)::ubigint), lambda crc, b:
+      list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, zero: xor(x >> 1, 3988292384::ubigint * (x & 1)), xor(crc, b)), 4294967295::ubigint), 4294967295::ubigint) % 20 harm from k),
+  d as (select conv_id, turn, case when harm = 4 then 'user' else role end r, case harm when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end x
+      from h, range(case harm when 0 then 0 when 3 then 2 else 1 end)),
+  f as (select *, row_number() over (partition by conv_id order by turn nulls first, r, x) n, right(rtrim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) final from d),
+  a as (select *, row_number() over (partition by conv_id, r, x order by n) again from f),
+  t as (select *, case when final = '' then 'blank' when again > 1 then 'duplicate' when final not in ('.', '!', '?') then 'truncated' else '' end fault, r[1] i, lag(r[1]) over (partition by conv_id order by n) before from a),
+  ins(state, mid, letters, lines) as (values (0, 0, '', []::varchar[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']),
+      (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+  emit(mid, i, role, next) as (values (0, 's', 'system', 1), (0, 'u', 'user', 2), (1, 'u', 'user', 2), (3, 'u', 'user', 2), (2, 'a', 'assistant', 3)),
+  act(mid, i, how, role, next) as (select mid, i, 'K', null, next from emit union all select mid, null, 'R', role, next from emit where i <> 's' union all select m, null, 'D', null, m from range(4) q(m)),
+  path(conv_id, n, state, best) as (
+    select conv_id, 0::bigint, 0, {'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]} from (select distinct conv_id from t)
+    union all
+    select p.conv_id, t.n, act.next::int, min({'cost': p.best.cost + 3 * length(letters) + case how when 'K' then 0 when 'R' then 3 else 4 end + case when fault = 'truncated' and how <> 'D' then 3 else 0 end,
+        'audit': p.best.audit || letters || how, 'lines': p.best.lines || ins.lines || case when how = 'D' then [] else [coalesce(act.role, t.r) || ':' || t.x] end})
+    from path p join t on t.conv_id is not distinct from p.conv_id and t.n = p.n + 1 join ins on ins.state = p.state join act on act.mid = ins.mid
+    where how = 'D' or (fault not in ('blank', 'duplicate') and (how = 'R' or t.i = act.i))
+    group by p.conv_id, t.n, act.next),
+  w as (select conv_id, min({'cost': best.cost + 3 * length(letters), 'audit': best.audit || letters, 'lines': best.lines || ins.lines}) best
+      from (select *, max(n) over (partition by conv_id) top from path) p join ins on ins.state = p.state where n = top and ins.mid in (0, 3) group by conv_id),
+  s as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate,
+      count(*) filter (fault = 'truncated') truncated, count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) illegal from t group by conv_id)
+select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  coalesce(w.best.cost, 0) cost, coalesce(w.best.audit, '') audit, sha256(coalesce(array_to_string(w.best.lines, chr(10)), '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join s on s.conv_id is not distinct from c.conv_id left join w on w.conv_id is not distinct from c.conv_id"""
+
 #: Patterns, votes by source, and the offsets a day before and after a wall time, of which the earlier holds wherever it fits or neither does.
 OP13_SQL = r"""with s as (select stamp_id, source, zone, regexp_extract(coalesce(raw, ''), '^[\x20\x09-\x0D]*((?s:.*?))[\x20\x09-\x0D]*$', 1) t from stamps),
   f as (select *, regexp_full_match(t, '[0-9]{10}|[0-9]{13}') epoch,
@@ -122,4 +155,4 @@ select stamp_id, case when rule = 'epoch' then t::bigint * case when length(t) =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rabitq": OP4_SQL, "op6_chat": OP6_SQL, "op13_stamps": OP13_SQL}
+    return {"op4_rabitq": OP4_SQL, "op6_chat": OP6_SQL, "op11_repair": OP11_SQL, "op13_stamps": OP13_SQL}
