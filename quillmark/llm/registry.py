@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, langid, media, mixing, pii, quality, rabitq, simhash, stamps, turn_repair
+from . import bpe, chat, html_text, langid, media, mixing, pii, quality, quality_rules, rabitq, simhash, stamps, turn_repair
 from .common import bucket_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,11 +69,15 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), absent_col="dropped").drop("roles")
 
 
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op13_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamps.normalised(table(spark, sf_dir, "stamps"))
 
 
-ALL = (op1_bpe, op2_media, op3_quality, op4_rabitq, op5_mixing, op6_chat, op7_langid, op8_html, op9_pii, op10_simhash, op11_repair, op13_stamps)
+ALL = (op1_bpe, op2_media, op3_quality, op4_rabitq, op5_mixing, op6_chat, op7_langid, op8_html, op9_pii, op10_simhash, op11_repair, op12_rules, op13_stamps)
 
 
 def queries() -> dict[str, Query]:
@@ -128,6 +132,34 @@ select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(dup
   coalesce(w.best.cost, 0) cost, coalesce(w.best.audit, '') audit, sha256(coalesce(array_to_string(w.best.lines, chr(10)), '')) repaired_sha256
 from (select distinct conv_id from conversations) c left join s on s.conv_id is not distinct from c.conv_id left join w on w.conv_id is not distinct from c.conv_id"""
 
+_LIKE = [[x for told in quality_rules.RULES.values() for x in told[k]] for k in (0, 1)]
+#: Counts by lists and groups, votes, and as many rounds of the model over the list of patterns.
+OP12_SQL = rf"""with recursive d as (select row_number() over () rn, doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+  g as (select rn, unnest(range(1, len(w) - 1)) i, unnest([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] for k in range(1, len(w) - 1)]) gram from d where len(w) >= 3),
+  h as (select rn, i, count(*) over (partition by rn, gram) times from g),
+  q as (select rn, count(distinct i + k) again from h, range(3) o(k) where times > 1 group by rn),
+  c as (select d.rn, doc_id, len(w) n_words, coalesce(again, 0) n_repeat_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l, length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) letters, length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')) capitals,
+      len(list_filter(w, lambda x: not regexp_matches(x, '\p{{L}}'))) odd, len(list_filter(w, lambda x: x[-1] in ('.', '?', '!'))) ends, len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}\x20\x09-\x0D]{{2,}}')) runs,
+      length(t) - length(replace(t, '!', '')) shouts from d left join q on q.rn = d.rn),
+  s as (select *, len(l) - len(list_distinct(l)) n_dup_lines, [n_symbols / nullif(n_words, 0) >= 0.2, capitals / nullif(letters, 0) >= 0.5, len(l) >= 4 and (len(l) - len(list_distinct(l))) / len(l) >= 0.4,
+      n_repeat_words / nullif(n_words, 0) >= 0.35, odd / nullif(n_words, 0) >= 0.3, shouts / nullif(n_words, 0) >= 0.3, runs / nullif(n_words, 0) >= 0.3, letters / nullif(word_chars, 0) < 0.7,
+      word_chars / nullif(n_words, 0) not between 2.2 and 20, n_words >= 20 and ends / n_words not between 0.004 and 0.4, n_words < 20] bad, n_words >= 20 and ends / n_words between 0.02 and 0.2 prose from c),
+  v as (select *, [3 * (k - 1) + case when coalesce(bad[k], false) then 0 when k = 10 and prose then 2 else 1 end for k in range(1, 12)] places from s),
+  p as (select list({{'pl': places, 'n': n}} order by places) ps, sum(n)::double total from (select places, count(*)::double n from v group by places)),
+  em(i, odds, ratios) as (
+    select 0, ln({quality_rules.PRIOR} / (1 - {quality_rules.PRIOR})), list_transform(list_zip({_LIKE[0]}, {_LIKE[1]}), lambda x: ln(x[1]::double) - ln(x[2]::double))
+    union all
+    select i + 1, ln((good + weight * {quality_rules.PRIOR}) / (total - good + weight * (1 - {quality_rules.PRIOR}))),
+      [ln(a[k + 1] / (a[k - k % 3 + 1] + a[k - k % 3 + 2] + a[k - k % 3 + 3])) - ln(b[k + 1] / (b[k - k % 3 + 1] + b[k - k % 3 + 2] + b[k - k % 3 + 3])) for k in range({len(_LIKE[0])})]
+    from (select *, [weight * {quality_rules.PRIOR} * {_LIKE[0]}[k + 1] + coalesce(list_sum([x.g for x in r if x.pl[k // 3 + 1] = k]), 0) for k in range({len(_LIKE[0])})] a,
+            [weight * (1 - {quality_rules.PRIOR}) * {_LIKE[1]}[k + 1] + coalesce(list_sum([x.n - x.g for x in r if x.pl[k // 3 + 1] = k]), 0) for k in range({len(_LIKE[0])})] b, list_sum([x.g for x in r]) good
+          from (select i, total, total * {quality_rules.TRUST} + {quality_rules.LEAST} weight, [{{'pl': x.pl, 'n': x.n, 'g': x.n / (1 + exp(-(odds + list_sum([ratios[k + 1] for k in x.pl]))))}} for x in ps] r
+                from em, p where i < {quality_rules.ROUNDS} and total > 0))),
+  z as (select *, n_words < {quality_rules.MIN_WORDS} or 100 * n_repeat_words > {quality_rules.REPEATED_PERCENT} * n_words base_failed, 1 / (1 + exp(-(odds + list_sum([ratios[k + 1] for k in places])))) quality
+      from v, em where i = {quality_rules.ROUNDS})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and quality >= {quality_rules.KEEP} as kept, round(quality, 6) quality from z"""
+
 #: Patterns, votes by source, and the offsets a day before and after a wall time, of which the earlier holds wherever it fits or neither does.
 OP13_SQL = r"""with s as (select stamp_id, source, zone, regexp_extract(coalesce(raw, ''), '^[\x20\x09-\x0D]*((?s:.*?))[\x20\x09-\x0D]*$', 1) t from stamps),
   f as (select *, regexp_full_match(t, '[0-9]{10}|[0-9]{13}') epoch,
@@ -155,4 +187,4 @@ select stamp_id, case when rule = 'epoch' then t::bigint * case when length(t) =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rabitq": OP4_SQL, "op6_chat": OP6_SQL, "op11_repair": OP11_SQL, "op13_stamps": OP13_SQL}
+    return {"op4_rabitq": OP4_SQL, "op6_chat": OP6_SQL, "op11_repair": OP11_SQL, "op12_rules": OP12_SQL, "op13_stamps": OP13_SQL}
