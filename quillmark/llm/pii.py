@@ -1,8 +1,8 @@
 """Personal data: base patterns, plus candidates accepted by boosted trees.
 
 Base spans (e-mail, IP address, payment card, phone) are found by fixed rules and always stay. High-recall generators propose
-further, possibly overlapping spans: secrets (also of letters alone), bank accounts, national numbers, written-out addresses, phones without a plus, and
-cards and phones that the fixed rules lose because they run into a neighbouring number.
+further, possibly overlapping spans: secrets (also of letters alone), bank accounts in either case, national numbers with dashes or spaces, written-out and
+spoken addresses, phones without a plus (groups of two, areas with a number, three groups), and cards and phones that the fixed rules lose because they run into a neighbouring number.
 Gradient-boosted trees score each candidate from its format and its context; scores are calibrated on held-out examples, and the
 threshold of a kind is the lowest calibrated probability at which the held-out precision reaches the target. Of overlapping
 accepted candidates the likelier, then the longer, then the earlier stays; one that overlaps a base span is dropped, as that
@@ -95,9 +95,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 GENERATORS = (
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[a-z]{2}[0-9]{2}\x20?[a-z0-9]{4}(?:\x20?(?=[a-z]{0,3}[0-9])[a-z0-9]{4}){1,6}(?:\x20?(?=[a-z]{0,2}[0-9])[a-z0-9]{1,3})?(?![A-Za-z0-9])")),
+    ("national_id", re.compile(r"(?<![0-9-])(?<![0-9]\x20)[0-9]{3}([\x20-])[0-9]{2}\1[0-9]{4}(?![0-9-]|\x20[0-9])")),
     ("contact", re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]++)++", re.I)),
+    ("contact", re.compile(r"(?<![A-Za-z0-9._-])(?<!dot\x20)[A-Za-z0-9_-]++(?:\x20dot\x20[A-Za-z0-9_-]++)*+\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++", re.I)),
     ("local_phone", re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-]?[0-9])")),
+    ("local_phone", re.compile(r"(?<![0-9+.-])(?<![0-9]\x20)[0-9]{2}(?:[\x20.-][0-9]{2}){4}(?![0-9]|[\x20.-][0-9])")),
+    ("local_phone", re.compile(r"(?<![0-9+.-])(?:\(0[0-9]{1,4}\)[\x20/-]?|0[0-9]{1,4}[\x20/-])[0-9]{5,8}(?![0-9]|[.-][0-9])")),
     ("card", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])")),
     ("phone", re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])")),
 )
@@ -110,32 +114,40 @@ CUES = {
     "card": ("card", "visa", "karte", "carte", "tarjeta", "pay"),
     "phone": ("phone", "tel", "call", "fax", "mobile", "telefon", "téléphone", "teléfono"),
 }
+#: Ends of addresses that the examples use.
+TOP_DOMAINS = ("com", "org", "net", "de", "fr", "es", "edu", "io", "info")
 DECOYS = ("order", "version", "commit", "sha", "checksum", "isbn", "build", "part", "section", "ref", "case", "digest")
 _WIDTH = 28
 _RUN = re.compile(r"[b-df-hj-np-tv-z]+", re.I)
 
 
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[\x20.-]?$")
+_ACCOUNT = re.compile(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{11,30}")
 _MIXED = re.compile(r"[a-z][A-Z]")
 
 
 def proposed(text: str, start: int, end: int) -> bool:
-    """Whether a run of letters, digits and signs may be a secret: it holds a digit, mixes upper and lower case, or has a value's place."""
+    """Whether a run of letters, digits and signs may be a secret: it holds a digit, mixes upper and lower case, or has a value's place.
+
+    An account number whose check digits are right is one already."""
     run = text[start:end]
+    if _ACCOUNT.fullmatch(run) and _mod97(run):
+        return False
     return _DIGIT.search(run) is not None or end - start >= 16 and _MIXED.search(run) is not None or text[max(0, start - 2) : start].strip()[-1:] in ("=", ":", '"', "'")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
-    digits = _DIGIT.search(text) is not None
+    digits, low = _DIGIT.search(text) is not None, None
     for kind, pattern in GENERATORS:
         if kind == "contact":
-            low = text.lower()
-            if not any(x in low for x in ("(at)", "[at]")):
+            low = text.lower() if low is None else low
+            if not (any(x in low for x in ("(at)", "[at]")) or " dot " in low and " at " in low):
                 continue
         elif kind != "secret" and not digits:
             continue
         for m in pattern.finditer(text):
-            if kind != "secret" or proposed(text, *m.span()):
+            if not (kind == "secret" and not proposed(text, *m.span()) or kind == "local_phone" and _COUNTRY.search(text, max(0, m.start() - 6), m.start())):
                 out.append((kind, *m.span()))
     return out
 
@@ -169,6 +181,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(kind == "iban" and _mod97(s)), float(any(c in before for c in CUES[kind])), float(any(c in before for c in DECOYS)),
         float(before.rstrip(' "\'').endswith(("=", ":"))), float(start > 0 and text[start - 1] in "\"'"), float(after[:1] in "\"'" if after else 0),
         float(bool(before) and before[-1].isalnum()), sum(a.islower() != b.islower() for a, b in zip(s, s[1:]) if a.isalpha() and b.isalpha()) / n, _consonants(s), float(s.isdigit()), float(kind == "card" and luhn("".join(c for c in s if "0" <= c <= "9"))),
+        float(s.lstrip("(")[:1] == "0"), float(sum(c in " .-/" for c in s)), float(s.rpartition(" ")[2].lower() in TOP_DOMAINS), float(kind == "contact" and s[-1] not in ")]" and "[" not in s and "(" not in s),
     ]
 
 
@@ -221,7 +234,7 @@ class Boosted:
         return self.start + self.rate * sum(self._walk(t, x) for t in self.trees)
 
 
-def examples(n: int = 4900, seed: int = 11) -> list[tuple[str, str, int, int, int]]:
+def examples(n: int = 6300, seed: int = 11) -> list[tuple[str, str, int, int, int]]:
     """Labelled candidates (text, kind, start, end, label), from a fixed seed."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -233,6 +246,7 @@ def examples(n: int = 4900, seed: int = 11) -> list[tuple[str, str, int, int, in
         country, body = r.choice(("DE", "FR", "GB", "ES", "LU")), pick(dig, r.choice((16, 18, 20)))
         check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
         s = f"{country}{(check if valid else (check + r.randint(1, 90)) % 97 + 2) % 100:02d}{body}"
+        s = s.lower() if r.random() < 0.25 else s
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s
 
     def made(kind, label):
@@ -257,8 +271,11 @@ def examples(n: int = 4900, seed: int = 11) -> list[tuple[str, str, int, int, in
         if kind == "iban":
             return iban(label), (cue or (word() if label else r.choice(DECOYS))) + r.choice((" ", ": "))
         if kind == "national_id":
-            s = f"{r.randint(1, 899):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+            s = f"{r.randint(1, 899):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}".replace("-", r.choice("-- "))
             return s, (r.choice(CUES[kind]) if label else r.choice((*DECOYS, word()))) + r.choice((" ", ": "))
+        if kind == "contact" and r.random() < 0.4:  # spoken
+            name, host = word() + (" dot " + word()) * r.choice((0, 1, 1, 2)), word() + (" dot " + word()) * r.choice((0, 0, 1))
+            return (f"{name} at {host} dot {r.choice(TOP_DOMAINS)}", (cue or word()) + " ") if label else (f"{word()} at {word()} dot {word()}{word()}", r.choice((*DECOYS, word())) + " ")
         if kind == "contact":
             s = f"{word() * r.choice((1, 1, 1, 9))}.{word()} [at] {word() * r.choice((1, 1, 1, 9))}{''.join(' [dot] ' + word() for _ in range(r.choice((0, 0, 1, 5))))} [dot] {r.choice(('com', 'org', 'net'))}"
             return (s, (cue or word()) + " ") if label else (f"{word()} (at) {word()}(dot){word()}{word()}{word()}", r.choice(DECOYS) + " ")
@@ -270,7 +287,14 @@ def examples(n: int = 4900, seed: int = 11) -> list[tuple[str, str, int, int, in
         if kind == "phone":
             s = f"+{r.randint(1, 99)} ({pick(dig, 3)}) {pick(dig, 3)}-{pick(dig, 4)}"
             return (s, (cue or word()) + " ") if label else (f"+{pick(dig, 3)}{pick(dig, 3)}{pick(dig, 3)}{pick(dig, 4)}", r.choice(DECOYS) + " ")
-        s = r.choice(("{}-{}-{}", "({}) {}-{}", "{} {} {}", "{}.{}.{}")).format(pick(dig, 3), pick(dig, 3), pick(dig, 4))
+        form = r.randrange(6)
+        if form == 4:
+            s = r.choice(" .-").join([r.choice("00001") + pick(dig, 1) if label else pick(dig, 2), *(pick(dig, 2) for _ in range(4))])
+        elif form == 5:
+            area, number = "0" + pick(dig, r.randint(1, 4)), pick(dig, r.randint(5, 8))
+            s = f"({area}) {number}" if r.random() < 0.5 else area + r.choice(" /-") + number
+        else:
+            s = ("{}-{}-{}", "({}) {}-{}", "{} {} {}", "{}.{}.{}")[form].format(pick(dig, 3), pick(dig, 3), pick(dig, 4))
         return s, (r.choice(CUES[kind]) if label else r.choice((*DECOYS, word()))) + r.choice((" ", ": "))
 
     out = []
@@ -367,15 +391,6 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-#: First digits of payment cards, as issuers have them.
-ISSUERS = ("2", "3", "4", "5", "6")
-
-
-def private(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """What redaction removes: all spans but cards that no issuer can have given out."""
-    return [s for s in spans if s[0] != "card" or text[s[1]] in ISSUERS]
-
-
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: counts of base spans by kind, digest of the base spans, and all spans."""
     shared = df.sparkSession.sparkContext.broadcast(model())  # bounded: 40 small trees
@@ -399,7 +414,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: the id, ``also``, and ``redacted``, the text without its private spans; a null text stays null."""
+    """Per row: the id, ``also``, and ``redacted``, the text without any span that is found; a null text stays null."""
     shared = df.sparkSession.sparkContext.broadcast(model())
 
     def make():
@@ -407,7 +422,7 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also
 
         def one(t):
             base = base_spans(t)
-            spans = private(t, base + trained.accept(t, base))
+            spans = base + trained.accept(t, base)
             return redact(t, spans) if spans else t
 
         return lambda texts: {"redacted": [None if t is None else one(t) for t in texts]}
