@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor. All but the last return the columns of
 ``documents``. ``run`` writes each stage's rows as Parquet to the shared folder and reads them again; a folder goes as soon as the next one is
-written, so that texts from before the redaction don't stay. Rows are told apart by id and text: repeated rows, null ids and several texts under
+written, and all go when a stage fails, so that texts from before the redaction don't stay. Rows are told apart by id and text: repeated rows, null ids and several texts under
 one id are allowed. Columns beyond those of ``documents`` are left out, whatever their names; empty tables give empty results.
 """
 
@@ -77,11 +77,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents").select(*COLUMNS), shared_folder(spark)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.mode("overwrite").parquet(f"{folder}/stage{k}")
-            docs = spark.read.parquet(f"{folder}/stage{k}")
-            if k:
-                removed(spark, f"{folder}/stage{k - 1}")
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs.write.mode("overwrite").parquet(f"{folder}/stage{k}")
+                docs = spark.read.parquet(f"{folder}/stage{k}")
+                if k:
+                    removed(spark, f"{folder}/stage{k - 1}")
+    except BaseException:
+        removed(spark, folder)
+        raise
     return docs
