@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.plans import ORACLES, QUERIES, content, layout, matching, review, scoring  # noqa: F401  the modules register their queries
+from quillmark.plans import ORACLES, QUERIES, content, grids, layout, matching, review, scoring  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:

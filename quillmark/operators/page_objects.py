@@ -97,7 +97,7 @@ def repeated_marks(marks: DataFrame, similarity: DataFrame, least: float = 0.9,
     both = mark_pairs(marks, shape, near).join(similarity, ["left", "right"]).where(F.col("similarity") >= least)
     w = Window.partitionBy("doc_id", "left", "right_page").orderBy(F.desc("similarity"), "right")
     best = both.withColumn("n", F.row_number().over(w)).where("n = 1")
-    per = best.groupBy("doc_id", "left").agg(F.collect_set("right").alias("others"), F.avg("similarity").alias("mean"))
+    per = best.groupBy("doc_id", "left").agg(F.collect_set("right").alias("others"), F.round(F.avg("similarity"), 9).alias("mean"))
     per = per.withColumn("members", F.array_sort(F.array_union("others", F.array("left")))).where(F.size("members") >= pages)
     once = per.groupBy("doc_id", "members").agg(F.min("left").alias("anchor"), F.max("mean").alias("mean"))
     rank = Window.partitionBy("doc_id").orderBy(F.desc(F.size("members")), F.desc("mean"), "anchor")
