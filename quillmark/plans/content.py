@@ -12,6 +12,9 @@ from quillmark.functions import identifiers as ids
 from quillmark.operators import dating, ledger, matching, software
 from quillmark.plans import query, table
 from quillmark.plans.scoring import _CARDS, cards
+from quillmark.storage import checkpointed, shared_folder
+from quillmark.streaming import inbox
+from quillmark.streaming import ledger_stream as replays
 
 KINDS = ("card", "siren", "siret", "rpps", "finess", "bic", "iban")
 #: Made-up and published sample identifiers.
@@ -170,7 +173,7 @@ _BALANCED = f"""with l as ({_LEDGER}), b as (select *, case when o_orderkey % 11
       coalesce(direction <> first_direction, false) inversion, balance is not null and not comparable skipped from r)"""
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("acct").orderBy("o_orderkey")
@@ -181,7 +184,11 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = F.sum(F.col("credit") - F.coalesce("debit", F.lit(Decimal(0)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     fault = F.when(F.col("o_orderkey") % 13 == 0, 1).otherwise(0)
     rows = rows.withColumn("balance", F.when(F.col("o_orderkey") % 11 != 0, running + fault)).withColumn("comparable", F.col("o_orderkey") % 5 != 0)
-    return ledger.replay_ledger(rows, "acct")
+    return rows.select("acct", "row_no", "date", "debit", "credit", "balance", "comparable", "o_orderkey")
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.replay_ledger(_ledger_rows(spark, sf_dir), "acct")
 
 
 @query(_BALANCED + " select * from s")
@@ -189,6 +196,18 @@ def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir)
 
 
+@query(_BALANCED + " select * from s")
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledgers as a stream that is started five times on one checkpoint, each time with a fifth of the orders."""
+    rows, folder = checkpointed(_ledger_rows(spark, sf_dir)), shared_folder(spark)
+    last = rows.agg(F.coalesce(F.max("o_orderkey"), F.lit(0))).first()[0]
+    for part in range(5):
+        rows.where(F.floor(F.col("o_orderkey") * 5 / (last + 1)) == part).drop("o_orderkey").write.mode("append").parquet(f"{folder}/in")
+        arriving = inbox.read_inbox(spark, f"{folder}/in", rows.drop("o_orderkey").schema)
+        replays.start_replay(spark, arriving, f"{folder}/out", f"{folder}/state", "acct").awaitTermination()
+    return spark.read.schema("acct bigint, " + replays.CHECKED).parquet(f"{folder}/out")
+
+
 @query(
     _BALANCED + """ select acct, count(*) filter (checked) rows_checked, count(*) filter (mismatch) n_mismatch, count(*) filter (inversion) n_inversion, count(*) filter (skipped) rows_skipped,
   coalesce(list(row_no order by row_no) filter (mismatch), []) mismatch_rows, coalesce(list(row_no order by row_no) filter (inversion), []) inversion_rows,
