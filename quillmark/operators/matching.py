@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,25 +166,80 @@ def replace_detector(findings: DataFrame, name: str, new: DataFrame) -> DataFram
     return findings.where(F.col("detector") != name).unionByName(new)
 
 
+class _Places:
+    """Places of a group's names by their key, to find the next one that a name can be a variant of."""
+
+    def __init__(self, keys: list[str | None]):
+        self.keys, self.at, self.longer = list(keys), defaultdict(list), defaultdict(set)
+        for place, key in enumerate(keys):
+            self.add(place, key)
+
+    def add(self, place: int, key: str | None) -> None:
+        if key:
+            bisect.insort(self.at[key], place)
+            self.longer[key[:-1]].add(key)
+            self.longer[key[1:]].add(key)
+
+    def give(self, place: int, key: str) -> None:
+        """The name at a place takes over another key."""
+        old = self.keys[place]
+        self.at[old].pop(bisect.bisect_left(self.at[old], place))
+        self.keys[place] = key
+        self.add(place, key)
+
+    def next(self, place: int, after: int) -> int | None:
+        """The first place after one whose name is a variant of a place's name."""
+        key, found = self.keys[place], None
+        others = ([key[:-1], key[1:]] if len(key) > 5 else []) + (list(self.longer[key]) if len(key) >= 5 else [])
+        for other in others:
+            places = self.at.get(other, ())
+            k = bisect.bisect_right(places, after)
+            if k < len(places) and (found is None or places[k] < found):
+                found = places[k]
+        return found
+
+
+def fold_names(keys: list[str | None]) -> list[int]:
+    """For each name of a group, by its key, the place of the name that it ends up with: every pair in order, the longer of two variants taken over by both."""
+    places, holds = _Places(keys), list(range(len(keys)))
+    for i in range(len(keys)):
+        j = i
+        while places.keys[i] and (j := places.next(i, j)) is not None:
+            source, target = (j, i) if len(places.keys[j]) > len(places.keys[i]) else (i, j)
+            places.give(target, places.keys[source])
+            holds[target] = holds[source]
+    return holds
+
+
+def _fold_task(batches):
+    """Over batches of (doc_id, role, label, fact_ix, value, key) sorted by the first four; groups may run over several batches."""
+    open_, held = None, []
+
+    def closed():
+        keys, values = [r[5] for r in held], [r[4] for r in held]
+        new = [values[k] for k in fold_names(keys)]
+        columns = [[r[0] for r in held], [r[3] for r in held], new, [a != b for a, b in zip(new, values, strict=True)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "fact_ix", "value", "corrected"])
+
+    for batch in batches:
+        types = [batch.schema.field(i).type for i in (0, 3, 4)] + [pa.bool_()]
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != open_:
+                yield closed()
+                held = []
+            open_ = row[:3]
+            held.append(row)
+    if held:
+        yield closed()
+
+
 def reconciled_names(facts: DataFrame) -> DataFrame:
     """(doc_id, fact_ix, value, corrected): names of one document, role and label, the clearer of two variants taken over.
 
     facts: doc_id, fact_ix, role, label, value. Each comparison sees what the ones before changed, so a group, the repeats of one
-    field in one document, is folded in order of fact_ix.
+    field in one document, is folded in order of fact_ix by one task; a name is compared only with those that one character more or less makes of it.
     """
-    rows = facts.where(t.folded(F.col("label")) != "").groupBy("doc_id", "role", t.folded(F.col("label")).alias("label"))
-    per = rows.agg(F.array_sort(F.collect_list(F.struct("fact_ix", "value"))).alias("names"))
-
-    def compare(values, pair):
-        a, b = F.get(values, pair["i"]), F.get(values, pair["j"])
-        longer = F.when(F.length(comparison_key(b)) > F.length(comparison_key(a)), b).otherwise(a)
-        changed = F.transform(values, lambda v, k: F.when((k == pair["i"]) | (k == pair["j"]), longer).otherwise(v))
-        return F.when(name_variant(a, b), changed).otherwise(values)
-
-    last = F.size("names") - 1
-    steps = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda i: F.transform(F.sequence(i + 1, F.greatest(last, i + 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    steps = F.when(last > 0, steps).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    out = per.withColumn("new", F.aggregate(steps, F.transform("names", lambda x: x["value"]), compare))
-    both = out.select("doc_id", F.explode(F.arrays_zip("names", "new")).alias("z"))
-    value = F.col("z.new")
-    return both.select("doc_id", F.col("z.names.fact_ix").alias("fact_ix"), value.alias("value"), (value != F.col("z.names.value")).alias("corrected"))
+    label, key = t.folded(F.col("label")), comparison_key(F.col("value"))
+    rows = facts.select("doc_id", "role", label.alias("label"), "fact_ix", "value", key.alias("key")).where("label <> ''")
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ("doc_id", "fact_ix", "value")) + ", corrected boolean"
+    return rows.repartition("doc_id", "role", "label").sortWithinPartitions("doc_id", "role", "label", "fact_ix").mapInArrow(_fold_task, schema)

@@ -154,3 +154,19 @@ def authenticity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") > 0.04, "strong").otherwise("weak").alias("strength"), F.col("l_linenumber").alias("page"),
     )
     return authenticity.authenticity_findings(rows).drop("detector")
+
+
+@query(
+    r"""with recursive n as (select master_id g, client_id id, name, lower(regexp_replace(strip_accents(name), '[^a-zA-Z0-9]+', '', 'g')) k, row_number() over (partition by master_id order by client_id) i from clients where master_id is not null and name is not null),
+  v as (select g, count(*) n, list({'k': k, 'name': name} order by id) names from n group by g),
+  s as (select g, i, j, row_number() over (partition by g order by i, j) step from v, range(1, n + 1) a(i), range(i + 1, n + 1) b(j)),
+  f(g, step, names) as (select g, 0::bigint, names from v
+    union all select g, step, case when short >= 5 and long - short = 1 and (contains(x.k, y.k) or contains(y.k, x.k)) then list_transform(names, lambda z, k: case when k in (i, j) then (case when length(y.k) > length(x.k) then y else x end) else z end) else names end
+      from (select f.g, s.step, names, i, j, names[i] x, names[j] y, least(length(names[i].k), length(names[j].k)) short, greatest(length(names[i].k), length(names[j].k)) long from f join s on s.g is not distinct from f.g and s.step = f.step + 1)),
+  l as (select g, max_by(names, step) names from f group by g)
+  select g doc_id, id fact_ix, names[i].name as value, coalesce(names[i].name <> name, false) corrected from n join l using (g)"""
+)
+def reconciled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names under which one client is known, as repeats of one field."""
+    facts = table(spark, sf_dir, "clients").where("master_id is not null and name is not null")
+    return m.reconciled_names(facts.select(F.col("master_id").alias("doc_id"), F.col("client_id").alias("fact_ix"), F.lit("client").alias("role"), F.lit("Name").alias("label"), F.col("name").alias("value")))
