@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import values
 from quillmark.operators import geometry, labelled, ledger, limits, page_objects, regions, software, tables
 from quillmark.plans import query, table
-from quillmark.plans.content import _LUHN, _MOD97
+from quillmark.plans.content import _LUHN, _LUHN_SIREN, _MOD97
 
 # Texts of one region a customer; both sides build them, then each reads the identifiers out of the text by its own means.
 _DOSSIER = """select c_custkey doc_id, 'Dossier ' || c_name || chr(10) || 'SIREN: ' || lpad((c_custkey * 791993 % 1000000000)::bigint::varchar, 9, '0') || ' ; carte bancaire ' || num
@@ -64,6 +64,38 @@ def identifier_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.identifier_check(_observations(spark, sf_dir)).select("doc_id", "checked", "anomalies", "state")
 
 
+# Registrations of a company and of health professionals, grouped by spaces in half of the texts.
+_REGISTERED = r"""select c_custkey doc_id, 'N° SIRET : ' || case when c_custkey % 2 = 0 then left(siren, 3) || ' ' || substr(siren, 4, 3) || ' ' || right(siren, 3) || ' ' || nic else siren || nic end || chr(10) || 'RPPS ' || rpps || ', FINESS ET ' || finess
+    || chr(10) || 'N° TVA intracommunautaire ' || vat as content
+  from (select *, case c_custkey % 3 when 0 then 'FR ' || lpad(((siren::bigint * 100 + 12 + c_custkey % 2) % 97)::varchar, 2, '0') || ' ' || siren when 1 then 'LU' || six || lpad(((six::bigint % 89 + c_custkey % 2) % 100)::varchar, 2, '0')
+      else 'BE 0' || seven || lpad((97 - seven::bigint % 97 - c_custkey % 2)::varchar, 2, '0') end vat
+    from (select c_custkey, lpad((c_custkey * 791993 % 1000000000)::bigint::varchar, 9, '0') siren, lpad((c_custkey * 7919 % 100000)::bigint::varchar, 5, '0') nic, '1' || lpad((c_custkey * 99991 % 10000000000)::bigint::varchar, 10, '0') rpps,
+      lpad((c_custkey * 31337 % 1000000000)::bigint::varchar, 9, '0') finess, lpad((c_custkey * 777 % 1000000)::bigint::varchar, 6, '0') six, lpad((c_custkey * 104729 % 10000000)::bigint::varchar, 7, '0') seven from customer))"""
+
+
+@query(
+    rf"""with c as ({_REGISTERED}), o as (select doc_id, regexp_replace(regexp_extract(content, 'SIRET : ([0-9 ]+)', 1), ' ', '', 'g') siret, regexp_extract(content, 'RPPS ([0-9]+)', 1) rpps, regexp_extract(content, 'FINESS ET ([0-9]+)', 1) finess,
+      regexp_replace(regexp_extract(content, 'TVA intracommunautaire ([A-Z0-9 ]+)', 1), ' ', '', 'g') vat from c)
+  , v as (select doc_id, 'SIRET' kind, s as value, {_LUHN} and {_LUHN_SIREN} valid from (select doc_id, siret s from o)
+    union all select doc_id, 'RPPS', s, {_LUHN} from (select doc_id, rpps s from o) union all select doc_id, 'FINESS', s, {_LUHN} from (select doc_id, finess s from o)
+    union all select doc_id, 'EU_VAT', vat, case left(vat, 2) when 'FR' then (substr(vat, 5)::bigint * 100 + 12) % 97 = substr(vat, 3, 2)::int when 'LU' then substr(vat, 3, 6)::int % 89 = right(vat, 2)::int
+      else 97 - substr(vat, 3, 8)::int % 97 = right(vat, 2)::int end from o)
+  select doc_id, 'OCR_' || kind || case when valid then '_VALID' else '_INVALID' end code, value, case when valid then 'clear' else 'attention' end state from v"""
+)
+def registration_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    digits = lambda factor, size: F.lpad((key * factor % 10**size).cast("bigint").cast("string"), size, "0")
+    number = lambda c: F.col(c).cast("bigint")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", digits(791993, 9).alias("siren"), digits(7919, 5).alias("nic"), F.concat(F.lit("1"), digits(99991, 10)).alias("rpps"), digits(31337, 9).alias("finess"), digits(777, 6).alias("six"), digits(104729, 7).alias("seven"))
+    vat = F.when(key % 3 == 0, F.concat(F.lit("FR "), two((number("siren") * 100 + 12 + key % 2) % 97), F.lit(" "), "siren")).when(key % 3 == 1, F.concat(F.lit("LU"), "six", two((number("six") % 89 + key % 2) % 100)))
+    vat = vat.otherwise(F.concat(F.lit("BE 0"), "seven", two(97 - number("seven") % 97 - key % 2)))
+    siret = F.when(key % 2 == 0, F.concat_ws(" ", F.left("siren", F.lit(3)), F.substr("siren", F.lit(4), F.lit(3)), F.right("siren", F.lit(3)), "nic")).otherwise(F.concat("siren", "nic"))
+    content = F.concat(F.lit("N° SIRET : "), siret, F.lit("\nRPPS "), "rpps", F.lit(", FINESS ET "), "finess", F.lit("\nN° TVA intracommunautaire "), vat)
+    texts = rows.select(key.alias("doc_id"), F.lit(1).alias("page"), content.alias("content"))
+    return labelled.identifier_observations(labelled.checked_identifiers(labelled.labelled_identifiers(texts))).select("doc_id", "code", "value", "state")
+
+
 # Statement tables as cells of text; the SQL reads the numbers back out of the cells.
 _STATEMENT = """select c_custkey doc_id, round(c_acctbal, 2)::decimal(18, 2)::varchar opening, coalesce(sum(round(o_totalprice, 2)::decimal(18, 2)), 0)::decimal(18, 2) paid, (c_custkey % 1000)::varchar || ',50' credit,
     round(c_acctbal, 2)::decimal(18, 2) - coalesce(sum(round(o_totalprice, 2)::decimal(18, 2)), 0) + (c_custkey % 1000)::decimal(18, 2) + 0.5 + (ascii(right(c_name, 1)) % 5 - 2) * 0.01 closing
