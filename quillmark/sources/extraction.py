@@ -17,12 +17,15 @@ from quillmark.functions import text as t
 from quillmark.operators import chunks, matching, tables
 from quillmark.operators.regions import region_markup
 from quillmark.operators.scoring import first_by_key
-from quillmark.sources.services import ServiceSettings, requested
+from quillmark.sources import journal
+from quillmark.sources.services import ServiceSettings
+from quillmark.storage import shared_folder
 
 #: Signs that a region's markup costs beside its text.
 OVERHEAD = 200
 ANSWER = (
     "facts array<struct<field_code:string,role:string,raw_label:string,raw_value:string,region_ids:array<string>>>, "
+    "additional_fields array<struct<raw_label:string,raw_value:string,region_ids:array<string>>>, "
     "tables array<struct<title:string,semantic_type:string,region_ids:array<string>,column_roles:array<string>,default_row_role:string,row_role_overrides:array<struct<row_index:int,role:string>>>>, "
     "region_dispositions array<struct<region_id:string,disposition:string>>"
 )
@@ -42,10 +45,10 @@ def chunk_prompts(regions: DataFrame, head: str, max_chars: int) -> DataFrame:
     return per.select("doc_id", "chunk", F.concat(F.lit(head + "\n"), F.array_join(F.transform("texts", lambda x: x["text"]), "\n")).alias("prompt"))
 
 
-def asked(regions: DataFrame, call: Callable[[str, dict], str], settings: ServiceSettings, head: str, max_chars: int, turn: int) -> DataFrame:
-    """(doc_id, turn, chunk, a, error): the parsed answers of one pass over some regions."""
+def asked(regions: DataFrame, call: Callable[[str, dict], str], settings: ServiceSettings, head: str, max_chars: int, turn: int, kept: str) -> DataFrame:
+    """(doc_id, turn, chunk, a, error): the parsed answers of one pass over some regions, by way of the journal ``kept``."""
     prompts = chunk_prompts(regions, head, max_chars).select(F.struct("doc_id", "chunk").alias("id"), "prompt")
-    got = requested(prompts, "id", "prompt", call, settings)
+    got = journal.answered(prompts, "id", "prompt", call, settings, kept)
     return got.select("id.doc_id", F.lit(turn).alias("turn"), "id.chunk", F.from_json("answer", ANSWER).alias("a"), "error")
 
 
@@ -53,22 +56,24 @@ def named_regions(answers: DataFrame) -> DataFrame:
     """(doc_id, region_id, used): regions that items name, and those with a known disposition."""
     none = F.array().cast("array<string>")
     ids = lambda field: F.coalesce(F.flatten(F.transform(F.col(f"a.{field}"), lambda x: F.coalesce(x["region_ids"], none))), none)
-    used = answers.select("doc_id", F.explode(F.array_distinct(F.concat(ids("facts"), ids("tables")))).alias("region_id")).withColumn("used", F.lit(True))
+    used = answers.select("doc_id", F.explode(F.array_distinct(F.concat(ids("facts"), ids("additional_fields"), ids("tables")))).alias("region_id")).withColumn("used", F.lit(True))
     told = answers.select("doc_id", F.explode("a.region_dispositions").alias("d")).where(F.col("d.disposition").isin(*DISPOSITIONS))
     return used.unionByName(told.select("doc_id", F.col("d.region_id").alias("region_id"), F.lit(False).alias("used")))
 
 
-def extract(regions: DataFrame, call: Callable[[str, dict], str], settings: ServiceSettings, head: str = "", max_chars: int = 12_000, retry: bool = True) -> DataFrame:
-    """The answers (doc_id, turn, chunk, a, error) of one or two passes. Checkpoint or write them before use, as each use asks anew.
+def extract(regions: DataFrame, call: Callable[[str, dict], str], settings: ServiceSettings, head: str = "", max_chars: int = 12_000, retry: bool = True, kept: str | None = None) -> DataFrame:
+    """The answers (doc_id, turn, chunk, a, error) of one or two passes.
 
-    regions: doc_id, page, region_id, reading_order, content and what ``region_markup`` shows.
+    ``kept`` is the folder of the journal that holds the answers; a new one in the shared folder if none is named. What it holds isn't asked again, neither
+    by the second pass, nor by uses of the result, nor by another run with the same journal. regions: doc_id, page, region_id, reading_order, content and what
+    ``region_markup`` shows.
     """
-    first = asked(regions.where(~t.is_boilerplate(F.col("content")) & ~t.is_garbage(F.col("content"))), call, settings, head, max_chars, 1)
+    kept = kept or shared_folder(regions.sparkSession)
+    first = asked(regions.where(~t.is_boilerplate(F.col("content")) & ~t.is_garbage(F.col("content"))), call, settings, head, max_chars, 1, kept)
     if not retry:
         return first
-    first = first.checkpoint(eager=True) if regions.sparkSession.sparkContext.getCheckpointDir() else first
     left = matching.uncovered_regions(regions, named_regions(first))
-    again = asked(regions.join(left, ["doc_id", "region_id"], "left_semi"), call, settings, head, max_chars, 2)
+    again = asked(regions.join(left, ["doc_id", "region_id"], "left_semi"), call, settings, head, max_chars, 2, kept)
     return first.unionByName(again)
 
 
@@ -88,6 +93,22 @@ def extracted_facts(answers: DataFrame, regions: DataFrame, field_codes: tuple[s
     return first_by_key(per, ["doc_id", "field_code", "role", "raw_value"], "fact_ix").select("doc_id", "fact_ix", "field_code", "role", "raw_value", "r.region_id", "r.page")
 
 
+def additional_fields(answers: DataFrame, regions: DataFrame) -> DataFrame:
+    """(doc_id, field_ix, raw_label, raw_value, region_ids, page): fields that no code names, each label, value and place once.
+
+    A label and a readable value that say different things are needed; what is page furniture by its text or by all its regions goes. Unknown regions are left out.
+    """
+    rows = _items(answers, "additional_fields").select("doc_id", F.col("ix").alias("field_ix"), t.cut(F.col("f.raw_label"), 200).alias("raw_label"), t.cut(F.col("f.raw_value"), 1000).alias("raw_value"), "f.region_ids")
+    said = (F.col("raw_label") != "") & (F.col("raw_value") != "") & ~t.is_garbage(F.col("raw_value")) & (matching.comparison_key(F.col("raw_label")) != matching.comparison_key(F.col("raw_value")))
+    rows = rows.where(said & ~t.is_boilerplate(F.concat_ws(" ", "raw_label", "raw_value")))
+    places = rows.select("doc_id", "field_ix", F.explode(F.array_distinct("region_ids")).alias("region_id")).join(regions.select("doc_id", "region_id", "page", t.is_boilerplate(F.col("content")).alias("furniture")), ["doc_id", "region_id"])
+    per = places.groupBy("doc_id", "field_ix").agg(F.array_sort(F.collect_set("region_id")).alias("region_ids"), F.min(F.struct("region_id", "page"))["page"].alias("page"), F.bool_and("furniture").alias("furniture"))
+    found = rows.drop("region_ids").join(per, ["doc_id", "field_ix"], "left").where(~F.coalesce("furniture", F.lit(False)))
+    found = found.withColumn("region_ids", F.coalesce("region_ids", F.array().cast("array<string>")))
+    once = found.withColumn("_k", F.to_json(F.struct(F.lower("raw_label").alias("l"), F.lower("raw_value").alias("v"), "region_ids")))
+    return first_by_key(once, ["doc_id", "_k"], "field_ix").select("doc_id", "field_ix", "raw_label", "raw_value", "region_ids", "page")
+
+
 def extracted_tables(answers: DataFrame, regions: DataFrame, semantic_types: tuple[str, ...], column_roles: tuple[str, ...], row_roles: tuple[str, ...], most_rows: int = 2000, most_columns: int = 40) -> DataFrame:
     """(doc_id, table_ix, title, semantic_type, headers, column_roles, row_roles, rows, pages): tables as the richest table of their regions has them.
 
