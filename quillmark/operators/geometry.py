@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.operators import selection
+
 # Thresholds of the image roles.
 FULL_PAGE, LEAST_COVERAGE, LEAST_SIDE, LEAST_PIXELS = 0.65, 0.02, 256, 262_144
 
@@ -98,10 +100,13 @@ def merged_boxes(boxes: Column, gap_x: float = 12.0, gap_y: float = 6.0) -> Colu
     return F.aggregate(ordered, empty, step)
 
 
-def window_summary(scores: DataFrame, *keys: str) -> DataFrame:
-    """Median, 10/25/90 % points (linear interpolation), maximum, share from 0.5 on, and the global score of window scores."""
-    q = F.percentile("score", F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5), F.lit(0.9)))
-    per = scores.groupBy(*keys).agg(q.alias("q"), F.max("score").alias("highest"), F.avg((F.col("score") >= 0.5).cast("double")).alias("share"), F.count("*").alias("windows"))
+def window_summary(scores: DataFrame, *keys: str, held: int = selection.HELD) -> DataFrame:
+    """Median, 10/25/90 % points (linear interpolation), maximum, share from 0.5 on, and the global score of window scores.
+
+    Points of groups with more than ``held`` windows are selected by counts, so no group has to fit into a task.
+    """
+    points = selection.percentiles(scores.select(*keys, F.col("score").alias("value")), (0.1, 0.25, 0.5, 0.9), *keys, held=held)
+    per = scores.groupBy(*keys).agg(F.max("score").alias("highest"), F.avg((F.col("score") >= 0.5).cast("double")).alias("share"), F.count("*").alias("windows")).join(points, list(keys))
     whole = 0.5 * F.col("q")[2] + 0.3 * F.col("q")[1] + 0.2 * F.col("share")
     return per.select(
         *keys, "windows", F.col("q")[2].alias("median"), F.col("q")[0].alias("p10"), F.col("q")[1].alias("p25"), F.col("q")[3].alias("p90"), "highest", "share",
