@@ -12,9 +12,9 @@ learned from, with smoothed targets. Rejection: a text without a letter is ``und
 ``reject_quantile`` quantile of that language's own held-out documents is marked ``rejected``.
 
 The sample holds, for every language of the learnable rows, at most ``per_language`` documents (those of smallest id hash) and ``language_bytes`` bytes of
-text, whole texts; a text beyond that bound is passed over. Scoring covers all of every text. Null and empty text: ``und`` with score 0. No labelled row:
-every prediction is ``und``. Equal texts and repeated rows get equal predictions, each row its own; of several texts under one id the sample takes
-the least. Empty tables give empty results. Columns beyond those named are left out, whatever their names.
+text, ``total_bytes`` over all languages. Whole texts are taken; a language whose texts all exceed its bound is learned from the beginning of the smallest. Scoring covers all of every text. Null and empty text: ``und`` with score 0. No labelled row:
+every prediction is ``und``. Equal texts and repeated rows get equal predictions, each row its own; of several texts of one id, language and length the sample takes
+the least, and an id with texts in several languages serves each of them. Empty tables give empty results. Columns beyond those named are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ ORDER = 4
 PER_LANGUAGE = 120
 #: Bound of the learning sample, in bytes of text a language.
 LANGUAGE_BYTES = 2_000_000
+#: Bound of the whole sample, in bytes: with more than TOTAL_BYTES / LANGUAGE_BYTES languages each has an equal part of it.
+TOTAL_BYTES = 64_000_000
 #: Languages whose models share their arrays.
 TOGETHER = 8
 #: Characters that are scored at once.
@@ -334,21 +336,27 @@ def fit(rows: list[tuple[str, str]], order: int = ORDER, reject_quantile: float
     return model
 
 
-def sample(df: DataFrame, learnable, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES) -> list[tuple[str, str]]:
-    """The bounded learning sample: ids are picked first, so that only the chosen rows' texts are moved."""
+def sample(
+    df: DataFrame, learnable, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES, total_bytes: int = TOTAL_BYTES,
+) -> list[tuple[str, str]]:
+    """The bounded learning sample of every language: rows are picked by id first, so that only their texts are moved."""
     rows = df.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.octet_length(text_col).cast("bigint").alias("bytes"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "bytes")
+    known = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.octet_length(text_col).cast("bigint").alias("bytes")).distinct()
+    limit = min(language_bytes, total_bytes // max(1, known.select("lang").distinct().count()))
+    long = F.col("bytes") > limit
+    # whole texts first; of those beyond the bound only the smallest counts, where nothing else is there
+    order = Window.partitionBy("lang").orderBy(long, F.when(long, F.col("bytes")).otherwise(0), F.xxhash64("id"), "id", "bytes")
     # a top-k within each language: Spark limits the groups before the shuffle
-    first = known.where(F.col("bytes") <= language_bytes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    so_far = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= language_bytes).select(F.col("id").alias("chosen")).distinct()
-    # at most per_language ids a language
-    texts = rows.join(F.broadcast(chosen), F.col(id_col) == F.col("chosen"))
-    # one row an id, so that repeated rows can't make the sample grow past its bound
-    row = F.struct(F.octet_length(text_col).alias("bytes"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    got = texts.groupBy("chosen").agg(F.min(row).alias("row")).collect()
-    return [(r["row"]["lang"], r["row"]["text"]) for r in sorted(got, key=lambda r: (r["row"]["lang"], r["chosen"]))]
+    first = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).where(~long | (F.col("rank") == 1))
+    so_far = F.sum(F.least("bytes", F.lit(limit))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= limit).select(F.col("lang").alias("_lang"), F.col("id").alias("_id"), F.col("bytes").alias("_bytes"))
+    # at most per_language rows a language
+    held = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(lang_col) == F.col("_lang")) & (F.octet_length(text_col) == F.col("_bytes"))
+    # a character has at most four bytes
+    text = F.when(F.col("_bytes") > limit, F.left(text_col, F.lit(max(1, limit // 4)))).otherwise(F.col(text_col))
+    # one text a row of the choice, so that repeated rows can't make the sample grow past its bound
+    got = rows.join(F.broadcast(chosen), held).groupBy("_lang", "_id", "_bytes").agg(F.min(text).alias("text")).collect()
+    return [(r["_lang"], r["text"]) for r in sorted(got, key=lambda r: (r["_lang"], r["_id"] is None, r["_id"] or 0, r["_bytes"]))]
 
 
 def identify(df: DataFrame, models: Identifier, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:

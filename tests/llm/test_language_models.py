@@ -114,3 +114,16 @@ def test_sample_is_bounded_in_rows_and_bytes(spark):
     for lang in ("aa", "bb"):
         mine = [t for k, t in got if k == lang]
         assert 0 < len(mine) <= 20 and sum(map(len, mine)) <= 150 and all(len(t) < 100 for t in mine)
+
+
+def test_every_language_and_every_id_is_learned(spark):
+    """A language of huge texts only, an id with texts in two languages, null ids, and a bound over all languages."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "a" * 50, "aa") for i in range(9)] + [(1, "b" * 60, "bb"), (None, "c" * 20, "cc"), (50, "d" * 9000, "dd"), (51, "é" * 8000, "dd"), (60, "short", "ee"), (61, "e" * 9000, "ee")]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id int, text string, lang string")
+    got = langid.sample(df, F.lit(True), "doc_id", "text", "lang", language_bytes=400)
+    by = {lang: [t for k, t in got if k == lang] for lang in "aa bb cc dd ee".split()}
+    assert by == {"aa": ["a" * 50] * 8, "bb": ["b" * 60], "cc": ["c" * 20], "dd": ["d" * 100], "ee": ["short"]}
+    got = langid.sample(df, F.lit(True), "doc_id", "text", "lang", total_bytes=500)
+    assert {k for k, _ in got} == set(by) and all(sum(len(t.encode()) for k, t in got if k == lang) <= 100 for lang in by)
