@@ -28,6 +28,8 @@ from .dom import Block, leaf_blocks
 
 _WORD = re.compile(r"[a-z]+")
 CUES = frozenset("cookie cookies copyright subscribe newsletter advertisement sponsored login comments share menu privacy".split())
+#: A line that says no more than that remarks of readers follow, in some languages, with or without their number.
+_REMARKS = re.compile(r"\W*(?:\d+\W*)?(?:(?:leave|post|add|write) an? )?(?:comments?|replies|reply|responses?|discussion|kommentare?|commentaires?|r[eé]actions?|comentarios?)(?: section)?\W*(?:\d+\W*)?", re.I)
 _STOPS = ".!?:\"'”»…"
 
 
@@ -52,8 +54,8 @@ def text_features(block: Block) -> list[str]:
         out.append("some links")
     if text[-1] in _STOPS:
         out.append("stop")
-    if text[0] == "©" or "©" in text[:40]:
-        out.append("copyright")
+    if "©" in text[:40] or text[:9].lower() == "copyright":
+        out.append("copyright" if n < 200 else "copyright in a long text")
     if n < 300 and not CUES.isdisjoint(_WORD.findall(text.lower())):
         out.append("cue")
     return out
@@ -87,6 +89,7 @@ def context_features(blocks: list[Block]) -> list[list[str]]:
     headings = [b.tag in ("h1", "h2", "h3", "h4") for b in blocks]
     first = headings.index(True) if any(headings) else -1
     n, out = len(blocks), []
+    remarks = next((i for i, b in enumerate(blocks) if len(b.text) < 40 and (b.tag[:1] == "h" or i) and _REMARKS.fullmatch(b.text)), n)
     for i, b in enumerate(blocks):
         found = []
         for j, side in ((i - 1, "before"), (i + 1, "after")):
@@ -98,6 +101,10 @@ def context_features(blocks: list[Block]) -> list[list[str]]:
                 found.append(f"{side}:none")
         if first >= 0 and i < first:
             found.append("over heading")
+        if i >= remarks:
+            found.append("remarks" if i == remarks else "under remarks")
+        if i == n - 1:
+            found.append("last:" + ("copyright" if "©" in b.text[:40] or b.text[:9].lower() == "copyright" else str(size[i])))
         found.append(f"place:{min(2, 3 * i // n)}")
         out.append(found)
     return out
@@ -153,7 +160,7 @@ class Field:
         self.first = np.zeros(2)
         self._states: dict[tuple, float] = {}
 
-    def fit(self, pages: list[list[tuple[list[str], int]]], epochs: int = 150, rate: float = 0.08, l2: float = 1e-3) -> Field:
+    def fit(self, pages: list[list[tuple[list[str], int]]], epochs: int = 150, rate: float = 0.15, l2: float = 3e-4) -> Field:
         """Gradient ascent (Adam) on the mean log-likelihood a block less a quadratic penalty."""
         chains = Chains([p for p in pages if p])
         n, blocks = len(chains.names), chains.real.sum()
@@ -300,7 +307,33 @@ class _Maker:
                 inner = one != "p" and r.random() < 0.6
                 self.wrapped(one, lambda inner=inner: (self.add("<p>" if inner else ""), self.add(r.choice((self.sentences(1, 4), self.words(1, 5) + ".")), 0), self.add("</p>" if inner else "")))
 
-        self.wrapped(f'{r.choice(("section", "div", "ol", "aside"))} {r.choice(("class=", "id="))}"{r.choice(("comments", "comment-list", "discussion", "replies"))}"', fill)
+        if r.random() < 0.4:
+            self.remarks()
+        elif "comment" in one and r.random() < 0.3:  # hinted entries that nothing holds
+            fill()
+        else:
+            self.wrapped(f'{r.choice(("section", "div", "ol", "aside"))} {r.choice(("class=", "id="))}"{r.choice(("comments", "comment-list", "discussion", "replies"))}"', fill)
+
+    def remarks(self) -> None:
+        """Remarks of readers in containers that say nothing: a heading with or without a number, names, dates, texts, links to reply."""
+        r = self.r
+        word, k = r.choice(("Comments", "Comments", "Comment", "Replies", "Responses", "Discussion", "Kommentare", "Commentaires", "Comentarios", "Leave a comment")), r.randint(1, 60)
+        heading = r.choice((word, f"{k} {word}", f"{word} ({k})", f"{word}:"))
+
+        def fill():
+            self.wrapped(r.choice(("h2", "h3", "h3", "h4", "p", "div")), lambda: self.add(heading, 0))
+            one, name = r.choice(("div", "p", "li", "p", "blockquote")), r.random()
+            for _ in range(r.randint(1, 5)):
+                if name < 0.3:
+                    self.wrapped(r.choice(("p", "div", "h4")), lambda: self.add(self.words(1, 2), 0))
+                if name > 0.8:
+                    self.wrapped("div", lambda: self.add(f"{r.randint(2, 30)} {r.choice(('days', 'hours', 'weeks'))} ago", 0))
+                self.wrapped(one, lambda: self.add((f"<b>{self.words(1, 2)}</b> " if 0.3 < name < 0.6 else "") + r.choice((self.sentences(1, 4), self.words(1, 6) + ".", self.words(1, 6))), 0))
+                if 0.5 < name < 0.7:
+                    self.wrapped("p", lambda: self.add('<a href="#r">Reply</a>', 0))
+
+        around = r.choice((f"section{self.odd()}", f"div{self.odd()}", "section", "div", ""))
+        self.wrapped(around, fill) if around else fill()
 
     def form(self) -> None:
         def fill():
@@ -313,6 +346,15 @@ class _Maker:
     def footer(self) -> None:
         r = self.r
         text = r.choice((f"&copy; {self.word()}.example &middot; {self.sentences(1, 2)}", self.sentences(1, 2), "Copyright " + self.words(1, 3)))
+        if r.random() < 0.45:  # a line at the end that nothing holds
+            year, sign = r.randint(1995, 2026), r.choice(("&copy;", "&#169;", "Copyright", "Copyright &copy;"))
+            line = f"{sign} {year} {self.words(1, 3)}" + r.choice(("", ".", ". All rights reserved.", f", {self.words(1, 2)}."))
+            tag = r.choice(("small", "p", "div", "", "p", "center"))
+            self.add("<hr>" if r.random() < 0.7 or tag in ("", "small") else "")
+            self.add(f"<{tag}>" if tag else "")
+            self.add(line, 0)
+            self.add(f"</{tag}>" if tag else "")
+            return
         opening = r.choice(("footer", "footer", "footer", 'div class="footer"', 'div id="footer"')) if not text.startswith("&copy;") else r.choice(("footer", "footer", 'div class="footer"', "div"))
         inner = r.random() < 0.4
         self.wrapped(opening, lambda: (self.add("<p>" if inner else ""), self.add(text, 0), self.add("</p>" if inner else "")))
@@ -375,6 +417,8 @@ class _Maker:
                     self.wrapped("p", lambda: self.add(line(), 1))
 
             self.wrapped(r.choice(("article", "div", "main", "body", "section", f"div{self.odd()}")), fill)
+        if r.random() < 0.2:
+            self.remarks()
         if footer:
             self.footer()
 
@@ -431,7 +475,7 @@ class _Maker:
 
 
 @functools.lru_cache(maxsize=1)
-def field(pages: int = 1000, seed: int = 5) -> Field:
+def field(pages: int = 1200, seed: int = 5) -> Field:
     r = random.Random(seed)
     return Field().fit([_Maker(r).page() for _ in range(pages)])
 

@@ -151,3 +151,26 @@ LAYOUTS = {
 def test_layouts(name):
     page, want = LAYOUTS[name]
     assert html_text.field().extract(f"<html><body>{page}</body></html>") == "\n\n".join(want)
+
+
+_PARAGRAPHS = "<p>The first sentence of the article stands here, with some words to read.</p><p>A second paragraph follows it, as long as the first one is. It has two sentences.</p>"
+_MAIN = "The first sentence of the article stands here, with some words to read.\n\nA second paragraph follows it, as long as the first one is. It has two sentences."
+
+
+@pytest.mark.parametrize("heading", ["12 Comments", "Comments (3)", "Comments", "3 Replies", "Kommentare", "Discussion:"])
+@pytest.mark.parametrize("opening", ["section", "div", 'div class="qxz"'])
+def test_remarks_without_a_hint_go(heading, opening):
+    remarks = f"<{opening}><h2>{heading}</h2><div><b>Ann</b> I think that this is quite right, and well put.</div><div><b>Bob</b> No, it is not. Read it again.</div><p>Thanks for this.</p></{opening.split()[0]}>"
+    for page in (f"<article><h1>A headline</h1>{_PARAGRAPHS}</article>{remarks}", f"<div><h1>A headline</h1>{_PARAGRAPHS}{remarks}</div>", f"<h1>A headline</h1>{_PARAGRAPHS}{remarks}<footer>About us</footer>"):
+        assert html_text.field().extract(page) == f"A headline\n\n{_MAIN}"
+
+
+@pytest.mark.parametrize("line", ["<hr><small>© 2020 Example</small>", "<hr><p>&copy; 1999 Some Name. All rights reserved.</p>", "<hr>Copyright 2021 Example", "<p>Copyright &copy; 2011 Example Press</p>", "<div>© Example</div>"])
+def test_copyright_lines_without_a_footer_go(line):
+    assert html_text.field().extract(f"<body>{_PARAGRAPHS}{line}</body>") == _MAIN
+    assert html_text.field().extract(f"<body><h1>A headline</h1>{_PARAGRAPHS}{line}</body>") == f"A headline\n\n{_MAIN}"
+
+
+def test_words_about_comments_stay():
+    page = "<article><h1>A headline</h1><p>Comments on the law came from many sides, and replies to them too. The discussion went on.</p><h2>Comments on the second part</h2><p>It was long. Nobody read it to the end.</p></article>"
+    assert html_text.field().extract(page).count("\n\n") == 3
