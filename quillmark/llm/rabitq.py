@@ -1,13 +1,16 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-Each distinct vector is scaled to unit length and rotated by fixed random orthogonal matrices; the signs are its code, of at least ``CODE_BITS``
-bits. For a pair of cosine c a bit differs with the chance acos(c)/pi.
-
-1. Meeting: hyperplane signs make keys of k bits, k = max(0, ceil(log2(rows / ``direct_rows``))) by the label's number of distinct vectors, in as
-   many tables as let a pair at the threshold s meet with a chance above 1 - 1e-9 (one table of one bucket where k is 0). Only (key, id, code) is
-   shuffled. In a bucket, pairs whose codes differ in more bits than a pair at s does but for a chance below 1e-13 are passed over; the others
+Vectors are scaled to unit length; a pair of cosine s then lies u = sqrt(2 - 2s) apart. Codes are made of what is left of a vector after the mean of some of
+its label's vectors (the centre) is taken away: the residual is rotated by fixed random orthogonal matrices, and its signs are the code, of at least ``CODE_BITS``
+bits. For residuals at an angle a bit differs with the chance angle/pi. Embeddings that share a direction (a median cosine of 0.8 or 0.9) have residuals in all directions,
+so their codes still tell apart what is near and what isn't.
+
+1. Meeting: projections on random directions, cut in steps of ``STEP`` u, make keys of k steps, k = max(0, ceil(log2(rows / ``direct_rows``))) by the label's
+   number of distinct vectors, in as many tables as let a pair at the threshold s meet with a chance above 1 - 1e-9 (one table of one bucket where k is 0). Steps depend on
+   distances alone, wherever the vectors lie. Only (key, id, code, length of the residual) is shuffled. In a bucket the two lengths and the distance u give the widest angle of
+   a pair at s; pairs whose codes differ in more bits than that angle allows but for a chance below 1e-13 are passed over, the others
    are links between candidates, and a task gives at most one a member.
-2. Deciding: the components of these links are small; their members' vectors are fetched once. There each code has a stored
+2. Deciding: the components of these links are small; their members' vectors are fetched once. There each code of the whole vector has a stored
    correction factor f, the inner product of code and rotated vector, and for another unit vector q the estimate <code, q>/f of the cosine is
    unbiased. With true cosine c it errs by sqrt(1-c^2) * sqrt(1-f^2)/f * t, t a coordinate of a random direction, so a pair at or above s
    has an estimate of at least s - sqrt(1-s^2) * sqrt(1-f^2)/f * min(1, Z/sqrt(d-1)) but for a chance below 1e-14. Pairs that pass are computed
@@ -33,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.functions import bound
+
 from .common import block_pairs, checkpointed, join_hot
 from .components import Forest, connected_components
 
@@ -40,7 +45,13 @@ THRESHOLD = 0.98
 DIRECT_ROWS = 2048
 BUCKET_ROWS = 4096
 BLOCK_ROWS = 1024
-CODE_BITS = 256
+CODE_BITS = 1024
+#: Bits that are compared first.
+FIRST_BITS = 256
+#: Width of a projection's steps, in distances of the threshold.
+STEP = 8.0
+#: Vectors of a label whose mean is its centre.
+CENTRE_OF = 16
 Z = 8.0
 MISS = 1e-9
 SEED = 20_240_521
@@ -70,27 +81,41 @@ def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
 
 
 def table_count(bits: int, threshold: float) -> int:
-    """Tables that let a pair at the threshold meet with a chance above 1 - MISS."""
+    """Tables that let a pair at the threshold meet with a chance above 1 - MISS; a step is shared with a chance that STEP alone gives."""
     if bits == 0:
         return 1
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return math.ceil(math.log(MISS) / math.log1p(-meet))
+    tail = math.erfc(STEP / math.sqrt(2))
+    share = 1 - tail - 2 / (math.sqrt(2 * math.pi) * STEP) * (1 - math.exp(-STEP * STEP / 2))
+    return math.ceil(math.log(MISS) / math.log1p(-(share**bits)))
+
+
+def code_bits(dim: int) -> int:
+    return dim * -(-CODE_BITS // dim)
 
 
 def words(dim: int) -> int:
     """64-bit words of a code."""
-    return -(-dim * -(-CODE_BITS // dim) // 64)
+    return -(-code_bits(dim) // 64)
+
+
+def most_bits(n: int, share: float) -> int:
+    """Of n bits that each differ with this chance, the number exceeded with a chance below 1e-13 (Chernoff's bound)."""
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    q = np.arange(math.ceil(n * p), n) / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = n * (np.where(q > 0, q * np.log(q / p), 0) + (1 - q) * np.log((1 - q) / (1 - p))) > 30
+    return math.ceil(n * p) + int(far.argmax()) if far.any() else n
+
+
+_GRID = 1024
 
 
 @functools.lru_cache(maxsize=64)
-def most_bits(dim: int, threshold: float) -> int:
-    """Differing code bits that a pair at the threshold exceeds with a chance below 1e-13 (Chernoff's bound)."""
-    n, p = dim * -(-CODE_BITS // dim), max(1e-6, math.acos(min(1.0, threshold)) / math.pi)
-    for k in range(math.ceil(n * p), n):
-        q = k / n
-        if n * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p))) > 30:
-            return k
-    return n
+def bit_limits(dim: int, threshold: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The squared distance at the threshold, and by the cosine of two residuals (from 1 down to -1) how many of the first and of all bits may differ."""
+    shares = [math.acos(1 - 2 * i / _GRID) / math.pi for i in range(_GRID + 1)]
+    first = min(FIRST_BITS, code_bits(dim))
+    return 2 - 2 * threshold + 1e-9, *(np.array([most_bits(n, x) for x in shares], np.int16 if n < 32_768 else np.int64) for n in (first, code_bits(dim)))
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -99,12 +124,13 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def codes(unit: np.ndarray) -> np.ndarray:
-    """(vectors, words): the packed signs under all rotations."""
-    n, dim = unit.shape
-    signs = np.packbits(unit.astype(np.float32) @ rotations(dim) > 0, axis=1)
-    out = np.zeros((n, 8 * words(dim)), np.uint8)
+def codes(unit: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """(vectors, words + 1): the packed signs of the residuals under all rotations, then the residual's length."""
+    left = unit - centre
+    signs = np.packbits(left.astype(np.float32) @ rotations(unit.shape[1]) > 0, axis=1)
+    out = np.zeros((len(unit), 8 * words(unit.shape[1]) + 8), np.uint8)
     out[:, : signs.shape[1]] = signs
+    out[:, -8:] = np.linalg.norm(left, axis=1)[:, None].view(np.uint8)
     return out.view(np.uint64)
 
 
@@ -113,26 +139,34 @@ def keys(unit: np.ndarray, bits: int, threshold: float) -> np.ndarray:
     tables = table_count(bits, threshold)
     if not bits:
         return np.zeros((len(unit), 1), np.int64)
-    signs = (unit @ hyperplanes(unit.shape[1], tables, bits) > 0).reshape(len(unit), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
-
-
-def near_codes(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Which codes differ in at most ``most`` bits. Pairs that differ in more within the first two words aren't looked at further."""
-    far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-    if x.shape[1] > 1:
-        far += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])  # at most 128
-    near = far <= most
-    if x.shape[1] > 2:
+    steps = np.random.default_rng([SEED, tables, bits]).random(tables * bits)
+    place = np.floor(unit @ hyperplanes(unit.shape[1], tables, bits) / (STEP * math.sqrt(2 - 2 * threshold)) + steps).astype(np.int64)
+    odd = np.random.default_rng([SEED, bits]).integers(1, 1 << 62, bits, np.int64) * 2 + 1
+    return (place.reshape(len(unit), tables, bits) * odd).sum(axis=2)  # wraps around; equal steps give equal keys
+
+
+def near_codes(x: np.ndarray, y: np.ndarray, limits: tuple[float, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which codes may belong to a pair at the threshold. Pairs that differ too much within the first words aren't looked at further."""
+    apart, few, most = limits
+    a, b = (np.maximum(np.ascontiguousarray(c[:, -1]).view(np.float64), 1e-12) for c in (x, y))
+    cosine = ((a * a - apart)[:, None] + b * b) / (2 * a[:, None] * b)
+    place = np.ceil((1 - np.clip(cosine, -1, 1)) * (_GRID / 2)).astype(np.int64)
+    n = x.shape[1] - 1
+    first = min(n, FIRST_BITS // 64)
+    far = np.zeros(place.shape, np.int16)
+    for k in range(first):
+        far += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    near = far <= (few if first < n else most)[place]
+    if first < n:
         i, j = np.nonzero(near)
-        for a in range(0, len(i), 65536):
-            p, q = i[a : a + 65536], j[a : a + 65536]
-            near[p, q] = np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype=np.int64) <= most
+        for s in range(0, len(i), 65536):
+            p, q = i[s : s + 65536], j[s : s + 65536]
+            near[p, q] = np.bitwise_count(x[p, :n] ^ y[q, :n]).sum(axis=1, dtype=np.int64) <= most[place[p, q]]
     return near
 
 
-def link_codes(ids: np.ndarray, code: np.ndarray, most: int, forest: Forest, across: int = 0) -> None:
-    """Link candidates whose codes differ in at most ``most`` bits: all pairs, or only those between the first ``across`` and the others.
+def link_codes(ids: np.ndarray, code: np.ndarray, limits: tuple, forest: Forest, across: int = 0) -> None:
+    """Link candidates by their codes: all pairs, or only those between the first ``across`` and the others.
 
     Components are found by spreading the smallest place through each chunk's matrix, so that a dense bucket costs no step a pair.
     """
@@ -141,7 +175,7 @@ def link_codes(ids: np.ndarray, code: np.ndarray, most: int, forest: Forest, acr
     for a in range(0, across or n, _CODE_CHUNK):
         b = min(a + _CODE_CHUNK, across or n)
         low = across or a
-        near = near_codes(code[a:b], code[low:], most)
+        near = near_codes(code[a:b], code[low:], limits)
         if not across:
             near &= np.arange(low, n)[None, :] > np.arange(a, b)[:, None]
         rows = np.flatnonzero(near.any(axis=1))
@@ -213,7 +247,7 @@ class Compared:
 
 
 def _code_rows(kind: str, threshold: float):
-    """Over batches of (grp, dim, bits, low, v): a row (grp, dim, bits, tab, key, low, code) for each table."""
+    """Over batches of (grp, dim, bits, low, v, centre): a row (grp, dim, bits, tab, key, low, code) for each table."""
 
     def run(batches):
         for batch in batches:
@@ -222,7 +256,7 @@ def _code_rows(kind: str, threshold: float):
                 at = np.flatnonzero((dims == dim) & (bits == k))
                 flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(at), dim)
                 unit = units(flat)
-                code = codes(unit)
+                code = codes(unit, batch.column(5).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim))
                 size, raw, found = code.shape[1] * 8, code.tobytes(), keys(unit, k, threshold)
                 packed = pa.array([raw[i * size : (i + 1) * size] for i in range(len(at))], pa.binary())
                 same = lambda x: pa.array(np.full(len(at), x, np.int32))  # noqa: B023, E731
@@ -260,7 +294,7 @@ def _compare_buckets(threshold: float, bucket_rows: int):
             if number and count:
                 yield block()
             elif count > 1:
-                link_codes(np.concatenate(ids), np.concatenate(code), most_bits(bucket[1], threshold), forest)
+                link_codes(np.concatenate(ids), np.concatenate(code), bit_limits(bucket[1], threshold), forest)
 
         for batch in batches:
             n = batch.num_rows
@@ -312,7 +346,7 @@ def _compare_code_blocks(threshold: float):
                 forest, ids, code = Forest(), np.frombuffer(x, np.int64), np.frombuffer(a, np.uint64)
                 if not same:
                     ids, code = np.r_[ids, np.frombuffer(y, np.int64)], np.r_[code, np.frombuffer(b, np.uint64)]
-                link_codes(ids, code.reshape(len(ids), -1), most_bits(dim, threshold), forest, 0 if same else len(x) // 8)
+                link_codes(ids, code.reshape(len(ids), -1), bit_limits(dim, threshold), forest, 0 if same else len(x) // 8)
                 yield from _links(forest, _PAIR)
 
     return run
@@ -345,9 +379,15 @@ def distinct_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str
 
 def candidate_links(groups: DataFrame, total: int, kind: str, threshold: float, direct_rows: int, bucket_rows: int) -> DataFrame:
     """(u, v): links that connect the ``total`` distinct vectors (grp, v, low, dim) whose codes let them be near."""
-    sizes = groups.groupBy("grp", "dim").agg(F.count("*").alias("rows"))
+    some = F.array(*[F.min_by("v", F.xxhash64(F.lit(i), "low")) for i in range(CENTRE_OF)])
+    sizes = groups.groupBy("grp", "dim").agg(F.count("*").alias("rows"), some.alias("some"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / direct_rows))).cast("int")
-    sized = join_hot(groups, sizes.withColumn("bits", bits), ["grp", "dim"], "rows", total).select("grp", "dim", "bits", "low", "v")
+    # a centre serves the speed only: any point would do, so values out of range count as 0
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    scaled = F.transform("some", lambda v: bound(length(v), lambda n: F.transform(v, lambda x: F.nanvl(F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)), F.lit(0.0)))))
+    mean = bound(scaled, lambda vs: F.transform(F.sequence(F.lit(0), F.col("dim") - 1), lambda i: F.aggregate(vs, F.lit(0.0), lambda a, v: a + F.get(v, i)) / CENTRE_OF))
+    sizes = sizes.select("grp", "dim", "rows", bits.alias("bits"), mean.alias("centre"))
+    sized = join_hot(groups, sizes, ["grp", "dim"], "rows", total).select("grp", "dim", "bits", "low", "v", "centre")
     keyed = sized.mapInArrow(_code_rows(kind, threshold), "grp string, dim int, bits int, tab int, key bigint, low bigint, code binary")
     found = checkpointed(keyed.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET).mapInArrow(_compare_buckets(threshold, bucket_rows), _DDL))
     blocks = found.where("ids is not null").select(*_BUCKET, "block", "ids", "codes")

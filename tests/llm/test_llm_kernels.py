@@ -128,16 +128,39 @@ def test_rabitq_kernels_find_all_links():
     half = rabitq.Compared(ids, one, x, 0.98).run(across=40)
     assert (half.counts[:40] == link[:40, 40:].sum(1)).all()
     # codes: every linked pair is a candidate
-    near = rabitq.near_codes(rabitq.codes(rabitq.units(x)), rabitq.codes(rabitq.units(x)), rabitq.most_bits(24, 0.98))
-    assert near[link].all() and near.mean() < 0.3
+    code, limits = rabitq.codes(rabitq.units(x), rabitq.units(x).mean(axis=0)), rabitq.bit_limits(24, 0.98)
+    near = rabitq.near_codes(code, code, limits)
+    assert near[link].all() and near.mean() < 0.1
     for across in (0, 40):
         forest = Forest()
-        rabitq.link_codes(ids, rabitq.codes(rabitq.units(x)), rabitq.most_bits(24, 0.98), forest, across)
+        rabitq.link_codes(ids, code, limits, forest, across)
         for i, j in zip(*np.nonzero(link), strict=True):
             if not across or (i < across) != (j < across):
                 assert forest.find(int(i)) == forest.find(int(j))
 
 
+@pytest.mark.parametrize(("dim", "cosine"), [(64, 0.8), (64, 0.87), (768, 0.92)])
+def test_vectors_that_share_a_direction_are_told_apart(dim, cosine):
+    """2,000 vectors around one direction, without a pair at the threshold but for 100 planted ones: hardly a link between others."""
+    r = np.random.default_rng(14)
+    common = r.standard_normal(dim)
+    x = np.sqrt(cosine) * common / np.linalg.norm(common) + np.sqrt((1 - cosine) / dim) * r.standard_normal((2000, dim))
+    x[1900:] = x[:100] + 0.1 * r.uniform(0.2, 1.1, (100, 1)) * r.standard_normal((100, dim)) / np.sqrt(dim)
+    unit = rabitq.units(x)
+    true = unit @ unit.T
+    assert abs(np.median(true) - cosine) < 0.02
+    forest = Forest()
+    code = rabitq.codes(unit, unit[:: 2000 // rabitq.CENTRE_OF].mean(axis=0))
+    rabitq.link_codes(np.arange(2000), code, rabitq.bit_limits(dim, 0.98), forest)
+    sizes = np.bincount([forest.find(i) for i in range(2000)])
+    assert (sizes**2).sum() < 2000 + 4 * 100 + 50  # pairs that are compared exactly
+    for i, j in zip(*np.nonzero(np.triu(true >= 0.98, 1)), strict=True):
+        assert forest.find(int(i)) == forest.find(int(j))
+    key = rabitq.keys(unit, 5, 0.98)
+    near = np.argwhere(np.triu(true >= 0.98, 1))
+    assert len(near) > 60 and all((key[i] == key[j]).any() for i, j in near)
+
+
 def test_rabitq_estimates_are_unbiased():
     r = np.random.default_rng(5)
     x = r.standard_normal((400, 64))
@@ -147,11 +170,12 @@ def test_rabitq_estimates_are_unbiased():
     estimate = c.rotated @ c.signs.T / 8 / factor[None, :]
     off = ~np.eye(400, dtype=bool)
     assert abs((estimate - true)[off].mean()) < 0.002 and np.allclose(np.diag(estimate), 1, atol=1e-3)
-    assert rabitq.table_count(0, 0.98) == 1 and 40 < rabitq.table_count(16, 0.98) < 60
+    assert rabitq.table_count(0, 0.98) == 1 and 80 < rabitq.table_count(16, 0.98) < 130
     # a code bit differs with the chance angle / pi
-    code = rabitq.codes(c.unit)
-    differ = np.bitwise_count(code[:, None] ^ code[None, :]).sum(axis=2)
-    assert abs((differ / 256 - np.arccos(np.clip(true, -1, 1)) / np.pi)[off].mean()) < 0.002
+    code = rabitq.codes(c.unit, np.zeros(64))
+    assert np.allclose(code[:, -1:].view(np.float64), 1)
+    differ = np.bitwise_count(code[:, None, :-1] ^ code[None, :, :-1]).sum(axis=2)
+    assert abs((differ / 1024 - np.arccos(np.clip(true, -1, 1)) / np.pi)[off].mean()) < 0.002
 
 
 # ---- mixing

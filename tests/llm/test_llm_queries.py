@@ -174,11 +174,12 @@ def test_vector_query(spark, direct_rows, bucket_rows, block_rows):
     assert rabitq.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
-def test_vector_recall_in_a_large_label(spark):
-    """50,000 vectors of 64 dimensions in one label, with pairs around the threshold, against all pairs in double precision."""
+@pytest.mark.parametrize("shift", [0.0, 2.4])
+def test_vector_recall_in_a_large_label(spark, shift):
+    """50,000 vectors of 64 dimensions in one label, around one direction (median cosine 0.85) or none, with pairs around the threshold, against all pairs in double precision."""
     r = np.random.default_rng(15)
-    base = r.standard_normal((44_000, 64))
-    step = r.uniform(0.05, 0.25, (6000, 1)) * r.standard_normal((6000, 64))
+    base = r.standard_normal((44_000, 64)) + shift
+    step = r.uniform(0.05, 0.25, (6000, 1)) * math.hypot(1, shift) * r.standard_normal((6000, 64))
     x = np.concatenate([base, base[:6000] + step]).astype(np.float32)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>").selectExpr("*", "1 as label").repartition(8)
     got = {g["vec_id"]: g["n_links"] for g in rabitq.near_duplicate_vectors(df).select("vec_id", "n_links").collect()}

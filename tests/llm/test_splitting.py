@@ -101,9 +101,10 @@ def test_code_components(across):
     code = np.concatenate([base, *[base[:40] ^ (np.uint64(1) << r.integers(0, 64, (40, 4), np.uint64)) for _ in range(9)], np.repeat(base[50:52], 60, axis=0)])
     code = code[r.permutation(len(code))]
     ids = r.permutation(10_000)[: len(code)]
-    forest = components.Forest()
-    rabitq.link_codes(ids, code, 8, forest, across)
-    near = rabitq.near_codes(code, code, 8)
+    forest, limits = components.Forest(), (0.04, np.full(1025, 8), np.full(1025, 8))
+    with_length = np.c_[code, np.ones((len(code), 1)).view(np.uint64)]
+    rabitq.link_codes(ids, with_length, limits, forest, across)
+    near = rabitq.near_codes(with_length, with_length, limits)
     full = np.bitwise_count(code[:, None] ^ code[None, :]).sum(axis=2) <= 8
     assert (near == full).all()
     if across:
