@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import values
-from quillmark.operators import geometry, labelled, ledger, limits, page_objects, regions, software, tables
+from quillmark.operators import geometry, labelled, ledger, limits, manifests, page_objects, regions, software, tables
 from quillmark.plans import query, table
 from quillmark.plans.content import _LUHN, _LUHN_SIREN, _MOD97
 
@@ -294,3 +294,24 @@ def normalized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", out["value"].alias("value"), out["status"].alias("status"))
 
 
+
+
+# A manifest an event: statuses in lists, in objects and below other keys, codes that are numbers, and the event's own properties.
+_MANIFEST = """'{"active":{"success":[{"code":"' || event_type || '","explanation":"' || case when event_id % 3 = 0 then '' else 'seen' end || '"},{"code":' || event_id || '}],"deep":[{"failure":{"props":' || props
+  || case when event_id % 2 = 0 then ',"code":"untrusted"' else ',"inner":[[{"code":"k.' || event_id % 7 || '","informational":{"x":{"code":"note"}}}]]' end || '}}]},"assertions":[{"digital_source_type":"http://e/' || event_type || '"},{"code":"outside"}]}'"""
+
+
+@query(
+    f"""with m as (select event_id, ({_MANIFEST})::json j from events), t as (select event_id, t.value v, t.fullkey k from m, json_tree(j) t where t.type = 'OBJECT')
+  select event_id, list_last(regexp_extract_all(k, '[.](success|informational|failure)(?:[.\\[]|$)', 1)) outcome, v->>'code' code, nullif(v->>'explanation', '') explanation from t
+  where json_type(v->'code') = 'VARCHAR' and regexp_matches(k, '[.](success|informational|failure)([.\\[]|$)')""".replace("\\\\", "\\")
+)
+def manifest_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_MANIFEST).alias("manifest"))
+    return manifests.validation_statuses(manifests.walked(rows, "event_id", "manifest")).withColumnRenamed("id", "event_id")
+
+
+@query(f"""with m as (select event_id, ({_MANIFEST})::json j from events) select event_id, list_sort(list(distinct t.value->>'$')) source_types from m, json_tree(j) t where t.key = 'digital_source_type' group by event_id""")
+def manifest_source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_MANIFEST).alias("manifest"))
+    return manifests.source_types(manifests.walked(rows, "event_id", "manifest")).withColumnRenamed("id", "event_id")
