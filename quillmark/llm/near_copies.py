@@ -8,7 +8,8 @@ Candidates come from two searches. The covering tables of ``simhash`` find every
 ``simhash.RADIUS`` bits, without exception. Pairs at 0.8 mostly differ in more, so each set also gets ``TABLES`` fingerprints of ``MINIMA`` minima each: a pair of
 similarity s shares one of them with a chance of 1 - (1 - s**6)**32, so that one at 0.8 is missed with a chance of 6e-5, one at 0.9 with less than
 1e-10. Copies of a set cost nothing. All sets of one fingerprint are linked to the least of them; the components of these links are
-clusters, and the pairs of a cluster not yet connected are compared exactly, in blocks of ``block_rows`` sets and ``block_bytes`` bytes on average at most, whose pairs are spread over tasks. Texts are
+clusters. Texts that share a passage can form a large cluster without a pair at 0.8, so the pairs of a cluster not yet connected are first estimated from sketches, a byte
+of each of the 192 minima: one at the similarity is passed over with a chance of 1e-9, one at half hardly ever isn't. What is left is compared exactly, in blocks of ``block_rows`` sets and ``block_bytes`` bytes on average at most, whose pairs are spread over tasks. Texts are
 hashed anew only for members of clusters. Keys, clusters and sets that hold many rows are joined by broadcast.
 
 Texts of any length are read whole. Repeated rows stay; rows of one id with several texts each get the component of their text. A null id keeps its row and
@@ -17,6 +18,9 @@ names no component unless no other id is there. The id may be a struct: the leas
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +36,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 TABLES = 32
 MINIMA = 6
+#: Chance that the sketches rule out a pair at the similarity.
+SKETCH_MISS = 1e-9
 BLOCK_ROWS = 1024
 #: Bytes of hashes that a block holds on average at most; a single longer set is held whole.
 BLOCK_BYTES = 8_000_000
@@ -62,15 +68,34 @@ _XOR, _ODD = _RANDOM.integers(0, 1 << 64, (2, TABLES * MINIMA, 1), np.uint64)
 _ODD |= np.uint64(1)
 
 
-def keys_of(hashes: np.ndarray) -> np.ndarray:
-    """One fingerprint a table."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
+def minima_of(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of the permutations."""
     low = np.full(TABLES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(hashes), 1024):
         np.minimum(low, ((hashes[None, a : a + 1024] ^ _XOR) * _ODD).min(axis=1), out=low)
-    rows = low.reshape(TABLES, MINIMA)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
+    return low
+
+
+def keys_of(low: np.ndarray) -> np.ndarray:
+    """One fingerprint a table, from a set's minima."""
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(TABLES, MINIMA))], np.uint64).view(np.int64)
+
+
+def sketch_of(low: np.ndarray) -> bytes:
+    """A byte of each minimum."""
+    return ((low >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+@functools.lru_cache(maxsize=8)
+def least_matches(similarity: float, chance: float = SKETCH_MISS) -> int:
+    """Equal bytes that the sketches of two sets of this similarity have but for this chance: a byte is equal by the similarity, or by accident."""
+    n, p = TABLES * MINIMA, similarity + (1 - similarity) / 256
+    total = 0.0
+    for k in range(n + 1):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) if p < 1 else float(k == n)
+        if total > chance:
+            return k
+    return n
 
 
 def simhash_of(hashes: np.ndarray) -> int:
@@ -84,8 +109,9 @@ def simhash_of(hashes: np.ndarray) -> int:
 def _named():
     def apply(texts):
         sets = [shingles(t) for t in texts]
+        lows = [minima_of(s) for s in sets]
         signed = lambda values: np.array(values, np.uint64).view(np.int64)
-        return {"fp": signed([set_name(s) for s in sets]), "print": signed([simhash_of(s) for s in sets]), "shingles": [len(s) for s in sets], "keys": [keys_of(s) for s in sets]}
+        return {"fp": signed([set_name(s) for s in sets]), "print": signed([simhash_of(s) for s in sets]), "shingles": [len(s) for s in sets], "keys": [keys_of(m) if len(s) else np.empty(0, np.int64) for s, m in zip(sets, lows, strict=True)], "sketch": [sketch_of(m) for m in lows]}
 
     return apply
 
@@ -139,13 +165,14 @@ def stars(named: DataFrame, n_sets: int, many: int = MANY) -> DataFrame:
     return out.unionByName(linked) if hot else out
 
 
-def link_sets(names: list[int], sets: list[np.ndarray], similarity: float, forest: Forest, across: int = 0) -> None:
+def link_sets(names: list[int], sets: list[np.ndarray], sketches: np.ndarray, similarity: float, forest: Forest, across: int = 0) -> int:
     """Link all sets within the similarity, or those of the first ``across`` with the others; each is compared with those that aren't yet
-    connected with it."""
+    connected with it and whose sketches (a row each) don't rule them out. How many pairs were compared exactly."""
+    compared, least = 0, least_matches(similarity)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     side = (order < across).astype(int)
-    sets, sizes, names = [sets[i] for i in order], sizes[order], [names[i] for i in order]
+    sets, sizes, names, sketches = [sets[i] for i in order], sizes[order], [names[i] for i in order], sketches[order]
     rest = np.arange(len(sets))
     while len(rest):
         front, rest = [rest[0]], rest[1:]
@@ -156,8 +183,10 @@ def link_sets(names: list[int], sets: list[np.ndarray], similarity: float, fores
             some = rest[a:b]
             if across:
                 some = some[side[some] != side[i]]
+            some = some[(sketches[some] == sketches[i]).sum(axis=1) >= least]
             if not len(some):
                 continue
+            compared += len(some)
             ends = np.cumsum(sizes[some])
             both = np.concatenate([sets[j] for j in some])
             at = np.minimum(np.searchsorted(sets[i], both), max(len(sets[i]) - 1, 0))
@@ -168,10 +197,11 @@ def link_sets(names: list[int], sets: list[np.ndarray], similarity: float, fores
                 forest.link(names[j], names[i])
                 front.append(j)
             rest = np.setdiff1d(rest, some[near], assume_unique=True)
+    return compared
 
 
 def compare_blocks(similarity: float):
-    """Over batches of (same, members, others), arrays of (fp, hashes): links that connect what is similar inside a block, or across two."""
+    """Over batches of (same, members, others), arrays of (fp, hashes, sketch): links that connect what is similar inside a block, or across two."""
 
     def run(batches):
         for batch in batches:
@@ -179,7 +209,8 @@ def compare_blocks(similarity: float):
                 forest, same = Forest(), batch.column(0)[k].as_py()
                 parts = [batch.column(i)[k].as_py() for i in ((1,) if same else (1, 2))]
                 names, sets = [m["fp"] for p in parts for m in p], [np.frombuffer(m["hashes"], np.uint64) for p in parts for m in p]
-                link_sets(names, sets, similarity, forest, 0 if same else len(parts[0]))
+                sketches = np.frombuffer(b"".join(m["sketch"] for p in parts for m in p), np.uint8).reshape(len(names), -1)
+                link_sets(names, sets, sketches, similarity, forest, 0 if same else len(parts[0]))
                 u, v = zip(*forest.edges(), strict=True) if forest.parent and any(True for _ in forest.edges()) else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -198,22 +229,22 @@ def candidate_links(named: DataFrame, n_sets: int) -> DataFrame:
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: id, ``fp`` (the shingle set's digest), ``component_id`` (smallest id reachable)."""
-    prints = checkpointed(map_texts(df, id_col, text_col, "fp bigint, print bigint, shingles int, keys array<bigint>", _named))
-    named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies"), F.first("print").alias("print"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")))
+    prints = checkpointed(map_texts(df, id_col, text_col, "fp bigint, print bigint, shingles int, keys array<bigint>, sketch binary", _named))
+    named = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies"), F.first("print").alias("print"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     n_sets, n_rows = named.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     clusters = connected_components(candidate_links(named, n_sets))
-    found = checkpointed(clusters.withColumnRenamed("node", "fp").join(named.select("fp", "low", "shingles"), "fp"))
+    found = checkpointed(clusters.withColumnRenamed("node", "fp").join(named.select("fp", "low", "shingles", "sketch"), "fp"))
     parts = F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.col("shingles").cast("bigint") * 8) / block_bytes))
     sizes = found.groupBy("root").agg(parts.alias("n"), F.count("*").alias("rows")).where("rows > 1")
     n_found = found.count()
     block = F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1).cast("bigint"), F.col("n"))).cast("int")
-    members = checkpointed(join_hot(found, sizes, ["root"], "rows", n_found).select("fp", "low", "root", block.alias("block")))
+    members = checkpointed(join_hot(found, sizes, ["root"], "rows", n_found).select("fp", "low", "root", "sketch", block.alias("block")))
     few = n_found <= BROADCAST_MEMBERS
     wanted = members.select(F.col("low").alias(id_col)).distinct()
     texts = df.select(id_col, text_col).join(F.broadcast(wanted) if few else wanted, id_col, "left_semi")
     sets = map_texts(texts, id_col, text_col, "name bigint, hashes binary", _packed).withColumnRenamed(id_col, "low2")
     held = sets.join(F.broadcast(members) if few else members, F.col("low2").eqNullSafe(F.col("low")) & (F.col("name") == F.col("fp")))
-    blocks = held.dropDuplicates(["fp"]).groupBy("root", "block").agg(F.collect_list(F.struct("fp", "hashes")).alias("members"))
+    blocks = held.dropDuplicates(["fp"]).groupBy("root", "block").agg(F.collect_list(F.struct("fp", "hashes", "sketch")).alias("members"))
     pairs = block_pairs(checkpointed(blocks), ["root"], ["members"]).select("same", "members1", "members2")
     links = pairs.mapInArrow(compare_blocks(similarity), "u bigint, v bigint")
     roots = connected_components(links).withColumnRenamed("node", "fp").withColumnRenamed("root", "root_fp")
