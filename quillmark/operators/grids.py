@@ -170,6 +170,30 @@ def shifted_dice(left: Column, right: Column, columns: int, rows: int, reach: in
     return F.array_max(F.flatten(F.transform(shifts, dice)))
 
 
+def mask_word(mask: Column, columns: int, rows: int) -> Column:
+    """A mask of at most 64 cells (see ``shifted_dice``) as one word: column after column, so one shift moves it sideways and up or down. Null: empty."""
+    if columns * rows > 64:
+        raise ValueError("a word holds 64 cells")
+    out = F.lit(0).cast("bigint")
+    for k in range(columns):
+        out = out.bitwiseOR(F.call_function("shiftleft", F.coalesce(F.get(mask, k), F.lit(0).cast("bigint")), F.lit(k * rows)))
+    return out
+
+
+def shifted_dice_of_words(left: Column, right: Column, columns: int, rows: int, reach: int = 2) -> Column:
+    """``shifted_dice`` of two words of ``mask_word``: a few machine operations a shift, for work on many pairs."""
+    scores = []
+    for i in range(-reach, reach + 1):
+        for j in range(-reach, reach + 1):
+            inside = sum(1 << (x * rows + y) for x in range(columns) for y in range(rows) if 0 <= x - i < columns and 0 <= y - j < rows)
+            by = i * rows + j
+            if not inside:
+                continue
+            moved = F.call_function("shiftleft" if by >= 0 else "shiftrightunsigned", right, F.lit(abs(by))).bitwiseAND(F.lit(inside - (inside >> 63 << 64)).cast("bigint"))
+            scores.append(2.0 * F.bit_count(left.bitwiseAND(moved)) / F.greatest(F.lit(1), F.bit_count(left) + F.bit_count(moved)))
+    return F.greatest(*scores)
+
+
 def packed_masks(cells: DataFrame, *keys: str, columns: int) -> DataFrame:
     """(keys, mask): cells (keys, y, x) of each mask packed as ``shifted_dice`` reads them; y below 63."""
     per = cells.distinct().groupBy(*keys, "x").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("y").cast("int"))).alias("word"))

@@ -99,3 +99,31 @@ def test_shifted_dice(spark):
     assert got == pytest.approx({k: pixels.shifted_dice(a, b) for k, (a, b) in pairs.items()})
     masks = grids.packed_masks(cells_of(spark, {str(k): p[0] for k, p in pairs.items() if k != 9}), "image", columns=96).collect()
     assert {int(x["image"]): x["mask"] for x in masks} == {k: packed(p[0]) for k, p in pairs.items() if k != 9}
+
+
+def test_dice_of_words(spark):
+    r = np.random.default_rng(5)
+    pairs = {k: (r.random((8, 8)) < 0.4, r.random((8, 8)) < 0.4) for k in range(40)} | {98: (np.zeros((8, 8), bool), np.ones((8, 8), bool)), 99: (np.zeros((8, 8), bool), np.zeros((8, 8), bool))}
+    packed = lambda m: [int(sum(1 << int(y) for y in np.flatnonzero(m[:, x]))) for x in range(8)]
+    df = spark.createDataFrame([(k, packed(a), packed(b)) for k, (a, b) in pairs.items()], "k int, a array<bigint>, b array<bigint>")
+    words = df.select("k", *[grids.mask_word(F.col(c), 8, 8).alias(c) for c in "ab"])
+    got = {x["k"]: x["d"] for x in words.select("k", grids.shifted_dice_of_words(F.col("a"), F.col("b"), 8, 8).alias("d")).collect()}
+    assert got == pytest.approx({k: pixels.shifted_dice(a, b) for k, (a, b) in pairs.items()})
+
+
+@pytest.mark.parametrize("name", ["mark_similarity", "repeated_marks"])
+def test_marks_with_empty_masks(spark, tmp_path, name):
+    """Marks without a set cell keep their pairs."""
+    import duckdb
+
+    from quillmark import catalog
+
+    r = np.random.default_rng(6)
+    vectors = [[float(x) for x in r.normal(0, 0.1, 64)] for _ in range(40)] + [[-0.1] * 64, [0.0] * 64]
+    vectors += [[-0.05] * 7 + [float(x) for x in r.choice([-0.1, 0.1], 57)]] * 4
+    spark.createDataFrame([(k, v, 1) for k, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"""select {', '.join(f'"{c}"' for c in df.columns)} from ({catalog.oracle_sql()[name]})""").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str) and want
