@@ -29,8 +29,11 @@ def uncovered_regions(regions: DataFrame, *used: DataFrame) -> DataFrame:
 
 def coverage(regions: DataFrame, mapped: DataFrame, disposed: DataFrame) -> DataFrame:
     """(doc_id, regions, mapped, disposed, uncovered, ratio) over distinct regions; a mapped region isn't also disposed."""
-    side = lambda df, name: df.select("doc_id", "region_id").distinct().withColumn(name, F.lit(1))
-    rows = regions.select("doc_id", "region_id").distinct().join(side(mapped, "m"), ["doc_id", "region_id"], "left").join(side(disposed, "d"), ["doc_id", "region_id"], "left")
+    # one aggregation by region over the three tables: nothing is sorted or held for a join
+    side = lambda df, name: df.select("doc_id", "region_id", *[F.lit(n == name).alias(n) for n in ("r", "m", "d")])
+    every = side(regions, "r").unionByName(side(mapped, "m")).unionByName(side(disposed, "d"))
+    flags = every.groupBy("doc_id", "region_id").agg(*[F.bool_or(n).alias(n) for n in ("r", "m", "d")]).where("r")
+    rows = flags.select("doc_id", *[F.when(F.col(n), 1).alias(n) for n in ("m", "d")])
     per = rows.groupBy("doc_id").agg(
         F.count("*").alias("regions"), F.count("m").alias("mapped"), F.count_if(F.col("m").isNull() & F.col("d").isNotNull()).alias("disposed"),
         F.count_if(F.col("m").isNull() & F.col("d").isNull()).alias("uncovered"),
