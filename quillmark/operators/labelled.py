@@ -234,8 +234,8 @@ def chosen(found: DataFrame) -> DataFrame:
     # generated as a row of its own, so that the validators stand in the plan once
     rows = found.select("*", F.inline(F.array(check))).withColumn("valid", F.coalesce("valid", F.lit(False))).withColumnRenamed("country_code", "country").drop("normalized")
     rank = Window.partitionBy("doc_id", "page", "kind", "slot").orderBy(F.desc("valid"), F.desc(F.when(F.col("valid"), F.length("value"))), F.desc("border"), F.desc(F.length("value")), "value")
-    vat = rows.where("kind = 'eu_vat'").withColumn("n", F.row_number().over(rank)).where("n = 1").drop("n")
-    return rows.where("kind <> 'eu_vat'").unionByName(vat)
+    # dealt out by document, as all that follows is by document: the rows are made once and move once
+    return rows.repartition("doc_id").withColumn("n", F.row_number().over(rank)).where("n = 1 or kind <> 'eu_vat'").drop("n")
 
 
 def checked_identifiers(found: DataFrame) -> DataFrame:
@@ -278,11 +278,12 @@ def reason_text(reasons) -> F.Column:
     return F.when(F.coalesce(F.size(reasons), F.lit(0)) > 0, said).otherwise("format invalide")
 
 
-def identifier_observations(checked: DataFrame, geography: DataFrame | None = None) -> DataFrame:
+def identifier_observations(checked: DataFrame, geography: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """(doc_id, code, kind, value, page, state, strength, detail, anomaly, occurrences): one observation for each distinct identifier (CKYC and MICR: with
     how often it occurs), one for several cards in a document, and one for Indian fields beside another banking country.
 
-    ``geography``: (doc_id, country) of ``bank_geography``.
+    ``geography``: (doc_id, country) of ``bank_geography``; or ``regions``, from which and from ``checked`` the country is found on the way. What concerns a whole
+    document is found by windows, so ``checked`` is read once.
     """
     kind, valid = F.col("kind"), F.col("valid")
     verdict = lambda name, fine: F.concat(F.lit(f"OCR_{name}_"), F.when(fine, "VALID").otherwise("INVALID"))
@@ -291,24 +292,37 @@ def identifier_observations(checked: DataFrame, geography: DataFrame | None = No
     code = code.when(kind == "ckyc", verdict("CKYC", F.col("state") == "clear")).otherwise(F.concat(F.lit("OCR_"), F.upper(kind), F.when(valid, "_VALID").otherwise("_INVALID")))
     detail = F.when(F.col("masked"), "masked").when(kind.isin("ckyc", "micr"), F.format_string("%d digits", F.length(F.regexp_replace("value", "[^0-9]", "")))).when(F.col("state") == "attention", reason_text(F.col("reasons")))
     shown = F.when(F.col("state") == "detected", "clear").otherwise(F.col("state"))
-    single = checked.select("doc_id", code.alias("code"), "kind", "value", "page", shown.alias("state"), detail.alias("detail"), "occurrences", (F.col("state") == "attention").alias("anomaly"))
+    named = F.when((kind == "bic") & (F.col("state") == "clear"), F.col("country")) if geography is None and regions is not None else F.lit(None).cast("string")
+    rows = checked.select("doc_id", code.alias("code"), "kind", "value", "page", shown.alias("state"), detail.alias("detail"), "occurrences", (F.col("state") == "attention").alias("anomaly"), "masked", "suffix", named.alias("named"))
+    if geography is not None or regions is not None:
+        places = geography if geography is not None else branch_countries(regions)
+        rows = rows.unionByName(places.select("doc_id", F.col("country").alias("named")), allowMissingColumns=True)
+    whole = Window.partitionBy("doc_id")
+    plain = (kind == "card") & ~F.col("masked") & F.col("suffix").isNull()
+    rows = rows.select(
+        "*", F.row_number().over(whole.orderBy("kind", "value")).alias("nth"), F.collect_set(F.when(plain, F.col("value"))).over(whole).alias("cards"), F.min(F.when(plain, F.col("page"))).over(whole).alias("card_page"),
+        F.bool_or(kind == "ckyc").over(whole).alias("ckyc"), F.bool_or(kind == "micr").over(whole).alias("micr"), F.min("named").over(whole).alias("least"), F.max("named").over(whole).alias("most"),
+    )
     # several plain cards: two of one length that differ in one place are in conflict
-    plain = checked.where("kind = 'card' and not masked and suffix is null").groupBy("doc_id").agg(F.array_sort(F.collect_set("value")).alias("values"), F.min("page").alias("page"))
-    one, two = F.element_at("values", 1), F.element_at("values", 2)
+    values = F.array_sort("cards")
+    one, two = F.get(values, 0), F.get(values, 1)
     differing = F.aggregate(F.arrays_zip(F.split(one, "").alias("a"), F.split(two, "").alias("b")), F.lit(0), lambda n, p: n + (p["a"] != p["b"]).cast("int"))
-    conflict = (F.size("values") == 2) & (F.length(one) == F.length(two)) & (differing == 1)
-    several = plain.where(F.size("values") > 1).select(
-        "doc_id", F.when(conflict, "OCR_CARD_VALUES_CONFLICT").otherwise("OCR_CARD_MULTIPLE_VALUES").alias("code"), F.lit("card").alias("kind"), F.array_join("values", ",").alias("value"), "page",
-        F.when(conflict, "attention").otherwise("clear").alias("state"), F.format_string("%d values", F.size("values")).alias("detail"), F.lit(1).cast("bigint").alias("occurrences"), conflict.alias("anomaly"),
+    conflict = (F.size("cards") == 2) & (F.length(one) == F.length(two)) & (differing == 1)
+    observed = lambda *v: F.struct(*[x.alias(n) for x, n in zip(v, ("code", "kind", "value", "page", "state", "detail", "occurrences", "anomaly"), strict=True)])
+    once = F.lit(1).cast("bigint")
+    several = observed(
+        F.when(conflict, "OCR_CARD_VALUES_CONFLICT").otherwise("OCR_CARD_MULTIPLE_VALUES"), F.lit("card"), F.array_join(values, ","), F.col("card_page"), F.when(conflict, "attention").otherwise("clear"),
+        F.format_string("%d values", F.size("cards")), once, conflict,
+    )
+    foreign = observed(
+        F.when(F.col("micr"), "OCR_BANKING_GEOGRAPHY_MISMATCH").otherwise("OCR_BANKING_FOREIGN_FIELD"), F.lit("ckyc"), F.col("least"), F.lit(None).cast(checked.schema["page"].dataType), F.lit("attention"),
+        F.when(F.col("micr"), "CKYC, MICR").otherwise("CKYC"), once, F.lit(True),
     )
-    out = single.unionByName(several)
-    if geography is not None:
-        indian = checked.where("kind in ('ckyc', 'micr')").groupBy("doc_id").agg(F.bool_or(kind == "ckyc").alias("ckyc"), F.bool_or(kind == "micr").alias("micr")).where("ckyc")
-        foreign = geography.where("country <> 'IN'").join(indian, "doc_id")
-        out = out.unionByName(foreign.select(
-            "doc_id", F.when(F.col("micr"), "OCR_BANKING_GEOGRAPHY_MISMATCH").otherwise("OCR_BANKING_FOREIGN_FIELD").alias("code"), F.lit("ckyc").alias("kind"), F.col("country").alias("value"),
-            F.lit(None).cast(checked.schema["page"].dataType).alias("page"), F.lit("attention").alias("state"), F.when(F.col("micr"), "CKYC, MICR").otherwise("CKYC").alias("detail"), F.lit(1).cast("bigint").alias("occurrences"), F.lit(True).alias("anomaly"),
-        ))
+    single = observed(*[F.col(n) for n in ("code", "kind", "value", "page", "state", "detail", "occurrences", "anomaly")])
+    head = F.col("nth") == 1
+    abroad = F.col("ckyc") & (F.col("least") == F.col("most")) & (F.col("least") != "IN")
+    found = F.array_compact(F.array(F.when(kind.isNotNull(), single), F.when(head & (F.size("cards") > 1), several), F.when(head & abroad, foreign)))
+    out = rows.select("doc_id", F.inline(found))
     strength = F.when(F.col("state") != "attention", "informational").when(F.col("code") == "OCR_BANKING_FOREIGN_FIELD", "weak").otherwise("moderate")
     return out.withColumn("strength", strength)
 
@@ -329,6 +343,11 @@ def bank_geography(checked: DataFrame, regions: DataFrame) -> DataFrame:
     from quillmark.operators.matching import sole_country
 
     bics = checked.where("kind = 'bic' and state = 'clear'").select("doc_id", F.col("country"))
+    return sole_country(bics.unionByName(branch_countries(regions)))
+
+
+def branch_countries(regions: DataFrame) -> DataFrame:
+    """(doc_id, country) of regions with a branch address."""
     key = t.folded(F.col("content"))
     branch = regions.where((key.contains("branch address") | key.contains("account branch")) & key.contains("luxembourg"))
-    return sole_country(bics.unionByName(branch.select("doc_id", F.lit("LU").alias("country"))))
+    return branch.select("doc_id", F.lit("LU").alias("country"))
