@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillmark.functions import text as t
 
@@ -140,9 +141,10 @@ def html_cells(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 def best_tables(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The cells of each document's richest table: most cells and headers together, the first on ties. cells as of ``html_cells``."""
-    sizes = cells.groupBy(id_col, "table_ix").agg(F.count("*").alias("size"))
-    best = sizes.groupBy(id_col).agg(F.min_by("table_ix", F.struct(-F.col("size"), F.col("table_ix"))).alias("table_ix"))
-    return cells.join(best, [id_col, "table_ix"], "left_semi")
+    # dealt out once by document: the cells are made once, and what follows by table stays where it is
+    placed = cells.repartition(id_col).withColumn("size", F.count("*").over(Window.partitionBy(id_col, "table_ix")))
+    best = F.max(F.struct("size", -F.col("table_ix"))).over(Window.partitionBy(id_col))
+    return placed.withColumn("best", best).where(-F.col("table_ix") == F.col("best")["col2"]).drop("size", "best")
 
 
 def table_rows(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:

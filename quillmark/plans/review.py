@@ -87,7 +87,7 @@ def registration_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = lambda factor, size: F.lpad((key * factor % 10**size).cast("bigint").cast("string"), size, "0")
     number = lambda c: F.col(c).cast("bigint")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", digits(791993, 9).alias("siren"), digits(7919, 5).alias("nic"), F.concat(F.lit("1"), digits(99991, 10)).alias("rpps"), digits(31337, 9).alias("finess"), digits(777, 6).alias("six"), digits(104729, 7).alias("seven"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", digits(791993, 9).alias("siren"), digits(7919, 5).alias("nic"), F.concat(F.lit("1"), digits(99991, 10)).alias("rpps"), digits(31337, 9).alias("finess"), digits(777, 6).alias("six"), digits(104729, 7).alias("seven"))
     vat = F.when(key % 3 == 0, F.concat(F.lit("FR "), two((number("siren") * 100 + 12 + key % 2) % 97), F.lit(" "), "siren")).when(key % 3 == 1, F.concat(F.lit("LU"), "six", two((number("six") % 89 + key % 2) % 100)))
     vat = vat.otherwise(F.concat(F.lit("BE 0"), "seven", two(97 - number("seven") % 97 - key % 2)))
     siret = F.when(key % 2 == 0, F.concat_ws(" ", F.left("siren", F.lit(3)), F.substr("siren", F.lit(4), F.lit(3)), F.right("siren", F.lit(3)), "nic")).otherwise(F.concat("siren", "nic"))
