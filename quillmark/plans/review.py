@@ -264,7 +264,8 @@ def best_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit("<tr><td>%d</td><td>"), "c_name", F.lit("</td></tr>"))
     body = lambda n: F.array_join(F.transform(F.slice(F.sequence(F.lit(1), F.lit(5)), F.lit(1), n.cast("int")), lambda i: F.replace(row, F.lit("%d"), i.cast("string"))), "")
     markup = F.concat(*[F.concat(F.lit("<table><tr><th>Key</th><th>Name</th></tr>"), body(key % n), F.lit("</table><p>x</p>")) for n in (4, 3, 5)])
-    cells = tables.html_cells(table(spark, sf_dir, "customer").select(key.alias("doc_id"), markup.alias("html")), "doc_id", "html")
+    texts = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select(key.alias("doc_id"), markup.alias("html"))
+    cells = tables.html_cells(texts, "doc_id", "html")
     rows = tables.table_rows(tables.best_tables(cells)).select("doc_id", "table_ix", F.posexplode("rows").alias("row_ix", "r"))
     return rows.select("doc_id", "table_ix", F.col("row_ix").cast("bigint").alias("row_ix"), F.get("r", 0).alias("first"), F.get("r", 1).alias("second"))
 
