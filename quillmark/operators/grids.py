@@ -6,13 +6,16 @@ and values are left out.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillmark.storage import checkpointed
 
-#: Cells side by side in a tile: runs meet within tiles, and runs cut by a tile's border are joined there.
+#: Cells along a tile's side: runs are joined to parts within a tile by one task, and parts that meet at a border of tiles are linked there.
 TILE = 64
 
 
@@ -63,27 +66,90 @@ def least_reachable(links: DataFrame) -> DataFrame:
     return found.select(F.col("u").alias("node"), "root").unionByName(roots.join(found, F.col("node") == F.col("u"), "left_anti"))
 
 
-def _rooted(cells: DataFrame, keys: tuple[str, ...], tile: int) -> DataFrame:
-    """Runs with ``first``, the first cell (y, x) of the part that they belong to."""
-    found = runs(cells, *keys, tile=tile)
-    named = checkpointed(found.withColumn("node", F.xxhash64(*keys, "y", "x0").bitwiseAND(F.lit(2**63 - 1))))
-    roots = least_reachable(run_links(named, *keys, tile=tile))
-    whole = checkpointed(named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    first = whole.groupBy("root").agg(F.min(F.struct("y", F.col("x0").alias("x"))).alias("first"))
-    return whole.join(first, "root")
+def _heads(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, tile: int) -> np.ndarray:
+    """For each run the first run of its part; runs of whole tiles, sorted by (group, y, x0), one group a tile."""
+    n, width = len(group), tile + 2
+    nth = np.cumsum(np.r_[True, group[1:] != group[:-1]][:n])
+    row = (nth * (tile + 1) + y % tile) * width  # an empty row lies between two tiles, an empty place at each end of a row
+    start, end = row + x0 % tile + 1, row + x1 % tile + 1
+    low, high = np.searchsorted(end, start + width - 1), np.searchsorted(start, end + width + 1, "right")
+    many = np.maximum(high - low, 0)
+    u = np.repeat(np.arange(n), many)
+    v = np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(u))
+    head = np.arange(n)
+    while (head[u] != head[v]).any():
+        a, b = head[u], head[v]
+        np.minimum.at(head, np.maximum(a, b), np.minimum(a, b))
+        while (head != head[head]).any():
+            head = head[head]
+    return head
+
+
+def tile_parts(found: DataFrame, *keys: str, tile: int = TILE) -> DataFrame:
+    """Runs (keys, y, tile, x0, x1) with ``node``, the number of their part inside a tile of ``tile`` by ``tile`` cells, and its first cell (head_y, head_x).
+
+    A task holds the tiles of one Arrow batch at a time.
+    """
+    placed = found.select(F.xxhash64(*keys, F.floor(F.col("y") / tile), "tile").alias("group"), *keys, "y", "tile", "x0", "x1").repartition("group").sortWithinPartitions("group", "y", "x0")
+    schema = T.StructType([*placed.schema, T.StructField("head_y", placed.schema["y"].dataType), T.StructField("head_x", placed.schema["x0"].dataType)])
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        head = pa.array(_heads(*[rows.column(c).to_numpy().astype(np.int64) for c in ("group", "y", "x0", "x1")], tile))
+        out = rows.append_column("head_y", rows.column("y").take(head)).append_column("head_x", rows.column("x0").take(head))
+        return out.combine_chunks().to_batches()[0]
+
+    def run(batches):
+        rest: list[pa.RecordBatch] = []  # the tile that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut or rest and rest[-1].column(0)[0].as_py() != group[0]:
+                whole = [x for x in (*rest, batch.slice(0, cut)) if x.num_rows]
+                yield done(pa.Table.from_batches(whole))
+                rest = []
+            rest.append(batch.slice(cut))
+        if rest:
+            yield done(pa.Table.from_batches(rest))
+
+    parts = placed.mapInArrow(run, schema).drop("group")
+    return parts.withColumn("node", F.xxhash64(*keys, "head_y", "head_x").bitwiseAND(F.lit(2**63 - 1)))
+
+
+def _parted(cells: DataFrame, keys: tuple[str, ...], tile: int) -> tuple[DataFrame, DataFrame]:
+    """The runs of ``tile_parts``, and (node, first) of the parts that go on beyond their tile: the first cell (y, x) of the whole.
+
+    Only runs at a border of tiles can touch a part of another tile, so rounds over links see those alone.
+    """
+    named = checkpointed(tile_parts(runs(cells, *keys, tile=tile), *keys, tile=tile))
+    at = lambda c: F.pmod(F.col(c), F.lit(tile))
+    border = named.where(at("y").isin(0, tile - 1) | (at("x0") == 0) | (at("x1") == tile - 1))
+    roots = checkpointed(least_reachable(run_links(border, *keys, tile=tile)))
+    heads = border.select("node", F.struct(F.col("head_y").alias("y"), F.col("head_x").alias("x")).alias("head")).distinct()
+    first = roots.join(heads, "node").groupBy("root").agg(F.min("head").alias("first"))
+    return named, roots.join(first, "root").select("node", "first")
+
+
+def _first() -> Column:
+    return F.coalesce("first", F.struct(F.col("head_y").alias("y"), F.col("head_x").alias("x"))).alias("first")
 
 
 def labelled_cells(cells: DataFrame, *keys: str, tile: int = TILE) -> DataFrame:
     """(keys, y, x, first): each cell with the first cell of its part."""
-    return _rooted(cells, keys, tile).select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "first")
+    named, beyond = _parted(cells, keys, tile)
+    return named.join(beyond, "node", "left").select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), _first())
 
 
 def components(cells: DataFrame, *keys: str, tile: int = TILE) -> DataFrame:
     """(keys, component, cells, x0, y0, x1, y1): the parts of cells (keys, y, x) that touch by sides or corners; numbered from 1 by their first cell.
 
-    Rows become runs, runs that touch are linked within tiles and across their borders, and links are contracted; repeated cells count once.
+    Rows become runs, runs that touch are joined within tiles, and what meets at their borders is linked and contracted; repeated cells count once.
     """
-    per = _rooted(cells, keys, tile).groupBy(*keys, "first").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("cells"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
+    named, beyond = _parted(cells, keys, tile)
+    measures = lambda n, y0, y1: (F.sum(n).alias("cells"), F.min("x0").alias("x0"), F.min(y0).alias("y0"), F.max("x1").alias("x1"), F.max(y1).alias("y1"))
+    inside = named.groupBy(*keys, "node", "head_y", "head_x").agg(*measures(F.col("x1") - F.col("x0") + 1, "y", "y"))
+    per = inside.join(beyond, "node", "left").select(*keys, _first(), "cells", "x0", "y0", "x1", "y1").groupBy(*keys, "first").agg(*measures("cells", "y0", "y1"))
     return _numbered(per, keys).select(*keys, "component", "cells", "x0", "y0", "x1", "y1")
 
 

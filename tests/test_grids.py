@@ -127,3 +127,23 @@ def test_marks_with_empty_masks(spark, tmp_path, name):
     df = catalog.queries()[name](spark, str(tmp_path))
     want = con.execute(f"""select {', '.join(f'"{c}"' for c in df.columns)} from ({catalog.oracle_sql()[name]})""").fetchall()
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str) and want
+
+
+def test_links_only_where_tiles_meet(spark, monkeypatch):
+    """What touches inside a tile is joined there; rounds over links see parts that meet at a border alone. Places before 0 and batches that cut a tile are fine."""
+    r = np.random.default_rng(4)
+    masks = {"m": r.random((40, 150)) < 0.4, "s": spiral(60)}
+    cells, seen, known = cells_of(spark, masks), [], grids.least_reachable
+    monkeypatch.setattr(grids, "least_reachable", lambda links: (seen.append(links.count()), known(links))[1])
+    want = {k: plain_parts(m) for k, m in masks.items()}
+    moved = cells.select("image", (F.col("y") - 70).alias("y"), (F.col("x") - 130).alias("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {}
+        for x in grids.components(cells, "image").collect():
+            got.setdefault(x["image"], []).append(tuple(x[c] for c in ("component", "cells", "x0", "y0", "x1", "y1")))
+        assert {k: sorted(v) for k, v in got.items()} == want and seen[0] < 150
+        got = sorted((x["image"], x["component"], x["cells"], x["x0"] + 130, x["y0"] + 70, x["x1"] + 130, x["y1"] + 70) for x in grids.components(moved, "image").collect())
+        assert got == sorted((k, *p) for k, parts in want.items() for p in parts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
