@@ -114,16 +114,17 @@ def quality_gate(regions: DataFrame, least_regions: int = 2, least_chars: int =
 def token_agreement(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
     """(doc_id, agreement): Dice coefficient of the token multisets of two readings; 0 if one side has none.
 
-    Counts by (document, token) on each side, then a full join on both keys: no document's tokens meet in one task.
+    Both sides are counted by (document, token) in one aggregation, without a join: no document's tokens meet in one task. A null id matches nothing.
     """
-    count = lambda df, c, n: df.select("doc_id", F.explode(t.token_list(F.col(c))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias(n))
-    both = count(left, left_col, "l").join(count(right, right_col, "r"), ["doc_id", "token"], "full")
-    l, r = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))  # noqa: E741
-    per = both.groupBy("doc_id").agg(F.sum(F.least(l, r)).alias("common"), F.sum(l).alias("nl"), F.sum(r).alias("nr"))
-    value = F.when((F.col("nl") > 0) & (F.col("nr") > 0), 2.0 * F.col("common") / (F.col("nl") + F.col("nr"))).otherwise(0.0)
-    out = per.select("doc_id", value.alias("agreement"))
-    ids = left.select("doc_id").unionByName(right.select("doc_id")).distinct()
-    return ids.join(out, "doc_id", "left").select("doc_id", F.coalesce("agreement", F.lit(0.0)).alias("agreement"))
+    # a null token stands for the document itself, so that one without tokens stays
+    tokens = lambda df, c, l, r: df.select(
+        "doc_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(t.token_list(F.col(c)), F.array().cast("array<string>")))).alias("token"), F.lit(l).alias("l"), F.lit(r).alias("r")
+    )
+    both = tokens(left, left_col, 1, 0).unionByName(tokens(right, right_col, 0, 1)).groupBy("doc_id", "token").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    count = lambda c: F.coalesce(F.sum(F.when(F.col("token").isNotNull(), c)), F.lit(0))
+    per = both.groupBy("doc_id").agg(count(F.least("l", "r")).alias("common"), count(F.col("l")).alias("nl"), count(F.col("r")).alias("nr"))
+    value = F.when(F.col("doc_id").isNotNull() & (F.col("nl") > 0) & (F.col("nr") > 0), 2.0 * F.col("common") / (F.col("nl") + F.col("nr"))).otherwise(0.0)
+    return per.select("doc_id", value.alias("agreement"))
 
 
 def lower_quartile(values: Column) -> Column:

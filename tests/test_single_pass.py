@@ -3,7 +3,7 @@
 import pytest
 
 from quillmark import catalog
-from quillmark.operators import labelled, tables
+from quillmark.operators import labelled, regions, tables
 from quillmark.plans import spread
 
 
@@ -35,3 +35,11 @@ def test_best_of_equal_tables_is_the_first(spark):
     best = tables.best_tables(cells)
     assert best.columns == cells.columns and best._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted((r["doc_id"], r["table_ix"], r["text"]) for r in best.where("row_ix > 0").collect()) == [(d, 1, x) for d in (1, 2) for x in "bc"]
+
+
+def test_agreement_without_a_join(spark):
+    left = spark.createDataFrame([(1, "a b b c"), (2, None), (3, ""), (None, "a"), (5, "x y")], "doc_id int, text string")
+    right = spark.createDataFrame([(1, "b b b &lt;a"), (2, "a"), (4, "<p>a</p>"), (None, "a"), (5, "x"), (5, "y")], "doc_id int, html string")
+    got = regions.token_agreement(left, right, "text", "html")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["agreement"] for r in got.collect()} == {1: 0.75, 2: 0.0, 3: 0.0, 4: 0.0, None: 0.0, 5: 1.0}
