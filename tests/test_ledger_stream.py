@@ -57,3 +57,58 @@ def test_idle_accounts_begin_anew(spark, tmp_path):
         ledger_stream.start_replay(spark, stream, str(tmp_path / "out"), str(tmp_path / "state"), "acct", idle_ms=200).awaitTermination(120)
         time.sleep(0.5)
     assert all(not r["checked"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def test_state_keeps_groups_of_accounts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger_stream, "GROUPS", 4)
+    monkeypatch.setattr(ledger_stream, "PACKED_ROWS", 100)
+    df = spark.createDataFrame(made([None, *(f"a{k}" for k in range(60))], 10), ROWS)
+    for part in range(2):
+        df.where(f"floor(row_no / 5) = {part}").repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = inbox.read_inbox(spark, str(tmp_path / "in"), df.schema)
+        query = ledger_stream.start_replay(spark, stream, str(tmp_path / "out"), str(tmp_path / "state"), "acct")
+        query.awaitTermination(120)
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert kept and max(kept) <= 4  # not one of the store's keys an account
+    key = lambda r: (str(r[0]), *r[1:])
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=key)
+    assert got == sorted(map(tuple, ledger.replay_ledger(df, "acct").collect()), key=key)
+
+
+def test_keys_of_several_kinds_meet_in_groups_as_in_spark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger_stream, "GROUPS", 1)
+    names = [(float("nan"), b"x"), (0.0, b"x"), (0.0, b"y"), (None, None), (2.5, b"")]
+    rows = [(*names[a[0]], a[0] + 2**60, *a[1:]) for a in made(range(5), 6)]
+    df = spark.createDataFrame(rows, "a double, b binary, c bigint, " + ROWS.split(", ", 1)[1])
+    for part in range(2):
+        df.where(f"floor(row_no / 3) = {part}").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = inbox.read_inbox(spark, str(tmp_path / "in"), df.schema)
+        ledger_stream.start_replay(spark, stream, str(tmp_path / "out"), str(tmp_path / "state"), "a", "b", "c").awaitTermination(120)
+    shown = lambda out: sorted(str((str(r[0]), r[1] and bytes(r[1]), *r[2:])) for r in out.collect())
+    assert shown(spark.read.parquet(str(tmp_path / "out"))) == shown(ledger.replay_ledger(df, "a", "b", "c"))
+
+
+def test_an_idle_account_begins_anew_in_a_group_that_is_not_idle():
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Clock:
+        now = 0
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return self.now
+
+    processor, clock = ledger_stream.LedgerProcessor(("acct",), ["acct", "row_no", "checked", "mismatch", "inversion", "skipped"], "", 200), Clock()
+    processor.state = Value()
+    row = lambda acct, n: {"acct": acct, "row_no": n, "date": None, "debit": None, "credit": Decimal(1), "balance": Decimal(n), "comparable": True}
+    seen = []
+    for clock.now, accounts in ((0, "ab"), (150, "a"), (250, "ab")):
+        rows = [{"rows": [row(a, clock.now)]} for a in accounts]
+        seen += [(a, c) for r in processor.handleInputRows((0,), iter(rows), clock) for a, c in zip(r["acct"], r["checked"], strict=True)]
+    assert sorted(seen) == [("a", False), ("a", True), ("a", True), ("b", False), ("b", False)]
