@@ -6,6 +6,8 @@ and values are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -85,6 +87,22 @@ def _heads(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, til
     return head
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of sorted batches again, as tables of whole groups: a group is rows with the same first column, which may begin in one batch and go on in the next."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut or rest and rest[-1].column(0)[0].as_py() != group[0]:
+            yield pa.Table.from_batches([x for x in (*rest, batch.slice(0, cut)) if x.num_rows])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def tile_parts(found: DataFrame, *keys: str, tile: int = TILE) -> DataFrame:
     """Runs (keys, y, tile, x0, x1) with ``node``, the number of their part inside a tile of ``tile`` by ``tile`` cells, and its first cell (head_y, head_x).
 
@@ -99,19 +117,8 @@ def tile_parts(found: DataFrame, *keys: str, tile: int = TILE) -> DataFrame:
         return out.combine_chunks().to_batches()[0]
 
     def run(batches):
-        rest: list[pa.RecordBatch] = []  # the tile that the next batch may go on with
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(group, group[-1]))
-            if cut or rest and rest[-1].column(0)[0].as_py() != group[0]:
-                whole = [x for x in (*rest, batch.slice(0, cut)) if x.num_rows]
-                yield done(pa.Table.from_batches(whole))
-                rest = []
-            rest.append(batch.slice(cut))
-        if rest:
-            yield done(pa.Table.from_batches(rest))
+        for rows in whole_groups(batches):
+            yield done(rows)
 
     parts = placed.mapInArrow(run, schema).drop("group")
     return parts.withColumn("node", F.xxhash64(*keys, "head_y", "head_x").bitwiseAND(F.lit(2**63 - 1)))
@@ -249,15 +256,25 @@ def mask_word(mask: Column, columns: int, rows: int) -> Column:
 def shifted_dice_of_words(left: Column, right: Column, columns: int, rows: int, reach: int = 2) -> Column:
     """``shifted_dice`` of two words of ``mask_word``: a few machine operations a shift, for work on many pairs."""
     scores = []
+    for by, inside in _word_shifts(columns, rows, reach):
+        moved = F.call_function("shiftleft" if by >= 0 else "shiftrightunsigned", right, F.lit(abs(by))).bitwiseAND(F.lit(inside - (inside >> 63 << 64)).cast("bigint"))
+        scores.append(2.0 * F.bit_count(left.bitwiseAND(moved)) / F.greatest(F.lit(1), F.bit_count(left) + F.bit_count(moved)))
+    return F.greatest(*scores)
+
+
+def _word_shifts(columns: int, rows: int, reach: int) -> Iterator[tuple[int, int]]:
+    """(places, cells): how far each shift moves a word of ``mask_word`` to the left, and the cells that the moved mask may then fill."""
     for i in range(-reach, reach + 1):
         for j in range(-reach, reach + 1):
             inside = sum(1 << (x * rows + y) for x in range(columns) for y in range(rows) if 0 <= x - i < columns and 0 <= y - j < rows)
-            by = i * rows + j
-            if not inside:
-                continue
-            moved = F.call_function("shiftleft" if by >= 0 else "shiftrightunsigned", right, F.lit(abs(by))).bitwiseAND(F.lit(inside - (inside >> 63 << 64)).cast("bigint"))
-            scores.append(2.0 * F.bit_count(left.bitwiseAND(moved)) / F.greatest(F.lit(1), F.bit_count(left) + F.bit_count(moved)))
-    return F.greatest(*scores)
+            if inside:
+                yield i * rows + j, inside
+
+
+def shifts_of_words(words: np.ndarray, columns: int, rows: int, reach: int = 2) -> Iterator[np.ndarray]:
+    """The words (uint64) of masks moved by each shift, as ``shifted_dice_of_words`` moves them."""
+    for by, inside in _word_shifts(columns, rows, reach):
+        yield (words << np.uint64(by) if by >= 0 else words >> np.uint64(-by)) & np.uint64(inside)
 
 
 def packed_masks(cells: DataFrame, *keys: str, columns: int) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.operators import grids, pixels
+from quillmark.operators import grids, marks, page_objects, pixels
 
 
 def cells_of(spark, masks):
@@ -129,6 +129,59 @@ def test_marks_with_empty_masks(spark, tmp_path, name):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str) and want
 
 
+def some_marks(spark, n):
+    """Marks of three documents, some without a document, page, place, size or mask."""
+    r = np.random.default_rng(7)
+    odd = lambda k, at, x: None if k % 31 == at else x
+    rows = [
+        (odd(k, 1, "abc"[min(k % 40, 2)]), f"m{k}", odd(k, 2, k % 5), odd(k, 3, float("nan") if k % 31 == 4 else float(r.normal(50, 8))), odd(k, 3, float(r.normal(30, 4))),
+         odd(k, 5, float("nan") if k % 31 == 6 else float("inf") if k % 31 == 7 else float(r.normal(0, 90))), odd(k, 8, float(r.normal(0, 90))), odd(k, 9, int(r.integers(-(2**63), 2**63)) if k % 31 != 10 else 0))
+        for k in range(n)
+    ]
+    return spark.createDataFrame(rows, "doc_id string, mark_id string, page int, width double, height double, cx double, cy double, word bigint")
+
+
+@pytest.mark.parametrize("block", [7, marks.BLOCK])
+def test_scored_pairs(spark, block):
+    """Pairs by blocks are those by cells, with the same scores; groups that batches cut, and more pairs than are compared at a time, are fine."""
+    found = some_marks(spark, 300 if block == 7 else 900).cache()
+    words = found.select("mark_id", F.coalesce("word", F.lit(0).cast("bigint")).alias("word"))
+    near = page_objects.mark_pairs(found.where("cx is null or cx < double('inf')"), near=60.0).join(words.toDF("left", "a"), "left").join(words.toDF("right", "b"), "right")
+    want = near.select("doc_id", "left", "right", "right_page", F.round(grids.shifted_dice_of_words(F.col("a"), F.col("b"), 8, 8), 9).alias("similarity")).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37" if block == 7 else "10000")
+    try:
+        got = sorted(map(tuple, marks.scored_pairs(found, 8, 8, near=60.0, block=block).collect()))
+        assert got == sorted(map(tuple, want.collect())) and len(got) > 1000
+        kept = marks.scored_pairs(found, 8, 8, near=60.0, least=0.6, best=True, block=block)
+        few = sorted(map(tuple, page_objects.recurring_marks(kept, 0.6).collect()))
+        assert few == sorted(map(tuple, page_objects.recurring_marks(want, 0.6).collect())) and few
+        assert kept.where("similarity < 0.6").count() == 0 and marks.scored_pairs(found.limit(0), 8, 8).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        found.unpersist()
+        want.unpersist()
+
+
+def marks_at_one_place(spark, folder):
+    """Vectors that are marks of one document, all at one place."""
+    r = np.random.default_rng(8)
+    rows = [(k, [-0.05] * 7 + [float(x) for x in r.choice([-0.1, 0.1], 57)], 1) for k in range(400)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+
+
+def test_best_of_a_page_leaves_the_scorer(spark, tmp_path, monkeypatch):
+    """Of the pairs of a document repeated_marks passes on the best of a mark and page, and several tasks score them."""
+    from quillmark import catalog
+
+    marks_at_one_place(spark, tmp_path)
+    seen, known = [], page_objects.recurring_marks
+    monkeypatch.setattr(page_objects, "recurring_marks", lambda pairs, *a, **k: (seen.append(pairs), known(pairs, *a, **k))[1])
+    assert catalog.queries()["repeated_marks"](spark, str(tmp_path)).count() > 0
+    per = [x["n"] for x in seen[0].groupBy(F.spark_partition_id(), "left", "right_page").agg(F.count("*").alias("n")).collect()]
+    tasks = seen[0].select(F.spark_partition_id()).distinct().count()
+    assert seen[0].where("similarity < 0.75").count() == 0 and max(per) <= 4 and tasks > 1
+
+
 def test_links_only_where_tiles_meet(spark, monkeypatch):
     """What touches inside a tile is joined there; rounds over links see parts that meet at a border alone. Places before 0 and batches that cut a tile are fine."""
     r = np.random.default_rng(4)
