@@ -108,22 +108,20 @@ def recurring_marks(pairs: DataFrame, least: float = 0.9, pages: int = 3, groups
     return once.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= groups).select("doc_id", "anchor", "members", F.size("members").alias("pages"))
 
 
-def mark_pairs(marks: DataFrame, shape: float = 0.78, near: float = 140.0, word: str | None = None) -> DataFrame:
-    """(doc_id, left, right, right_page): marks of one document on other pages, alike in shape and near in place; with ``word``, a column of the marks, also
-    left_word and right_word.
+def mark_pairs(marks: DataFrame, shape: float = 0.78, near: float = 140.0) -> DataFrame:
+    """(doc_id, left, right, right_page): marks of one document on other pages, alike in shape and near in place. ``marks.scored_pairs`` gives them scored.
 
     Pairs meet by cells of the centre as wide as ``near``: each mark looks in its own and the eight cells around. They can be many more than the marks, so the
     shuffle's number of partitions is kept.
     """
-    carried = lambda name: [] if word is None else [F.col(word).alias(name)]
     parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = lambda c: F.floor(F.col(c) / near)
-    here = marks.select("doc_id", F.col("mark_id").alias("left"), F.col("page").alias("left_page"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("cx").alias("x"), F.col("cy").alias("y"), cell("cx").alias("gx"), cell("cy").alias("gy"), *carried("left_word"))
+    here = marks.select("doc_id", F.col("mark_id").alias("left"), F.col("page").alias("left_page"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("cx").alias("x"), F.col("cy").alias("y"), cell("cx").alias("gx"), cell("cy").alias("gy"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     here = here.withColumn("s", F.explode(steps)).withColumn("gx", F.col("gx") + F.col("s.i")).withColumn("gy", F.col("gy") + F.col("s.j")).drop("s").repartition(parts, "doc_id", "gx", "gy")
-    there = marks.select("doc_id", F.col("mark_id").alias("right"), F.col("page").alias("right_page"), "width", "height", "cx", "cy", cell("cx").alias("gx"), cell("cy").alias("gy"), *carried("right_word"))
+    there = marks.select("doc_id", F.col("mark_id").alias("right"), F.col("page").alias("right_page"), "width", "height", "cx", "cy", cell("cx").alias("gx"), cell("cy").alias("gy"))
     pairs = here.join(there, ["doc_id", "gx", "gy"]).where("left_page <> right_page")
     ratio = lambda a, b: F.least(a, b) / F.greatest(a, b)
     alike = (ratio(F.col("w"), F.col("width")) >= shape) & (ratio(F.col("h"), F.col("height")) >= shape)
     close = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= near
-    return pairs.where(alike & close).select("doc_id", "left", "right", "right_page", *([] if word is None else ["left_word", "right_word"]))
+    return pairs.where(alike & close).select("doc_id", "left", "right", "right_page")

@@ -182,6 +182,16 @@ def test_best_of_a_page_leaves_the_scorer(spark, tmp_path, monkeypatch):
     assert seen[0].where("similarity < 0.75").count() == 0 and max(per) <= 4 and tasks > 1
 
 
+def test_marks_at_one_place_are_spread(spark, tmp_path):
+    """Pairs of one document at one place come from several tasks."""
+    from quillmark import catalog
+
+    marks_at_one_place(spark, tmp_path)
+    df = catalog.queries()["mark_similarity"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    n = [sum(k % 6 == p for k in range(400)) for p in range(6)]
+    assert sum(x["count"] for x in df) == 400 * 400 - sum(x * x for x in n) and len(df) > 1
+
+
 def test_links_only_where_tiles_meet(spark, monkeypatch):
     """What touches inside a tile is joined there; rounds over links see parts that meet at a border alone. Places before 0 and batches that cut a tile are fine."""
     r = np.random.default_rng(4)
